@@ -12,9 +12,17 @@ def remove_special(c, keep: str = r"\p{L}\p{N}\s") -> Column:
     return F.regexp_replace(cells.column(c), f"[^{keep}]", "")
 
 
-def _undo(col: Column, charset: str) -> Column:
-    """The text re-read as UTF-8, null when its bytes are not valid UTF-8."""
-    return F.try_validate_utf8(F.encode(col, charset).cast("string"))
+# --- fixed values: Windows-1252 characters and the bytes they stand for ----------------
+_WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_WINDOWS_BYTES = (
+    "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e"
+    "\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+)
+
+
+def _undo(col: Column) -> Column:
+    """The characters as single bytes re-read as UTF-8; null when that is not valid."""
+    return F.try_validate_utf8(F.encode(col, "ISO-8859-1").cast("string"))
 
 
 def fix_encoding(c) -> Column:
@@ -26,12 +34,9 @@ def fix_encoding(c) -> Column:
     col = cells.column(c)
     accented = col.rlike(r"[^\x00-\x7F]")
     latin = accented & col.rlike(r"^[\x00-\xFF]*$")
-    windows = accented & col.rlike(
-        r"^[\x00-\x7F\xA0-\xFF€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]*$"
-    )
-    return F.coalesce(
-        F.when(latin, _undo(col, "ISO-8859-1")), F.when(windows, _undo(col, "windows-1252")), col
-    )
+    windows = accented & col.rlike(rf"^[\x00-\xFF{_WINDOWS}]*$")
+    single = F.translate(col, _WINDOWS, _WINDOWS_BYTES)
+    return F.coalesce(F.when(latin, _undo(col)), F.when(windows, _undo(single)), col)
 
 
 def normalize_name(c) -> Column:

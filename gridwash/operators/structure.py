@@ -167,16 +167,19 @@ def generate_names(df: DataFrame, order_by=()) -> DataFrame:
 
 
 def row_type_tags(df: DataFrame, order_by, rows: int = rules.HEADER_ROWS) -> DataFrame:
-    """row_no, column, tag for the non-missing cells of the leading rows."""
+    """row_no, column, tag for the non-blank cells of the leading rows."""
     cols = data_columns(df, order_by)
     head = leading_rows(df, order_by, rows)
-    schema = T.StructType([df.schema[c] for c in cols]).add("row_no", "int")
+    schema = T.StructType([df.schema[c] for c in cols]).add("row_no", T.IntegerType())
     local = df.sparkSession.createDataFrame(
         [tuple(r[c] for c in cols) + (i,) for i, r in enumerate(head)], schema
     )
     pairs = [
         F.struct(
-            F.lit(c).alias("column"), cells.type_tag(c, df.schema[c].dataType).alias("tag")
+            F.lit(c).alias("column"),
+            F.when(
+                ~_empty_cell(df, c, True), cells.type_tag(c, df.schema[c].dataType)
+            ).alias("tag"),
         )
         for c in cols
     ]

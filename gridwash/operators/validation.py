@@ -73,7 +73,7 @@ def format_violations(df: DataFrame, order_by, found: dict | None = None) -> Dat
     if not bad:
         fields = T.StructType([df.schema[k] for k in keys])
         for name in ("column", "format", "value"):
-            fields = fields.add(name, "string")
+            fields = fields.add(name, T.StringType())
         return df.sparkSession.createDataFrame([], fields)
     return df.select(
         *[cells.column(k) for k in keys], F.inline(F.array_compact(F.array(*bad)))
@@ -211,7 +211,7 @@ def pattern_mismatches(df: DataFrame, order_by, found: dict) -> DataFrame:
     if not bad:
         fields = T.StructType([df.schema[k] for k in keys])
         for name in ("column", "pattern", "value"):
-            fields = fields.add(name, "string")
+            fields = fields.add(name, T.StringType())
         return df.sparkSession.createDataFrame([], fields)
     return df.select(*[cells.column(k) for k in keys], F.inline(F.array_compact(F.array(*bad))))
 

@@ -23,14 +23,15 @@ def sanitize_name(c) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"_+", "_"), r"^_+|_+$", "")
 
 
+def _sheet_folder(sheet: Column) -> Column:
+    return F.when(sheet.isNull() | (sheet == ""), "default_sheet").otherwise(sanitize_name(sheet))
+
+
 def stage_path(dataset, sheet, stage: str, id_) -> Column:
     """``dataset/sheet/stage/id.ext`` of one stored object."""
     ext = ".json" if stage == "metadata" else ".xlsx"
-    named = F.when(
-        cells.column(sheet).isNull() | (cells.column(sheet) == ""), "default_sheet"
-    ).otherwise(sanitize_name(sheet))
     return F.concat(
-        sanitize_name(dataset), F.lit("/"), named, F.lit(f"/{stage}/"), cells.column(id_), F.lit(ext)
+        sanitize_name(dataset), F.lit("/"), _sheet_folder(cells.column(sheet)), F.lit(f"/{stage}/"), cells.column(id_), F.lit(ext)
     )
 
 
@@ -42,9 +43,7 @@ def write_stage(df: DataFrame, root: str, dataset: str, sheet: str, stage: str,
     keyed = df.select(
         *[cells.column(c) for c in df.columns],
         sanitize_name(F.lit(dataset)).alias("dataset"),
-        F.when(F.lit(sheet or "") == "", "default_sheet")
-        .otherwise(sanitize_name(F.lit(sheet)))
-        .alias("sheet"),
+        _sheet_folder(F.lit(sheet)).alias("sheet"),
         F.lit(stage).alias("stage"),
         F.lit(id_).alias("id"),
     )
@@ -71,8 +70,8 @@ def read_stage(
 def write_metadata(body: DataFrame, root: str, dataset: str, sheet: str, id_: str, kind: str = "document") -> None:
     """Append one JSON document (a one-column ``body`` table) for a stored table."""
     body.select(
-        F.lit(dataset).alias("dataset"),
-        F.lit(sheet).alias("sheet"),
+        sanitize_name(F.lit(dataset)).alias("dataset"),
+        _sheet_folder(F.lit(sheet)).alias("sheet"),
         F.lit(id_).alias("id"),
         F.lit(kind).alias("kind"),
         F.current_timestamp().alias("ts"),

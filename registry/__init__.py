@@ -1,4 +1,4 @@
 from registry.base import ORACLE, QUERIES
-from registry import cells, profile, validation, score  # noqa: F401
+from registry import catalogue, cells, plans, profile, score, sources, structure, validation  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
