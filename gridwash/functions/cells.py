@@ -24,8 +24,15 @@ def all_of(conditions) -> Column:
 
 
 def trim_text(c) -> Column:
-    """Strip every kind of white space from both ends (``trim`` strips blanks only)."""
-    return F.btrim(column(c), F.lit(rules.STRIP_CHARS))
+    """Strip every kind of white space from both ends.
+
+    ``trim`` handles blanks at the cost of two comparisons; only a text that then
+    still starts or ends with other white space takes the general strip.
+    """
+    col = column(c)
+    blanks = F.trim(col)
+    ends = F.concat(F.substring(blanks, 1, 1), F.substring(blanks, -1, 1))
+    return F.when(ends.rlike(f"[{rules.STRIP_CHARS}]"), F.btrim(col, F.lit(rules.STRIP_CHARS))).otherwise(blanks)
 
 
 def is_missing(c, dtype: T.DataType | None = None) -> Column:
@@ -66,12 +73,12 @@ def strip_number_symbols(c) -> Column:
 
 def is_number(c) -> Column:
     """Text that is a number once thousands separators and currency signs are gone."""
-    return trim_text(strip_number_symbols(c)).rlike(rules.NUMBER)
+    return strip_number_symbols(c).rlike(rules.padded(rules.NUMBER))
 
 
 def is_plain_number(c) -> Column:
     """Text that is a number as it stands."""
-    return trim_text(c).rlike(rules.NUMBER)
+    return column(c).rlike(rules.padded(rules.NUMBER))
 
 
 def is_date(c) -> Column:
@@ -117,38 +124,65 @@ def case_text(c, mode: str = "title") -> Column:
 
 def to_number(c) -> Column:
     """Double for text that is a plain number, else null."""
-    text = trim_text(c)
-    return F.when(text.rlike(rules.NUMBER), text.try_cast("double"))
+    return F.when(is_plain_number(c), trim_text(c).try_cast("double"))
 
 
 def money(c) -> Column:
     """Double for text that is a number behind currency signs and separators."""
-    text = trim_text(strip_number_symbols(c))
-    return F.when(text.rlike(rules.NUMBER), text.try_cast("double"))
-
-
-_CLOCK = r"([ T]\d{1,2}:\d{2}:\d{2})?"
-_YMD = rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_CLOCK}$"
-_DMY4 = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_CLOCK}$"
-_DMY2 = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{2}}){_CLOCK}$"
-_D_MON_Y = rf"^(\d{{1,2}})-([A-Za-z]{{3}})-(\d{{2}}|\d{{4}}){_CLOCK}$"
-_MON_D_Y = rf"^([A-Za-z]{{3}})[A-Za-z]*\s+(\d{{1,2}}),?\s+(\d{{4}}){_CLOCK}$"
-_BARE_YEAR = r"^(1[6-9]|20|21|22)\d{2}$"
-_BARE_YMD = r"^\d{8}$"
+    return F.when(is_number(c), trim_text(strip_number_symbols(c)).try_cast("double"))
+
+
+_CLOCK = r"([ T]\d{1,2}:\d{2}:\d{2})?$"
+_MARK = r"[-/]"
+_TWO = rf"(\d{{1,2}}){_MARK}(\d{{1,2}}){_MARK}"
+# Rewrites towards year-month-day; groups are first number, second number, year, clock.
+_TO_ISO = (
+    (rf"^{_TWO}(\d{{4}}){_CLOCK}", ""),
+    (rf"^{_TWO}(69|[7-9]\d){_CLOCK}", "19"),
+    (rf"^{_TWO}(\d{{2}}){_CLOCK}", "20"),
+)
+_YEAR_FIRST = rf"^(\d{{4}}){_MARK}(\d{{1,2}}){_MARK}(\d{{1,2}}){_CLOCK}"
+_BARE = (
+    (r"^((?:1[6-9]|2[0-2])\d{2})$", "$1-01-01"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+)
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}:\d{2})?$"
+# Rewrites towards day-month-year with a month name.
+_TO_NAMED = (
+    (r"^([A-Za-z]{3})[A-Za-z]*\s+(\d{1,2}),?\s+(\d{4})$", "$2-$1-$3"),
+    (r"^(\d{1,2}-[A-Za-z]{3}-)(69|[7-9]\d)$", "$119$2"),
+    (r"^(\d{1,2}-[A-Za-z]{3}-)(\d{2})$", "$120$2"),
+)
+_NAMED = r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"
+_LONGEST_DATE = 64
+
+
+def _rewrite(text: Column, steps) -> Column:
+    for pattern, into in steps:
+        text = F.regexp_replace(text, pattern, into)
+    return text
+
+
+def parse_trimmed(text: Column, day_first: bool = True, bare_years: bool = False) -> Column:
+    """:func:`parse_datetime` of a text that is already stripped.
+
+    A chain of rewrites to ISO form and one cast: every step refers to the one before
+    once, so the expression stays small and inside generated code.
+    """
+    tail = [(_YEAR_FIRST, "$1-$2-$3$4"), *(_BARE if bare_years else ())]
 
+    def numeric(order):
+        iso = _rewrite(text, [*((p, f"{c}$3-{order}$4") for p, c in _TO_ISO), *tail])
+        return F.regexp_extract(iso, _ISO, 0).try_cast("timestamp_ntz")
 
-def _full_year(yy: Column) -> Column:
-    two = yy.try_cast("int")
-    return F.when(F.length(yy) == 4, yy).otherwise(
-        F.when(two >= 69, F.concat(F.lit("19"), yy)).otherwise(F.concat(F.lit("20"), yy))
+    named = F.regexp_extract(_rewrite(text, _TO_NAMED), _NAMED, 0)
+    orders = ["$2-$1"] if day_first else ["$1-$2", "$2-$1"]
+    return F.coalesce(
+        *[numeric(o) for o in orders],
+        F.when(named != "", F.try_to_timestamp(named, F.lit("d-MMM-yyyy"))).cast("timestamp_ntz"),
     )
 
 
-def _month_number(name: Column) -> Column:
-    months = F.array(*[F.lit(m) for m in rules.MONTHS])
-    return F.array_position(months, F.lower(name)).cast("string")
-
-
 def parse_datetime(c, day_first: bool = True, bare_years: bool = False) -> Column:
     """Timestamp of a date text in one of the supported shapes, else null.
 
@@ -156,66 +190,9 @@ def parse_datetime(c, day_first: bool = True, bare_years: bool = False) -> Colum
     month-first reading of ambiguous text before the day-first one.
     ``bare_years`` also accepts ``1998`` and ``20240101``.
     """
-    text = trim_text(c)
-
-    def stamp(iso: Column) -> Column:
-        return iso.try_cast("timestamp_ntz")
-
-    def part(pattern, i):
-        return F.regexp_extract(text, pattern, i)
-
-    def dmy(pattern, day, month):
-        return F.concat(
-            _full_year(part(pattern, 3)),
-            F.lit("-"),
-            part(pattern, month),
-            F.lit("-"),
-            part(pattern, day),
-            part(pattern, 4),
-        )
-
-    def numeric(pattern):
-        if day_first:
-            return stamp(dmy(pattern, 1, 2))
-        return F.coalesce(stamp(dmy(pattern, 2, 1)), stamp(dmy(pattern, 1, 2)))
-
-    out = (
-        F.when(text.rlike(_YMD), stamp(F.regexp_replace(text, _YMD, "$1-$2-$3$4")))
-        .when(text.rlike(_DMY4), numeric(_DMY4))
-        .when(text.rlike(_DMY2), numeric(_DMY2))
-        .when(
-            text.rlike(_D_MON_Y),
-            stamp(
-                F.concat(
-                    _full_year(part(_D_MON_Y, 3)),
-                    F.lit("-"),
-                    _month_number(part(_D_MON_Y, 2)),
-                    F.lit("-"),
-                    part(_D_MON_Y, 1),
-                    part(_D_MON_Y, 4),
-                )
-            ),
-        )
-        .when(
-            text.rlike(_MON_D_Y),
-            stamp(
-                F.concat(
-                    part(_MON_D_Y, 3),
-                    F.lit("-"),
-                    _month_number(part(_MON_D_Y, 1)),
-                    F.lit("-"),
-                    part(_MON_D_Y, 2),
-                    part(_MON_D_Y, 4),
-                )
-            ),
-        )
-    )
-    if bare_years:
-        out = out.when(text.rlike(_BARE_YEAR), stamp(F.concat(text, F.lit("-01-01")))).when(
-            text.rlike(_BARE_YMD),
-            stamp(F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")),
-        )
-    return out
+    col = column(c)
+    text = F.when(F.length(col) <= _LONGEST_DATE, trim_text(col))
+    return parse_trimmed(text, day_first, bare_years)
 
 
 def is_date_text(c, day_first: bool = False) -> Column:

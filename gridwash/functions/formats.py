@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from gridwash.functions import cells, rules
 
@@ -28,21 +29,18 @@ def content_hit(fmt: str, value) -> Column:
     return (F.translate(v, " -", "") if fmt == "phone" else v).rlike(pattern)
 
 
+# The date pattern with its range check: day 1-31, month 1-12, year 1900-2100.
+_DATE_IN_RANGE = r"^(0[1-9]|[12]\d|3[01])/(0[1-9]|1[0-2])/(19\d{2}|20\d{2}|2100)$"
+
+
 def is_valid(c, fmt: str) -> Column:
     """Null, empty and unknown formats are valid; dates are range-checked, not
     calendar-checked."""
     col = cells.column(c)
     if fmt not in rules.FORMATS:
         return F.lit(True)
-    text = cells.trim_text(col)
-    ok = text.rlike(rules.FORMATS[fmt][0])
-    if fmt == "date":
-        day, month, year = (
-            F.substring(text, start, size).try_cast("int")
-            for start, size in ((1, 2), (4, 2), (7, 4))
-        )
-        ok = ok & day.between(1, 31) & month.between(1, 12) & year.between(1900, 2100)
-    return F.coalesce((col == "") | ok, F.lit(True))
+    pattern = _DATE_IN_RANGE if fmt == "date" else rules.FORMATS[fmt][0]
+    return F.coalesce((col == "") | col.rlike(rules.padded(pattern)), F.lit(True))
 
 
 def _standard_date(text: Column) -> Column:
@@ -89,12 +87,7 @@ def _standard_currency(text: Column) -> Column:
 
 def _standard_percentage(text: Column) -> Column:
     number = F.when(text.rlike(rules.NUMBER), text.try_cast("double"))
-    from pyspark.sql.types import DoubleType
-
-    return F.when(
-        ~text.endswith("%") & number.isNotNull(),
-        F.concat(cells.safe_str(number, DoubleType()), F.lit("%")),
-    ).otherwise(text)
+    return F.coalesce(F.concat(cells.safe_str(number, DoubleType()), F.lit("%")), text)
 
 
 def standardize_value(c, fmt: str) -> Column:
@@ -121,7 +114,7 @@ def repair(c, fmt: str) -> Column:
 
 def matches_pattern(c, name: str) -> Column:
     """Case-insensitive match of one of the identifier patterns, after a strip."""
-    return cells.trim_text(c).rlike("(?i)" + rules.PATTERNS[name][0])
+    return cells.column(c).rlike("(?i)" + rules.padded(rules.PATTERNS[name][0]))
 
 
 def suggest_fix(c) -> Column:

@@ -13,6 +13,15 @@ STRIP_CHARS = (
     "    　"
 )
 
+def padded(pattern: str) -> str:
+    """A whole-text pattern that also allows white space around the text.
+
+    Saves the strip: one pass over the text and one reference to the column.
+    """
+    blanks = f"[{STRIP_CHARS}]*"
+    return f"^{blanks}(?:{pattern.removeprefix('^').removesuffix('$')}){blanks}$"
+
+
 # --- fixed values: cell formats (pattern, description, example) ------------------
 FORMATS = {
     "date": (r"^\d{2}/\d{2}/\d{4}$", "DD/MM/YYYY", "25/12/2024"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwash.functions import cells
 from gridwash.operators.sampling import as_list, data_columns
+from gridwash.session import cut_lineage
 
 
 def drop_exact_duplicates(df: DataFrame, order_by) -> DataFrame:
@@ -58,8 +59,9 @@ def near_duplicates(df: DataFrame, id_col: str, column: str) -> DataFrame:
 
     The leader is the smallest id of the group; it is listed with itself.
     """
-    keyed = df.select(
-        cells.column(id_col), F.sha2(fingerprint(column), 256).alias("_key")
+    # The small key table is written once, so the texts are read once.
+    keyed = cut_lineage(
+        df.select(cells.column(id_col), F.unhex(F.sha2(fingerprint(column), 256)).alias("_key"))
     )
     groups = (
         keyed.groupBy("_key")
@@ -104,9 +106,12 @@ def near_duplicates_minhash(
     """
     n = bands * rows
     signed = _minhash(df, id_col, column, n, words)
-    sig = signed.select(
-        cells.column(id_col).alias("_id"),
-        F.array(*[F.col(f"_h{i}") for i in range(n)]).alias("_sig"),
+    # Signatures are written once: both sides of the bucket join start from them.
+    sig = cut_lineage(
+        signed.select(
+            cells.column(id_col).alias("_id"),
+            F.array(*[F.col(f"_h{i}") for i in range(n)]).alias("_sig"),
+        )
     )
     keys = F.array(
         *[

@@ -1,8 +1,8 @@
-"""Text operations: Column in, Column out."""
+"""Text operations: Column in, Column out; flags are added to a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwash.functions import cells
 
@@ -60,20 +60,22 @@ def split_words(c) -> Column:
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Devanagari")
 
 
+def script_letters(c, script: str) -> Column:
+    """Number of letters of one script."""
+    return F.char_length(F.regexp_replace(cells.column(c), rf"[^\p{{Is{script}}}]", "")).cast("long")
+
+
 def script_counts(c, scripts=SCRIPTS) -> Column:
     """Map of script -> number of letters of that script."""
-    col = cells.column(c)
-    pairs = []
-    for s in scripts:
-        pairs += [
-            F.lit(s),
-            F.char_length(F.regexp_replace(col, rf"[^\p{{Is{s}}}]", "")).cast("long"),
-        ]
-    return F.create_map(*pairs)
-
-
-def is_mixed_script(c, share: float = 0.1) -> Column:
-    """More than one script holds over ``share`` of the letters."""
-    counts = F.map_values(script_counts(c))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.size(F.filter(counts, lambda x: x > total * share)) > 1
+    return F.create_map(*[x for s in scripts for x in (F.lit(s), script_letters(c, s))])
+
+
+def flag_mixed_script(
+    df: DataFrame, column: str, flag: str = "mixed_script", share: float = 0.1, scripts=SCRIPTS
+) -> DataFrame:
+    """Add a flag: more than one script holds over ``share`` of the letters."""
+    names = {f"_n_{s}": script_letters(column, s) for s in scripts}
+    counted = df.withColumns(names)
+    total = sum((F.col(n) for n in names), F.lit(0).cast("long"))
+    present = sum(((F.col(n) > total * share).cast("int") for n in names), F.lit(0))
+    return counted.withColumn(flag, F.coalesce(present > 1, F.lit(False))).drop(*names)

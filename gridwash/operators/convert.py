@@ -73,16 +73,21 @@ def to_numeric_safe(df: DataFrame, order_by=(), columns=None) -> DataFrame:
     return df.withColumns({c: cells.to_number(c) for c in ready})
 
 
+def with_dates(df: DataFrame, columns, day_first: bool = True) -> DataFrame:
+    """Add ``_date_i`` with the parsed i-th column, computed once per cell."""
+    return df.withColumns(
+        {f"_date_{i}": cells.parse_datetime(c, day_first) for i, c in enumerate(columns)}
+    )
+
+
 def datetime_ready(df: DataFrame, order_by=(), columns=None, day_first: bool = False) -> list[str]:
     """Text columns in which more than half of ALL rows parse as dates."""
     cols = list(columns if columns is not None else text_columns(df, order_by))
-    m = {
-        (c, "ok"): F.count(cells.parse_datetime(c, day_first=day_first)) for c in cols
-    }
     if not cols:
         return []
+    m = {(c, "ok"): F.count(f"_date_{i}") for i, c in enumerate(cols)}
     m["all", "rows"] = F.count("*")
-    got = _decide(df, m)
+    got = _decide(with_dates(df, cols, day_first), m)
     return [c for c in cols if got[c, "ok"] > got["all", "rows"] * 0.5]
 
 
@@ -91,7 +96,11 @@ def to_datetime_safe(
 ) -> DataFrame:
     """Columns that are mostly dates become timestamps; unparsed text becomes null."""
     ready = datetime_ready(df, order_by, columns, day_first)
-    return df.withColumns({c: cells.parse_datetime(c, day_first=day_first) for c in ready})
+    return (
+        with_dates(df, ready, day_first)
+        .withColumns({c: F.col(f"_date_{i}") for i, c in enumerate(ready)})
+        .select(*[cells.column(c) for c in df.columns])
+    )
 
 
 def date_columns(df: DataFrame, order_by, columns=None) -> list[str]:
@@ -104,14 +113,14 @@ def date_columns(df: DataFrame, order_by, columns=None) -> list[str]:
     )
     hits = {r["column"] for r in seen.where("n >= 3 AND hit").collect()}
     cols = [c for c in cols if c in hits]
-    m = {}
-    for c in cols:
-        m[c, "n"] = F.count(cells.column(c))
-        m[c, "ok"] = F.count(cells.parse_datetime(c))
     if not cols:
         return []
+    m = {}
+    for i, c in enumerate(cols):
+        m[c, "n"] = F.count(cells.column(c))
+        m[c, "ok"] = F.count(f"_date_{i}")
     m["all", "rows"] = F.count("*")
-    got = _decide(df, m)
+    got = _decide(with_dates(df, cols), m)
     rows = got["all", "rows"]
     return [
         c
@@ -133,11 +142,15 @@ def standardize_dates(
     """
     ready = date_columns(df, order_by, columns)
 
-    def rewrite(c):
-        parsed = F.date_format(cells.parse_datetime(c), date_out)
+    def rewrite(i, c):
+        parsed = F.date_format(f"_date_{i}", date_out)
         return F.coalesce(parsed, cells.column(c)) if on_unparsed == "keep" else parsed
 
-    return df.withColumns({c: rewrite(c) for c in ready})
+    return (
+        with_dates(df, ready)
+        .withColumns({c: rewrite(i, c) for i, c in enumerate(ready)})
+        .select(*[cells.column(c) for c in df.columns])
+    )
 
 
 # --- fixed values: column kinds recognised for rewriting, first past 70 % wins ------

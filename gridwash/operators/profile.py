@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridwash.functions import cells, rules
-from gridwash.operators.quantiles import exact_quantiles
+from gridwash.functions import cells, formats, rules
+from gridwash.operators.quantiles import exact_quantiles, number
 from gridwash.operators.sampling import (
     data_columns,
     first_distinct,
@@ -258,15 +258,24 @@ def sample_values(df: DataFrame, order_by, k: int = 5, distinct: bool = False) -
     return sample.groupBy("column").agg(F.transform(ordered, lambda s: s["value"]).alias("samples"))
 
 
-def sample_facts(df: DataFrame, order_by, columns=None) -> DataFrame:
+def content_format(in_sample: Column) -> Column:
+    """Aggregate: the format that the sampled ``value`` column speaks for, or null."""
+    pick = F.lit(None).cast("string")
+    for fmt, _, share in reversed(rules.CONTENT_RULES):
+        hits = F.count_if(in_sample & formats.content_hit(fmt, "value"))
+        pick = F.when(hits > F.count_if(in_sample) * share, F.lit(fmt)).otherwise(pick)
+    return pick
+
+
+def sample_facts(df: DataFrame, order_by, columns=None, n_rows: int | None = None) -> DataFrame:
     """Everything that is decided on the first 10 / 20 / 100 values, one row per column."""
     cols = list(columns if columns is not None else text_columns(df, order_by))
     v, pos = F.col("value"), F.col("pos")
     in20 = pos <= 20
-    number, date = cells.is_number(v), cells.is_date(v)
+    numeric, date = cells.is_number(v), cells.is_date(v)
     padded = v != cells.trim_text(v)
     return (
-        first_k(df, cols, order_by, FACT_SAMPLE)
+        first_k(df, cols, order_by, FACT_SAMPLE, n_rows)
         .groupBy("column")
         .agg(
             F.count_if(in20).alias("sampled"),
@@ -277,9 +286,10 @@ def sample_facts(df: DataFrame, order_by, columns=None) -> DataFrame:
             F.size(F.collect_set(F.when(in20, F.lower(v)))).alias("distinct_lower"),
             F.min(~in20 | cells.is_date_text(v)).alias("all_dates"),
             F.min(~in20 | cells.is_plain_number(v)).alias("all_numbers"),
-            F.count_if(in20 & number).alias("n_number"),
+            content_format(in20).alias("content_format"),
+            F.count_if(in20 & numeric).alias("n_number"),
             F.count_if(in20 & date).alias("n_date"),
-            (F.count_if(in20) - F.count_if(in20 & number) - F.count_if(in20 & date)).alias("n_text"),
+            (F.count_if(in20) - F.count_if(in20 & numeric) - F.count_if(in20 & date)).alias("n_text"),
         )
     )
 
@@ -351,10 +361,12 @@ def memory_usage(df: DataFrame, order_by=()) -> DataFrame:
     )
 
 
-def iqr_bounds(df: DataFrame, columns, factor: float) -> dict[str, tuple[float, float]]:
+def iqr_bounds(
+    df: DataFrame, columns, factor: float, counts: dict | None = None
+) -> dict[str, tuple[float, float]]:
     """{column: (low, high)} for columns with a positive interquartile range."""
     out = {}
-    for c, (q1, q3) in exact_quantiles(df, columns, (0.25, 0.75)).items():
+    for c, (q1, q3) in exact_quantiles(df, columns, (0.25, 0.75), counts).items():
         if q1 is not None and q3 - q1 > 0:
             out[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
@@ -368,17 +380,13 @@ def outlier_ratio(df: DataFrame, order_by=(), factor: float = rules.SCORE_OUTLIE
             [], "column string, n_values bigint, n_outliers bigint, outlier_ratio double"
         )
 
-    def num(c):
-        v = cells.column(c).cast("double")
-        return F.when(~F.isnan(v), v)
-
     out = per_column(
         df,
         bounds,
         {
-            "n_values": lambda c: F.count(num(c)),
+            "n_values": lambda c: F.count(number(c)),
             "n_outliers": lambda c: F.count_if(
-                (num(c) < F.lit(bounds[c][0])) | (num(c) > F.lit(bounds[c][1]))
+                (number(c) < F.lit(bounds[c][0])) | (number(c) > F.lit(bounds[c][1]))
             ),
         },
     )

@@ -14,47 +14,67 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridwash.functions import cells
 
-_DISTINCT_LIMIT = 100_000
+_DISTINCT_LIMIT = 1_000_000
 _ACCURACY = 10_000
 
 
-def _num(c):
+def number(c):
+    """A numeric column as double, NaN as null."""
     v = cells.column(c).cast("double")
     return F.when(~F.isnan(v), v)
 
 
+def value_counts(df: DataFrame, columns) -> dict[str, int]:
+    """{column: non-null values} in one pass."""
+    row = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
 def exact_quantiles(
-    df: DataFrame, columns, probs=(0.25, 0.5, 0.75), distinct_limit: int = _DISTINCT_LIMIT
+    df: DataFrame,
+    columns,
+    probs=(0.25, 0.5, 0.75),
+    counts: dict[str, int] | None = None,
+    distinct_limit: int = _DISTINCT_LIMIT,
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles per column; None for a column without values."""
+    """Linear-interpolation quantiles per column; None for a column without values.
+
+    ``counts`` saves a pass when the number of values per column is known.
+    """
     columns = list(columns)
     if not columns:
         return {}
-    shape = df.agg(
-        *[F.count(_num(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(_num(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
+    counts = value_counts(df, columns) if counts is None else counts
     out = {c: [None] * len(probs) for c in columns}
-    small = [i for i in range(len(columns)) if 0 < shape[f"n{i}"] and shape[f"d{i}"] <= distinct_limit]
-    if small:
-        # The exact aggregate keeps one counter per distinct value: bounded here.
+    large = [c for c in columns if counts[c] > distinct_limit]
+    if large:
         row = df.agg(
-            *[
-                F.percentile(_num(columns[i]), [float(p) for p in probs]).alias(f"q{i}")
-                for i in small
-            ]
+            *[F.approx_count_distinct(number(c)).alias(f"d{i}") for i, c in enumerate(large)]
         ).first()
-        for i in small:
-            out[columns[i]] = list(row[f"q{i}"])
-    for i, c in enumerate(columns):
-        if shape[f"n{i}"] and i not in small:
-            out[c] = _by_rank(df, c, shape[f"n{i}"], probs, distinct_limit)
+        large = [c for i, c in enumerate(large) if row[f"d{i}"] > distinct_limit]
+    small = [c for c in columns if counts[c] and c not in large]
+    if small:
+        # Values are counted across the cluster first, so the exact aggregate sees one
+        # row per distinct value, a number bounded above.
+        pairs = [F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in small]
+        counted = (
+            df.select(F.inline(F.array(*pairs)))
+            .where("v IS NOT NULL")
+            .groupBy("column", "v")
+            .agg(F.count("*").alias("n"))
+        )
+        rows = counted.groupBy("column").agg(
+            F.percentile("v", [float(p) for p in probs], F.col("n")).alias("q")
+        )
+        out.update({r["column"]: list(r["q"]) for r in rows.collect()})
+    for c in large:
+        out[c] = _by_rank(df, c, counts[c], probs, distinct_limit)
     return out
 
 
 def _by_rank(df, column, n, probs, distinct_limit):
     ranks = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
-    found = _order_statistics(df.select(_num(column).alias("v")).where("v IS NOT NULL"), n, ranks, distinct_limit)
+    found = _order_statistics(df.select(number(column).alias("v")).where("v IS NOT NULL"), n, ranks, distinct_limit)
     out = []
     for p in probs:
         pos = p * (n - 1)

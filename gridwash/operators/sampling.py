@@ -70,14 +70,17 @@ def _top(df: DataFrame, columns, order_by, k) -> DataFrame:
     )
 
 
-def first_k(df: DataFrame, columns, order_by, k: int) -> DataFrame:
-    """(column, pos, value) for the first ``k`` non-null values of each column."""
+def first_k(df: DataFrame, columns, order_by, k: int, n_rows: int | None = None) -> DataFrame:
+    """(column, pos, value) for the first ``k`` non-null values of each column.
+
+    ``n_rows`` saves a counting pass when it is known.
+    """
     columns, order_by = list(columns), as_list(order_by)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, pos int, value string")
     lead = order_by[0]
     rangeable = isinstance(df.schema[lead].dataType, _RANGE_TYPES)
-    if not rangeable or df.count() <= _SMALL_TABLE:
+    if not rangeable or (df.count() if n_rows is None else n_rows) <= _SMALL_TABLE:
         return _top(df, columns, order_by, k)
     bound = df.agg(F.percentile_approx(cells.column(lead), 4.0 / _ACCURACY, _ACCURACY)).first()[0]
     if bound is None:
@@ -101,10 +104,12 @@ def first_distinct(df: DataFrame, columns, order_by, k: int) -> DataFrame:
         *[cells.column(o).alias(f"_o{i}") for i, o in enumerate(order_by)],
         *[cells.column(c) for c in columns if c not in order_by],
     )
+    # One order column stays a plain value: a hash aggregate instead of a sort.
+    place = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
     seen = (
         unpivot_text(ordered, columns, keep=keys)
         .groupBy("column", "value")
-        .agg(F.min(F.struct(*keys)).alias("first_seen"))
+        .agg(F.min(place).alias("first_seen"))
     )
     first = Window.partitionBy("column").orderBy("first_seen", "value")
     return (

@@ -9,21 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwash.functions import cells, rules
+from gridwash.functions import cells, formats, rules
 from gridwash.operators.profile import (
     _missing,
     _single_value,
     _types,
     duplicate_rows,
-    memory_usage,
+    iqr_bounds,
     missing_overall,
-    mixed_type_columns,
-    outlier_ratio,
+    sample_facts,
     side_by_side,
     type_kind,
 )
+from gridwash.operators.quantiles import number
 from gridwash.operators.sampling import data_columns
-from gridwash.operators.validation import violation_summary
 
 DIMENSIONS = tuple(rules.WEIGHTS)
 
@@ -38,62 +37,86 @@ def measure(
 ) -> DataFrame:
     """One row with everything the seven dimensions need.
 
-    Jobs: one wide aggregate, one row grouping, one bounded sample, one violation
-    aggregate, one outlier aggregate.
+    Passes over the table: one wide aggregate (counts, gaps, single values, size), one
+    bounded sample, one value count for quartiles when there are numeric columns, one
+    wide aggregate (violations and outliers, now that formats and bounds are known),
+    and one row grouping for repeats. The last two are left to the caller's action.
     """
     cols = data_columns(df, order_by)
     types, miss = _types(df), _missing(df, cols)
-    kinds = [type_kind(types[c]) for c in cols]
+    kinds = {c: type_kind(types[c]) for c in cols}
+    numeric = [c for c in cols if kinds[c] == "numeric"]
     zero = F.lit(0).cast("long")
-    wide = df.agg(
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[cells.column(c) for c in cols]))))
+    seen = df.agg(
         F.count("*").alias("n_rows"),
         F.count_if(cells.all_of(miss.values())).alias("empty_rows"),
+        (size if with_memory else F.sum(zero)).cast("long").alias("logical_bytes"),
         *[F.count_if(miss[c]).alias(f"_m{i}") for i, c in enumerate(cols)],
         *[_single_value(c, types).alias(f"_s{i}") for i, c in enumerate(cols)],
-    ).select(
-        "n_rows",
-        F.lit(len(cols)).cast("long").alias("n_cols"),
-        "empty_rows",
-        sum(
-            (((F.col(f"_m{i}") == F.col("n_rows"))).cast("long") for i in range(len(cols))), zero
-        ).alias("empty_cols"),
-        sum((F.col(f"_m{i}") for i in range(len(cols))), zero).alias("missing_cells"),
-        sum((F.col(f"_s{i}").cast("long") for i in range(len(cols))), zero).alias(
-            "single_value_cols"
-        ),
+    ).first()
+    n_rows = seen["n_rows"]
+    missing = {c: seen[f"_m{i}"] for i, c in enumerate(cols)}
+    filled = {c: n_rows - missing[c] for c in cols}
+    facts = {r["column"]: r for r in sample_facts(df, order_by, cols, n_rows).collect()}
+    formats_found = {
+        c: formats.detect_format_by_name(c) or (facts[c]["content_format"] if c in facts else None)
+        for c in cols
+    }
+    mixed = sum(
+        _severely_mixed(facts[c], filled[c]) for c in cols if kinds[c] == "text" and c in facts
     )
-    mixed = mixed_type_columns(df, order_by).agg(
-        F.count_if(F.col("severe")).alias("severe_mixed_cols")
+    bounds = iqr_bounds(
+        df, [c for c in numeric if filled[c] > 1], rules.SCORE_OUTLIER_IQR, filled
     )
-    formats = violation_summary(df, order_by).agg(
-        F.coalesce(F.sum("violations"), zero).alias("violations"),
-        F.coalesce(F.sum("non_null"), zero).alias("violating_column_cells"),
+    checked = [c for c in cols if formats_found[c]]
+    second = df.agg(
+        F.count("*").alias("n_rows"),
+        *[
+            F.count_if(
+                ~formats.is_valid(cells.safe_str(c, types[c]), formats_found[c])
+            ).alias(f"_v{i}")
+            for i, c in enumerate(checked)
+        ],
+        *[
+            (F.count_if((number(c) < F.lit(low)) | (number(c) > F.lit(high))) / F.lit(filled[c])).alias(
+                f"_o{i}"
+            )
+            for i, (c, (low, high)) in enumerate(bounds.items())
+        ],
     )
-    outliers = outlier_ratio(df, order_by).agg(
-        F.coalesce(
-            F.sum(
-                F.when(
-                    F.col("outlier_ratio") > 0.2, F.least(F.col("outlier_ratio") * 20, F.lit(10.0))
-                )
-            ),
+    broken = [F.col(f"_v{i}") for i in range(len(checked))]
+    ratios = [F.col(f"_o{i}") for i in range(len(bounds))]
+    known = {
+        "n_cols": len(cols),
+        "empty_rows": seen["empty_rows"],
+        "empty_cols": sum(n == n_rows for n in missing.values()),
+        "missing_cells": sum(missing.values()),
+        "single_value_cols": sum(bool(seen[f"_s{i}"]) for i in range(len(cols))),
+        "severe_mixed_cols": mixed,
+        "generic_cols": sum(generic_header(c) for c in cols),
+        "logical_bytes": seen["logical_bytes"] or 0,
+        **{f"{k}_cols": list(kinds.values()).count(k) for k in ("numeric", "text", "datetime")},
+    }
+    scored = second.select(
+        "n_rows",
+        sum(broken, zero).alias("violations"),
+        sum(
+            (F.when(v > 0, filled[c]).otherwise(0) for v, c in zip(broken, checked)), zero
+        ).alias("violating_column_cells"),
+        sum(
+            (F.when(r > 0.2, F.least(r * 20, F.lit(10.0))).otherwise(0.0) for r in ratios),
             F.lit(0.0),
-        ).alias("outlier_penalty")
-    )
-    parts = [wide, duplicate_rows(df, order_by), mixed, formats, outliers]
-    if with_memory:
-        parts.append(memory_usage(df, order_by))
-    out = side_by_side(parts)
-    if not with_memory:
-        out = out.withColumn("logical_bytes", zero)
-    return out.withColumns(
-        {
-            "generic_cols": F.lit(sum(generic_header(c) for c in cols)).cast("long"),
-            "header_detected": F.lit(header_detected),
-            "numeric_cols": F.lit(kinds.count("numeric")).cast("long"),
-            "text_cols": F.lit(kinds.count("text")).cast("long"),
-            "datetime_cols": F.lit(kinds.count("datetime")).cast("long"),
-        }
+        ).alias("outlier_penalty"),
+        *[F.lit(v).cast("long").alias(k) for k, v in known.items()],
+        F.lit(header_detected).alias("header_detected"),
     )
+    return side_by_side([scored, duplicate_rows(df, order_by)])
+
+
+def _severely_mixed(fact, non_null: int) -> bool:
+    parts = [fact["n_number"], fact["n_date"], fact["n_text"]]
+    return non_null > 1 and all(p > 0 and p > non_null * 0.2 for p in parts)
 
 
 def _empty() -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from gridwash.functions import cells, formats, rules
-from gridwash.operators.profile import per_column
+from gridwash.operators.profile import content_format, per_column
 from gridwash.operators.sampling import data_columns, first_k
 
 
@@ -30,11 +30,7 @@ def format_by_content(df: DataFrame, order_by, columns=None) -> DataFrame:
     """column, format: from the first 20 non-null values; null when no rule fires."""
     cols = list(columns if columns is not None else data_columns(df, order_by))
     sample = first_k(df, cols, order_by, rules.CONTENT_SAMPLE)
-    pick = F.lit(None).cast("string")
-    for fmt, _, share in reversed(rules.CONTENT_RULES):
-        hits = F.count_if(formats.content_hit(fmt, "value"))
-        pick = F.when(hits > F.count("*") * share, F.lit(fmt)).otherwise(pick)
-    return sample.groupBy("column").agg(pick.alias("format"))
+    return sample.groupBy("column").agg(content_format(F.lit(True)).alias("format"))
 
 
 def detected_formats(df: DataFrame, order_by, word_match: bool = False) -> dict[str, str]:

@@ -6,6 +6,7 @@ query starts from the fixture DataFrame, its twin from ``WITH f AS (fixture)``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,13 @@ class Data:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """One given table. A file of a few megabytes is one unsplittable row group; it
+        is spread over the cores, which a table of many files never needs."""
+        path = f"{self.dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        cores = self.spark.sparkContext.defaultParallelism
+        small = os.path.isfile(path) and 1_000_000 < os.path.getsize(path) < 128_000_000
+        return df.repartition(cores) if small else df
 
     def fixture(self, name: str) -> DataFrame:
         return self.sql(FIXTURES[name])

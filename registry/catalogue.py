@@ -180,9 +180,20 @@ def k15(d):
     )
 
 
-@query("k15_is_mixed_script")
+SCRIPT_NAMES = ("Latin", "Cyrillic", "Han")
+LETTERS = {n: rf"length(regexp_replace(text, '[^\p{{{n}}}]', '', 'g'))" for n in SCRIPT_NAMES}
+LETTER_SUM = "(" + " + ".join(LETTERS.values()) + ")"
+
+
+@query(
+    "k15_flag_mixed_script",
+    "SELECT doc_id, ("
+    + " + ".join(f"CAST({e} > {LETTER_SUM} * 0.1 AS INTEGER)" for e in LETTERS.values())
+    + ") > 1 AS mixed_script FROM documents",
+)
 def k15_flag(d):
-    return d.table("documents").select("doc_id", text.is_mixed_script("text").alias("mixed"))
+    df = d.table("documents").select("doc_id", "text")
+    return text.flag_mixed_script(df, "text", scripts=SCRIPT_NAMES).drop("text")
 
 
 @query("k16_text_to_numbers", "SELECT row_id, CAST(value_text AS DOUBLE) AS value_text, priority FROM f", "dirty_orders")

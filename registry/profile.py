@@ -134,7 +134,7 @@ def a09(d):
     "a10_describe",
     s.per_column(
         LINES,
-        "count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, "
+        "count({c}) AS count, round(avg({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std, min({c}) AS min, "
         "round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
         "round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max",
         "lineitem",
@@ -142,7 +142,8 @@ def a09(d):
 )
 def a10(d):
     out = profile.describe(d.table("lineitem").select(*LINES))
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
+    digits = {"mean": 9, "std": 9, "q25": 6, "q50": 6, "q75": 6}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query(
