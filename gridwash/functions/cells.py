@@ -61,6 +61,22 @@ def safe_str(c, dtype: T.DataType | None = None) -> Column:
     return F.coalesce(short, col.cast("string"))
 
 
+def row_json(types: dict[str, T.DataType], columns) -> Column:
+    """One row as JSON with explicit nulls, equal for equal rows and only for them.
+
+    Times keep their microseconds, and -0.0 is written as 0.0.
+    """
+    fields = []
+    for c in columns:
+        col = column(c)
+        if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            col = col.cast("string")
+        elif isinstance(types[c], (T.DoubleType, T.FloatType)):
+            col = col + F.lit(0.0)
+        fields.append(col.alias(c))
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def null_tokens(c, tokens=rules.NULL_TOKENS) -> Column:
     """Null for cells that spell out a missing value."""
     col = column(c)

@@ -64,22 +64,22 @@ def harmonize_id(c, width: int = 10) -> Column:
 
 
 def _deletions(c: Column) -> Column:
-    """The value and every form with one character removed."""
-    n = F.char_length(c)
+    """Hashes of the value and of every form with one character removed."""
     cut = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)),
+        F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))),
+        lambda i: F.xxhash64(F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))),
     )
-    return F.array_distinct(F.concat(F.array(c), cut))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(c)), cut))
 
 
 def spelling_corrections(df: DataFrame, column: str, frequent: int = 10) -> DataFrame:
     """value, correction: rare values one edit away from a frequent value.
 
     Works on distinct values. Two words within one edit share a form with one
-    character removed, so candidates come from an equi-join on those forms (a bucket
-    holds at most one word per inserted letter and place) and are then verified.
-    The most frequent candidate wins, ties by name.
+    character removed, so candidates come from an equi-join on the hashes of those
+    forms (a bucket holds at most one word per inserted letter and place) and are then
+    verified. The most frequent candidate wins, ties by name. Meant for words and
+    names: the work per value grows with the square of its length.
     """
     counted = (
         df.select(cells.column(column).alias("value"))

@@ -33,9 +33,9 @@ def column_modes(df: DataFrame, columns) -> dict:
         counted = (
             df.select(cells.column(c).alias("v")).where("v IS NOT NULL").groupBy("v").count()
         )
-        top = counted.groupBy("count").agg(F.min("v").alias("v"))
-        row = top.agg(F.max_by("v", "count")).first()
-        out[c] = row[0]
+        # The smallest (-count, value) is the most frequent value, ties by value.
+        top = counted.agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("top"))
+        out[c] = top.select("top.v").first()[0]
     return out
 
 

@@ -69,7 +69,7 @@ def sheet_fingerprints(df: DataFrame, sheet: str, order_by=()) -> DataFrame:
     no hot group.
     """
     cols = [c for c in data_columns(df, order_by) if c != sheet]
-    row = F.to_json(F.struct(*[cells.column(c) for c in cols]), {"ignoreNullFields": "false"})
+    row = cells.row_json({f.name: f.dataType for f in df.schema}, cols)
 
     def total(h: Column) -> Column:
         return F.sum(h.cast("decimal(20,0)"))

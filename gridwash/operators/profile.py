@@ -105,23 +105,30 @@ def missing_overall(df: DataFrame, order_by=()) -> DataFrame:
     )
 
 
-def repeat_counts(df: DataFrame, order_by=(), digest: bool = False) -> DataFrame:
+def _is_wide(df: DataFrame, columns) -> bool:
+    """More than a digest's worth of bytes per row is to be expected."""
+    texts = sum(type_kind(df.schema[c].dataType) != "numeric" for c in columns)
+    return texts >= 3 or len(columns) > 8
+
+
+def repeat_counts(df: DataFrame, order_by=(), digest: bool | None = None) -> DataFrame:
     """Row groups with their size ``copies`` (null equals null).
 
     Copies collapse map-side before the shuffle, so a row that fills a third of the
     table costs one row per task. ``digest`` shuffles a 256-bit row digest instead
-    of the whole row: less traffic for wide rows.
+    of the whole row, by default for wide rows: mostly distinct rows then move 32
+    bytes each.
     """
     cols = data_columns(df, order_by)
-    if digest:
-        row = F.to_json(F.struct(*[cells.column(c) for c in cols]), {"ignoreNullFields": "false"})
+    if _is_wide(df, cols) if digest is None else digest:
+        row = cells.row_json(_types(df), cols)
         return df.groupBy(F.unhex(F.sha2(row, 256)).alias("digest")).agg(
             F.count("*").alias("copies")
         )
     return df.groupBy(*[cells.column(c) for c in cols]).agg(F.count("*").alias("copies"))
 
 
-def duplicate_rows(df: DataFrame, order_by=(), digest: bool = False) -> DataFrame:
+def duplicate_rows(df: DataFrame, order_by=(), digest: bool | None = None) -> DataFrame:
     """duplicate_rows: repeats after the first."""
     return repeat_counts(df, order_by, digest).agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0).cast("long")).alias("duplicate_rows")
@@ -129,9 +136,9 @@ def duplicate_rows(df: DataFrame, order_by=(), digest: bool = False) -> DataFram
 
 
 def any_defects(df: DataFrame, order_by=()) -> DataFrame:
-    """any_duplicates, any_nulls: both from the grouped rows, in one pass."""
+    """any_duplicates, any_nulls: both from the grouped rows, in one pass over the table."""
     cols = data_columns(df, order_by)
-    return repeat_counts(df, order_by).agg(
+    return repeat_counts(df, order_by, False).agg(
         F.coalesce(F.max(F.col("copies") > 1), F.lit(False)).alias("any_duplicates"),
         F.coalesce(F.max(cells.any_of(_missing(df, cols).values())), F.lit(False)).alias(
             "any_nulls"

@@ -14,6 +14,7 @@ from gridwash.functions import cells
 
 _SMALL_TABLE = 2_000_000
 _ACCURACY = 10_000
+_DISTINCT_HEAD = 1_000
 _RANGE_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -96,24 +97,42 @@ def first_k(df: DataFrame, columns, order_by, k: int, n_rows: int | None = None)
     return sample.where(F.col("column").isin(*full)).unionByName(rest) if full else rest
 
 
-def first_distinct(df: DataFrame, columns, order_by, k: int) -> DataFrame:
-    """(column, pos, value) for the first ``k`` distinct values of each column."""
+def _distinct_of(seen: DataFrame, k: int) -> DataFrame:
+    first = Window.partitionBy("column").orderBy("first_seen", "value")
+    return (
+        seen.withColumn("pos", F.row_number().over(first))
+        .where(F.col("pos") <= k)
+        .select("column", "pos", "value")
+    )
+
+
+def first_distinct(
+    df: DataFrame, columns, order_by, k: int, n_rows: int | None = None
+) -> DataFrame:
+    """(column, pos, value) for the first ``k`` distinct values of each column.
+
+    The first 1,000 values of a column settle it when they hold k distinct ones or
+    are all there is. Only columns of few distinct values are left, and those
+    collapse map-side in the full pass.
+    """
     columns, order_by = list(columns), as_list(order_by)
+    head = first_k(df, columns, order_by, _DISTINCT_HEAD, n_rows)
+    seen = head.groupBy("column", "value").agg(F.min("pos").alias("first_seen"), F.count("*").alias("n"))
+    sizes = seen.groupBy("column").agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()
+    repeating = [r["column"] for r in sizes if r["d"] < k and r["n"] >= _DISTINCT_HEAD]
+    settled = _distinct_of(seen.select("column", "value", "first_seen"), k)
+    if not repeating:
+        return settled
     keys = [f"_o{i}" for i in range(len(order_by))]
     ordered = df.select(
         *[cells.column(o).alias(f"_o{i}") for i, o in enumerate(order_by)],
-        *[cells.column(c) for c in columns if c not in order_by],
+        *[cells.column(c) for c in repeating if c not in order_by],
     )
     # One order column stays a plain value: a hash aggregate instead of a sort.
     place = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-    seen = (
-        unpivot_text(ordered, columns, keep=keys)
+    full = (
+        unpivot_text(ordered, repeating, keep=keys)
         .groupBy("column", "value")
         .agg(F.min(place).alias("first_seen"))
     )
-    first = Window.partitionBy("column").orderBy("first_seen", "value")
-    return (
-        seen.withColumn("pos", F.row_number().over(first))
-        .where(F.col("pos") <= k)
-        .select("column", "pos", "value")
-    )
+    return settled.where(~F.col("column").isin(repeating)).unionByName(_distinct_of(full, k))

@@ -77,9 +77,9 @@ def write_table(df: DataFrame, path: str, partitions=("dataset", "sheet")) -> No
     )
 
 
-def record_json(columns) -> Column:
+def record_json(df: DataFrame, columns) -> Column:
     """One row as a JSON object with explicit nulls."""
-    return F.to_json(F.struct(*[cells.column(c) for c in columns]), {"ignoreNullFields": "false"})
+    return cells.row_json({f.name: f.dataType for f in df.schema}, columns)
 
 
 def to_records_json(df: DataFrame, order_by=()) -> DataFrame:
@@ -87,7 +87,7 @@ def to_records_json(df: DataFrame, order_by=()) -> DataFrame:
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     return df.select(
         *[cells.column(k) for k in keys],
-        record_json([c for c in df.columns if c not in keys]).alias("record"),
+        record_json(df, [c for c in df.columns if c not in keys]).alias("record"),
     )
 
 
