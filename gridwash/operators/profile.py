@@ -446,13 +446,14 @@ def column_profile(df: DataFrame, order_by, max_columns: int | None = None) -> D
         },
         {"total_count": F.count("*")},
     )
-    samples = first_distinct(df, cols, order_by, 5)
+    n_rows = df.count()
+    samples = first_distinct(df, cols, order_by, 5, n_rows)
     listed = samples.groupBy("column").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]
         ).alias("samples")
     )
-    facts = sample_facts(df, order_by, texts).select(
+    facts = sample_facts(df, order_by, texts, n_rows).select(
         "column", "padded_100", "n_number", "n_date", "n_text"
     )
     kinds = ("n_number", "n_date", "n_text")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwash.functions import cells
 
@@ -54,8 +54,8 @@ def exact_quantiles(
         large = [c for i, c in enumerate(large) if row[f"d{i}"] > distinct_limit]
     small = [c for c in columns if counts[c] and c not in large]
     if small:
-        # Values are counted across the cluster first, so the exact aggregate sees one
-        # row per distinct value, a number bounded above.
+        # Values are counted across the cluster first, so ranking sees one row per
+        # distinct value, a number bounded above, and only rows at wanted ranks remain.
         pairs = [F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in small]
         counted = (
             df.select(F.inline(F.array(*pairs)))
@@ -63,27 +63,45 @@ def exact_quantiles(
             .groupBy("column", "v")
             .agg(F.count("*").alias("n"))
         )
-        rows = counted.groupBy("column").agg(
-            F.percentile("v", [float(p) for p in probs], F.col("n")).alias("q")
+        ascending = Window.partitionBy("column").orderBy("v")
+        ranked = counted.withColumn("upto", F.sum("n").over(ascending))
+        ranks = {c: _ranks(counts[c], probs) for c in small}
+        wanted = cells.any_of(
+            (F.col("column") == c) & (F.col("upto") - F.col("n") <= r) & (F.col("upto") > r)
+            for c in small
+            for r in ranks[c]
         )
-        out.update({r["column"]: list(r["q"]) for r in rows.collect()})
+        found = {c: {} for c in small}
+        for row in ranked.where(wanted).collect():
+            for r in ranks[row["column"]]:
+                if row["upto"] - row["n"] <= r < row["upto"]:
+                    found[row["column"]][r] = row["v"]
+        out.update({c: _interpolate(counts[c], probs, found[c]) for c in small})
     for c in large:
         out[c] = _by_rank(df, c, counts[c], probs, distinct_limit)
     return out
 
 
-def _by_rank(df, column, n, probs, distinct_limit):
-    ranks = sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
-    found = _order_statistics(df.select(number(column).alias("v")).where("v IS NOT NULL"), n, ranks, distinct_limit)
+def _ranks(n: int, probs) -> list[int]:
+    return sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
+
+
+def _interpolate(n: int, probs, found: dict[int, float]) -> list[float]:
     out = []
     for p in probs:
         pos = p * (n - 1)
         lo, hi = math.floor(pos), math.ceil(pos)
         a, b = found[lo], found[hi]
-        out.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
+        out.append(a if a == b else (hi - pos) * a + (pos - lo) * b)
     return out
 
 
+def _by_rank(df, column, n, probs, distinct_limit):
+    ranks = _ranks(n, probs)
+    found = _order_statistics(df.select(number(column).alias("v")).where("v IS NOT NULL"), n, ranks, distinct_limit)
+    return _interpolate(n, probs, found)
+
+
 def _order_statistics(values: DataFrame, n: int, ranks, distinct_limit) -> dict[int, float]:
     """{rank: value}. Open brackets are (low, high, count below low inclusive, count inside)."""
     v = F.col("v")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gridwash.plans import apply, suggest
 from registry import sqltext as s
-from registry.base import DATA_COLUMNS, query
+from registry.base import DATA_COLUMNS, FIXTURES, plain, query
 from registry.profile import IS_DATE
+from registry.score import measures_sql
 from registry.validation import _flags
 
 ORDERS = DATA_COLUMNS["dirty_orders"]
@@ -95,7 +96,33 @@ def l04(d):
     return apply.apply_plan(d.fixture("dirty_orders"), ROW, steps)
 
 
-@query("l05_clean_until")
+# The table after each round, written out by hand for the second engine.
+ROUND_1 = f"""SELECT row_id, cust_id, lower({s.trim('priority')}) AS priority,
+    strftime({s.date_value('order_date', day_first=False)}, '%Y-%m-%d %H:%M:%S') AS order_date,
+    total_amount, value_text, origin, spare FROM base"""
+ROUND_2 = f"""SELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount,
+    CAST(value_text AS DOUBLE) AS value_text) FROM ({ROUND_1})"""
+AS_TEXT = {"order_date": "date", "total_amount": "currency_inr"}
+
+
+def _round(no, table, numerics):
+    texts = [c for c in TEXTS if c not in numerics and c != "order_date"]
+    measures = measures_sql(ORDERS, texts, numerics, AS_TEXT).replace(
+        "total_amount = ''", "CAST(total_amount AS VARCHAR) = ''"
+    ).replace("regexp_replace(total_amount,", "regexp_replace(CAST(total_amount AS VARCHAR),")
+    return (
+        f"SELECT {no} AS iteration, score AS quality_score, 5 AS changes_applied, n_rows AS rows, n_cols AS columns "
+        f"FROM (WITH f AS ({table}), {measures} SELECT * FROM total)"
+    )
+
+
+@query(
+    "l05_clean_until",
+    f"WITH base AS ({plain(FIXTURES['dirty_orders'])}) "
+    + _round(1, ROUND_1, ["cust_id"])
+    + " UNION ALL "
+    + _round(2, ROUND_2, ["cust_id", "total_amount", "value_text"]),
+)
 def l05(d):
     """History of the loop; the threshold is above the first score, so it runs twice."""
     return apply.clean_until(d.fixture("dirty_orders"), ROW, threshold=95)[1]
@@ -115,7 +142,13 @@ def l06(d):
     return apply.basic_clean(d.fixture("raw_sheet"), ROW)[0]
 
 
-@query("l06_basic_clean_log")
+@query(
+    "l06_basic_clean_log",
+    "SELECT 0 AS step_no, format('Loaded table with shape: ({}, 5)', count(*)) AS change FROM f "
+    "UNION ALL SELECT 1, 'Used row 2 as headers, removed 2 rows (header + rows above)' UNION ALL SELECT 2, 'Cleaned 5 column names' "
+    "UNION ALL SELECT 3, 'Trimmed whitespace from text values' UNION ALL SELECT 4, 'Standardized NULL representations to NaN'",
+    "raw_sheet",
+)
 def l06_log(d):
     return apply.basic_change_log(d.spark, apply.basic_clean(d.fixture("raw_sheet"), ROW)[1])
 

@@ -254,11 +254,12 @@ def s14(d):
     return store.dataset_info(d.fixture("stored_objects"))
 
 
-@query("s14_object_listing")
+@query("s14_object_listing", "SELECT DISTINCT concat('c_mktsegment=', c_mktsegment) AS folder, true AS has_bytes FROM customer")
 def s14_listing(d):
     root = scratch_path(d.spark, "objects")
     d.table("customer").write.partitionBy("c_mktsegment").json(root)
-    return store.object_listing(d.spark, root, 2)
+    listed = store.object_listing(d.spark, root, 2).where("path LIKE 'c_mktsegment=%'")
+    return listed.groupBy(F.split("path", "/")[0].alias("folder")).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
 @query(
