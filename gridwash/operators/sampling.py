@@ -116,11 +116,28 @@ def first_distinct(
     collapse map-side in the full pass.
     """
     columns, order_by = list(columns), as_list(order_by)
-    head = first_k(df, columns, order_by, _DISTINCT_HEAD, n_rows)
-    seen = head.groupBy("column", "value").agg(F.min("pos").alias("first_seen"), F.count("*").alias("n"))
-    sizes = seen.groupBy("column").agg(F.count("*").alias("d"), F.sum("n").alias("n")).collect()
-    repeating = [r["column"] for r in sizes if r["d"] < k and r["n"] >= _DISTINCT_HEAD]
-    settled = _distinct_of(seen.select("column", "value", "first_seen"), k)
+    seen = (
+        first_k(df, columns, order_by, _DISTINCT_HEAD, n_rows)
+        .groupBy("column", "value")
+        .agg(F.min("pos").alias("first_seen"), F.count("*").alias("n"))
+    )
+    # A column's list holds at most the 1,000 sampled values; k of them leave the task.
+    firsts = seen.groupBy("column").agg(
+        F.count("*").alias("d"),
+        F.sum("n").alias("n"),
+        F.slice(F.array_sort(F.collect_list(F.struct("first_seen", "value"))), 1, k).alias("first"),
+    )
+    rows = firsts.collect()
+    repeating = [r["column"] for r in rows if r["d"] < k and r["n"] >= _DISTINCT_HEAD]
+    settled = df.sparkSession.createDataFrame(
+        [
+            (r["column"], pos, pair["value"])
+            for r in rows
+            if r["column"] not in repeating
+            for pos, pair in enumerate(r["first"], start=1)
+        ],
+        "column string, pos int, value string",
+    )
     if not repeating:
         return settled
     keys = [f"_o{i}" for i in range(len(order_by))]
@@ -135,4 +152,4 @@ def first_distinct(
         .groupBy("column", "value")
         .agg(F.min(place).alias("first_seen"))
     )
-    return settled.where(~F.col("column").isin(repeating)).unionByName(_distinct_of(full, k))
+    return settled.unionByName(_distinct_of(full, k))
