@@ -179,24 +179,9 @@ def _rewrite(text: Column, steps) -> Column:
     return text
 
 
-def parse_trimmed(text: Column, day_first: bool = True, bare_years: bool = False) -> Column:
-    """:func:`parse_datetime` of a text that is already stripped.
-
-    A chain of rewrites to ISO form and one cast: every step refers to the one before
-    once, so the expression stays small and inside generated code.
-    """
-    tail = [(_YEAR_FIRST, "$1-$2-$3$4"), *(_BARE if bare_years else ())]
-
-    def numeric(order):
-        iso = _rewrite(text, [*((p, f"{c}$3-{order}$4") for p, c in _TO_ISO), *tail])
-        return F.regexp_extract(iso, _ISO, 0).try_cast("timestamp_ntz")
-
-    named = F.regexp_extract(_rewrite(text, _TO_NAMED), _NAMED, 0)
-    orders = ["$2-$1"] if day_first else ["$1-$2", "$2-$1"]
-    return F.coalesce(
-        *[numeric(o) for o in orders],
-        F.when(named != "", F.try_to_timestamp(named, F.lit("d-MMM-yyyy"))).cast("timestamp_ntz"),
-    )
+def _starts(c: Column, pattern: str) -> Column:
+    """The text starts with the pattern, leading white space aside."""
+    return c.rlike(f"^[{rules.STRIP_CHARS}]*{pattern}")
 
 
 def parse_datetime(c, day_first: bool = True, bare_years: bool = False) -> Column:
@@ -205,10 +190,32 @@ def parse_datetime(c, day_first: bool = True, bare_years: bool = False) -> Colum
     Year-first text is always year-month-day. ``day_first=False`` tries the
     month-first reading of ambiguous text before the day-first one.
     ``bare_years`` also accepts ``1998`` and ``20240101``.
+
+    The first characters choose the shape, so text that is no date costs a few failed
+    matches; a date is rewritten to ISO form step by step and cast once.
     """
     col = column(c)
-    text = F.when(F.length(col) <= _LONGEST_DATE, trim_text(col))
-    return parse_trimmed(text, day_first, bare_years)
+    text = trim_text(col)
+
+    def stamp(steps):
+        return F.regexp_extract(_rewrite(text, steps), _ISO, 0).try_cast("timestamp_ntz")
+
+    def year_last(order):
+        return stamp([(p, f"{century}$3-{order}$4") for p, century in _TO_ISO])
+
+    orders = ["$2-$1"] if day_first else ["$1-$2", "$2-$1"]
+    named = F.regexp_extract(_rewrite(text, _TO_NAMED), _NAMED, 0)
+    out = (
+        F.when(F.length(col) > _LONGEST_DATE, None)
+        .when(_starts(col, r"\d{4}[-/]\d"), stamp([(_YEAR_FIRST, "$1-$2-$3$4")]))
+        .when(_starts(col, r"\d{1,2}[-/]\d"), F.coalesce(*[year_last(o) for o in orders]))
+    )
+    if bare_years:
+        out = out.when(_starts(col, r"(?:\d{4}|\d{8})\s*$"), stamp(_BARE))
+    return out.when(
+        _starts(col, r"(?:\d{1,2}-[A-Za-z]{3}-\d|[A-Za-z]{3,9}\s+\d)"),
+        F.when(named != "", F.try_to_timestamp(named, F.lit("d-MMM-yyyy"))).cast("timestamp_ntz"),
+    )
 
 
 def is_date_text(c, day_first: bool = False) -> Column:

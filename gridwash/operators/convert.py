@@ -80,15 +80,32 @@ def with_dates(df: DataFrame, columns, day_first: bool = True) -> DataFrame:
     )
 
 
+def _date_counts(df: DataFrame, columns, day_first: bool) -> dict:
+    """{column: row with n_rows, n_values, n_dates}.
+
+    Cells are unpivoted, so the generated code holds one parser for all columns and
+    stays small enough to be compiled; counts combine map-side.
+    """
+    pairs = [F.struct(F.lit(c).alias("column"), cells.column(c).alias("value")) for c in columns]
+    counted = (
+        df.select(F.inline(F.array(*pairs)))
+        .groupBy("column")
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.count("value").alias("n_values"),
+            F.count(cells.parse_datetime("value", day_first)).alias("n_dates"),
+        )
+    )
+    return {r["column"]: r for r in counted.collect()}
+
+
 def datetime_ready(df: DataFrame, order_by=(), columns=None, day_first: bool = False) -> list[str]:
     """Text columns in which more than half of ALL rows parse as dates."""
     cols = list(columns if columns is not None else text_columns(df, order_by))
     if not cols:
         return []
-    m = {(c, "ok"): F.count(f"_date_{i}") for i, c in enumerate(cols)}
-    m["all", "rows"] = F.count("*")
-    got = _decide(with_dates(df, cols, day_first), m)
-    return [c for c in cols if got[c, "ok"] > got["all", "rows"] * 0.5]
+    got = _date_counts(df, cols, day_first)
+    return [c for c in cols if c in got and got[c]["n_dates"] > got[c]["n_rows"] * 0.5]
 
 
 def to_datetime_safe(
@@ -115,17 +132,12 @@ def date_columns(df: DataFrame, order_by, columns=None) -> list[str]:
     cols = [c for c in cols if c in hits]
     if not cols:
         return []
-    m = {}
-    for i, c in enumerate(cols):
-        m[c, "n"] = F.count(cells.column(c))
-        m[c, "ok"] = F.count(f"_date_{i}")
-    m["all", "rows"] = F.count("*")
-    got = _decide(with_dates(df, cols), m)
-    rows = got["all", "rows"]
+    got = _date_counts(df, cols, True)
     return [
         c
         for c in cols
-        if rows - got[c, "n"] <= rows * 0.8 and got[c, "ok"] > got[c, "n"] * 0.5
+        if got[c]["n_rows"] - got[c]["n_values"] <= got[c]["n_rows"] * 0.8
+        and got[c]["n_dates"] > got[c]["n_values"] * 0.5
     ]
 
 
