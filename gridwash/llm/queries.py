@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.llm import minhash, mixing, phrases, repeats
+from gridwash.llm import bilinear, minhash, mixing, phrases, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op9_bilinear_scores")
+def op9_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score_texts(table(spark, sf_dir, "documents"))
