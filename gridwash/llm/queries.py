@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.llm import bilinear, minhash, mixing, phrases, repeats
+from gridwash.llm import bilinear, minhash, mixing, phrases, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bilinear_scores")
 def op9_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bilinear.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
