@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.llm import bilinear, minhash, mixing, phrases, quality, repeats
+from gridwash.llm import bilinear, minhash, mixing, neighbours, phrases, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op9_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query("op3_nearest_vectors")
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
