@@ -1,27 +1,63 @@
-"""Corpus pipeline: each stage reads what the one before it wrote."""
+"""Corpus pipeline: five stages, each over all documents the one before it kept.
+
+Every stage function takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next one's docs. All stages but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.llm import mixing
+from gridwash.llm import minhash, mixing, phrases, quality, repeats
 from gridwash.session import scratch_path
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the attention classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 400 bytes that occur again go from the texts; n_chars follows."""
+    out = repeats.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return phrases.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights; the documents the mix takes, with their amounts."""
+    """Documents with the words that the mix takes from each."""
     return mixing.mix_sources(docs)
 
 
-STAGES = [("mixing sources to target weights", mix)]
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix),
+]
 
+#: Trained models and byte-level cuts have no SQL twin; tests/llm compares with plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage is written and read again."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
