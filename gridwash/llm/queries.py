@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.llm import bilinear, minhash, mixing, neighbours, phrases, quality, repeats
+from gridwash.llm import bilinear, licenses, minhash, mixing, neighbours, phrases, quality, repeats, token_counts, transcripts
+from gridwash.llm.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,33 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_nearest_vectors")
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_token_histogram")
+def op1_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        vocabulary = file.read()
+    return token_counts.token_histogram(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    names = F.transform("licenses", lambda x: x["name"])
+    best = F.array_max(F.transform("licenses", lambda x: x["score"]))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
+        F.coalesce(best, F.lit(0.0)).alias("best_score"), F.array_min(F.transform("licenses", lambda x: x["line"])).alias("first_line"),
+    )
+
+
+@query("op5_chat_transcripts")
+def op5_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = stored(transcripts.raw_transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    found = transcripts.parse(raw, transcripts.fit(raw))
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"), "rendered",
+    )
