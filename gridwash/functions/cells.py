@@ -43,6 +43,19 @@ def is_missing(c, dtype: T.DataType | None = None) -> Column:
     return col.isNull()
 
 
+def known(c, dtype: T.DataType | None = None) -> Column:
+    """The value with NaN as null, if ``dtype`` is a floating type: NaN is missing."""
+    col = column(c)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(col), col)
+    return col
+
+
+def clean_number(c) -> Column:
+    """Double of a number, NaN as null: what every numeric aggregate works on."""
+    return known(column(c).cast("double"), T.DoubleType())
+
+
 def is_blank(c, dtype: T.DataType | None = None) -> Column:
     """Missing, or text that is empty after a strip."""
     col = column(c)
@@ -52,19 +65,20 @@ def is_blank(c, dtype: T.DataType | None = None) -> Column:
 
 
 def safe_str(c, dtype: T.DataType | None = None) -> Column:
-    """Text of a value, without exponents: 12345678.5, not 1.23456785E7."""
+    """Text of a value, without exponents where ten decimals hold it exactly:
+    12345678.5, not 1.23456785E7; different doubles never give the same text."""
     col = column(c)
     if not isinstance(dtype, (T.DoubleType, T.FloatType)):
         return col.cast("string")
     plain = col.try_cast("decimal(38,10)").cast("string")
     short = F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", ".0")
-    return F.coalesce(short, col.cast("string"))
+    return F.coalesce(F.when(plain.cast("double") == col.cast("double"), short), col.cast("string"))
 
 
 def row_json(types: dict[str, T.DataType], columns) -> Column:
     """One row as JSON with explicit nulls, equal for equal rows and only for them.
 
-    Times keep their microseconds, and -0.0 is written as 0.0.
+    Times keep their microseconds, -0.0 is written as 0.0 and NaN as null.
     """
     fields = []
     for c in columns:
@@ -72,7 +86,7 @@ def row_json(types: dict[str, T.DataType], columns) -> Column:
         if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType)):
             col = col.cast("string")
         elif isinstance(types[c], (T.DoubleType, T.FloatType)):
-            col = col + F.lit(0.0)
+            col = known(col, types[c]) + F.lit(0.0)
         fields.append(col.alias(c))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
@@ -133,8 +147,16 @@ def type_tag(c, dtype: T.DataType | None = None) -> Column:
 
 
 def case_text(c, mode: str = "title") -> Column:
-    """lower / upper / title. Title keeps the letter after an apostrophe or hyphen lower."""
+    """lower / upper / title / title_parity.
+
+    Title keeps the letter after an apostrophe or hyphen lower; title_parity starts a
+    word after anything that is no letter (``O'Neil-Smith``).
+    """
     col = column(c)
+    if mode == "title_parity":
+        parts = F.split(F.lower(col), r"(?<!\p{L})(?=\p{L})")
+        first = F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
+        return F.array_join(first, "")
     return {"lower": F.lower, "upper": F.upper, "title": F.initcap}[mode](col)
 
 
@@ -170,7 +192,6 @@ _TO_NAMED = (
     (r"^(\d{1,2}-[A-Za-z]{3}-)(\d{2})$", "$120$2"),
 )
 _NAMED = r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"
-_LONGEST_DATE = 64
 
 
 def _rewrite(text: Column, steps) -> Column:
@@ -206,8 +227,7 @@ def parse_datetime(c, day_first: bool = True, bare_years: bool = False) -> Colum
     orders = ["$2-$1"] if day_first else ["$1-$2", "$2-$1"]
     named = F.regexp_extract(_rewrite(text, _TO_NAMED), _NAMED, 0)
     out = (
-        F.when(F.length(col) > _LONGEST_DATE, None)
-        .when(_starts(col, r"\d{4}[-/]\d"), stamp([(_YEAR_FIRST, "$1-$2-$3$4")]))
+        F.when(_starts(col, r"\d{4}[-/]\d"), stamp([(_YEAR_FIRST, "$1-$2-$3$4")]))
         .when(_starts(col, r"\d{1,2}[-/]\d"), F.coalesce(*[year_last(o) for o in orders]))
     )
     if bare_years:

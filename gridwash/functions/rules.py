@@ -157,7 +157,6 @@ DATE_COLUMN_SEARCH = (
 )
 TIME_OF_DAY = r"^\d{1,2}:\d{2}(:\d{2})?$"
 NULL_TOKENS = ("NULL", "null", "#N/A", "N/A", "n/a", "#NA")
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # --- fixed values: header tests ---------------------------------------------------
 GENERIC_HEADERS = (r"^Unnamed:", r"^Column_\d+$", r"^\d+$", r"^$")

@@ -16,10 +16,11 @@ def validate_totals(
 ) -> DataFrame:
     """key, total, child_total, difference for parents whose children do not add up."""
     sums = children.groupBy(cells.column(child_key).alias("_key")).agg(
-        F.sum(cells.column(amount)).alias("child_total")
+        F.sum(cells.known(amount, children.schema[amount].dataType)).alias("child_total")
     )
     joined = parents.select(
-        cells.column(parent_key).alias("_key"), cells.column(total).alias("total")
+        cells.column(parent_key).alias("_key"),
+        cells.known(total, parents.schema[total].dataType).alias("total"),
     ).join(sums, "_key", "left")
     child = F.coalesce(F.col("child_total"), F.lit(0))
     diff = F.col("total") - child
@@ -50,9 +51,10 @@ def anomalies(
 ) -> DataFrame:
     """Add ``z_score`` and ``anomaly`` within each key (or overall).
 
-    Key statistics are aggregated and joined back; no window sorts a hot key.
+    Key statistics are aggregated and joined back; no window sorts a hot key. NaN is
+    missing: it takes no part and is never flagged.
     """
-    v = cells.column(column).cast("double")
+    v = cells.clean_number(column)
     keys = as_list(keys) if keys else []
     if not keys:
         row = df.agg(F.avg(v), F.stddev_samp(v)).first()
@@ -79,7 +81,7 @@ def iqr_anomalies(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     if column not in bounds:
         return df.limit(0)
     low, high = bounds[column]
-    v = cells.column(column).cast("double")
+    v = cells.clean_number(column)
     return df.where((v < F.lit(low)) | (v > F.lit(high)))
 
 
@@ -112,12 +114,19 @@ def check_rules(df: DataFrame, predicates: dict[str, str]) -> DataFrame:
 def cross_reference(
     df: DataFrame, key: str, reference: DataFrame, reference_key: str, columns
 ) -> DataFrame:
-    """Add reference columns and ``found``; the reference has one row per key."""
+    """Add reference columns and ``found``; of several reference rows of a key the
+    smallest one (by the columns in order) is taken whole."""
+    columns = as_list(columns)
+    record = F.struct(*[cells.column(c).alias(c) for c in columns])
     side = reference.groupBy(cells.column(reference_key).alias("_key")).agg(
-        *[F.min(cells.column(c)).alias(c) for c in as_list(columns)]
+        F.min(record).alias("_record")
     )
     joined = df.join(side, cells.column(key) == F.col("_key"), "left")
-    return joined.withColumn("found", F.col("_key").isNotNull()).drop("_key")
+    return joined.select(
+        *[cells.column(c) for c in df.columns],
+        *[F.col("_record")[c].alias(c) for c in columns],
+        F.col("_key").isNotNull().alias("found"),
+    )
 
 
 def hierarchy_breaks(

@@ -22,17 +22,27 @@ def fill_missing_dates(df: DataFrame, keys, date: str) -> DataFrame:
     """One row per key and day between the key's first and last day.
 
     Missing days appear with null values. Calendars come from per-key bounds, and the
-    join is on (key, day), so one busy key is spread over its days.
+    join is on (key, day), so one busy key is spread over its days. No row is lost: a
+    null key has a calendar of its own, and rows without a date are kept as they are.
     """
     keys = as_list(keys)
-    day = F.to_date(cells.column(date))
-    span = df.groupBy(*[cells.column(k) for k in keys]).agg(
-        F.min(day).alias("_from"), F.max(day).alias("_to")
+    dated = df.withColumn(date, F.to_date(cells.column(date)))
+    span = dated.groupBy(*[cells.column(k) for k in keys]).agg(
+        F.min(cells.column(date)).alias("_from"), F.max(cells.column(date)).alias("_to")
     )
     calendar = span.where("_from IS NOT NULL").select(
-        *[cells.column(k) for k in keys], F.explode(F.sequence("_from", "_to")).alias(date)
+        *[cells.column(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.explode(F.sequence("_from", "_to")).alias("_day"),
     )
-    return calendar.join(df.withColumn(date, day), [*keys, date], "left")
+    match = F.col("_day") == cells.column(date)
+    for i, k in enumerate(keys):
+        match = match & F.col(f"_k{i}").eqNullSafe(cells.column(k))
+    rest = [cells.column(c) for c in df.columns if c not in (*keys, date)]
+    full = calendar.join(dated, match, "left").select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_day").alias(date), *rest
+    )
+    undated = dated.where(cells.column(date).isNull())
+    return full.unionByName(undated.select(*[cells.column(k) for k in keys], cells.column(date), *rest))
 
 
 def date_parts(df: DataFrame, column: str) -> DataFrame:

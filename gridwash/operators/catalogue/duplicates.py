@@ -13,11 +13,12 @@ from gridwash.session import cut_lineage
 
 
 def drop_exact_duplicates(df: DataFrame, order_by) -> DataFrame:
-    """Keep the first of equal rows (explicit request only)."""
+    """Keep the first of equal rows (explicit request only); NaN equals null and becomes it."""
     keys = as_list(order_by)
     cols = data_columns(df, order_by)
+    types = {f.name: f.dataType for f in df.schema}
     first = F.min(F.struct(*[cells.column(k) for k in keys])).alias("_first")
-    out = df.groupBy(*[cells.column(c) for c in cols]).agg(first)
+    out = df.groupBy(*[cells.known(c, types[c]).alias(c) for c in cols]).agg(first)
     return out.select(
         *[F.col("_first")[k].alias(k) if k in keys else cells.column(k) for k in df.columns]
     )
@@ -57,11 +58,14 @@ def fingerprint(c) -> Column:
 def near_duplicates(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """id, near_duplicate_of, group_size for rows sharing a fingerprint with others.
 
-    The leader is the smallest id of the group; it is listed with itself.
+    The leader is the smallest id of the group; it is listed with itself. Texts without a
+    letter or digit have no fingerprint and are nobody's copies.
     """
     # The small key table is written once, so the texts are read once.
     keyed = cut_lineage(
-        df.select(cells.column(id_col), F.unhex(F.sha2(fingerprint(column), 256)).alias("_key"))
+        df.select(cells.column(id_col), fingerprint(column).alias("_words"))
+        .where("_words <> ''")
+        .select(cells.column(id_col), F.unhex(F.sha2("_words", 256)).alias("_key"))
     )
     groups = (
         keyed.groupBy("_key")

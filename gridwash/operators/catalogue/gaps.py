@@ -31,7 +31,8 @@ def column_modes(df: DataFrame, columns) -> dict:
     out = {}
     for c in columns:
         counted = (
-            df.select(cells.column(c).alias("v")).where("v IS NOT NULL").groupBy("v").count()
+            df.select(cells.known(c, df.schema[c].dataType).alias("v"))
+            .where("v IS NOT NULL").groupBy("v").count()
         )
         # The smallest (-count, value) is the most frequent value, ties by value.
         top = counted.agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("top"))
@@ -42,12 +43,15 @@ def column_modes(df: DataFrame, columns) -> dict:
 def fill_with_statistic(
     df: DataFrame, statistic: str = "mean", columns=None, order_by=()
 ) -> DataFrame:
-    """Fill nulls with the column's mean, median or mode: scalars, no join."""
+    """Fill nulls and NaN with the column's mean, median or mode: scalars, no join."""
     cols = list(columns or numeric_columns(df, order_by))
+    types = {f.name: f.dataType for f in df.schema}
     if not cols:
         return df
     if statistic == "mean":
-        row = df.agg(*[F.avg(cells.column(c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(
+            *[F.avg(cells.known(c, types[c])).alias(f"_{i}") for i, c in enumerate(cols)]
+        ).first()
         values = {c: row[f"_{i}"] for i, c in enumerate(cols)}
     elif statistic == "median":
         values = {c: q[0] for c, q in exact_quantiles(df, cols, (0.5,)).items()}
@@ -56,7 +60,11 @@ def fill_with_statistic(
     else:
         raise ValueError(f"unknown statistic: {statistic}")
     return df.withColumns(
-        {c: F.coalesce(cells.column(c), F.lit(v)) for c, v in values.items() if v is not None}
+        {
+            c: F.coalesce(cells.known(c, types[c]), F.lit(v))
+            for c, v in values.items()
+            if v is not None
+        }
     )
 
 

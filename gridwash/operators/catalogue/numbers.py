@@ -49,7 +49,7 @@ def winsorize(
     bounds = iqr_bounds(df, columns or numeric_columns(df, order_by), factor)
 
     def pull(c):
-        v = cells.column(c).cast("double")
+        v = cells.clean_number(c)
         low, high = bounds[c]
         return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
 
@@ -61,7 +61,7 @@ def check_calculation(
 ) -> DataFrame:
     """Add ``{column}__expected`` and ``{column}__wrong`` from a SQL expression."""
     expected = F.expr(expression).cast("double")
-    wrong = F.abs(cells.column(column) - expected) > tolerance
+    wrong = cells.clean_number(F.abs(cells.column(column) - expected)) > tolerance
     return df.withColumns(
         {f"{column}__expected": expected, f"{column}__wrong": F.coalesce(wrong, F.lit(False))}
     )
@@ -72,7 +72,8 @@ def fix_calculation(
 ) -> DataFrame:
     """Replace values that differ from the recomputed ones by more than the tolerance."""
     expected = F.expr(expression).cast("double")
-    wrong = F.coalesce(F.abs(cells.column(column) - expected) > tolerance, F.lit(False))
+    difference = cells.clean_number(F.abs(cells.column(column) - expected))
+    wrong = F.coalesce(difference > tolerance, F.lit(False))
     return df.withColumn(column, F.when(wrong, expected).otherwise(cells.column(column)))
 
 
@@ -80,7 +81,7 @@ def calculation_report(
     df: DataFrame, column: str, expression: str, tolerance: float = 0.01
 ) -> DataFrame:
     """checked, wrong, max_difference in one pass."""
-    diff = F.abs(cells.column(column) - F.expr(expression).cast("double"))
+    diff = cells.clean_number(F.abs(cells.column(column) - F.expr(expression).cast("double")))
     return df.agg(
         F.count(diff).alias("checked"),
         F.count_if(diff > tolerance).alias("wrong"),

@@ -1,7 +1,7 @@
 """Whole-column conversions that first decide, then convert.
 
 The decision is one aggregate (one small row to the driver); the conversion is a
-projection. No conversion loses a value unless asked to.
+projection. Only date conversion may lose text, and ``on_unparsed`` rules it.
 """
 
 from __future__ import annotations
@@ -109,10 +109,17 @@ def datetime_ready(df: DataFrame, order_by=(), columns=None, day_first: bool = F
 
 
 def to_datetime_safe(
-    df: DataFrame, order_by=(), columns=None, day_first: bool = False
+    df: DataFrame, order_by=(), columns=None, day_first: bool = False, on_unparsed: str = "null"
 ) -> DataFrame:
-    """Columns that are mostly dates become timestamps; unparsed text becomes null."""
+    """Columns that are mostly dates become timestamps.
+
+    Unparsed text becomes null, or with ``on_unparsed="keep"`` a column that holds any
+    stays text.
+    """
     ready = datetime_ready(df, order_by, columns, day_first)
+    if on_unparsed == "keep" and ready:
+        got = _date_counts(df, ready, day_first)
+        ready = [c for c in ready if got[c]["n_dates"] == got[c]["n_values"]]
     return (
         with_dates(df, ready, day_first)
         .withColumns({c: F.col(f"_date_{i}") for i, c in enumerate(ready)})

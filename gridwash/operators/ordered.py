@@ -22,24 +22,36 @@ def largest_group(df: DataFrame, keys) -> int:
     return counted.agg(F.max("count")).first()[0] or 0
 
 
-def _chunk_number(lead: Column, bounds) -> Column:
-    """Balanced comparison tree: chunk = number of bounds <= lead."""
+def _chunk_number(place: Column, bounds) -> Column:
+    """Balanced comparison tree: chunk = number of bounds <= place."""
 
     def tree(lo, hi):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(lead < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(place < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return F.when(lead.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+    return tree(0, len(bounds))
 
 
 def with_chunks(df: DataFrame, order_by, chunks: int) -> DataFrame:
-    """Add ``_chunk`` by quantiles of the first order column; a null order sorts first."""
-    lead = cells.column(as_list(order_by)[0])
-    probs = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(lead, probs, 10_000)).first()[0] or []
-    return df.withColumn(CHUNK, _chunk_number(lead, sorted(set(bounds))))
+    """Add ``_chunk``: ranges of the order columns taken together, of about equal size.
+
+    Bounds are places of a bounded sample: the order values with the smallest hashes,
+    64 per chunk, whatever their types. Equal leading values are told apart by the order
+    columns behind them; nulls sort first.
+    """
+    names = [f"_o{i}" for i in range(len(as_list(order_by)))]
+    places = df.select(*[cells.column(o).alias(n) for o, n in zip(as_list(order_by), names)])
+    sample = places.orderBy(F.xxhash64(*names), *names).limit(64 * chunks)
+    rank = F.row_number().over(Window.orderBy(*names)) - 1
+    cut = sample.withColumn("_r", rank).where((F.col("_r") % 64 == 0) & (F.col("_r") > 0))
+    bounds = [
+        F.struct(*[F.lit(r[n]).cast(f.dataType).alias(n) for n, f in zip(names, places.schema)])
+        for r in cut.orderBy("_r").collect()
+    ]
+    place = F.struct(*[cells.column(o).alias(n) for o, n in zip(as_list(order_by), names)])
+    return df.withColumn(CHUNK, _chunk_number(place, bounds))
 
 
 def chunked(df: DataFrame, keys, order_by, group_limit: int = GROUP_LIMIT):
@@ -48,7 +60,7 @@ def chunked(df: DataFrame, keys, order_by, group_limit: int = GROUP_LIMIT):
     if biggest <= group_limit:
         return df.withColumn(CHUNK, F.lit(0)), False
     # Twice the needed number, as chunk sizes are approximate.
-    return with_chunks(df, order_by, min(1024, 2 * -(-biggest // group_limit))), True
+    return with_chunks(df, order_by, 2 * -(-biggest // group_limit)), True
 
 
 def _window(keys, order_by, backward=False):
@@ -105,7 +117,8 @@ def fill_along(
 def running_total(
     df: DataFrame, keys, order_by, column: str, total: str, delta: str, group_limit=GROUP_LIMIT
 ) -> DataFrame:
-    """Add the running sum of ``column`` and its change from the previous row (0 at first)."""
+    """Add the running sum of ``column`` and its change from the previous row (0 at first,
+    and where either value is null)."""
     keys, order_by = as_list(keys), as_list(order_by)
     cut, is_cut = chunked(df, keys, order_by, group_limit)
     w = _window(keys, order_by)
@@ -114,6 +127,7 @@ def running_total(
         {
             total: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "_previous": F.lag(v).over(w),
+            "_first": F.row_number().over(w) == 1,
         }
     )
     if is_cut:
@@ -127,8 +141,11 @@ def running_total(
         }
         local = _carry(cut, keys, local, states, folds).withColumns(
             {
-                total: cells.column(total) + F.coalesce(F.col("_sum"), F.lit(0)),
-                "_previous": F.coalesce("_previous", "_last"),
+                total: F.coalesce(
+                    cells.column(total) + F.col("_sum"), cells.column(total), F.col("_sum")
+                ),
+                # Only the first row of a chunk has its previous row in an earlier one.
+                "_previous": F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_previous")),
             }
         )
     return local.withColumn(delta, F.coalesce(v - F.col("_previous"), F.lit(0))).select(

@@ -112,7 +112,7 @@ def _is_wide(df: DataFrame, columns) -> bool:
 
 
 def repeat_counts(df: DataFrame, order_by=(), digest: bool | None = None) -> DataFrame:
-    """Row groups with their size ``copies`` (null equals null).
+    """Row groups with their size ``copies`` (null equals null and NaN).
 
     Copies collapse map-side before the shuffle, so a row that fills a third of the
     table costs one row per task. ``digest`` shuffles a 256-bit row digest instead
@@ -120,12 +120,15 @@ def repeat_counts(df: DataFrame, order_by=(), digest: bool | None = None) -> Dat
     bytes each.
     """
     cols = data_columns(df, order_by)
+    types = _types(df)
     if _is_wide(df, cols) if digest is None else digest:
-        row = cells.row_json(_types(df), cols)
+        row = cells.row_json(types, cols)
         return df.groupBy(F.unhex(F.sha2(row, 256)).alias("digest")).agg(
             F.count("*").alias("copies")
         )
-    return df.groupBy(*[cells.column(c) for c in cols]).agg(F.count("*").alias("copies"))
+    return df.groupBy(*[cells.known(c, types[c]).alias(c) for c in cols]).agg(
+        F.count("*").alias("copies")
+    )
 
 
 def duplicate_rows(df: DataFrame, order_by=(), digest: bool | None = None) -> DataFrame:
@@ -193,15 +196,16 @@ def empty_counts(df: DataFrame, order_by=()) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, order_by=()) -> DataFrame:
-    """column, min, max, mean, rounded to two decimals."""
+    """column, min, max, mean, rounded to two decimals; NaN is missing."""
     cols = numeric_columns(df, order_by)
+    types = _types(df)
     return per_column(
         df,
         cols,
         {
-            "min": lambda c: F.round(F.min(cells.column(c)).cast("double"), 2),
-            "max": lambda c: F.round(F.max(cells.column(c)).cast("double"), 2),
-            "mean": lambda c: F.round(F.avg(cells.column(c)).cast("double"), 2),
+            "min": lambda c: F.round(F.min(cells.known(c, types[c])).cast("double"), 2),
+            "max": lambda c: F.round(F.max(cells.known(c, types[c])).cast("double"), 2),
+            "mean": lambda c: F.round(F.avg(cells.known(c, types[c])).cast("double"), 2),
         },
     )
 
@@ -214,8 +218,7 @@ def describe(df: DataFrame, order_by=()) -> DataFrame:
     def q(i):
         return lambda c: F.first(F.lit(quartiles[c][i]).cast("double"))
 
-    def num(c):
-        return cells.column(c).cast("double")
+    num = cells.clean_number
 
     return per_column(
         df,
@@ -413,7 +416,7 @@ def flag_outliers(
         if c not in bounds:
             return F.lit(False)
         low, high = bounds[c]
-        v = cells.column(c).cast("double")
+        v = cells.clean_number(c)
         return F.coalesce((v < F.lit(low)) | (v > F.lit(high)), F.lit(False))
 
     return df.withColumns({f"{c}__outlier": flag(c) for c in cols})
@@ -430,7 +433,7 @@ def column_profile(df: DataFrame, order_by, max_columns: int | None = None) -> D
         def measure(c):
             if not isinstance(types[c], T.NumericType):
                 return F.first(F.lit(None).cast("double"))
-            return F.round(f(cells.column(c)).cast("double"), 2)
+            return F.round(f(cells.known(c, types[c])).cast("double"), 2)
 
         return measure
 

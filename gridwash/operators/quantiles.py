@@ -20,8 +20,7 @@ _ACCURACY = 10_000
 
 def number(c):
     """A numeric column as double, NaN as null."""
-    v = cells.column(c).cast("double")
-    return F.when(~F.isnan(v), v)
+    return cells.clean_number(c)
 
 
 def value_counts(df: DataFrame, columns) -> dict[str, int]:

@@ -1,16 +1,18 @@
 """A store of original and cleaned tables with their metadata.
 
-Tables live in one parquet tree partitioned by dataset, sheet and stage, so reading
-one table prunes to its folder. Metadata is an append-only JSON log; the latest
+Every table has a folder of its own, dataset=/sheet=/stage=/id=, and its own columns;
+reading one table lists and reads that folder only. Metadata is an append-only JSON log; the latest
 record per table wins.
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridwash.functions import cells
-from gridwash.sources.tables import write_table
 
 STAGES = ("uploads", "cleaned")
 _META = "dataset string, sheet string, id string, kind string, ts timestamp, body string"
@@ -35,19 +37,24 @@ def stage_path(dataset, sheet, stage: str, id_) -> Column:
     )
 
 
+def clean_name(name: str) -> str:
+    """:func:`sanitize_name` of one name; a clean name stays as it is."""
+    text = re.sub(r"[^\w\-]", "_", re.sub(r"(\.xlsx|\.xls)$", "", name))
+    return re.sub(r"^_+|_+$", "", re.sub(r"_+", "_", text))
+
+
+def _folder(root: str, dataset: str, sheet: str | None, stage: str, id_: str | None = None) -> str:
+    sheet = clean_name(sheet) if sheet else "default_sheet"
+    path = f"{root}/tables/dataset={clean_name(dataset)}/sheet={sheet}/stage={stage}"
+    return path if id_ is None else f"{path}/id={quote(id_, safe='')}"
+
+
 def write_stage(df: DataFrame, root: str, dataset: str, sheet: str, stage: str, id_: str) -> None:
     """Store a table; the same (dataset, sheet, stage, id) is replaced, others stay.
 
     A cleaned table also stamps ``last_cleaned`` in the metadata.
     """
-    keyed = df.select(
-        *[cells.column(c) for c in df.columns],
-        sanitize_name(F.lit(dataset)).alias("dataset"),
-        _sheet_folder(F.lit(sheet)).alias("sheet"),
-        F.lit(stage).alias("stage"),
-        F.lit(id_).alias("id"),
-    )
-    write_table(keyed, f"{root}/tables", ("dataset", "sheet", "stage", "id"))
+    df.write.mode("overwrite").parquet(_folder(root, dataset, sheet, stage, id_))
     if stage == "cleaned":
         stamp = df.sparkSession.range(1).select(
             F.to_json(F.struct(F.current_timestamp().alias("last_cleaned"))).alias("body")
@@ -58,13 +65,14 @@ def write_stage(df: DataFrame, root: str, dataset: str, sheet: str, stage: str,
 def read_stage(
     spark: SparkSession, root: str, dataset: str, sheet: str, stage: str, id_: str | None = None
 ) -> DataFrame:
-    """One stored table; the partition filter prunes the listing to its folder."""
-    df = spark.read.parquet(f"{root}/tables").where(
-        (F.col("dataset") == dataset) & (F.col("sheet") == sheet) & (F.col("stage") == stage)
-    )
+    """One stored table with its own columns, by raw or clean names.
+
+    Without ``id_`` all tables of the stage together, columns of each other's null.
+    """
     if id_ is not None:
-        df = df.where(F.col("id") == id_)
-    return df.drop("dataset", "sheet", "stage", "id")
+        return spark.read.parquet(_folder(root, dataset, sheet, stage, id_))
+    tables = f"{_folder(root, dataset, sheet, stage)}/id=*"
+    return spark.read.option("mergeSchema", True).parquet(tables)
 
 
 def write_metadata(body: DataFrame, root: str, dataset: str, sheet: str, id_: str, kind: str = "document") -> None:
@@ -80,8 +88,12 @@ def write_metadata(body: DataFrame, root: str, dataset: str, sheet: str, id_: st
 
 
 def latest(log: DataFrame, keys, ts: str = "ts") -> DataFrame:
-    """The newest record per key; each task keeps one row per key before the shuffle."""
-    w = Window.partitionBy(*[cells.column(k) for k in keys]).orderBy(cells.column(ts).desc())
+    """The newest record per key; each task keeps one row per key before the shuffle.
+
+    Of records of one instant the one that is last as JSON text is taken.
+    """
+    tie = F.to_json(F.struct(*[cells.column(c) for c in log.columns])).desc()
+    w = Window.partitionBy(*[cells.column(k) for k in keys]).orderBy(cells.column(ts).desc(), tie)
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
