@@ -251,4 +251,3 @@ LIMITS = {
     "ai_calls": (20, "1 minute"),
     "uploads": (100, "1 hour"),
 }
-MAX_WORKBOOK_BYTES = 100 * 1024 * 1024

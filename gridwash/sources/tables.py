@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwash.functions import cells
 
 
-def read_raw_table(spark: SparkSession, path: str, n_columns: int | None = None, **options) -> DataFrame:
+def read_raw_table(
+    spark: SparkSession, path: str, n_columns: int | None = None, multi_line: bool = True, **options
+) -> DataFrame:
     """A headerless CSV as text columns c0..cn plus ``row_id``, in file order.
 
+    Every cell is kept: without ``n_columns`` the widest row decides, not the first one,
+    so a narrow title line cuts nothing off. ``multi_line`` lets quoted cells hold line
+    breaks; a file is then one task, so switch it off for large files without any.
     ``row_id`` is monotone within each file. For a folder of files use
     :func:`read_raw_folder`, which also names the file.
     """
-    reader = spark.read.option("header", False).option("inferSchema", False).options(**options)
-    if n_columns is not None:
-        reader = reader.schema(", ".join(f"c{i} string" for i in range(n_columns)))
-    raw = reader.csv(path)
-    named = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
-    return named.select(F.monotonically_increasing_id().alias("row_id"), "*")
+    reader = spark.read.options(header=False, inferSchema=False, multiLine=multi_line, escape='"')
+    reader = reader.options(**options)
+    if n_columns is None:
+        sep = options.get("sep", options.get("delimiter", ","))
+        n_columns = _widest(spark, reader, path, sep)
+    raw = reader.schema(", ".join(f"c{i} string" for i in range(n_columns))).csv(path)
+    return raw.select(F.monotonically_increasing_id().alias("row_id"), "*")
+
+
+def _widest(spark, reader, path: str, sep: str) -> int:
+    """Columns up to the last one that holds a cell, and at least those of the first row.
+
+    The separators of a line tell how many columns to try; as long as the upper half of
+    them holds a cell (rows may span lines), twice as many are tried.
+    """
+    first = len(reader.csv(path).columns)
+    parts = F.size(F.split("value", re.escape(sep)))
+    tried = 2 * max(first, spark.read.text(path).agg(F.max(parts)).first()[0] or 1)
+    while True:
+        names = [f"c{i}" for i in range(tried)]
+        raw = reader.schema(", ".join(f"{c} string" for c in names)).csv(path)
+        last = F.greatest(F.lit(0), *[F.when(F.col(c).isNotNull(), i + 1) for i, c in enumerate(names)])
+        used = raw.agg(F.max(last)).first()[0] or 0
+        if used <= tried // 2:
+            return max(first, used)
+        tried *= 2
 
 
 def read_raw_folder(spark: SparkSession, path: str, n_columns: int, **options) -> DataFrame:

@@ -1,12 +1,13 @@
 """Ingest of spreadsheet workbooks as cells.
 
 Spark lists and distributes the files (one workbook is one record); a small reader
-inside the task unzips it and streams its cells out. Workbooks above the size limit
-are reported, not read.
+inside the task unzips it and streams its cells out. Cells arrive as text: dates and
+times in ISO form, booleans as TRUE and FALSE, numbers as stored.
 """
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -15,10 +16,10 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.functions import rules
-
 CELL_SCHEMA = "file string, sheet string, sheet_no int, row int, col int, value string"
 _BATCH = 50_000
+#: Fixed: numbers of the built-in formats that show dates or times.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
 def _tag(element) -> str:
@@ -36,38 +37,92 @@ def _text(element) -> str:
     return "".join(t.text or "" for t in element.iter() if _tag(t) == "t")
 
 
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    """The workbook's string table, read as a stream."""
+    out = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            events = ElementTree.iterparse(f, ("start", "end"))
+            _, root = next(events)
+            for event, element in events:
+                if event == "end" and _tag(element) == "si":
+                    out.append(_text(element))
+                    root.clear()
+    return out
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {}
+    for f in root.iter():
+        if _tag(f) == "numFmt":
+            code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.|\*.', "", f.get("formatCode", ""))
+            own[int(f.get("numFmtId"))] = bool(re.search("[dmyhs]", code, re.IGNORECASE)) and code.lower() != "general"
+    styles = next((x for x in root if _tag(x) == "cellXfs"), ())
+    numbers = [int(x.get("numFmtId", 0)) for x in styles]
+    return {i for i, n in enumerate(numbers) if own.get(n, n in _DATE_FORMATS)}
+
+
+def _iso(serial: str, from_1904: bool) -> str:
+    """ISO text of a date serial; days since the workbook's start, time as a fraction."""
+    try:
+        number = float(serial)
+        if 0 <= number < 1:
+            return (datetime.datetime.min + datetime.timedelta(seconds=round(number * 86400))).strftime("%H:%M:%S")
+        start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 30)
+        # The 1900 calendar counts a day that was none, 29 February 1900.
+        early = 1 if not from_1904 and number < 60 else 0
+        when = start + datetime.timedelta(days=early, seconds=round(number * 86400))
+    except (ValueError, OverflowError):
+        return serial
+    return when.strftime("%Y-%m-%d" if when.time() == datetime.time() else "%Y-%m-%d %H:%M:%S")
+
+
 def workbook_cells(content: bytes):
     """Yield (sheet, sheet_no, row, col, value) of every non-empty cell, 0-based."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = [_text(si) for si in root if _tag(si) == "si"]
+        shared, dates = _shared_strings(z), _date_styles(z)
         links = {
             r.get("Id"): r.get("Target")
             for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
         }
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        from_1904 = any(
+            _tag(x) == "workbookPr" and x.get("date1904") in ("1", "true") for x in book.iter()
+        )
         sheets = [s for s in book.iter() if _tag(s) == "sheet"]
         for no, s in enumerate(sheets):
             link = next(v for k, v in s.attrib.items() if k.endswith("}id") or k == "r:id")
             target = links[link]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             with z.open(path) as f:
-                for _, c in ElementTree.iterparse(f):
-                    if _tag(c) != "c":
+                parent = None
+                for event, element in ElementTree.iterparse(f, ("start", "end")):
+                    tag = _tag(element)
+                    if event == "start":
+                        parent = element if tag == "sheetData" else parent
                         continue
-                    kind, ref = c.get("t"), c.get("r")
-                    value = next((e.text for e in c if _tag(e) == "v"), None)
-                    if kind == "s" and value is not None:
+                    if tag == "row" and parent is not None:
+                        parent.clear()
+                    if tag != "c":
+                        continue
+                    kind, ref = element.get("t"), element.get("r")
+                    value = next((e.text for e in element if _tag(e) == "v"), None)
+                    if kind == "inlineStr":
+                        value = _text(element)
+                    elif value is None:
+                        continue
+                    elif kind == "s":
                         value = shared[int(value)]
-                    elif kind == "inlineStr":
-                        value = _text(c)
-                    if value is not None:
-                        row = int(re.search(r"\d+$", ref).group()) - 1
-                        yield s.get("name"), no, row, _column_number(ref), value
-                    c.clear()
+                    elif kind == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    elif kind in (None, "n") and int(element.get("s", 0)) in dates:
+                        value = _iso(value, from_1904)
+                    row = int(re.search(r"\d+$", ref).group()) - 1
+                    yield s.get("name"), no, row, _column_number(ref), value
 
 
 def cells_of(workbooks: DataFrame) -> DataFrame:
@@ -89,18 +144,12 @@ def cells_of(workbooks: DataFrame) -> DataFrame:
     return workbooks.select("path", "content").mapInPandas(read, CELL_SCHEMA)
 
 
-def ingest_workbooks(
-    spark: SparkSession, path: str, max_bytes: int = rules.MAX_WORKBOOK_BYTES
-) -> DataFrame:
-    """(file, sheet, sheet_no, row, col, value) of every workbook below a folder."""
-    return cells_of(_files(spark, path).where(F.col("length") <= max_bytes))
-
+def ingest_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, sheet_no, row, col, value) of every workbook below a folder.
 
-def oversized_workbooks(
-    spark: SparkSession, path: str, max_bytes: int = rules.MAX_WORKBOOK_BYTES
-) -> DataFrame:
-    """path, length of workbooks that :func:`ingest_workbooks` leaves out."""
-    return _files(spark, path).where(F.col("length") > max_bytes).select("path", "length")
+    A workbook is one record and has to fit a task; none is left out.
+    """
+    return cells_of(_files(spark, path))
 
 
 def _files(spark, path):

@@ -17,10 +17,21 @@ from registry.base import query
 SUPPLIER = "SELECT s_name, CAST(s_suppkey AS STRING) AS k, CAST(s_nationkey AS STRING) AS n FROM {supplier}"
 
 
-@query("s01_read_raw_table", "SELECT s_name AS c0, CAST(s_suppkey AS VARCHAR) AS c1, CAST(s_nationkey AS VARCHAR) AS c2 FROM supplier")
+@query(
+    "s01_read_raw_table",
+    "SELECT s_name AS c0, CASE WHEN s_suppkey % 10 = 0 THEN concat(CAST(s_suppkey AS VARCHAR), ', \"a\"', chr(10), 'b') ELSE CAST(s_suppkey AS VARCHAR) END AS c1, "
+    "CAST(s_nationkey AS VARCHAR) AS c2, CASE WHEN s_suppkey % 7 = 0 THEN 'extra' END AS c3 FROM supplier "
+    "UNION ALL SELECT 'Report 2024', NULL, NULL, NULL",
+)
 def s01(d):
+    """A narrow title line above wider, ragged rows, some with a line break in a cell."""
     path = scratch_path(d.spark, "raw")
-    d.sql(SUPPLIER).write.csv(path)
+    lines = d.sql(
+        """SELECT 'Report 2024' AS line, -1 AS k UNION ALL SELECT concat(s_name, ',',
+        CASE WHEN s_suppkey % 10 = 0 THEN concat('"', s_suppkey, ', ""a""\\n', 'b"') ELSE CAST(s_suppkey AS STRING) END,
+        ',', s_nationkey, CASE WHEN s_suppkey % 7 = 0 THEN ',extra' ELSE '' END), s_suppkey FROM {supplier}"""
+    )
+    lines.repartitionByRange(1, "k").sortWithinPartitions("k").select("line").write.text(path)
     return tables.read_raw_table(d.spark, path).drop("row_id")
 
 
@@ -45,78 +56,101 @@ def s02_json(d):
     return tables.read_table(d.spark, path, "json", "s_suppkey bigint, s_name string, s_acctbal double")
 
 
-def _workbook(rows) -> bytes:
-    """A minimal workbook: one sheet, text as inline or shared strings, numbers as is."""
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _workbook(rows, note: str) -> bytes:
+    """A minimal workbook of two sheets: shared strings, numbers, booleans, dates; one note."""
+    shared: dict[str, int] = {}
 
     def cell(r, c, v):
         ref = f"{chr(65 + c)}{r + 1}"
         if v is None:
             return ""
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
         if isinstance(v, str):
-            return f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+            return f'<c r="{ref}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>'
+        if isinstance(v, float):
+            return f'<c r="{ref}" s="1"><v>{v:g}</v></c>'
         return f'<c r="{ref}"><v>{v}</v></c>'
 
     body = "".join(
         f'<row r="{i + 1}">' + "".join(cell(i, j, v) for j, v in enumerate(row)) + "</row>"
         for i, row in enumerate(rows)
     )
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    inline = f'<row r="3"><c r="B3" t="inlineStr"><is><t>{escape(note)}</t></is></c></row>'
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{RELS}"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/>'
+        '<sheet name="Notes" sheetId="2" r:id="rId2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        + "".join(f'<Relationship Id="rId{i}" Type="{RELS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2))
+        + "</Relationships>",
+        "xl/styles.xml": f'<styleSheet xmlns="{MAIN}"><numFmts count="1"><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts>'
+        '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{body}</sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{inline}</sheetData></worksheet>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{MAIN}">' + "".join(f"<si><t>{escape(t)}</t></si>" for t in shared) + "</sst>",
+    }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(
-            "xl/workbook.xml",
-            f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        )
-        z.writestr(
-            "xl/_rels/workbook.xml.rels",
-            f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-            f'<Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        )
-        z.writestr(
-            "xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>'
-        )
+        for name, text in parts.items():
+            z.writestr(name, text)
     return out.getvalue()
 
 
 def supplier_workbooks(d):
-    """Workbooks of 200 suppliers each, built by Spark from the supplier table."""
+    """Files of 200 suppliers each, written to a shared folder and read by the operator."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s_suppkey")
         book = int(pdf["book"].iloc[0])
-        rows = [["Name", "Key"], *([n, int(k)] for n, k in zip(pdf["s_name"], pdf["s_suppkey"]))]
-        return pd.DataFrame([(f"book_{book}.xlsx", _workbook(rows))], columns=["path", "content"])
+        rows = [["Name", "Key", "Rich", "Since"]]
+        rows += [[n, int(k), bool(b > 0), 45292.0 + k] for n, k, b in zip(pdf["s_name"], pdf["s_suppkey"], pdf["s_acctbal"])]
+        return pd.DataFrame([(f"book_{book}.xlsx", _workbook(rows, f"book {book} & more"))], columns=["path", "content"])
 
     keyed = d.table("supplier").select(
-        "s_suppkey", "s_name", F.floor(F.col("s_suppkey") / 200).alias("book")
+        "s_suppkey", "s_name", "s_acctbal", F.floor(F.col("s_suppkey") / 200).alias("book")
     )
-    return keyed.groupBy("book").applyInPandas(pack, "path string, content binary")
+    root = scratch_path(d.spark, "books")
+    hadoop = d.spark._jvm.org.apache.hadoop.fs
+    conf = d.spark._jsc.hadoopConfiguration()
+    for r in keyed.groupBy("book").applyInPandas(pack, "path string, content binary").toLocalIterator():
+        path = hadoop.Path(f"{root}/{r.path}")
+        out = path.getFileSystem(conf).create(path)
+        out.write(bytearray(r.content))
+        out.close()
+    grid = workbooks.ingest_workbooks(d.spark, root)
+    return grid.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
 CELLS = """
-WITH n AS (SELECT concat('book_', CAST(s_suppkey // 200 AS VARCHAR), '.xlsx') AS file, s_name, s_suppkey,
+WITH n AS (SELECT s_suppkey // 200 AS book, s_name, s_suppkey, s_acctbal,
     row_number() OVER (PARTITION BY s_suppkey // 200 ORDER BY s_suppkey) AS r FROM supplier),
+data AS (
+    SELECT book, CAST(r AS INTEGER) AS row, 0 AS col, s_name AS value FROM n
+    UNION ALL SELECT book, CAST(r AS INTEGER), 1, CAST(s_suppkey AS VARCHAR) FROM n
+    UNION ALL SELECT book, CAST(r AS INTEGER), 2, CASE WHEN s_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END FROM n
+    UNION ALL SELECT book, CAST(r AS INTEGER), 3, CAST(DATE '2024-01-01' + CAST(s_suppkey AS INTEGER) AS VARCHAR) FROM n
+    UNION ALL SELECT DISTINCT book, 0, unnest([0, 1, 2, 3]), unnest(['Name', 'Key', 'Rich', 'Since']) FROM n),
 cells AS (
-    SELECT file, CAST(r AS INTEGER) AS row, 0 AS col, s_name AS value FROM n
-    UNION ALL SELECT file, CAST(r AS INTEGER), 1, CAST(s_suppkey AS VARCHAR) FROM n
-    UNION ALL SELECT DISTINCT file, 0, 0, 'Name' FROM n UNION ALL SELECT DISTINCT file, 0, 1, 'Key' FROM n)
+    SELECT concat('book_', CAST(book AS VARCHAR), '.xlsx') AS file, 'Data' AS sheet, 0 AS sheet_no, row, col, value FROM data
+    UNION ALL SELECT DISTINCT concat('book_', CAST(book AS VARCHAR), '.xlsx'), 'Notes', 1, 2, 1, concat('book ', CAST(book AS VARCHAR), ' & more') FROM n)
 """
 
 
-@query("s03_ingest_workbooks", CELLS + "SELECT file, 'Data' AS sheet, 0 AS sheet_no, row, col, value FROM cells")
+@query("s03_ingest_workbooks", CELLS + "SELECT * FROM cells")
 def s03(d):
-    return workbooks.cells_of(supplier_workbooks(d))
+    return supplier_workbooks(d)
 
 
 @query(
     "s03_sheet_list",
-    CELLS + "SELECT file, 'Data' AS sheet, 0 AS sheet_no, max(row) + 1 AS rows, max(col) + 1 AS columns FROM cells GROUP BY file",
+    CELLS + "SELECT file, sheet, sheet_no, max(row) + 1 AS rows, max(col) + 1 AS columns FROM cells GROUP BY ALL",
 )
 def s03_sheets(d):
-    return workbooks.sheet_list(workbooks.cells_of(supplier_workbooks(d)))
-
-
+    return workbooks.sheet_list(supplier_workbooks(d))
 
 
 @query(
@@ -131,10 +165,10 @@ def s04(d):
 
 @query(
     "s05_cells_to_table",
-    CELLS + "SELECT file, row, max(CASE WHEN col = 0 THEN value END) AS c0, max(CASE WHEN col = 1 THEN value END) AS c1 FROM cells GROUP BY file, row",
+    CELLS + "SELECT file, row, max(CASE WHEN col = 0 THEN value END) AS c0, max(CASE WHEN col = 1 THEN value END) AS c1 FROM cells WHERE sheet_no = 0 GROUP BY file, row",
 )
 def s05(d):
-    return tables.cells_to_table(workbooks.cells_of(supplier_workbooks(d)), 2, keys=["file"])
+    return tables.cells_to_table(supplier_workbooks(d).where("sheet_no = 0"), 2, keys=["file"])
 
 
 @query("s06_write_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders")
@@ -208,11 +242,21 @@ def s10(d):
 
 @query("s11_read_stage", "SELECT o_orderkey, o_totalprice FROM orders")
 def s11(d):
+    """Tables of other columns, ids with leading zeros and raw names in one store."""
     root = scratch_path(d.spark, "store")
     df = d.table("orders").select("o_orderkey", "o_totalprice")
-    store.write_stage(df, root, "Book.xlsx", "", "uploads", "a1")
-    store.write_stage(df.withColumn("o_totalprice", F.lit(0.0)), root, "Book.xlsx", "", "cleaned", "a1")
-    return store.read_stage(d.spark, root, "Book", "default_sheet", "uploads", "a1")
+    store.write_stage(df, root, "Book 1.xlsx", "", "uploads", "001")
+    store.write_stage(d.table("part").select("p_partkey", "p_name"), root, "Book 1.xlsx", "", "uploads", "1")
+    store.write_stage(df.withColumn("o_totalprice", F.lit(0.0)), root, "Book 1.xlsx", "", "cleaned", "001")
+    return store.read_stage(d.spark, root, "Book 1.xlsx", "", "uploads", "001")
+
+
+@query("s11_read_stage_other_columns", "SELECT p_partkey, p_name FROM part")
+def s11_other(d):
+    root = scratch_path(d.spark, "store")
+    store.write_stage(d.table("orders").select("o_orderkey"), root, "Book 1.xlsx", "S 1", "uploads", "001")
+    store.write_stage(d.table("part").select("p_partkey", "p_name"), root, "Book 1.xlsx", "S 1", "uploads", "1")
+    return store.read_stage(d.spark, root, "Book_1", "S_1", "uploads", "1")
 
 
 @query("s12_metadata", "SELECT 'Book' AS dataset, 'S' AS sheet, 'a1' AS id, count(*) AS rows, true AS stamped FROM orders")

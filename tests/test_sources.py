@@ -35,8 +35,8 @@ def test_store_round_trip(spark, tmp_path):
     store.write_stage(df.withColumn("v", F.lit("cleaner")), root, "My Book.xlsx", "", "cleaned", "id1")
     got = store.read_stage(spark, root, "My_Book", "default_sheet", "cleaned", "id1").collect()
     assert [tuple(r) for r in got] == [(1, "cleaner")]
-    plan = store.read_stage(spark, root, "My_Book", "default_sheet", "cleaned")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(dataset" in plan
+    files = store.read_stage(spark, root, "My_Book", "default_sheet", "cleaned").inputFiles()
+    assert files and all("/stage=cleaned/" in f for f in files)
     meta = store.read_metadata(spark, root).collect()
     assert len(meta) == 1 and meta[0]["dataset"] == "My_Book" and meta[0]["last_cleaned"]
     info = store.dataset_info(
@@ -55,12 +55,31 @@ def test_sanitize(spark):
 def test_workbook_files(spark, tmp_path):
     from registry.sources import _workbook
 
-    (tmp_path / "a.xlsx").write_bytes(_workbook([["Name", "N"], ["x & y", 3], [None, 4.5]]))
+    rows = [["Name", "N"], ["x & y", 3], [None, 45292.0], [True, 0.25], ["x & y", 1.0]]
+    (tmp_path / "a.xlsx").write_bytes(_workbook(rows, "n"))
     (tmp_path / "note.txt").write_text("no")
-    got = workbooks.ingest_workbooks(spark, str(tmp_path)).orderBy("row", "col").collect()
+    got = workbooks.ingest_workbooks(spark, str(tmp_path)).orderBy("sheet_no", "row", "col").collect()
     assert [(r["sheet"], r["row"], r["col"], r["value"]) for r in got] == [
-        ("Data", 0, 0, "Name"), ("Data", 0, 1, "N"), ("Data", 1, 0, "x & y"), ("Data", 1, 1, "3"), ("Data", 2, 1, "4.5")]
-    assert workbooks.ingest_workbooks(spark, str(tmp_path), 10).count() == 0
-    assert workbooks.oversized_workbooks(spark, str(tmp_path), 10).count() == 1
-    wide = tables.cells_to_table(workbooks.ingest_workbooks(spark, str(tmp_path)), 2).orderBy("row").collect()
-    assert tuple(wide[2]) == (2, None, "4.5")
+        ("Data", 0, 0, "Name"), ("Data", 0, 1, "N"), ("Data", 1, 0, "x & y"), ("Data", 1, 1, "3"), ("Data", 2, 1, "2024-01-01"),
+        ("Data", 3, 0, "TRUE"), ("Data", 3, 1, "06:00:00"), ("Data", 4, 0, "x & y"), ("Data", 4, 1, "1900-01-01"), ("Notes", 2, 1, "n")]
+    data = workbooks.ingest_workbooks(spark, str(tmp_path)).where("sheet_no = 0")
+    wide = tables.cells_to_table(data, 2).orderBy("row").collect()
+    assert tuple(wide[2]) == (2, None, "2024-01-01")
+
+
+def test_raw_tables_keep_every_cell(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('Report 2024\na,b,c\n1,"x\ny, ""z""",3,,,,,,,,,,13\n,,\n')
+    got = tables.read_raw_table(spark, str(tmp_path / "t.csv"))
+    assert got.columns == ["row_id", *[f"c{i}" for i in range(13)]]
+    rows = [tuple(r)[1:4] + (r["c12"],) for r in got.orderBy("row_id").collect()]
+    assert rows == [("Report 2024", None, None, None), ("a", "b", "c", None), ("1", 'x\ny, "z"', "3", "13"), (None, None, None, None)]
+
+
+def test_store_keeps_tables_apart(spark, tmp_path):
+    root = str(tmp_path)
+    store.write_stage(spark.createDataFrame([(1, "x")], "a int, b string"), root, "Book 1.xlsx", "S", "uploads", "001")
+    store.write_stage(spark.createDataFrame([(2.5, None)], "price double, q string"), root, "Book 1.xlsx", "S", "uploads", "1")
+    one = store.read_stage(spark, root, "Book 1.xlsx", "S", "uploads", "001")
+    assert one.columns == ["a", "b"] and one.collect() == [(1, "x")]
+    assert store.read_stage(spark, root, "Book_1", "S", "uploads", "1").collect() == [(2.5, None)]
+    assert store.read_stage(spark, root, "Book 1.xls", "S", "uploads").count() == 2
