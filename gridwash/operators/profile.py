@@ -236,6 +236,24 @@ def describe(df: DataFrame, order_by=()) -> DataFrame:
     )
 
 
+def describe_dates(df: DataFrame, order_by=()) -> DataFrame:
+    """count, mean, min, quartiles, max of every date or time column, as timestamps.
+
+    Times are numbers of microseconds in between; quartiles are exact.
+    """
+    cols = [c for c in data_columns(df, order_by) if type_kind(df.schema[c].dataType) == "datetime"]
+
+    def micros(c):
+        return F.unix_micros(F.to_timestamp(cells.column(c).cast("timestamp_ntz")))
+
+    numbers = describe(df.select(*[micros(c).cast("double").alias(c) for c in cols]))
+
+    def time(c):
+        return F.timestamp_micros(F.round(c).cast("long")).cast("timestamp_ntz").alias(c)
+
+    return numbers.select("column", "count", *[time(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
+
+
 def type_kind(dtype: T.DataType) -> str:
     """numeric / text / datetime / other."""
     if isinstance(dtype, T.NumericType):

@@ -1,9 +1,11 @@
 """Exact quantiles of many columns without holding a column's values in one task.
 
-A bounded-state sketch proposes a bracket around each wanted rank, one counting
-pass proves where the rank lies, and the bracket shrinks by that proof until the
-few distinct values inside it can be ranked exactly. Every pass is one wide
-aggregate: map-side partials, one row out, no shuffle of the data.
+All columns and ranks go through the same rounds together, so the number of passes does
+not grow with the columns. A round is two wide aggregates (map-side partials, one row
+out): a sketch proposes a bracket around each wanted rank, and counts prove where the
+rank lies. A rank that stands on a bracket's end is found; the others go on inside. Once
+few values are left in every bracket, they are counted and ranked in the cluster, and
+only the wanted ones come to the driver. One round shrinks a bracket by some thousands.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwash.functions import cells
 
-_DISTINCT_LIMIT = 1_000_000
+#: Values that a bracket may hold to be ranked, and the accuracy of the sketches.
+_LIMIT = 200_000
 _ACCURACY = 10_000
 
 
@@ -34,51 +37,36 @@ def exact_quantiles(
     columns,
     probs=(0.25, 0.5, 0.75),
     counts: dict[str, int] | None = None,
-    distinct_limit: int = _DISTINCT_LIMIT,
+    limit: int = _LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column; None for a column without values.
 
-    ``counts`` saves a pass when the number of values per column is known.
+    ``counts`` saves a pass when the number of values per column is known. Brackets of at
+    most ``limit`` values are ranked; the result does not depend on it.
     """
     columns = list(columns)
     if not columns:
         return {}
     counts = value_counts(df, columns) if counts is None else counts
-    out = {c: [None] * len(probs) for c in columns}
-    large = [c for c in columns if counts[c] > distinct_limit]
-    if large:
-        row = df.agg(
-            *[F.approx_count_distinct(number(c)).alias(f"d{i}") for i, c in enumerate(large)]
-        ).first()
-        large = [c for i, c in enumerate(large) if row[f"d{i}"] > distinct_limit]
-    small = [c for c in columns if counts[c] and c not in large]
-    if small:
-        # Values are counted across the cluster first, so ranking sees one row per
-        # distinct value, a number bounded above, and only rows at wanted ranks remain.
-        pairs = [F.struct(F.lit(c).alias("column"), number(c).alias("v")) for c in small]
-        counted = (
-            df.select(F.inline(F.array(*pairs)))
-            .where("v IS NOT NULL")
-            .groupBy("column", "v")
-            .agg(F.count("*").alias("n"))
-        )
-        ascending = Window.partitionBy("column").orderBy("v")
-        ranked = counted.withColumn("upto", F.sum("n").over(ascending))
-        ranks = {c: _ranks(counts[c], probs) for c in small}
-        wanted = cells.any_of(
-            (F.col("column") == c) & (F.col("upto") - F.col("n") <= r) & (F.col("upto") > r)
-            for c in small
-            for r in ranks[c]
-        )
-        found = {c: {} for c in small}
-        for row in ranked.where(wanted).collect():
-            for r in ranks[row["column"]]:
-                if row["upto"] - row["n"] <= r < row["upto"]:
-                    found[row["column"]][r] = row["v"]
-        out.update({c: _interpolate(counts[c], probs, found[c]) for c in small})
-    for c in large:
-        out[c] = _by_rank(df, c, counts[c], probs, distinct_limit)
-    return out
+    wanted = [(c, r) for c in columns if counts[c] for r in _ranks(counts[c], probs)]
+    # A bracket is (low, high, values up to low, values inside); its ends are outside.
+    open_ = {key: (None, None, 0, counts[key[0]]) for key in wanted}
+    found: dict[tuple[str, int], float] = {}
+    while any(b[3] > limit for b in open_.values()):
+        wide = {k: b for k, b in open_.items() if b[3] > limit}
+        for key, step in _narrow(df, wide).items():
+            if isinstance(step, tuple):
+                open_[key] = step
+            else:
+                found[key] = step
+                del open_[key]
+    found.update(_rank_inside(df, open_))
+    return {
+        c: _interpolate(counts[c], probs, {r: found[c, r] for r in _ranks(counts[c], probs)})
+        if counts[c]
+        else [None] * len(probs)
+        for c in columns
+    }
 
 
 def _ranks(n: int, probs) -> list[int]:
@@ -95,85 +83,82 @@ def _interpolate(n: int, probs, found: dict[int, float]) -> list[float]:
     return out
 
 
-def _by_rank(df, column, n, probs, distinct_limit):
-    ranks = _ranks(n, probs)
-    found = _order_statistics(df.select(number(column).alias("v")).where("v IS NOT NULL"), n, ranks, distinct_limit)
-    return _interpolate(n, probs, found)
-
-
-def _order_statistics(values: DataFrame, n: int, ranks, distinct_limit) -> dict[int, float]:
-    """{rank: value}. Open brackets are (low, high, count below low inclusive, count inside)."""
-    v = F.col("v")
-    open_ = {r: (None, None, 0, n) for r in ranks}
-    found: dict[int, float] = {}
-
-    def inside(low, high):
-        cond = F.lit(True)
-        if low is not None:
-            cond = cond & (v > F.lit(low))
-        if high is not None:
-            cond = cond & (v < F.lit(high))
-        return cond
-
-    while open_:
-        todo = list(open_.items())
-        sketch = values.agg(
-            *[
-                F.approx_count_distinct(F.when(inside(b[0], b[1]), v)).alias(f"d{i}")
-                for i, (_, b) in enumerate(todo)
-            ],
-            *[
-                F.percentile_approx(
-                    F.when(inside(b[0], b[1]), v),
-                    [
-                        max(0.0, (r - b[2]) / b[3] - 2.0 / _ACCURACY),
-                        min(1.0, (r - b[2] + 1) / b[3] + 2.0 / _ACCURACY),
-                    ],
-                    _ACCURACY,
-                ).alias(f"s{i}")
-                for i, (r, b) in enumerate(todo)
-            ],
-        ).first()
-        counts = values.agg(
-            *[
-                F.count(F.when(inside(b[0], b[1]) & cond(F.lit(s)), v)).alias(f"{name}{i}")
-                for i, (_, b) in enumerate(todo)
-                for name, s, cond in (
-                    ("a", sketch[f"s{i}"][0], lambda s: v < s),
-                    ("b", sketch[f"s{i}"][0], lambda s: v == s),
-                    ("c", sketch[f"s{i}"][1], lambda s: v < s),
-                    ("e", sketch[f"s{i}"][1], lambda s: v == s),
-                )
-            ]
-        ).first()
-        close: dict[int, tuple] = {}
-        for i, (r, (low, high, below, inner)) in enumerate(todo):
-            if sketch[f"d{i}"] <= distinct_limit:
-                close[r] = (low, high, below)
-                del open_[r]
-                continue
-            s, t = sketch[f"s{i}"]
-            a, b, c, e = (counts[f"{k}{i}"] for k in "abce")
-            k = r - below
-            if k < a:
-                open_[r] = (low, s, below, a)
-            elif k < a + b:
-                found[r] = s
-                del open_[r]
-            elif k < c:
-                open_[r] = (s, t, below + a + b, c - a - b)
-            elif k < c + e:
-                found[r] = t
-                del open_[r]
-            else:
-                open_[r] = (t, high, below + c + e, inner - c - e)
-        for r, (low, high, below) in close.items():
-            # At most about distinct_limit (value, count) pairs, by the sketch above.
-            pairs = values.where(inside(low, high)).groupBy("v").agg(F.count("*").alias("k"))
-            seen = 0
-            for row in pairs.orderBy("v").collect():
-                seen += row["k"]
-                if seen > r - below:
-                    found[r] = row["v"]
-                    break
-    return found
+def _inside(v, low, high):
+    if low is not None and high is not None:
+        return (v > F.lit(low)) & (v < F.lit(high))
+    return v > F.lit(low) if low is not None else v < F.lit(high) if high is not None else v.isNotNull()
+
+
+def _narrow(df: DataFrame, open_: dict) -> dict:
+    """{(column, rank): value or smaller bracket}: one sketch pass, one counting pass."""
+    todo = list(open_.items())
+
+    def shares(rank, bracket):
+        place, size = rank - bracket[2], bracket[3]
+        return [max(0.0, place / size - 2.0 / _ACCURACY), min(1.0, (place + 1) / size + 2.0 / _ACCURACY)]
+
+    sketch = df.agg(
+        *[
+            F.percentile_approx(F.when(_inside(number(c), b[0], b[1]), number(c)), shares(r, b), _ACCURACY).alias(f"s{i}")
+            for i, ((c, r), b) in enumerate(todo)
+        ]
+    ).first()
+    tests = {"a": lambda v, s, t: v < s, "b": lambda v, s, t: v == s, "c": lambda v, s, t: v < t, "e": lambda v, s, t: v == t}
+    proof = df.agg(
+        *[
+            F.count_if(_inside(number(c), b[0], b[1]) & test(number(c), *map(F.lit, sketch[f"s{i}"]))).alias(f"{name}{i}")
+            for i, ((c, _), b) in enumerate(todo)
+            for name, test in tests.items()
+        ]
+    ).first()
+    out = {}
+    for i, ((c, r), (low, high, below, inner)) in enumerate(todo):
+        s, t = sketch[f"s{i}"]
+        under_s, at_s, under_t, at_t = (proof[f"{name}{i}"] for name in tests)
+        k = r - below
+        if k < under_s:
+            out[c, r] = (low, s, below, under_s)
+        elif k < under_s + at_s:
+            out[c, r] = s
+        elif k < under_t:
+            out[c, r] = (s, t, below + under_s + at_s, under_t - under_s - at_s)
+        elif k < under_t + at_t:
+            out[c, r] = t
+        else:
+            out[c, r] = (t, high, below + under_t + at_t, inner - under_t - at_t)
+    return out
+
+
+def _rank_inside(df: DataFrame, open_: dict) -> dict:
+    """{(column, rank): value} for brackets of few values, in one job.
+
+    Values are counted across the cluster first, and ranks of one bracket share it. The
+    window sees the distinct values of a bracket, of which there are at most ``limit``.
+    """
+    if not open_:
+        return {}
+    brackets: dict[tuple, list] = {}
+    for (c, r), (low, high, below, _) in open_.items():
+        brackets.setdefault((c, low, high), []).append((r, below))
+    keys = list(brackets)
+    cells_in = [
+        F.struct(F.lit(i).alias("bracket"), F.when(_inside(number(c), low, high), number(c)).alias("v"))
+        for i, (c, low, high) in enumerate(keys)
+    ]
+    counted = df.select(F.inline(F.array(*cells_in))).where("v IS NOT NULL").groupBy("bracket", "v").agg(
+        F.count("*").alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("v"))
+    ranked = counted.withColumn("upto", upto)
+    hit = cells.any_of(
+        (F.col("bracket") == i) & (F.col("upto") - F.col("n") <= r - below) & (F.col("upto") > r - below)
+        for i, key in enumerate(keys)
+        for r, below in brackets[key]
+    )
+    out = {}
+    for row in ranked.where(hit).collect():
+        key = keys[row["bracket"]]
+        for r, below in brackets[key]:
+            if row["upto"] - row["n"] <= r - below < row["upto"]:
+                out[key[0], r] = row["v"]
+    return out

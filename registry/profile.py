@@ -130,6 +130,19 @@ def a09(d):
     return profile.numeric_stats(d.table("lineitem").select(*LINES))
 
 
+@query(
+    "a10_describe_dates",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, make_timestamp(CAST(round(avg(epoch_us({c}))) AS BIGINT)) AS mean, min({c}) AS min, "
+        + ", ".join(f"make_timestamp(CAST(round(quantile_cont(epoch_us({c}), 0.{q})) AS BIGINT)) AS q{q}" for q in (25, 50, 75))
+        + f", max({c}) AS max FROM {t}"
+        for t, c in (("lineitem", "l_shipdate"),)
+    ),
+)
+def a10_dates(d):
+    return profile.describe_dates(d.table("lineitem").select("l_linenumber", "l_shipdate"))
+
+
 @query(
     "a10_describe",
     s.per_column(

@@ -21,12 +21,27 @@ def test_quantiles_by_rank_equal_numpy(spark):
     pdf.loc[::11, "b"] = np.nan
     df = spark.createDataFrame(pdf)
     probs = (0.0, 0.1, 0.25, 0.5, 0.58, 0.75, 0.999, 1.0)
-    got = exact_quantiles(df, ["a", "b"], probs, distinct_limit=50)
+    got = exact_quantiles(df, ["a", "b"], probs, limit=50)
     for c in ("a", "b"):
         want = np.quantile(pdf[c].dropna(), probs)
         assert np.allclose(got[c], want, rtol=0, atol=1e-12), c
 
 
+def test_quantile_jobs_do_not_grow_with_columns(spark):
+    rnd = np.random.default_rng(6)
+    pdf = pd.DataFrame(rnd.normal(size=(3000, 12)), columns=[f"c{i}" for i in range(12)])
+    df = spark.createDataFrame(pdf).cache()
+    df.count()
+    jobs = []
+    for n in (2, 12):
+        spark.sparkContext.setJobGroup(f"quantiles{n}", "")
+        got = exact_quantiles(df, list(pdf.columns[:n]), limit=100)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles{n}")))
+        assert np.allclose(got["c1"], np.quantile(pdf["c1"], (0.25, 0.5, 0.75)), rtol=0, atol=1e-12)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
 def test_quantiles_of_empty_and_single(spark):
     df = spark.createDataFrame([(None, 3.0)], "a double, b double")
     assert exact_quantiles(df, ["a", "b"], (0.25, 0.75)) == {"a": [None, None], "b": [3.0, 3.0]}
