@@ -28,6 +28,8 @@ from gridwash.llm.tables import drop_stored, stored
 
 #: Bytes under the rolling hash, radius of its minima, bytes kept right of a trigger.
 GRAM, RADIUS, RIGHT = 12, 48, 64
+#: Different contexts of a trigger that one task compares; more are compared by a join.
+CROWD = 4096
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -150,33 +152,95 @@ def _block_table(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(cut, "key long, full long, uid long, span long, n long, lone boolean")
 
 
-def _start_table(open_texts: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, uid, start, asked): the single starts of the blocks to be compared."""
+def _contexts(texts: DataFrame, length: int) -> DataFrame:
+    """(key, uid, start, bytes, asked): what the strings of each block to be compared cover."""
 
     def spread(batches):
         for batch in batches:
-            asked, lent = batch.column(2), batch.column(3)
-            for r0, r1, data, at in words.pieces(batch.column(1)):
-                first, second = words.Rolling(data), words.Rolling(data, 1)
-                for r in range(r0, r1):
-                    for spans, wanted in ((asked[r].as_py(), True), (lent[r].as_py(), False)):
-                        if not spans:
-                            continue
-                        pairs = np.array(sorted(spans), np.int64)
-                        start = np.concatenate([np.arange(s >> 32, (s & 0xFFFFFFFF) + 1) for s in pairs])
-                        there = start + at[r - r0]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(words.signed(first(there, there + length))),
-                                pa.array(words.signed(second(there, there + length))),
-                                pa.array(np.full(len(start), batch.column(0)[r].as_py())),
-                                pa.array(start.astype(np.int32)),
-                                pa.array(np.full(len(start), wanted)),
-                            ],
-                            ["h1", "h2", "uid", "start", "asked"],
-                        )
-
-    return open_texts.mapInArrow(spread, "h1 long, h2 long, uid long, start int, asked boolean")
+            rows = [[] for _ in range(5)]
+            for uid, text, blocks in zip(batch.column(0), words.binary(batch.column(1)), batch.column(2)):
+                data = text.as_buffer()
+                for block in blocks.as_py():
+                    lo, hi = block["span"] >> 32, block["span"] & 0xFFFFFFFF
+                    own = (block["key"], uid.as_py(), lo, data[lo : hi + length].to_pybytes(), block["asked"])
+                    for column, value in zip(rows, own):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r, k) for r, k in zip(rows, kinds)], ["key", "uid", "start", "bytes", "asked"]
+            )
+
+    return texts.mapInArrow(spread, "key long, uid long, start int, bytes binary, asked boolean")
+
+
+def _windows(table: pa.Table, length: int):
+    """Every string of some contexts: (number of the context, start in the text, two hashes)."""
+    column = words.binary(table.column("bytes").combine_chunks())
+    first_start = table.column("start").to_numpy()
+    for r0, r1, data, at in words.pieces(column):
+        n = np.diff(at) - length + 1
+        row = np.repeat(np.arange(r1 - r0), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        there = at[row] + inner
+        first, second = words.Rolling(data), words.Rolling(data, 1)
+        yield row + r0, first_start[row + r0] + inner, first(there, there + length), second(there, there + length)
+
+
+def _compare_near(contexts: DataFrame, length: int) -> DataFrame:
+    """(uid, start): asked starts whose string occurs twice among the contexts of a key.
+
+    Contexts of a key stand together in a sorted partition; a task holds whole keys, of
+    which each has at most ``CROWD`` different contexts.
+    """
+
+    def alike(table: pa.Table):
+        asked, uid = table.column("asked").to_numpy(), table.column("uid").to_numpy()
+        parts = list(zip(*_windows(table, length)))
+        row, start, h1, h2 = (np.concatenate(x) for x in parts)
+        order = np.lexsort((h2, h1))
+        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        found = order[twice]
+        found = found[asked[row[found]]]
+        return pa.RecordBatch.from_arrays([pa.array(uid[row[found]]), pa.array(start[found], pa.int32())], ["uid", "start"])
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key = held.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if held.num_rows else 0
+            if cut:
+                yield alike(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield alike(held)
+
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "uid long, start int")
+
+
+def _compare_far(contexts: DataFrame, length: int) -> DataFrame:
+    """As ``_compare_near``, start by start, for keys with any number of contexts."""
+
+    def spread(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            asked, uid = table.column("asked").combine_chunks(), table.column("uid").combine_chunks()
+            for row, start, h1, h2 in _windows(table, length):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.signed(h1)), pa.array(words.signed(h2)), uid.take(at), pa.array(start, pa.int32()), asked.take(at)],
+                    ["h1", "h2", "uid", "start", "asked"],
+                )
+
+    starts = stored(contexts.mapInArrow(spread, "h1 long, h2 long, uid long, start int, asked boolean"), "starts")
+    common = starts.groupBy("h1", "h2").agg(F.count("*").alias("_c")).where("_c > 1").select("h1", "h2")
+    return starts.where("asked").join(common, ["h1", "h2"]).select("uid", "start")
 
 
 def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
@@ -201,36 +265,45 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) ->
         F.monotonically_increasing_id().alias("order"),
     )
     every = stored(_block_table(texts.select("uid", "text"), length), "blocks")
-    known = every.where("key IS NULL").select("uid", "span")
     twice = every.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("_c")).where("_c > 1").select("key")
-    alive = stored(every.join(twice, "key"), "alive")
-    wholes = stored(
-        alive.groupBy("key", "full").agg(F.sum("n").alias("c"), F.min("uid").alias("lender")), "wholes"
-    )
-    varied = wholes.groupBy("key").agg(F.count("*").alias("_d")).where("_d > 1").select("key", F.lit(True).alias("varied"))
+    known = every.where("key IS NULL")
+    alive = stored(every.join(twice, "key").unionByName(known), "alive")
+    drop_stored(every)
+    keyed = alive.where("key IS NOT NULL")
+    wholes = keyed.groupBy("key", "full").agg(F.sum("n").alias("c"), F.min("uid").alias("lender"))
+    wholes = stored(wholes, "wholes")
+    varied = wholes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wholes = wholes.join(varied, "key", "left")
-    state = (
-        F.when(F.col("c") > 1, F.when(F.col("varied") & ~F.col("lone") & (F.col("uid") == F.col("lender")), "lent").otherwise("all"))
-        .when(~F.col("lone"), "asked")
-    )
-    marked = alive.join(wholes, ["key", "full"]).select("uid", "span", state.alias("state")).where("state IS NOT NULL")
-    marked = marked.union(known.withColumn("state", F.lit("all"))).distinct()
-    kind = lambda *s: F.collect_list(F.when(F.col("state").isin(*s), F.col("span")))
+    lent = (F.col("c") > 1) & F.col("kinds").isNotNull() & ~F.col("lone") & (F.col("uid") == F.col("lender"))
+    asked = (F.col("c") == 1) & F.col("kinds").isNotNull() & ~F.col("lone")
+    marked = keyed.join(wholes, ["key", "full"]).select(
+        "uid", "span",
+        (F.col("c") > 1).alias("sure"),
+        F.when(lent | asked, F.col("key")).alias("key"),
+        asked.alias("asked"),
+        (F.coalesce("kinds", F.lit(0)) > CROWD).alias("far"),
+    ).where("sure OR key IS NOT NULL")
+    marked = marked.union(
+        alive.where("key IS NULL").select("uid", "span", F.lit(True), "key", F.lit(False), F.lit(False))
+    ).distinct()
+    block = F.when(F.col("key").isNotNull(), F.struct("span", "key", "asked", "far"))
     states = marked.groupBy("uid").agg(
-        kind("all", "lent").alias("sure"), kind("asked").alias("asked"), kind("lent").alias("lent")
+        F.collect_list(F.when(F.col("sure"), F.col("span"))).alias("sure"), F.collect_list(block).alias("blocks")
     )
-    joined = stored(texts.join(states, "uid", "left"), "joined")
-    drop_stored(every)
+    joined = stored(texts.join(states, "uid", "left"), "joined", "zstd")
     drop_stored(alive)
     # Of the copies of a text one lends its strings.
     touched = joined.where("sure IS NOT NULL")
-    open_texts = touched.where((F.size("asked") > 0) | (F.size("lent") > 0))
+    open_texts = touched.where(F.size("blocks") > 0)
     head = open_texts.groupBy("uid").agg(F.min("order").alias("order"))
-    starts = stored(
-        _start_table(open_texts.join(head, ["uid", "order"]).select("uid", "text", "asked", "lent"), length), "starts"
+    open_texts = open_texts.join(head, ["uid", "order"])
+    some = lambda far: _contexts(
+        open_texts.select("uid", "text", F.filter("blocks", lambda x: x["far"] == far).alias("blocks")), length
     )
-    common = starts.groupBy("h1", "h2").agg(F.count("*").alias("_c")).where("_c > 1").select("h1", "h2")
-    more = starts.where("asked").join(common, ["h1", "h2"]).groupBy("uid").agg(F.collect_list("start").alias("starts"))
+    found = _compare_near(some(False), length)
+    if not wholes.where(F.col("kinds") > CROWD).isEmpty():
+        found = found.union(_compare_far(some(True), length))
+    more = found.groupBy("uid").agg(F.collect_list("start").alias("starts"))
     rest = touched.join(more, "uid", "left").select("row", "text", "sure", "starts")
     schema = rest.select("row").schema
     removed = rest.mapInArrow(

@@ -278,7 +278,9 @@ def test_repeats(spark, docs, empty, rows):
     assert repeats.find_repeats(empty).count() == 0
 
 
-def test_repeats_random_edits(spark):
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 2])
+def test_repeats_random_edits(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rng = random.Random(8)
     base = prose(900, rng)
     texts = []
@@ -352,7 +354,9 @@ def test_near_duplicates(spark, docs, empty, rows):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_chains_and_large_groups(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 700])
+def test_near_duplicates_in_chains_and_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
     texts, base = [], prose(60, rng).split()
     for i in range(80):  # a chain: neighbours are alike, ends are not
