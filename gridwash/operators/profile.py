@@ -105,23 +105,16 @@ def missing_overall(df: DataFrame, order_by=()) -> DataFrame:
     )
 
 
-def _is_wide(df: DataFrame, columns) -> bool:
-    """More than a digest's worth of bytes per row is to be expected."""
-    texts = sum(type_kind(df.schema[c].dataType) != "numeric" for c in columns)
-    return texts >= 3 or len(columns) > 8
-
-
-def repeat_counts(df: DataFrame, order_by=(), digest: bool | None = None) -> DataFrame:
+def repeat_counts(df: DataFrame, order_by=(), digest: bool = True) -> DataFrame:
     """Row groups with their size ``copies`` (null equals null and NaN).
 
     Copies collapse map-side before the shuffle, so a row that fills a third of the
-    table costs one row per task. ``digest`` shuffles a 256-bit row digest instead
-    of the whole row, by default for wide rows: mostly distinct rows then move 32
-    bytes each.
+    table costs one row per task. Rows are grouped by a 256-bit digest, so mostly
+    distinct rows move 32 bytes each; ``digest=False`` keeps the columns.
     """
     cols = data_columns(df, order_by)
     types = _types(df)
-    if _is_wide(df, cols) if digest is None else digest:
+    if digest:
         row = cells.row_json(types, cols)
         return df.groupBy(F.unhex(F.sha2(row, 256)).alias("digest")).agg(
             F.count("*").alias("copies")
@@ -131,7 +124,7 @@ def repeat_counts(df: DataFrame, order_by=(), digest: bool | None = None) -> Dat
     )
 
 
-def duplicate_rows(df: DataFrame, order_by=(), digest: bool | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, order_by=(), digest: bool = True) -> DataFrame:
     """duplicate_rows: repeats after the first."""
     return repeat_counts(df, order_by, digest).agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0).cast("long")).alias("duplicate_rows")
@@ -295,7 +288,7 @@ def content_format(in_sample: Column) -> Column:
     return pick
 
 
-def sample_facts(df: DataFrame, order_by, columns=None, n_rows: int | None = None) -> DataFrame:
+def sample_facts(df: DataFrame, order_by, columns=None) -> DataFrame:
     """Everything that is decided on the first 10 / 20 / 100 values, one row per column."""
     cols = list(columns if columns is not None else text_columns(df, order_by))
     v, pos = F.col("value"), F.col("pos")
@@ -303,7 +296,7 @@ def sample_facts(df: DataFrame, order_by, columns=None, n_rows: int | None = Non
     numeric, date = cells.is_number(v), cells.is_date(v)
     padded = v != cells.trim_text(v)
     return (
-        first_k(df, cols, order_by, FACT_SAMPLE, n_rows)
+        first_k(df, cols, order_by, FACT_SAMPLE)
         .groupBy("column")
         .agg(
             F.count_if(in20).alias("sampled"),
@@ -467,14 +460,13 @@ def column_profile(df: DataFrame, order_by, max_columns: int | None = None) -> D
         },
         {"total_count": F.count("*")},
     )
-    n_rows = df.count()
-    samples = first_distinct(df, cols, order_by, 5, n_rows)
+    samples = first_distinct(df, cols, order_by, 5)
     listed = samples.groupBy("column").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]
         ).alias("samples")
     )
-    facts = sample_facts(df, order_by, texts, n_rows).select(
+    facts = sample_facts(df, order_by, texts).select(
         "column", "padded_100", "n_number", "n_date", "n_text"
     )
     kinds = ("n_number", "n_date", "n_text")

@@ -1,9 +1,9 @@
 """The first k non-null values of every column, by an explicit order column.
 
 Unpivoting keeps the scan single, and ``row_number() <= k`` lets Spark prune each
-task to k rows per column before the shuffle (window group limit). On a large
-table a first pass finds an order value below which a small head of the table
-lies; columns that already have k values there never touch the rest.
+task to k rows per column before the shuffle (window group limit). The head of the
+table, a bounded number of rows, comes first; columns that have k values there never
+touch the rest.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gridwash.functions import cells
+from gridwash.session import cut_lineage
 
-_SMALL_TABLE = 2_000_000
-_ACCURACY = 10_000
+#: Rows of the head, at least.
+_HEAD = 1_000
 _DISTINCT_HEAD = 1_000
-_RANGE_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def as_list(x) -> list:
@@ -71,24 +71,26 @@ def _top(df: DataFrame, columns, order_by, k) -> DataFrame:
     )
 
 
-def first_k(df: DataFrame, columns, order_by, k: int, n_rows: int | None = None) -> DataFrame:
+def first_k(df: DataFrame, columns, order_by, k: int) -> DataFrame:
     """(column, pos, value) for the first ``k`` non-null values of each column.
 
-    ``n_rows`` saves a counting pass when it is known.
+    The first rows of the table (a bounded number, kept per task while it is scanned) are
+    written once. They settle every column that has k values there; only the columns that
+    are too sparse for that see the rest of the table.
     """
     columns, order_by = list(columns), as_list(order_by)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, pos int, value string")
-    lead = order_by[0]
-    rangeable = isinstance(df.schema[lead].dataType, _RANGE_TYPES)
-    if not rangeable or (df.count() if n_rows is None else n_rows) <= _SMALL_TABLE:
-        return _top(df, columns, order_by, k)
-    bound = df.agg(F.percentile_approx(cells.column(lead), 4.0 / _ACCURACY, _ACCURACY)).first()[0]
-    if bound is None:
-        return _top(df, columns, order_by, k)
-    # A null order value sorts first, so it belongs to the head too.
-    head = df.where((cells.column(lead) <= F.lit(bound)) | cells.column(lead).isNull())
-    sample = _top(head, columns, order_by, k)
+    used = dict.fromkeys([*order_by, *columns])
+    place = F.struct(*[cells.column(o) for o in order_by])
+    size = max(_HEAD, 2 * k)
+    first = df.select(*[cells.column(c) for c in used]).orderBy(*[cells.column(o) for o in order_by]).limit(size)
+    head = cut_lineage(first)
+    if head.count() < size:
+        return _top(head, columns, order_by, k)
+    # Rows that tie with the last one may lie outside; the head ends before them.
+    last = F.max(place).over(Window.partitionBy())
+    sample = _top(head.withColumn("_last", last).where(place < F.col("_last")), columns, order_by, k)
     full = {r["column"] for r in sample.groupBy("column").count().where(F.col("count") >= k).collect()}
     sparse = [c for c in columns if c not in full]
     if not sparse:
@@ -106,9 +108,7 @@ def _distinct_of(seen: DataFrame, k: int) -> DataFrame:
     )
 
 
-def first_distinct(
-    df: DataFrame, columns, order_by, k: int, n_rows: int | None = None
-) -> DataFrame:
+def first_distinct(df: DataFrame, columns, order_by, k: int) -> DataFrame:
     """(column, pos, value) for the first ``k`` distinct values of each column.
 
     The first 1,000 values of a column settle it when they hold k distinct ones or
@@ -117,7 +117,7 @@ def first_distinct(
     """
     columns, order_by = list(columns), as_list(order_by)
     seen = (
-        first_k(df, columns, order_by, _DISTINCT_HEAD, n_rows)
+        first_k(df, columns, order_by, _DISTINCT_HEAD)
         .groupBy("column", "value")
         .agg(F.min("pos").alias("first_seen"), F.count("*").alias("n"))
     )

@@ -58,7 +58,7 @@ def measure(
     n_rows = seen["n_rows"]
     missing = {c: seen[f"_m{i}"] for i, c in enumerate(cols)}
     filled = {c: n_rows - missing[c] for c in cols}
-    facts = {r["column"]: r for r in sample_facts(df, order_by, cols, n_rows).collect()}
+    facts = {r["column"]: r for r in sample_facts(df, order_by, cols).collect()}
     formats_found = {
         c: formats.detect_format_by_name(c) or (facts[c]["content_format"] if c in facts else None)
         for c in cols

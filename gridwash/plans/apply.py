@@ -104,7 +104,10 @@ def clean_until(
         chosen = top_suggestions(rule_suggestions(df, order_by), per_round).collect()
         if not chosen:
             break
-        df = cut_lineage(apply_plan(df, order_by, [r["op"] for r in chosen]))
+        # Suggestions come in rule order and their operations work on all columns at once
+        # and change nothing the second time, so each is applied once.
+        steps = list(dict.fromkeys(r["op"] for r in chosen))
+        df = cut_lineage(apply_plan(df, order_by, steps))
         report = score.dimension_scores(score.measure(df, order_by, with_memory=False))
         row = report.select("n_rows", "n_cols", score.total_score().alias("score")).first()
         history.append((i, row["score"], len(chosen), row["n_rows"], row["n_cols"]))

@@ -91,7 +91,7 @@ def test_first_k_of_a_large_table(spark, monkeypatch):
         F.lit(None).cast("string").alias("never"),
     )
     plain = sampling.first_k(df, ["dense", "sparse", "never"], "id", 4).collect()
-    monkeypatch.setattr(sampling, "_SMALL_TABLE", 100)
+    monkeypatch.setattr(sampling, "_HEAD", 100)
     large = sampling.first_k(df, ["dense", "sparse", "never"], "id", 4).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, large))
     assert len(plain) == 8
