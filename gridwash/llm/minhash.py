@@ -357,7 +357,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col, text_col, **options)
     rank = F.row_number().over(Window.partitionBy("class_id").orderBy(F.col(id_col).asc_nulls_last(), "key"))
-    gone = (
+    stays = (
         found.where("class_id IS NOT NULL").withColumn("_rank", rank).where("_rank = 1")
         .select(F.col(id_col).alias("_id"), F.col("key").alias("_key"))
     )
@@ -365,6 +365,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wordless = found.where("class_id IS NULL").select(F.col("key").alias("_key")).distinct()
     first = F.row_number().over(Window.partitionBy("_own_id", "_own_key").orderBy(F.lit(0)))
     same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key"))
-    kept = tagged.join(gone, same, "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    kept = tagged.join(stays, same, "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
     empty = tagged.join(wordless, F.col("_own_key") == F.col("_key"), "left_semi")
     return kept.unionByName(empty).select(*[column(c) for c in docs.columns])

@@ -169,10 +169,12 @@ def nearest(
     part, nor do rows without an id or of another length than most; repeated rows count
     once; an empty table gives no rows; fewer candidates than ``k`` give fewer rows.
     """
-    rows = vectors.select(column(id_col).cast("long").alias("id"), column(vector_col).cast("array<float>").alias("vec"))
+    given = vectors.select(column(vector_col)).schema[0].dataType.simpleString()
+    kind = "float" if given == "array<float>" else "double"
+    rows = vectors.select(column(id_col).cast("long").alias("id"), column(vector_col).cast(f"array<{kind}>").alias("vec"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
     # -0.0 and 0.0 are one value.
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))
     rows = rows.select("id", "vec", F.xxhash64("vec").alias("key"))
     sizes = rows.groupBy(F.size("vec").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
     if sizes is None:
