@@ -251,3 +251,56 @@ LIMITS = {
     "ai_calls": (20, "1 minute"),
     "uploads": (100, "1 hour"),
 }
+
+# --- fixed values: texts of suggestions (description, action, impact) -----------------
+SUGGESTION_TEXTS = {
+    "missing": (
+        "Column '%s' has %.1f%% missing values",
+        "Consider dropping column '%s' or imputing values",
+        "Affects %.1f%% of rows",
+    ),
+    "padding": (
+        "Column '%s' contains leading/trailing whitespace",
+        "Trim whitespace from all values",
+        "Improves data consistency",
+    ),
+    "case": (
+        "Column '%s' has inconsistent text case",
+        "Standardize text case",
+        "Reduces unique values from %d to %d",
+    ),
+    "dates": (
+        "Column '%s' appears to contain dates as text",
+        "Convert to datetime format",
+        "Enables date operations and sorting",
+    ),
+    "numbers": (
+        "Column '%s' contains numbers stored as text",
+        "Convert to numeric type",
+        "Enables numeric operations",
+    ),
+    "single": (
+        "Column '%s' contains only one unique value",
+        "Consider dropping this column",
+        "Reduces redundant data",
+    ),
+    "repeats": (
+        "Remove %d duplicate rows",
+        "Drop duplicate rows keeping first occurrence",
+        "Removes %d rows",
+    ),
+}
+# --- fixed values: lines of the file-clean log ------------------------------------------
+CLEAN_LOG = {
+    "loaded": "Loaded table with shape: ({rows}, {columns})",
+    "rows": "Removed {n} completely empty rows",
+    "columns": "Removed {n} completely empty columns",
+    "header": "Used row {k} as headers, removed {k} rows (header + rows above)",
+    "no_header": "Generated column names (no header row detected)",
+    "names": "Cleaned {n} column names",
+    "trimmed": "Trimmed whitespace from text values",
+    "format": "Standardized '{column}' as {kind} format",
+    "dates": "Standardized '{column}' to YYYY/MM/DD date format",
+    "nulls": "Standardized NULL representations to NaN",
+    "changed": "Warning: Column count changed from {before} to {after}",
+}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from gridwash.functions import cells
+from gridwash.functions import cells, rules
 from gridwash.operators import convert, score, structure, validation
 from gridwash.operators.sampling import as_list, data_columns, text_columns
 from gridwash.plans.suggest import route, rule_suggestions, top_suggestions
@@ -138,39 +138,40 @@ def basic_clean(
         *[F.max(filled[c]).alias(f"_f{i}") for i, c in enumerate(cols)],
     ).first()
     keep = [c for i, c in enumerate(cols) if row[f"_f{i}"]]
-    log = [f"Loaded table with shape: ({row['n']}, {len(cols)})"]
+    said = rules.CLEAN_LOG
+    log = [said["loaded"].format(rows=row["n"], columns=len(cols))]
     if row["n"] > row["kept"]:
-        log.append(f"Removed {row['n'] - row['kept']} completely empty rows")
+        log.append(said["rows"].format(n=row["n"] - row["kept"]))
     if len(cols) > len(keep):
-        log.append(f"Removed {len(cols) - len(keep)} completely empty columns")
+        log.append(said["columns"].format(n=len(cols) - len(keep)))
     out = structure.drop_null_rows(df, order_by).select(
         *[cells.column(c) for c in df.columns if c in keep or c in keys]
     )
     if row["kept"]:
         k = structure.detect_header_row(out, order_by)
         out = structure.promote_header_row(out, order_by, k)
-        log.append(f"Used row {k + 1} as headers, removed {k + 1} rows (header + rows above)")
+        log.append(said["header"].format(k=k + 1))
     else:
         out = structure.generate_names(out, order_by)
-        log.append("Generated column names (no header row detected)")
+        log.append(said["no_header"])
     out = structure.clean_column_names(out, order_by)
-    log.append(f"Cleaned {len(data_columns(out, order_by))} column names")
+    log.append(said["names"].format(n=len(data_columns(out, order_by))))
     if name_generic:
         out = structure.name_generic_columns(out, order_by)
     out = convert.trim_all(out, order_by)
-    log.append("Trimmed whitespace from text values")
+    log.append(said["trimmed"])
     if formats:
         kinds = convert.column_kinds(out, order_by)
         out = out.withColumns({c: convert.rewrite_kind(c, k) for c, k in kinds.items()})
-        log += [f"Standardized '{c}' as {k} format" for c, k in kinds.items()]
+        log += [said["format"].format(column=c, kind=k) for c, k in kinds.items()]
     dates = convert.date_columns(out, order_by)
     out = convert.standardize_dates(out, order_by, dates, on_unparsed=on_unparsed)
-    log += [f"Standardized '{c}' to YYYY/MM/DD date format" for c in dates]
+    log += [said["dates"].format(column=c) for c in dates]
     out = convert.null_all_tokens(out, order_by)
-    log.append("Standardized NULL representations to NaN")
+    log.append(said["nulls"])
     n_cols = len(data_columns(out, order_by))
     if n_cols > len(cols):
-        log.append(f"Warning: Column count changed from {len(cols)} to {n_cols}")
+        log.append(said["changed"].format(before=len(cols), after=n_cols))
     return out, log
 
 

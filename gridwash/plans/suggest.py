@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwash.functions import cells
+from gridwash.functions import cells, rules
 from gridwash.operators import structure
 from gridwash.operators.profile import (
     _missing,
@@ -97,45 +97,28 @@ def rule_suggestions(df: DataFrame, order_by) -> DataFrame:
             ),
         )
 
-    text = F.format_string
+    def texts(kind, *values):
+        """Description, action and impact of a rule, filled with their values."""
+        filled = [*values, *[()] * (3 - len(values))]
+        return [F.format_string(t, *v) for t, v in zip(rules.SUGGESTION_TEXTS[kind], filled)]
+
     found = F.array_compact(
         F.array(
             row(
                 1, 0, percent > 70, "missing", "medium",
-                text("Column '%s' has %.1f%% missing values", name, percent),
-                text("Consider dropping column '%s' or imputing values", name),
-                text("Affects %.1f%% of rows", percent),
-            ),
-            row(
-                2, 0, F.col("padded_20"), "text", "high",
-                text("Column '%s' contains leading/trailing whitespace", name),
-                F.lit("Trim whitespace from all values"),
-                F.lit("Improves data consistency"),
+                *texts("missing", (name, percent), (name,), (percent,)),
             ),
+            row(2, 0, F.col("padded_20"), "text", "high", *texts("padding", (name,))),
             row(
                 2, 1, F.col("distinct_lower") < F.col("distinct_raw"), "text", "medium",
-                text("Column '%s' has inconsistent text case", name),
-                F.lit("Standardize text case"),
-                text("Reduces unique values from %d to %d", "distinct_raw", "distinct_lower"),
-            ),
-            row(
-                3, 0, F.col("all_dates"), "datetime", "high",
-                text("Column '%s' appears to contain dates as text", name),
-                F.lit("Convert to datetime format"),
-                F.lit("Enables date operations and sorting"),
+                *texts("case", (name,), (), ("distinct_raw", "distinct_lower")),
             ),
+            row(3, 0, F.col("all_dates"), "datetime", "high", *texts("dates", (name,))),
             row(
                 4, 0, F.col("all_numbers") & ~F.col("all_dates"), "numerical", "high",
-                text("Column '%s' contains numbers stored as text", name),
-                F.lit("Convert to numeric type"),
-                F.lit("Enables numeric operations"),
-            ),
-            row(
-                5, 0, F.col("single"), "structural", "low",
-                text("Column '%s' contains only one unique value", name),
-                F.lit("Consider dropping this column"),
-                F.lit("Reduces redundant data"),
+                *texts("numbers", (name,)),
             ),
+            row(5, 0, F.col("single"), "structural", "low", *texts("single", (name,))),
         )
     )
     per_col = facts.select("column", F.inline(found)).select(
@@ -143,18 +126,19 @@ def rule_suggestions(df: DataFrame, order_by) -> DataFrame:
         F.lit(True).alias("requires_code"), F.array("column").alias("affected_columns"), "impact",
     )
     n = F.col("duplicate_rows")
+    description, action, impact = texts("repeats", (n,), (), (n,))
     repeats = (
         duplicate_rows(df, order_by)
         .where("duplicate_rows > 0")
         .select(
             F.lit(0).alias("rule_ord"),
             F.lit("duplicates").alias("category"),
-            text("Remove %d duplicate rows", n).alias("description"),
-            F.lit("Drop duplicate rows keeping first occurrence").alias("action"),
+            description.alias("description"),
+            action.alias("action"),
             F.lit("high").alias("priority"),
             F.lit(True).alias("requires_code"),
             F.array(*[F.lit(c) for c in cols]).alias("affected_columns"),
-            text("Removes %d rows", n).alias("impact"),
+            impact.alias("impact"),
         )
     )
     op_of = {
