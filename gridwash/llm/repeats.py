@@ -244,7 +244,9 @@ def _compare_far(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
-    """The rows of ``docs`` in a struct ``row``, with n_bytes, n_removed, n_spans, kept.
+    """(row, absent, n_bytes, n_removed, n_spans, kept) for the rows of ``docs``.
+
+    ``row`` is a struct of all columns but the text, ``absent`` tells a null text.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts
     anywhere else, in this text or another; overlaps count; strings never cross texts
@@ -258,8 +260,10 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) ->
     if length < 256:
         raise ValueError("length must be at least 256 bytes")
     text = F.coalesce(column(text_col).cast("binary"), F.lit(b""))
+    # The text travels once; the struct holds all else.
+    others = [column(c) for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("none")]
     texts = docs.select(
-        F.struct(*[column(c) for c in docs.columns]).alias("row"),
+        F.struct(column(text_col).isNull().alias("absent"), F.struct(*others).alias("row")).alias("row"),
         text.alias("text"),
         F.xxhash64(text).alias("uid"),
         F.monotonically_increasing_id().alias("order"),
@@ -313,7 +317,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) ->
         "row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"),
     )
-    return whole.union(removed)
+    found = whole.union(removed)
+    return found.select(F.col("row.row").alias("row"), F.col("row.absent").alias("absent"), *found.columns[1:])
 
 
 def _remover(length: int):
@@ -349,7 +354,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
     """
     found = find_repeats(docs, text_col, length)
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") == 0, F.col("row")[text_col]).otherwise(
-        F.coalesce(whole, F.make_valid_utf8(F.col("kept").cast("string")))
+    text = F.when(
+        ~F.col("absent"), F.coalesce(whole, F.make_valid_utf8(F.col("kept").cast("string")))
     )
     return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
