@@ -355,16 +355,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of repeated rows with that id one stays; documents without words all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    rank = F.row_number().over(Window.partitionBy("class_id").orderBy(F.col(id_col).asc_nulls_last(), "key"))
-    stays = (
-        found.where("class_id IS NOT NULL").withColumn("_rank", rank).where("_rank = 1")
-        .select(F.col(id_col).alias("_id"), F.col("key").alias("_key"))
+    found = near_duplicates(docs, id_col, text_col, **options).select(
+        F.col(id_col).alias("id"), F.col("key"), F.col("class_id").alias("class")
     )
-    tagged = docs.withColumns({"_own_key": F.xxhash64(column(text_col)), "_own_id": column(id_col).cast("long")})
-    wordless = found.where("class_id IS NULL").select(F.col("key").alias("_key")).distinct()
-    first = F.row_number().over(Window.partitionBy("_own_id", "_own_key").orderBy(F.lit(0)))
-    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key"))
-    kept = tagged.join(stays, same, "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
-    empty = tagged.join(wordless, F.col("_own_key") == F.col("_key"), "left_semi")
-    return kept.unionByName(empty).select(*[column(c) for c in docs.columns])
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.col("id").asc_nulls_last(), "key"))
+    stays = found.where("class IS NOT NULL").withColumn("rank", rank).where("rank = 1").withColumn("every", F.lit(False))
+    wordless = found.where("class IS NULL").select("id", "key").distinct().withColumn("every", F.lit(True))
+    keep = stays.select("id", "key", "every").union(wordless)
+    # One shuffle of the texts: the window groups by the keys of the join. A null id is
+    # compared as a number of its own.
+    keys = ["_id", "_null", "_key"]
+    mark = lambda i, k: [F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_null"), k.alias("_key")]
+    rows = docs.select(
+        F.struct(*[column(c) for c in docs.columns]).alias("_row"),
+        *mark(column(id_col).cast("long"), F.xxhash64(column(text_col))),
+    )
+    joined = rows.join(keep.select(*mark(F.col("id"), F.col("key")), "every"), keys)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    kept = joined.withColumn("_first", first).where("every OR _first = 1")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
