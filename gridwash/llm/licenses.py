@@ -1,13 +1,16 @@
-"""License scans: lines and passages compared with licence templates.
+"""License scans: passages of texts compared with licence templates.
 
 Texts are normalised to words (letters and digits, A-Z lower-cased). A passage is a run
-of lines; it matches a template if the Dice coefficient of their sets of word bigrams
-reaches a threshold. Dice is at most 2 min(a, b) / (a + b) for sets of sizes a and b, so
-templates of the wrong size are never compared.
+of words, wherever its lines break; it matches a template if the Dice coefficient of
+their sets of word bigrams reaches a threshold t. With a bigrams in the template, Dice
+is 2 s / (a + b) for s shared ones of the b in the passage. So at least t a / (2 - t)
+are shared, and the passage has at most a (2 - t) / t.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -45,47 +48,100 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-#: Dice coefficient from which a passage matches, and the most lines of a passage.
-THRESHOLD, LINES = 0.8, 8
+#: Dice coefficient from which a passage matches.
+THRESHOLD = 0.8
 
 
-def _bigrams(data: np.ndarray, at: np.ndarray):
-    """(bigram hashes, row) of one piece; a row of one word gives that word."""
-    h, row, _, _ = words.hashed(data, at, words.ALNUM)
-    pair = words.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
-    same = row[1:] == row[:-1]
-    alone = np.flatnonzero(np.bincount(row, minlength=len(at) - 1)[row] == 1) if len(h) else np.zeros(0, int)
-    return np.concatenate([pair[same], h[alone]]), np.concatenate([row[:-1][same], row[alone]])
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of all pairs of neighbouring words."""
+    return words.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
 
 
 class Templates:
-    """The templates' bigram sets, and an inverted index from bigram to templates."""
+    """The templates' bigram sets, and an inverted index from bigram to templates.
+
+    A template of one word has no bigrams; it is found as that word.
+    """
 
-    def __init__(self, templates: dict[str, list[str]]):
+    def __init__(self, templates: dict[str, list[str]], threshold: float):
         self.names = [n for n, texts in templates.items() for _ in texts]
+        self.threshold = threshold
         column = pa.array([t.encode() for texts in templates.values() for t in texts], pa.binary())
-        sets = []
+        own = []
         for _, _, data, at in words.pieces(column):
-            h, row = _bigrams(data, at)
-            sets += [np.unique(h[row == r]) for r in range(len(at) - 1)]
-        self.sets, self.size = sets, np.array([len(s) for s in sets])
-        pairs = sorted((int(b), t) for t, s in enumerate(sets) for b in s)
+            h, row, _, _ = words.hashed(data, at, words.ALNUM)
+            own += [h[row == r] for r in range(len(at) - 1)]
+        # By word the first template that is this word alone.
+        self.single = {int(w[0]): t for t, w in reversed(list(enumerate(own))) if len(w) == 1}
+        self.sets = [np.unique(_pairs(w)) for w in own]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        pairs = sorted((int(b), t) for t, s in enumerate(self.sets) for b in s)
         self.bigram = np.array([b for b, _ in pairs], np.uint64)
         self.template = np.array([t for _, t in pairs], np.int64)
 
-    def known(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.bigram, h), max(len(self.bigram) - 1, 0))
-        return self.bigram[i] == h if len(self.bigram) else np.zeros(len(h), bool)
-
-    def best(self, own: np.ndarray, threshold: float):
-        """(template, Dice) of the best template that can and does reach the threshold."""
-        fits = 2 * np.minimum(self.size, len(own)) >= threshold * (self.size + len(own))
-        found = None
-        for t in np.flatnonzero(fits):
-            dice = 2 * len(np.intersect1d(own, self.sets[t], assume_unique=True)) / (len(own) + self.size[t])
-            if dice >= threshold and (found is None or dice > found[1]):
-                found = (int(t), float(dice))
-        return found
+    def likely(self, pair: np.ndarray, row: np.ndarray):
+        """(row, template) of the rows that hold enough bigrams of a template."""
+        lo = np.searchsorted(self.bigram, pair)
+        hi = np.searchsorted(self.bigram, pair, "right")
+        known = np.flatnonzero(hi > lo)
+        n = (hi - lo)[known]
+        at = np.repeat(lo[known] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        entries, count = max(len(self.bigram), 1), max(len(self.sets), 1)
+        every = np.unique(np.repeat(row[known], n) * entries + at)
+        both, shared = np.unique(every // entries * count + self.template[every % entries], return_counts=True)
+        row, t = both // count, both % count
+        enough = shared * (2 - self.threshold) >= self.threshold * self.size[t] - 1e-9
+        return row[enough], t[enough]
+
+    def passages(self, pair: np.ndarray, before: np.ndarray, after: np.ndarray, t: int):
+        """(Dice, first, last) of the passages of one text that match template ``t``.
+
+        Passages begin and end in a bigram of the template that they hold once: any
+        other first or last bigram can be left out without a loss. ``before`` and
+        ``after`` have the places of the same bigram before and after each place. As a
+        passage ends before its first bigram comes again, no place is in more passages
+        of different starts than the template has bigrams.
+        """
+        size = int(self.size[t])
+        inside = np.isin(pair, self.sets[t])
+        most = size * (2 - self.threshold) / self.threshold + 1e-9
+        out = []
+        for first in np.flatnonzero(inside):
+            seen = shared = 0
+            lo, step = int(first), 2 * size + 16
+            while lo < after[first] and seen <= most:
+                hi = min(lo + step, int(after[first]))
+                new = before[lo:hi] < first
+                distinct = seen + np.cumsum(new)
+                hit = new & inside[lo:hi]
+                both = shared + np.cumsum(hit)
+                dice = 2 * both / (distinct + size)
+                for j in np.flatnonzero(hit & (dice >= self.threshold)):
+                    out.append((float(dice[j]), int(first), lo + int(j)))
+                seen, shared, lo, step = int(distinct[-1]), int(both[-1]), hi, step * 2
+        return out
+
+
+def _places(pair: np.ndarray):
+    """Places of the same value before (or -1) and after (or the length) each place."""
+    order = np.argsort(pair, kind="stable")
+    same = pair[order[1:]] == pair[order[:-1]]
+    before, after = np.full(len(pair), -1), np.full(len(pair), len(pair))
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
+def _apart(passages: list[tuple[float, int, int, int]]):
+    """Passages (-Dice, first, last, template), best first, without those that meet a better one."""
+    firsts: list[int] = []
+    lasts: list[int] = []
+    for p in sorted(passages):
+        i = bisect.bisect_right(firsts, p[2])
+        if i == 0 or lasts[i - 1] < p[1]:
+            firsts.insert(i, p[1])
+            lasts.insert(i, p[2])
+            yield p
 
 
 def scan_licenses(
@@ -94,56 +150,54 @@ def scan_licenses(
     text_col: str = "text",
     templates: dict[str, list[str]] = TEMPLATES,
     threshold: float = THRESHOLD,
-    lines: int = LINES,
 ) -> DataFrame:
     """Per document: id, licenses (array of name, score, line, lines), sorted.
 
-    Every line of every text is looked at. A set that reaches the threshold has at least
-    t / (2 - t) of its bigrams in the template, so passages of 1 to ``lines`` lines are
-    built around lines that hold this share of known bigrams; their outer lines share
-    some as well. For each licence the best passage is told, ties to the earliest and
-    shortest.
+    Every run of words of every text is a passage, also in the middle of a line or over
+    any number of lines. A passage that meets a better one (of any licence) does not
+    count; of equal ones the earliest and shortest is better. For each licence the best
+    passage is told, with the line of its first word and the lines it spreads over.
 
-    Null and empty texts have no licence; repeated rows are each scanned; lines without
+    Null and empty texts have no licence; repeated rows are each scanned; texts without
     words match nothing; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold))
     kind = pa.list_(pa.struct([("name", pa.string()), ("score", pa.float64()), ("line", pa.int32()), ("lines", pa.int32())]))
 
     def scan(batches):
         known = shared.value
-        most = int(max(known.size, default=0) * (2 - threshold) / threshold) + 1
         for batch in batches:
             for lo, hi, data, at in words.pieces(batch.column(1)):
-                # Rows of the piece are cut into lines.
-                cut = np.union1d(at, np.flatnonzero(data == 10) + 1)
-                doc = np.searchsorted(at, cut[:-1], "right") - 1
-                h, line = _bigrams(data, cut)
-                order = np.argsort(line, kind="stable")
-                h, line = h[order], line[order]
-                bounds = words.word_bounds(line, len(cut) - 1)
-                shared_n = np.bincount(line[known.known(h)], minlength=len(cut) - 1)
-                n = np.diff(bounds)
-                found: dict[int, dict] = {}
-                for seed in np.flatnonzero((n > 0) & (shared_n * (2 - threshold) >= threshold * n)):
-                    d = int(doc[seed])
-                    top = max(int(np.searchsorted(doc, d)), seed - lines + 1)
-                    end = min(int(np.searchsorted(doc, d, "right")), seed + lines)
-                    for first in (x for x in range(top, seed + 1) if shared_n[x]):
-                        for last in (x for x in range(seed, min(end, first + lines)) if shared_n[x]):
-                            own = np.unique(h[bounds[first] : bounds[last + 1]])
-                            if len(own) > most:
-                                break
-                            hit = known.best(own, threshold)
-                            if hit:
-                                name = known.names[hit[0]]
-                                entry = (-hit[1], int(first - np.searchsorted(doc, d)), last - first + 1)
-                                best = found.setdefault(d, {})
-                                best[name] = min(best.get(name, entry), entry)
-                out = [
-                    [{"name": n, "score": -e[0], "line": e[1], "lines": e[2]} for n, e in sorted(found.get(r, {}).items())]
-                    for r in range(hi - lo)
-                ]
+                h, row, starts, _ = words.hashed(data, at, words.ALNUM)
+                pair = _pairs(h)
+                whole = np.flatnonzero(row[1:] == row[:-1])
+                bounds = words.word_bounds(row, len(at) - 1)
+                breaks = np.flatnonzero(data == 10)
+                met: dict[int, list] = {}
+                if known.single:
+                    for w in np.flatnonzero(np.isin(h, np.array(list(known.single), np.uint64))):
+                        d = int(row[w])
+                        place = int(w - bounds[d])
+                        met.setdefault(d, []).append((-1.0, place, place, known.single[int(h[w])]))
+                last = None
+                for d, t in zip(*known.likely(pair[whole], row[whole])):
+                    if d != last:
+                        own = pair[bounds[d] : bounds[d + 1] - 1]
+                        before, after = _places(own)
+                        last = d
+                    found = known.passages(own, before, after, t)
+                    met.setdefault(int(d), []).extend((-dice, i, j, int(t)) for dice, i, j in found)
+                out = []
+                for d in range(hi - lo):
+                    best: dict[str, dict] = {}
+                    for score, i, j, t in _apart(met.get(d, ())):
+                        name = known.names[t]
+                        if name not in best:
+                            # The last word of a passage of bigrams comes after its last place.
+                            ends = starts[bounds[d] + i], starts[bounds[d] + j + (known.size[t] > 0)]
+                            top, first, end = np.searchsorted(breaks, [at[d], *ends])
+                            best[name] = {"name": name, "score": -score, "line": int(first - top), "lines": int(end - first) + 1}
+                    out.append([best[n] for n in sorted(best)])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(out, kind)], ["id", "licenses"])
 
     chosen = docs.select(column(id_col).cast("long"), column(text_col).cast("binary"))

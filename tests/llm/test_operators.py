@@ -309,6 +309,43 @@ def test_licenses(spark, docs, empty, rows):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_inside_prose_and_over_many_lines(spark):
+    mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][1]
+    far = "Permission is hereby granted, " + "free " * 5000 + licenses.TEMPLATES["MIT"][1].split("granted, ")[1]
+    texts = [
+        f"all four words before {mit[:-1]} and many more words on the same line", "\n\n".join(gpl.split()), "intro\n" + gpl.replace(" ", "\n") + " end",
+        "a b " + licenses.TEMPLATES["GPL-3.0"][0] + " c " + licenses.TEMPLATES["CC0-1.0"][0] + " d", far,
+        f"{licenses.TEMPLATES['GPL-3.0'][0]} x {licenses.TEMPLATES['GPL-2.0'][0].replace('This work', 'It')}",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.licenses] for r in licenses.scan_licenses(table).collect()}
+    assert got[0] == [("MIT", 1.0, 0, 1)]
+    words_of = len(gpl.replace(",", " ").split())
+    assert got[1] == [("GPL-3.0", 1.0, 0, 2 * words_of - 1)]
+    assert got[2] == [("GPL-3.0", 1.0, 1, words_of)]
+    assert got[3] == [("CC0-1.0", 1.0, 0, 1), ("GPL-3.0", 1.0, 0, 1)]
+    assert [x[0] for x in got[4]] == ["MIT"] and got[4][0][1] > 0.95
+    assert [x[0] for x in got[5]] == ["GPL-2.0", "GPL-3.0"]
+    one = licenses.scan_licenses(table.limit(1), templates={"A": ["MORE"], "B": [""], "C": ["no such words"]}).first()
+    assert [tuple(x) for x in one.licenses] == [("A", 1.0, 0, 1)]
+
+
+def test_license_passages_equal_all_windows(spark):
+    rng = random.Random(8)
+    notice = "a b c d e f g"
+    texts = [" ".join(rng.choice("abcdefgxy") if rng.random() < 0.4 else "abcdefg"[i % 7] for i in range(rng.randint(1, 40))) for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = lambda w: set(zip(w, w[1:]))
+    own, hits = pairs(notice.split()), 0
+    for r in licenses.scan_licenses(table, templates={"N": [notice]}, threshold=0.7).collect():
+        w = texts[r.doc_id].split()
+        windows = (pairs(w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1))
+        best = max((2 * len(own & x) / (len(own) + len(x)) for x in windows), default=0)
+        assert [x["score"] for x in r.licenses] == ([best] if best >= 0.7 else [])
+        hits += best >= 0.7
+    assert 20 < hits < 280
+
+
 def test_bilinear(spark, docs, empty, rows):
     got = bilinear.score_texts(docs).collect()
     tokens = [(i, brute.spaced(t) + [None]) for i, t in rows]
