@@ -20,6 +20,8 @@ from gridwash.llm.tables import stored
 SAMPLE, CENTROIDS = 20_000, 4096
 #: Aimed vectors per list, and vectors of a list that one task compares at once.
 LIST, BLOCK = 128, 20_000
+#: Pairs scored at once in double precision.
+PAIRS = 1 << 16
 #: Neighbours of a centroid in the graph, width of the walk, nodes expanded at a step.
 DEGREE, BEAM, STEP = 24, 96, 4
 #: Lists a vector is posted in and a query reads, at most, and the distance ratios.
@@ -49,6 +51,34 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def rounding(size: int) -> float:
+    """Most that a product of two unit vectors in single precision, summed in any order,
+    is away from their computed cosine in double precision.
+
+    With u = 2**-24, both vectors' components and their products are rounded and summed
+    with a relative error of at most (1 + u)**(size + 2) - 1 of a sum of absolute products
+    that is at most 1; the computed cosine and the norms of the unit vectors are off by
+    less than u together.
+    """
+    return float(np.expm1((size + 3) * np.log1p(2.0**-24)) + size * 2.0**-40)
+
+
+def _best(keys, score, near, id_at, id_of, most: int):
+    """[key, score, id] of the ``most`` best ids of each key, ties to the smaller id."""
+    n = np.diff(id_at)[near]
+    key, score = np.repeat(keys, n), np.repeat(score, n)
+    ids = id_of[np.repeat(id_at[:-1][near] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    once = np.lexsort((-score, ids, key))
+    same = np.zeros(len(once), bool)
+    same[1:] = (key[once[1:]] == key[once[:-1]]) & (ids[once[1:]] == ids[once[:-1]])
+    once = once[~same]
+    order = once[np.lexsort((ids[once], -score[once], key[once]))]
+    first = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    place = np.arange(len(order))
+    order = order[place - np.maximum.accumulate(np.where(first, place, 0)) < most]
+    return [pa.array(key[order]), pa.array(score[order]), pa.array(ids[order])]
+
+
 def balanced_centroids(x: np.ndarray, count: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """k-means whose crowded clusters repel: a cluster's size adds to its distance."""
     rng = np.random.default_rng(seed)
@@ -208,25 +238,30 @@ def nearest(
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
+        names = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64())])
         if not left.num_rows or not right.num_rows:
             return names.empty_table()
         q, v = (matrix(t.column("vec").combine_chunks(), np.float64) for t in (left, right))
         uq, uv = unit(q), unit(v)
         keys, ids = left.column("key").to_numpy(), right.column("ids").combine_chunks()
-        top = min(len(v), 2 * (k + 1))
+        id_at, id_of = ids.offsets.to_numpy(), ids.values.to_numpy()
+        # An id may have several vectors: the k + 1 best are counted by the vectors' smallest ids.
+        order = np.argsort(id_of[id_at[:-1]], kind="stable")
+        groups = np.unique(id_of[id_at[:-1]][order], return_index=True)[1]
+        top = min(len(groups), k + 1)
         out = []
-        for lo in range(0, len(q), 512):
-            sims = uq[lo : lo + 512] @ uv.T
-            best = np.argpartition(-sims, top - 1, axis=1)[:, :top].ravel()
-            own = np.repeat(np.arange(lo, min(lo + 512, len(q))), top)
-            out.append(pa.table([pa.array(keys[own]), pa.array(cosine(q[own], v[best])), ids.take(pa.array(best))], schema=names))
+        for lo in range(0, len(q), 64):
+            sims = uq[lo : lo + 64] @ uv.T
+            best = np.maximum.reduceat(sims[:, order], groups, axis=1) if len(groups) < len(v) else sims
+            least = -np.partition(-best, top - 1, axis=1)[:, top - 1] - 2 * rounding(q.shape[1])
+            own, near = np.nonzero(sims >= least[:, None])
+            score = np.concatenate([cosine(q[lo + own[i : i + PAIRS]], v[near[i : i + PAIRS]]) for i in range(0, len(own), PAIRS)])
+            out.append(pa.table(_best(keys[lo + own], score, near, id_at, id_of, k + 1), schema=names))
         return pa.concat_tables(out)
 
     found = (
         asked.groupBy("list", "block").cogroup(placed.groupBy("list", "block"))
-        .applyInArrow(compare, "key long, score double, ids array<long>")
-        .select("key", "score", F.explode("ids").alias("vec_id")).distinct()
+        .applyInArrow(compare, "key long, score double, vec_id long")
     )
     order = (F.desc("score"), F.asc("vec_id"))
     best = found.groupBy("key", "vec_id").agg(F.max("score").alias("score"))

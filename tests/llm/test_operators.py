@@ -148,6 +148,30 @@ def test_neighbours(spark):
     assert len(few) == 2
 
 
+def test_neighbours_among_scaled_and_shifted_copies(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    v = [base * 2.0 ** rng.integers(-20, 20) for _ in range(150)]
+    v += [base * s for s in rng.uniform(0.1, 9, 150)]
+    v += [base + 1e-9 * rng.normal(size=8) for _ in range(300)] + list(rng.normal(size=(100, 8)))
+    v = np.array(v)[rng.permutation(700)]
+    # One id has many vectors, all of them nearest.
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(1, (base * s).tolist()) for s in range(1, 40)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest(table).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    near = [q for q in range(0, 700, 50) if neighbours.cosine(v[q][None], base[None])[0] > 0.999]
+    assert len(near) > 5
+    every = np.array([x for _, x in data])
+    for q in near:
+        best = {}
+        for (i, _), score in zip(data, neighbours.cosine(np.repeat(v[q][None], len(every), 0), every)):
+            if i != q:
+                best[i] = max(best.get(i, -2), score)
+        assert got[q] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 def test_lists_beyond_a_block_are_split(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 30)
     v = np.random.default_rng(2).normal(size=(300, 6)).astype(np.float32)
