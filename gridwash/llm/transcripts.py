@@ -129,16 +129,18 @@ def fit(labelled: DataFrame, text: str = "text", roles: str = "roles", weight: f
         for batch in batches:
             for raw, known in zip(batch.column(0), batch.column(1)):
                 seen, known = [o for _, o in lines_of(raw.as_py())], known.as_py() or []
-                before = None
+                before, start = None, True
                 for (m, f), k in zip(seen, known):
                     if k["role"] not in ROLES:
-                        before = None
+                        before, start = None, False
                         continue
                     s = 2 * ROLES.index(k["role"]) + (0 if k["first"] else 1)
-                    total[s if before is None else begin[1] + before * STATES + s] += 1
+                    # What follows a line of no known role is neither a start nor a known move.
+                    if start or before is not None:
+                        total[s if start else begin[1] + before * STATES + s] += 1
                     total[begin[2] + s * MARKS + m] += 1
                     total[begin[3] + s * (BLANKS * ASKS * SIZES) + f] += 1
-                    before = s
+                    before, start = s, False
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
@@ -194,17 +196,21 @@ def raw_transcripts(turns: DataFrame, conv="conv_id", turn="turn", role="role",
     """(id, text, roles): conversations written as raw transcripts in several styles.
 
     The style of markers goes by a hash of the conversation, and about one turn in four
-    after the first has none. Repeated rows of a turn are written once; rows without an
-    id, an order or a known role are left out. A conversation is one text, as it is in a
-    transcript file, so it has to fit a row.
+    after the first has none. A turn of no role or another one than the three (tool,
+    function) is written without a marker and its lines have no known role, so that the
+    model places it. Repeated rows of a turn (all four columns equal) are written once,
+    turns without an order behind the others; rows without an id belong to no
+    conversation and are left out. A conversation is one text, as it is in a transcript
+    file, so it has to fit a row.
     """
     known = turns.select(*[column(c).alias(n) for c, n in ((conv, "conv"), (turn, "turn"), (role, "role"), (text, "text"))])
-    known = known.where(F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.col("role").isin(*ROLES)).distinct()
+    known = known.where(F.col("conv").isNotNull()).distinct()
+    known = known.withColumn("role", F.when(F.col("role").isin(*ROLES), F.col("role")))
     style = F.pmod(F.xxhash64("conv"), F.lit(4))
     bare = (F.pmod(F.xxhash64("conv", "turn", F.lit(1)), F.lit(4)) == 0) & (F.col("turn") > 0)
     pick = lambda *names: F.when(F.col("role") == "system", names[0]).when(F.col("role") == "user", names[1]).otherwise(names[2])
     mark: Column = (
-        F.when(bare, F.lit(""))
+        F.when(bare | F.col("role").isNull(), F.lit(""))
         .when(style == 0, pick("System: ", "User: ", "Assistant: "))
         .when(style == 1, pick("### Context\n", "### Instruction\n", "### Response\n"))
         .when(style == 2, pick("[SYSTEM] ", "[HUMAN] ", "[BOT] "))
@@ -213,7 +219,7 @@ def raw_transcripts(turns: DataFrame, conv="conv_id", turn="turn", role="role",
     body = F.concat(mark, F.coalesce("text", F.lit("")), F.lit("\n"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
     roles = F.transform(lines, lambda x, i: F.struct(F.col("role").alias("role"), (i == 0).alias("first")))
-    rows = known.select("conv", F.struct("turn", body.alias("body"), roles.alias("roles")).alias("t"))
+    rows = known.select("conv", F.struct(F.col("turn").isNull().alias("late"), "turn", body.alias("body"), roles.alias("roles")).alias("t"))
     grouped = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return grouped.select(
         F.col("conv").alias(conv),

@@ -261,6 +261,36 @@ def test_transcript_roles_are_recovered(spark):
     assert len(found) == 60 and right >= 57
 
 
+def test_transcripts_keep_turns_of_other_roles(spark):
+    turns = [
+        (1, 0, "user", "which one?"), (1, 1, "tool", "looked up\nfour rows"), (1, 2, "assistant", "that one"),
+        (2, 0, "function", "only this"), (3, 0, None, "no role"), (4, None, "user", "no order"), (4, 0, "assistant", "first"),
+        (5, 0, "tool", None), (None, 0, "user", "of no conversation"),
+    ]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    raw = transcripts.raw_transcripts(table).cache()
+    known = {r.conv_id: [x.role for x in r.roles] for r in raw.collect()}
+    assert known[1] == ["user"] * (len(known[1]) - 3) + [None, None, "assistant"]
+    assert known[2] == known[3] == [None] and known[5] == []
+    found = {r.conv_id: r for r in transcripts.parse(raw, transcripts.fit(raw)).collect()}
+    assert sorted(found) == [1, 2, 3, 4, 5]
+    for conv, _, _, text in turns:
+        for line in (text or "").split("\n"):
+            assert conv is None or line in found[conv].rendered
+    assert found[4].rendered.index("first") < found[4].rendered.index("no order")
+
+
+def test_transcript_moves_stop_at_unknown_roles(spark):
+    line = lambda role, first=True: {"role": role, "first": first}
+    table = spark.createDataFrame(
+        [("User: a\nb\nBot: c\nBot: d", [line("user"), line(None), line("assistant"), line("assistant")])] * 1000,
+        "text string, roles array<struct<role:string,first:boolean>>",
+    )
+    model = transcripts.fit(table)
+    # All texts start with the user; the one known move is from an assistant to another.
+    assert model.start.argmax() == 2 and model.start[4] < -2 and model.move[4].argmax() == 4
+
+
 def test_phrases(spark, docs, empty, rows):
     long = rows[16][1].split()
     items = [(1, " ".join(long[5000:5030])), (2, "one"), (3, None), (4, ""), (None, rows[0][1][:200]), (1, " ".join(long[9000:9012])),
