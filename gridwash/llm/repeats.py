@@ -18,6 +18,8 @@ kept as equivalence classes (equal up to that length) instead of sorted ranks.
 
 from __future__ import annotations
 
+import codecs
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -243,7 +245,7 @@ def _compare_far(contexts: DataFrame, length: int) -> DataFrame:
     return starts.where("asked").join(common, ["h1", "h2"]).select("uid", "start")
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
+def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, whole_characters: bool = False) -> DataFrame:
     """(row, absent, n_bytes, n_removed, n_spans, kept) for the rows of ``docs``.
 
     ``row`` is a struct of all columns but the text, ``absent`` tells a null text.
@@ -251,7 +253,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) ->
     A byte is removed if a string of ``length`` bytes that covers it also starts
     anywhere else, in this text or another; overlaps count; strings never cross texts
     and are judged on the input. n_spans counts maximal removed runs, ``kept`` holds the
-    remaining bytes.
+    remaining bytes; with ``whole_characters`` without the parts of characters that a cut
+    leaves over.
 
     Null texts count as empty; texts below ``length`` bytes keep all; repeated rows and
     copies remove each other whole; an empty table gives no rows; columns may have any
@@ -311,7 +314,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) ->
     rest = touched.join(more, "uid", "left").select("row", "text", "sure", "starts")
     schema = rest.select("row").schema
     removed = rest.mapInArrow(
-        _remover(length), f"row {schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+        _remover(length, whole_characters), f"row {schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     whole = joined.where("sure IS NULL").select(
         "row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
@@ -321,7 +324,23 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) ->
     return found.select(F.col("row.row").alias("row"), F.col("row.absent").alias("absent"), *found.columns[1:])
 
 
-def _remover(length: int):
+def _broken(data: bytes) -> np.ndarray:
+    """Which bytes are no part of a valid UTF-8 character."""
+    out = np.zeros(len(data), bool)
+
+    def mark(error):
+        out[error.start : error.end] = True
+        return "", error.end
+
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        codecs.register_error("gridwash.broken", mark)
+        data.decode(errors="gridwash.broken")
+    return out
+
+
+def _remover(length: int, whole_characters: bool = False):
     def remove(batches):
         for batch in batches:
             sure, single = batch.column(2), batch.column(3)
@@ -336,7 +355,11 @@ def _remover(length: int):
                 np.add.at(edge, np.concatenate([(spans & 0xFFFFFFFF), alone]) + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(data), int(gone.sum()), runs, data[~gone].tobytes()))
+                kept = data[~gone]
+                if whole_characters and runs and (broken := _broken(kept.tobytes())).any():
+                    # What was broken before the cuts is no part they leave over.
+                    kept = kept[~broken | _broken(data.tobytes())[~gone]]
+                out.append((len(data), int(gone.sum()), runs, kept.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array([x[i] for x in out], kinds[i]) for i in range(4)]
             yield pa.RecordBatch.from_arrays(
@@ -350,9 +373,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
     """``docs`` with the repeated bytes cut out of the text; all columns and rows kept.
 
     Parts of characters that a cut leaves over go as well, so texts stay valid UTF-8.
-    A null text stays null.
+    Bytes that were no characters before become U+FFFD. A null text stays null.
     """
-    found = find_repeats(docs, text_col, length)
+    found = find_repeats(docs, text_col, length, whole_characters=True)
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
     text = F.when(
         ~F.col("absent"), F.coalesce(whole, F.make_valid_utf8(F.col("kept").cast("string")))

@@ -332,6 +332,20 @@ def test_repeats(spark, docs, empty, rows):
     assert repeats.find_repeats(empty).count() == 0
 
 
+def test_parts_of_cut_characters_go(spark):
+    long = prose(200)
+    texts = [f"one \ufffd {long}\u00fc wort", f"two {long}\u00f6 wort", "three \u00fc \ufffd"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [k for _, _, _, k in brute.repeats(texts, 400)]
+    assert any(b"\xbc wort" in k and b"\xc3\xbc" not in k for k in want)
+    got = {r.doc_id: r.text for r in repeats.remove_repeats(table).collect()}
+    assert got == {i: k.decode("utf-8", "ignore") for i, k in enumerate(want)}
+    assert [got[i].count("\ufffd") for i in range(3)] == [1, 0, 1]
+    lost = table.select("doc_id", F.when(F.col("doc_id") == 0, F.concat(F.unhex(F.lit("BC20")), F.encode("text", "utf-8"))).otherwise(F.encode("text", "utf-8")).cast("string").alias("text"))
+    got = {r.doc_id: r.text for r in repeats.remove_repeats(lost).collect()}
+    assert [got[i].count("\ufffd") for i in range(3)] == [2, 0, 1]
+
+
 @pytest.mark.parametrize("crowd", [repeats.CROWD, 2])
 def test_repeats_random_edits(spark, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
