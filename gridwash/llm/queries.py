@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwash.llm import bilinear, licenses, minhash, mixing, neighbours, phrases, quality, repeats, token_counts, transcripts
+from gridwash.llm import (
+    bilinear, clusters, fingerprints, licenses, minhash, mixing, neighbours, periods, phrases, quality, repeats, token_counts,
+    transcripts,
+)
 from gridwash.llm.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +109,28 @@ def op5_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"), "rendered",
     )
+
+
+@query("op11_centroid_clusters", clusters.ORACLE_SQL)
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_document_fingerprints")
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs", periods.ORACLE_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
+    place = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    found = found.withColumn("best", F.array_max(place))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
