@@ -63,23 +63,41 @@ def harmonize_id(c, width: int = 10) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
-def _deletions(c: Column) -> Column:
-    """Hashes of the value and of every form with one character removed."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))),
-        lambda i: F.xxhash64(F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))),
+def _piece(i: int, length: Column, pieces: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of the ``i``-th of even pieces of a text of some length."""
+    start, end = (F.floor(length * j / pieces).cast("int") for j in (i, i + 1))
+    return start, end - start
+
+
+def _pieces(value: Column, edits: int) -> Column:
+    """Hashes of a value's even pieces, with its length and their numbers."""
+    length = F.char_length(value)
+    places = (_piece(i, length, edits + 1) for i in range(edits + 1))
+    return F.array(
+        *[F.xxhash64(length, F.lit(i), F.substr(value, start + 1, size)) for i, (start, size) in enumerate(places)]
     )
-    return F.array_distinct(F.concat(F.array(F.xxhash64(c)), cut))
 
 
-def spelling_corrections(df: DataFrame, column: str, frequent: int = 10) -> DataFrame:
-    """value, correction: rare values one edit away from a frequent value.
+def _windows(value: Column, length: Column, edits: int) -> Column:
+    """Hashes of what may stand in a value where a text of ``length`` has its pieces."""
+    found = []
+    for i in range(edits + 1):
+        start, size = _piece(i, length, edits + 1)
+        for shift in range(-edits, edits + 1):
+            inside = (start + shift >= 0) & (start + shift + size <= F.char_length(value))
+            found.append(F.when(inside, F.xxhash64(length, F.lit(i), F.substr(value, start + (shift + 1), size))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
-    Works on distinct values. Two words within one edit share a form with one
-    character removed, so candidates come from an equi-join on the hashes of those
-    forms (a bucket holds at most one word per inserted letter and place) and are then
-    verified. The most frequent candidate wins, ties by name. Meant for words and
-    names: the work per value grows with the square of its length.
+
+def spelling_corrections(df: DataFrame, column: str, frequent: int = 10, edits: int = 1) -> DataFrame:
+    """value, correction: rare values at most ``edits`` edits away from a frequent value.
+
+    Works on distinct values. A frequent value is cut into edits + 1 even pieces; of a
+    value within the distance at least one piece is untouched and stands at most
+    ``edits`` places off. So candidates come from an equi-join on the hashes of pieces
+    (one row per piece of a frequent value; (2 * edits + 1)^2 places per piece of a rare
+    one, whatever its length) and are then verified. The nearest candidate wins, then the
+    most frequent, then the first by name. Null is no value; the empty text is one.
     """
     counted = (
         df.select(cells.column(column).alias("value"))
@@ -87,22 +105,24 @@ def spelling_corrections(df: DataFrame, column: str, frequent: int = 10) -> Data
         .groupBy("value")
         .agg(F.count("*").alias("n"))
     )
-    forms = counted.select("value", "n", F.explode(_deletions(F.col("value"))).alias("form"))
-    good = forms.where(F.col("n") >= frequent).select(
-        "form", F.col("value").alias("correction"), F.col("n").alias("votes")
+    good = counted.where(F.col("n") >= frequent).select(
+        F.col("value").alias("correction"), F.col("n").alias("votes"), F.explode(_pieces(F.col("value"), edits)).alias("piece")
     )
-    rare = forms.where(F.col("n") < frequent).select("form", "value")
-    close = rare.join(good, "form").where(F.levenshtein("value", "correction") <= 1)
-    # The smallest (-votes, name) is the most frequent candidate, ties by name.
-    best = close.groupBy("value").agg(
-        F.min(F.struct((-F.col("votes")).alias("v"), "correction")).alias("best")
+    near = F.explode(F.sequence(F.greatest(F.char_length("value") - edits, F.lit(0)), F.char_length("value") + edits))
+    rare = counted.where(F.col("n") < frequent).select("value", near.alias("length"))
+    rare = rare.select("value", F.explode(_windows(F.col("value"), F.col("length"), edits)).alias("piece"))
+    pairs = rare.join(good, "piece").groupBy("value", "correction").agg(F.first("votes").alias("votes"))
+    distance = F.levenshtein("value", "correction", edits)
+    # The smallest (distance, -votes, name) is the nearest, most frequent, first candidate.
+    best = pairs.withColumn("distance", distance).where("distance >= 0").groupBy("value").agg(
+        F.min(F.struct("distance", (-F.col("votes")).alias("v"), "correction")).alias("best")
     )
     return best.select("value", F.col("best.correction").alias("correction"))
 
 
-def fix_spelling(df: DataFrame, column: str, frequent: int = 10) -> DataFrame:
-    """Replace rare misspellings by the frequent value one edit away."""
-    fixes = spelling_corrections(df, column, frequent).withColumnRenamed("value", "_value")
+def fix_spelling(df: DataFrame, column: str, frequent: int = 10, edits: int = 1) -> DataFrame:
+    """Replace rare misspellings by the nearest frequent value within ``edits`` edits."""
+    fixes = spelling_corrections(df, column, frequent, edits).withColumnRenamed("value", "_value")
     joined = df.join(fixes, cells.column(column) == F.col("_value"), "left")
     out = F.coalesce("correction", cells.column(column))
     return joined.select(*[out.alias(c) if c == column else cells.column(c) for c in df.columns])

@@ -75,82 +75,129 @@ def near_duplicates(df: DataFrame, id_col: str, column: str) -> DataFrame:
     return keyed.join(groups, "_key").select(id_col, "near_duplicate_of", "group_size")
 
 
-def _minhash(df: DataFrame, id_col: str, column: str, hashes: int, words: int) -> DataFrame:
-    tokens = F.split(
-        F.trim(F.regexp_replace(F.lower(cells.column(column)), r"[^\p{L}\p{N}]+", " ")), " "
-    )
+def _shingle_sets(df: DataFrame, id_col: str, column: str, words: int) -> DataFrame:
+    """id, key (digest of the normalised text), shingles (distinct hashes of word runs)."""
+    plain = F.trim(F.regexp_replace(F.lower(cells.column(column)), r"[^\p{L}\p{N}]+", " "))
+    texts = df.select(cells.column(id_col).alias("id"), plain.alias("plain")).where("id IS NOT NULL AND plain <> ''")
+    split = texts.select("id", F.unhex(F.md5("plain")).alias("key"), F.split("plain", " ").alias("t"))
     # A text shorter than one shingle is its own shingle.
-    steps = F.greatest(F.size("_t") - F.lit(words - 1), F.lit(1))
-    shingles = F.transform(
-        F.sequence(F.lit(1), steps), lambda i: F.array_join(F.slice("_t", i, words), " ")
-    )
-    exploded = df.select(cells.column(id_col), tokens.alias("_t")).select(
-        id_col, F.explode(shingles).alias("_s")
-    )
-    return exploded.groupBy(id_col).agg(
-        *[F.min(F.xxhash64(F.lit(i), "_s")).alias(f"_h{i}") for i in range(hashes)]
-    )
+    starts = F.sequence(F.lit(1), F.greatest(F.size("t") - F.lit(words - 1), F.lit(1)))
+    shingles = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("t", i, words))))
+    return split.select("id", "key", shingles.alias("shingles"))
 
 
-def near_duplicates_minhash(
-    df: DataFrame,
-    id_col: str,
-    column: str,
-    threshold: float = 0.8,
-    bands: int = 8,
-    rows: int = 4,
-    words: int = 3,
-) -> DataFrame:
-    """id, near_duplicate_of, similarity: texts that resemble an earlier text.
+def _prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, list): every text under the rarest of its shingles.
 
-    MinHash signatures over word shingles, cut into bands. Within a band bucket every
-    member is compared with one leader (the smallest id) and never with each other,
-    so a bucket of any size costs one row per member. The similarity is the share of
-    equal signature places; the best leader at or above ``threshold`` is reported.
+    Two sets that reach the threshold share more than n - ceil(threshold * n) of the n
+    shingles of either, so in any fixed order of all shingles they share one of the first
+    n - ceil(threshold * n) + 1. Here the rarest come first. A shingle that only one text
+    has takes up a place but needs no list.
+    """
+    each = sets.select("node.key", "n", F.explode("shingles").alias("list"))
+    often = each.groupBy("list").agg(F.count("*").alias("often")).where("often > 1")
+    shared = each.join(often, "list").groupBy("key", "n").agg(
+        F.array_sort(F.collect_list(F.struct("often", "list"))).alias("shared")
+    )
+    # The bound is lowered a little: a longer prefix is never wrong.
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-6)) + 1
+    places = F.greatest(prefix - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
+    posted = F.transform(F.slice("shared", F.lit(1), places), lambda x: x["list"])
+    lists = shared.select("key", "n", F.explode(posted).alias("list"))
+    return lists.join(sets.select("node", F.col("node.key").alias("key")), "key").select("node", "n", "list")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, best): the smallest leader of each node that its full set is like."""
+    mine = sets.select("node", F.col("shingles").alias("mine"))
+    theirs = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"))
+    both = pairs.join(mine, "node").join(theirs, "leader")
+    shared = F.size(F.array_intersect("mine", "theirs"))
+    similarity = shared / (F.size("mine") + F.size("theirs") - shared)
+    return (
+        both.select("node", F.struct("leader", similarity.alias("similarity")).alias("best"))
+        .where(F.col("best.similarity") >= threshold)
+        .groupBy("node").agg(F.min("best").alias("best"))
+    )
+
+
+def similar_texts(
+    df: DataFrame, id_col: str, column: str, threshold: float = 0.8, words: int = 3
+) -> DataFrame:
+    """id, near_duplicate_of, similarity: texts that resemble an earlier text, all of them.
+
+    Texts are alike if their sets of word shingles (letters and digits, lower case) have
+    a Jaccard similarity of at least ``threshold``. near_duplicate_of is the smallest id
+    of all texts that are like a text, listed if it is smaller than the text's own;
+    similarity is exact. Ids may be of any type that has an order. Rows without an id,
+    and texts without a letter or digit, are nobody's copies; rows that share an id count
+    as texts of their own.
+
+    Equal texts are one before any comparison. The others meet in the lists of their
+    rarest shingles (see ``_prefix_lists``), where every text that is like another one
+    stands with it. A list's smallest texts lead it: members are tried with one leader,
+    then with four, sixteen and so on, until for every member of every list no smaller
+    text than the one it was found like is left untried. So a list of copies is settled by
+    its first leader, with one row per member, and only texts that share rare shingles
+    without being alike are compared with more. No pairs within a list are formed beyond
+    that. Intermediate tables are checkpoints.
     """
-    n = bands * rows
-    signed = _minhash(df, id_col, column, n, words)
-    # Signatures are written once: both sides of the bucket join start from them.
-    sig = cut_lineage(
-        signed.select(
-            cells.column(id_col).alias("_id"),
-            F.array(*[F.col(f"_h{i}") for i in range(n)]).alias("_sig"),
+    rows = _shingle_sets(df, id_col, column, words)
+    sets = cut_lineage(
+        rows.groupBy("key").agg(F.min("id").alias("lead"), F.first("shingles").alias("shingles"))
+        .select(F.struct("lead", "key").alias("node"), F.size("shingles").alias("n"), "shingles")
+    )
+    members = cut_lineage(_prefix_lists(sets, threshold))
+    best = None
+    waiting, tried = members, 0
+    while not waiting.isEmpty():
+        leaders_now = max(1, 4 * tried)
+        # The rank is limited inside each task before a list's rows move.
+        place = F.row_number().over(Window.partitionBy("list").orderBy("node"))
+        open_lists = waiting.select("list").distinct()
+        leaders = cut_lineage(
+            members.join(open_lists, "list", "left_semi")
+            .withColumn("place", place).where(F.col("place") <= leaders_now)
+            .select("list", F.col("node").alias("leader"), F.col("n").alias("m"), "place")
         )
-    )
-    keys = F.array(
-        *[
-            F.xxhash64(F.lit(b), *[F.col("_sig")[b * rows + r] for r in range(rows)])
-            for b in range(bands)
-        ]
-    )
-    banded = sig.select("_id", "_sig", F.posexplode(keys).alias("_band", "_bucket"))
-    leaders = (
-        banded.groupBy("_band", "_bucket")
-        .agg(F.min(F.struct("_id", "_sig")).alias("_leader"), F.count("*").alias("_n"))
-        .where("_n > 1")
-    )
-    candidates = (
-        banded.join(leaders, ["_band", "_bucket"])
-        .where(F.col("_id") != F.col("_leader._id"))
-        .select(
-            "_id",
-            F.col("_leader._id").alias("_to"),
-            (
-                F.size(
-                    F.filter(
-                        F.zip_with("_sig", F.col("_leader._sig"), lambda a, b: a == b), lambda x: x
-                    )
-                )
-                / F.lit(float(n))
-            ).alias("similarity"),
+        able = (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - F.lit(1e-6)) & (F.col("leader") < F.col("node"))
+        if best is not None:
+            waiting = waiting.join(best, "node", "left")
+            able = able & F.coalesce(F.col("leader") < F.col("best.leader"), F.lit(True))
+        pairs = waiting.join(leaders.where(F.col("place") > tried), "list").where(able).select("node", "leader").distinct()
+        found = _verified(pairs, sets, threshold)
+        if best is not None:
+            found = best.unionByName(found).groupBy("node").agg(F.min("best").alias("best"))
+        best = cut_lineage(found)
+        # Members go on in lists that hold texts beyond the leaders, if one of them could
+        # still be smaller than themselves and what they were found like.
+        last = leaders.where(F.col("place") == leaders_now).select("list", F.col("leader").alias("last"))
+        waiting = cut_lineage(
+            waiting.select("node", "n", "list").join(last, "list").join(best, "node", "left")
+            .where((F.col("last") < F.col("node")) & F.coalesce(F.col("last") < F.col("best.leader"), F.lit(True)))
+            .select("node", "n", "list")
         )
-        .where(F.col("similarity") >= threshold)
-    )
-    best = candidates.groupBy("_id").agg(
-        F.max_by("_to", F.struct("similarity", (-F.col("_to")).alias("x"))).alias("near_duplicate_of"),
-        F.max("similarity").alias("similarity"),
+        tried = leaders_now
+    known = sets.select(F.col("node.key").alias("key"), F.col("node.lead").alias("near_duplicate_of"), F.lit(1.0).alias("similarity"))
+    if best is not None:
+        # A copy of a text is like the text's first row, and like all that is like it.
+        earlier = F.coalesce(F.col("best.leader.lead") < F.col("node.lead"), F.lit(False))
+        known = sets.join(best, "node", "left").select(
+            F.col("node.key").alias("key"),
+            F.when(earlier, F.col("best.leader.lead")).otherwise(F.col("node.lead")).alias("near_duplicate_of"),
+            F.when(earlier, F.col("best.similarity")).otherwise(F.lit(1.0)).alias("similarity"),
+        )
+    found = rows.select("id", "key").join(known, "key")
+    return found.where(F.col("near_duplicate_of") < F.col("id")).select(
+        F.col("id").alias(id_col), "near_duplicate_of", "similarity"
     )
-    return best.withColumnRenamed("_id", id_col)
+
+
+def near_duplicates_minhash(
+    df: DataFrame, id_col: str, column: str, threshold: float = 0.8, words: int = 3
+) -> DataFrame:
+    """First name of :func:`similar_texts`, which needs no signatures: its lists lose no pair."""
+    return similar_texts(df, id_col, column, threshold, words)
 
 
 def merge_duplicates(df: DataFrame, keys, order_by, columns=None) -> DataFrame:

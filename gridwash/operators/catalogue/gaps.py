@@ -23,21 +23,26 @@ def missing_patterns(df: DataFrame, order_by=()) -> DataFrame:
 
 
 def column_modes(df: DataFrame, columns) -> dict:
-    """{column: most frequent value}; ties take the smallest value.
+    """{column: most frequent value}; ties take the smallest value; None without values.
 
-    Value counts combine map-side; the mode is an aggregate over them, so no task
-    holds a column's distinct values.
+    All columns are counted in one job: cells are unpivoted, each into the field of its
+    own column, and (column, value) counts combine map-side; the mode is an aggregate
+    over them, so no task holds a column's distinct values.
     """
-    out = {}
-    for c in columns:
-        counted = (
-            df.select(cells.known(c, df.schema[c].dataType).alias("v"))
-            .where("v IS NOT NULL").groupBy("v").count()
-        )
-        # The smallest (-count, value) is the most frequent value, ties by value.
-        top = counted.agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("top"))
-        out[c] = top.select("top.v").first()[0]
-    return out
+    columns = list(columns)
+    if not columns:
+        return {}
+    types = {f.name: f.dataType for f in df.schema}
+    known = [cells.known(c, types[c]) for c in columns]
+    names = [f"v{i}" for i in range(len(columns))]
+    cell = F.explode(F.array(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)])).alias("_c")
+    values = df.select(*[v.alias(n) for v, n in zip(known, names)]).select("*", cell).where("_c IS NOT NULL")
+    own = [F.when(F.col("_c") == i, F.col(f"v{i}")).alias(f"v{i}") for i in range(len(columns))]
+    counted = values.select("_c", *own).groupBy("_c", *names).count()
+    # The smallest (-count, value) is the most frequent value, ties by value.
+    top = counted.groupBy("_c").agg(F.min(F.struct((-F.col("count")).alias("n"), *names)).alias("top"))
+    best = {r["_c"]: r["top"] for r in top.collect()}
+    return {c: best[i][f"v{i}"] if i in best else None for i, c in enumerate(columns)}
 
 
 def fill_with_statistic(
@@ -84,24 +89,29 @@ def drop_sparse_columns(df: DataFrame, order_by=(), threshold: float = 70.0) ->
 
 
 def impute_regression(df: DataFrame, target: str, features) -> DataFrame:
-    """Fill nulls of ``target`` by a linear regression on numeric features.
+    """Fill nulls and NaN of ``target`` by a linear regression on numeric features.
 
-    Rows with a missing feature keep their null.
+    Rows with a missing feature (null or NaN) keep their gap, as a null; so do all if no
+    row has the target and all features. Infinite values take no part in the fit.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     features = as_list(features)
-    whole = cells.all_of(cells.column(f).isNotNull() for f in features)
-    known = df.where(whole & cells.column(target).isNotNull())
-    assemble = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
-    model = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="_y").fit(
-        assemble.transform(known)
-    )
+    values = {c: cells.clean_number(c) for c in [target, *features]}
+    names = {c: f"_{i}" for i, c in enumerate(values)}
+    finite = cells.all_of(F.abs(v) < float("inf") for v in values.values())
+    known = df.where(F.coalesce(finite, F.lit(False))).select(*[v.alias(names[c]) for c, v in values.items()])
+    assemble = VectorAssembler(inputCols=[names[f] for f in features], outputCol="_x")
+    kind = df.schema[target].dataType
+    own = cells.known(target, kind)
+    if known.isEmpty():
+        return df.withColumn(target, own)
+    model = LinearRegression(featuresCol="_x", labelCol=names[target], predictionCol="_y").fit(assemble.transform(known))
     guess = F.lit(float(model.intercept))
     for f, w in zip(features, model.coefficients):
-        guess = guess + cells.column(f) * F.lit(float(w))
-    return df.withColumn(target, F.coalesce(cells.column(target), guess))
+        guess = guess + values[f] * F.lit(float(w))
+    return df.withColumn(target, F.coalesce(own, guess))
 
 
 def impute_columns(df: DataFrame, columns, strategy: str = "mean") -> DataFrame:

@@ -1,8 +1,11 @@
 """Ordered scans within keys that survive a hot key.
 
-A window per key puts a whole key into one task. When a key is larger than a task
-should hold, the order range is cut into chunks, the window runs per (key, chunk),
-and one small row per (key, chunk) carries state to the later chunks.
+A window per key puts a whole key into one task. So the order range is cut into chunks,
+the window runs per (key, chunk), and one small row per (key, chunk) carries state to
+the later chunks. A table whose largest key fits a task is one chunk of the same plan.
+Rows that tie in all order columns are ordered by a hash of the row, so ties give the
+same answer in every run and are cut as well; only rows that are equal in every column
+stay together.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from gridwash.functions import cells
 from gridwash.operators.sampling import as_list
 
 GROUP_LIMIT = 5_000_000
-CHUNK = "_chunk"
+CHUNK, TIE = "_chunk", "_tie"
 
 
 def largest_group(df: DataFrame, keys) -> int:
@@ -41,6 +44,8 @@ def with_chunks(df: DataFrame, order_by, chunks: int) -> DataFrame:
     64 per chunk, whatever their types. Equal leading values are told apart by the order
     columns behind them; nulls sort first.
     """
+    if chunks == 1:
+        return df.withColumn(CHUNK, F.lit(0))
     names = [f"_o{i}" for i in range(len(as_list(order_by)))]
     places = df.select(*[cells.column(o).alias(n) for o, n in zip(as_list(order_by), names)])
     sample = places.orderBy(F.xxhash64(*names), *names).limit(64 * chunks)
@@ -54,17 +59,18 @@ def with_chunks(df: DataFrame, order_by, chunks: int) -> DataFrame:
     return df.withColumn(CHUNK, _chunk_number(place, bounds))
 
 
-def chunked(df: DataFrame, keys, order_by, group_limit: int = GROUP_LIMIT):
-    """(table with ``_chunk``, was it cut?): one chunk when every key fits a task."""
+def chunked(df: DataFrame, keys, order_by, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """The table with ``_tie`` (a hash of the row) and ``_chunk``, so that no key has more
+    than about ``group_limit`` rows in a chunk."""
+    tied = df.withColumn(TIE, F.xxhash64(*[cells.column(c) for c in df.columns]))
     biggest = largest_group(df, keys)
-    if biggest <= group_limit:
-        return df.withColumn(CHUNK, F.lit(0)), False
     # Twice the needed number, as chunk sizes are approximate.
-    return with_chunks(df, order_by, 2 * -(-biggest // group_limit)), True
+    chunks = 2 * -(-biggest // group_limit) if biggest > group_limit else 1
+    return with_chunks(tied, [*as_list(order_by), TIE], chunks)
 
 
 def _window(keys, order_by, backward=False):
-    order = [cells.column(o).desc() if backward else cells.column(o).asc() for o in order_by]
+    order = [cells.column(o).desc() if backward else cells.column(o).asc() for o in [*order_by, TIE]]
     return Window.partitionBy(*[cells.column(k) for k in keys], CHUNK).orderBy(*order)
 
 
@@ -92,12 +98,10 @@ def fill_along(
 ) -> DataFrame:
     """Forward (or backward) fill of ``columns`` within each key, by the order columns."""
     keys, order_by, columns = as_list(keys), as_list(order_by), as_list(columns)
-    cut, is_cut = chunked(df, keys, order_by, group_limit)
+    cut = chunked(df, keys, order_by, group_limit)
     seen = _window(keys, order_by, backward).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({c: F.last(cells.column(c), True).over(seen) for c in columns})
-    if not is_cut:
-        return local.drop(CHUNK)
-    place = F.struct(*[cells.column(o) for o in order_by])
+    place = F.struct(*[cells.column(o) for o in [*order_by, TIE]])
     pick = F.min_by if backward else F.max_by
     states = {
         f"_s{i}": pick(cells.column(c), F.when(cells.column(c).isNotNull(), place))
@@ -120,7 +124,7 @@ def running_total(
     """Add the running sum of ``column`` and its change from the previous row (0 at first,
     and where either value is null)."""
     keys, order_by = as_list(keys), as_list(order_by)
-    cut, is_cut = chunked(df, keys, order_by, group_limit)
+    cut = chunked(df, keys, order_by, group_limit)
     w = _window(keys, order_by)
     v = cells.column(column)
     local = cut.withColumns(
@@ -130,24 +134,49 @@ def running_total(
             "_first": F.row_number().over(w) == 1,
         }
     )
-    if is_cut:
-        states = {
-            "_sum": F.sum(v),
-            "_last": F.max_by(v, F.struct(*[cells.column(o) for o in order_by])),
-        }
-        folds = {
-            "_sum": lambda c, over: F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)),
-            "_last": lambda c, over: F.lag(c).over(over),
-        }
-        local = _carry(cut, keys, local, states, folds).withColumns(
-            {
-                total: F.coalesce(
-                    cells.column(total) + F.col("_sum"), cells.column(total), F.col("_sum")
-                ),
-                # Only the first row of a chunk has its previous row in an earlier one.
-                "_previous": F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_previous")),
-            }
-        )
-    return local.withColumn(delta, F.coalesce(v - F.col("_previous"), F.lit(0))).select(
-        *[cells.column(c) for c in [*df.columns, total, delta]]
+    states = {
+        "_sum": F.sum(v),
+        "_last": F.max_by(v, F.struct(*[cells.column(o) for o in [*order_by, TIE]])),
+    }
+    folds = {
+        "_sum": lambda c, over: F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)),
+        "_last": lambda c, over: F.lag(c).over(over),
+    }
+    joined = _carry(cut, keys, local, states, folds)
+    so_far = F.coalesce(cells.column(total) + F.col("_sum"), cells.column(total), F.col("_sum"))
+    # Only the first row of a chunk has its previous row in an earlier one.
+    previous = F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_previous"))
+    return joined.select(
+        *[cells.column(c) for c in df.columns], so_far.alias(total), F.coalesce(v - previous, F.lit(0)).alias(delta)
+    )
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys, left_order: str, right_order: str, columns, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """``left`` with ``columns`` of the last row of ``right`` of the same key whose place
+    is not after the left row's.
+
+    Both tables are put into one order, right rows before left rows of the same place,
+    and the last right row is carried along, chunk by chunk, so a hot key is many tasks
+    and no pairs are formed. A left row before the first right row of its key, of a key
+    without any or without a place gets nulls; right rows without a place take no part; a
+    null key is a key. Of right rows of one key and place the largest, column by column,
+    counts (nulls are smallest).
+    """
+    keys, columns = as_list(keys), as_list(columns)
+    names = [f"_k{i}" for i in range(len(keys))]
+    kind = F.struct(cells.column(left_order)).alias("x")
+    place = left.select(kind).schema["x"].dataType[0].dataType
+    value = F.struct(*[cells.column(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    known = right.where(cells.column(right_order).isNotNull()).groupBy(
+        *[cells.column(k).alias(n) for k, n in zip(keys, names)], cells.column(right_order).cast(place).alias("_at")
+    ).agg(F.max(value).alias("_value"))
+    rows = left.select(
+        *[cells.column(k).alias(n) for k, n in zip(keys, names)], cells.column(left_order).alias("_at"),
+        F.struct(*[cells.column(c) for c in left.columns]).alias("_row"),
     )
+    both = known.withColumn("_asks", F.lit(False)).unionByName(rows.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    filled = fill_along(both, names, ["_at", "_asks"], "_value", group_limit=group_limit).where("_asks")
+    given = [F.col("_row")[c].alias(c) for c in left.columns]
+    return filled.select(*given, *[F.col("_value")[f"c{i}"].alias(c) for i, c in enumerate(columns)])

@@ -1,24 +1,28 @@
-"""Exact quantiles of many columns without holding a column's values in one task.
-
-All columns and ranks go through the same rounds together, so the number of passes does
-not grow with the columns. A round is two wide aggregates (map-side partials, one row
-out): a sketch proposes a bracket around each wanted rank, and counts prove where the
-rank lies. A rank that stands on a bracket's end is found; the others go on inside. Once
-few values are left in every bracket, they are counted and ranked in the cluster, and
-only the wanted ones come to the driver. One round shrinks a bracket by some thousands.
+"""Exact quantiles of many columns by counting digits of their bits.
+
+A double becomes a 64-bit whole number in the same order. A pass counts, for all columns
+and ranks at once, how many values have each next digit (some leading bits), first inside
+the tasks and then across them; the digit that holds a rank is the bracket of the next
+pass. A digit whose values are all equal is done, so columns of few different or short
+values take one or two passes, and the number of passes is bounded by 64 over the bits
+of a digit, whatever the table. Only the digits that hold a wanted rank reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwash.functions import cells
 
-#: Values that a bracket may hold to be ranked, and the accuracy of the sketches.
-_LIMIT = 200_000
-_ACCURACY = 10_000
+#: Bits of a digit (a window orders the digits of one bracket), and values that a task
+#: gathers before it counts them.
+_DIGIT = 22
+_LIMIT = 1 << 22
+_MASK = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
 def number(c):
@@ -26,46 +30,59 @@ def number(c):
     return cells.clean_number(c)
 
 
-def value_counts(df: DataFrame, columns) -> dict[str, int]:
-    """{column: non-null values} in one pass."""
-    row = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+def _keys(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; -0.0 is 0.0."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ _MASK, bits)
+
+
+def _value(key: int) -> float:
+    bits = np.array([key], np.int64)
+    return float(np.where(bits < 0, bits ^ _MASK, bits).view(np.float64)[0])
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns,
-    probs=(0.25, 0.5, 0.75),
-    counts: dict[str, int] | None = None,
-    limit: int = _LIMIT,
+    df: DataFrame, columns, probs=(0.25, 0.5, 0.75), limit: int = _LIMIT, digit: int = _DIGIT
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column; None for a column without values.
 
-    ``counts`` saves a pass when the number of values per column is known. Brackets of at
-    most ``limit`` values are ranked; the result does not depend on it.
+    At most 64 / ``digit`` passes; a task counts at most ``limit`` values (and a batch) at
+    once. The result depends on neither.
     """
-    columns = list(columns)
-    if not columns:
-        return {}
-    counts = value_counts(df, columns) if counts is None else counts
-    wanted = [(c, r) for c in columns if counts[c] for r in _ranks(counts[c], probs)]
-    # A bracket is (low, high, values up to low, values inside); its ends are outside.
-    open_ = {key: (None, None, 0, counts[key[0]]) for key in wanted}
-    found: dict[tuple[str, int], float] = {}
-    while any(b[3] > limit for b in open_.values()):
-        wide = {k: b for k, b in open_.items() if b[3] > limit}
-        for key, step in _narrow(df, wide).items():
-            if isinstance(step, tuple):
-                open_[key] = step
+    columns, probs = list(columns), list(probs)
+    if not columns or not probs:
+        return {c: [] for c in columns}
+    numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    totals: dict[int, int] = {}
+    found: dict[tuple[int, int], float] = {}
+    # {(column, bracket): {rank inside the bracket: wanted ranks}}
+    open_ = None
+    shift = 64
+    while open_ is None or open_:
+        before, shift = shift, max(0, shift - digit)
+        counted = _counted(numbers, before, shift, open_, limit)
+        after: dict[tuple[int, int], dict[int, list]] = {}
+        for r in _holding(counted, probs, open_):
+            at, upto = (r["c"], r["bracket"]), r["below"] + r["n"]
+            if open_ is None:
+                totals[r["c"]] = r["total"]
+                wanted = {rank: [rank] for rank in _ranks(r["total"], probs)}
             else:
-                found[key] = step
-                del open_[key]
-    found.update(_rank_inside(df, open_))
+                wanted = open_[at]
+            for rank, ranks in wanted.items():
+                if not r["below"] <= rank < upto:
+                    continue
+                if r["lo"] == r["hi"]:
+                    found.update({(r["c"], k): _value(r["lo"]) for k in ranks})
+                else:
+                    inside = after.setdefault((r["c"], r["bucket"]), {})
+                    inside.setdefault(rank - r["below"], []).extend(ranks)
+        open_ = after
     return {
-        c: _interpolate(counts[c], probs, {r: found[c, r] for r in _ranks(counts[c], probs)})
-        if counts[c]
+        c: _interpolate(totals[i], probs, {r: found[i, r] for r in _ranks(totals[i], probs)})
+        if i in totals
         else [None] * len(probs)
-        for c in columns
+        for i, c in enumerate(columns)
     }
 
 
@@ -83,82 +100,68 @@ def _interpolate(n: int, probs, found: dict[int, float]) -> list[float]:
     return out
 
 
-def _inside(v, low, high):
-    if low is not None and high is not None:
-        return (v > F.lit(low)) & (v < F.lit(high))
-    return v > F.lit(low) if low is not None else v < F.lit(high) if high is not None else v.isNotNull()
-
-
-def _narrow(df: DataFrame, open_: dict) -> dict:
-    """{(column, rank): value or smaller bracket}: one sketch pass, one counting pass."""
-    todo = list(open_.items())
-
-    def shares(rank, bracket):
-        place, size = rank - bracket[2], bracket[3]
-        return [max(0.0, place / size - 2.0 / _ACCURACY), min(1.0, (place + 1) / size + 2.0 / _ACCURACY)]
-
-    sketch = df.agg(
-        *[
-            F.percentile_approx(F.when(_inside(number(c), b[0], b[1]), number(c)), shares(r, b), _ACCURACY).alias(f"s{i}")
-            for i, ((c, r), b) in enumerate(todo)
-        ]
-    ).first()
-    tests = {"a": lambda v, s, t: v < s, "b": lambda v, s, t: v == s, "c": lambda v, s, t: v < t, "e": lambda v, s, t: v == t}
-    proof = df.agg(
-        *[
-            F.count_if(_inside(number(c), b[0], b[1]) & test(number(c), *map(F.lit, sketch[f"s{i}"]))).alias(f"{name}{i}")
-            for i, ((c, _), b) in enumerate(todo)
-            for name, test in tests.items()
-        ]
-    ).first()
-    out = {}
-    for i, ((c, r), (low, high, below, inner)) in enumerate(todo):
-        s, t = sketch[f"s{i}"]
-        under_s, at_s, under_t, at_t = (proof[f"{name}{i}"] for name in tests)
-        k = r - below
-        if k < under_s:
-            out[c, r] = (low, s, below, under_s)
-        elif k < under_s + at_s:
-            out[c, r] = s
-        elif k < under_t:
-            out[c, r] = (s, t, below + under_s + at_s, under_t - under_s - at_s)
-        elif k < under_t + at_t:
-            out[c, r] = t
-        else:
-            out[c, r] = (t, high, below + under_t + at_t, inner - under_t - at_t)
-    return out
-
-
-def _rank_inside(df: DataFrame, open_: dict) -> dict:
-    """{(column, rank): value} for brackets of few values, in one job.
+def _counted(numbers: DataFrame, before: int, shift: int, open_: dict | None, limit: int) -> DataFrame:
+    """(c, bracket, bucket, n, lo, hi): values with each digit in the open brackets.
 
-    Values are counted across the cluster first, and ranks of one bracket share it. The
-    window sees the distinct values of a bracket, of which there are at most ``limit``.
+    A bracket is the bits above ``before``, a bucket those above ``shift``.
     """
-    if not open_:
-        return {}
-    brackets: dict[tuple, list] = {}
-    for (c, r), (low, high, below, _) in open_.items():
-        brackets.setdefault((c, low, high), []).append((r, below))
-    keys = list(brackets)
-    cells_in = [
-        F.struct(F.lit(i).alias("bracket"), F.when(_inside(number(c), low, high), number(c)).alias("v"))
-        for i, (c, low, high) in enumerate(keys)
+    count = len(numbers.columns)
+    brackets = None if open_ is None else [
+        np.array(sorted(b for c, b in open_ if c == i), np.int64) for i in range(count)
     ]
-    counted = df.select(F.inline(F.array(*cells_in))).where("v IS NOT NULL").groupBy("bracket", "v").agg(
-        F.count("*").alias("n")
+
+    def digits(i: int, keys: np.ndarray):
+        keys = np.sort(keys)
+        bucket = keys >> shift
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        last = np.append(first[1:], len(keys)) - 1
+        bracket = np.zeros(len(first), np.int64) if before == 64 else keys[first] >> before
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(first), i, np.int32)), pa.array(bracket), pa.array(bucket[first]),
+                pa.array(last - first + 1), pa.array(keys[first]), pa.array(keys[last]),
+            ],
+            ["c", "bracket", "bucket", "n", "lo", "hi"],
+        )
+
+    def tally(batches):
+        held, size = [[] for _ in range(count)], 0
+        for batch in batches:
+            for i in range(count):
+                values = batch.column(i).to_numpy(zero_copy_only=False)
+                keys = _keys(values[~np.isnan(values)])
+                if brackets is not None:
+                    keys = keys[np.isin(keys >> before, brackets[i])] if len(brackets[i]) else keys[:0]
+                held[i].append(keys)
+                size += len(keys)
+            if size > limit:
+                yield from (digits(i, keys) for i, x in enumerate(held) if len(keys := np.concatenate(x)))
+                held, size = [[] for _ in range(count)], 0
+        yield from (digits(i, keys) for i, x in enumerate(held) if x and len(keys := np.concatenate(x)))
+
+    rows = numbers.mapInArrow(tally, "c int, bracket long, bucket long, n long, lo long, hi long")
+    return rows.groupBy("c", "bracket", "bucket").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("v"))
-    ranked = counted.withColumn("upto", upto)
-    hit = cells.any_of(
-        (F.col("bracket") == i) & (F.col("upto") - F.col("n") <= r - below) & (F.col("upto") > r - below)
-        for i, key in enumerate(keys)
-        for r, below in brackets[key]
+
+
+def _holding(counted: DataFrame, probs, open_: dict | None) -> list:
+    """The buckets that hold a wanted rank, with the values below them in their bracket.
+
+    A window orders the buckets of one bracket, at most 2**digit of them.
+    """
+    bracket = Window.partitionBy("c", "bracket")
+    placed = counted.select(
+        "*",
+        (F.sum("n").over(bracket.orderBy("bucket")) - F.col("n")).alias("below"),
+        F.sum("n").over(bracket).alias("total"),
     )
-    out = {}
-    for row in ranked.where(hit).collect():
-        key = keys[row["bracket"]]
-        for r, below in brackets[key]:
-            if row["upto"] - row["n"] <= r - below < row["upto"]:
-                out[key[0], r] = row["v"]
-    return out
+    if open_ is None:
+        place = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
+        ranks = F.array(*[f(p).cast("long") for p in place for f in (F.floor, F.ceil)])
+    else:
+        key = F.concat_ws(":", "c", "bracket")
+        pairs = [(F.lit(f"{c}:{b}"), F.array(*[F.lit(r).cast("long") for r in wanted])) for (c, b), wanted in open_.items()]
+        ranks = F.create_map(*[x for pair in pairs for x in pair])[key]
+    below, upto = F.col("below"), F.col("below") + F.col("n")
+    return placed.where(F.exists(ranks, lambda r: (r >= below) & (r < upto))).collect()

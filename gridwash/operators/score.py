@@ -66,9 +66,7 @@ def measure(
     mixed = sum(
         _severely_mixed(facts[c], filled[c]) for c in cols if kinds[c] == "text" and c in facts
     )
-    bounds = iqr_bounds(
-        df, [c for c in numeric if filled[c] > 1], rules.SCORE_OUTLIER_IQR, filled
-    )
+    bounds = iqr_bounds(df, [c for c in numeric if filled[c] > 1], rules.SCORE_OUTLIER_IQR)
     checked = [c for c in cols if formats_found[c]]
     second = df.agg(
         F.count("*").alias("n_rows"),

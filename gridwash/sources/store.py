@@ -62,17 +62,48 @@ def write_stage(df: DataFrame, root: str, dataset: str, sheet: str, stage: str,
         write_metadata(stamp, root, dataset, sheet, id_, "stamp")
 
 
+def _table_folders(spark: SparkSession, stage: str) -> list[str]:
+    """Folders of the tables in a stage: names only, on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{stage}/id=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(f.getPath()) for f in found or [] if f.isDirectory())
+
+
 def read_stage(
     spark: SparkSession, root: str, dataset: str, sheet: str, stage: str, id_: str | None = None
 ) -> DataFrame:
     """One stored table with its own columns, by raw or clean names.
 
-    Without ``id_`` all tables of the stage together, columns of each other's null.
+    Without ``id_`` all tables of the stage together: columns that a table lacks are
+    null, and a column that has different types in them is read as text. Tables of equal
+    columns are one scan; names are compared without regard to case.
     """
     if id_ is not None:
         return spark.read.parquet(_folder(root, dataset, sheet, stage, id_))
-    tables = f"{_folder(root, dataset, sheet, stage)}/id=*"
-    return spark.read.option("mergeSchema", True).parquet(tables)
+    base = _folder(root, dataset, sheet, stage)
+    alike: dict[tuple, tuple] = {}
+    for folder in _table_folders(spark, base):
+        schema = spark.read.parquet(folder).schema
+        key = tuple((f.name, f.dataType.simpleString()) for f in schema)
+        alike.setdefault(key, (schema, []))[1].append(folder)
+    if not alike:
+        raise FileNotFoundError(f"no table in {base}")
+    kinds: dict[str, set] = {}
+    names: dict[str, str] = {}
+    for key in alike:
+        for name, kind in key:
+            kinds.setdefault(name.lower(), set()).add(kind)
+            names.setdefault(name.lower(), name)
+    out = None
+    for schema, folders in alike.values():
+        table = spark.read.schema(schema).parquet(*folders)
+        own = {f.name.lower(): f.name for f in schema}
+        chosen = [
+            (cells.column(own[n]).cast("string") if len(kinds[n]) > 1 else cells.column(own[n])).alias(names[n]) for n in own
+        ]
+        part = table.select(*chosen)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def write_metadata(body: DataFrame, root: str, dataset: str, sheet: str, id_: str, kind: str = "document") -> None:

@@ -394,9 +394,8 @@ def k34(d):
     return duplicates.deduplicate(df, ["user_id", "event_type"], [F.col("value").desc(), "event_id"]).drop("value")
 
 
-KEY = (
-    r"list_aggregate(list_sort(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '))), 'string_agg', ' ')"
-)
+PLAIN = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
+KEY = f"list_aggregate(list_sort(list_distinct(string_split({PLAIN}, ' '))), 'string_agg', ' ')"
 
 
 @query(
@@ -408,9 +407,17 @@ def k35(d):
     return duplicates.near_duplicates(d.table("documents"), "doc_id", "text")
 
 
-@query("k35_near_duplicates_minhash")
+@query(
+    "k35_near_duplicates_minhash",
+    rf"""WITH t AS (SELECT doc_id, string_split({PLAIN}, ' ') AS w FROM documents WHERE {PLAIN} <> ''),
+    s AS (SELECT doc_id, unnest(list_distinct([w[i:i + 2] FOR i IN range(1, greatest(len(w) - 2, 1) + 1)])) AS shingle FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND b.doc_id < a.doc_id GROUP BY ALL),
+    j AS (SELECT p.doc_id, other, c / (x.n + y.n - c) AS similarity FROM p JOIN n x ON x.doc_id = p.doc_id JOIN n y ON y.doc_id = other)
+    SELECT doc_id, min(other) AS near_duplicate_of, arg_min(similarity, other) AS similarity FROM j WHERE similarity >= 0.8 GROUP BY doc_id""",
+)
 def k35_minhash(d):
-    return duplicates.near_duplicates_minhash(d.table("documents"), "doc_id", "text")
+    return duplicates.similar_texts(d.table("documents"), "doc_id", "text")
 
 
 @query(
