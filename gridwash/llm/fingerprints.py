@@ -75,6 +75,26 @@ class Prefixes:
                 sums[lo + 1 : lo + 1 + len(terms)] = np.cumsum(terms, dtype=U64) % U64(prime)
                 last = int(sums[lo + len(terms)])
             self.sums.append(sums)
+        self._values = None
+
+    def followed_by(self, keep: int, other: Prefixes, take: int) -> Prefixes:
+        """The first ``keep`` code points and then the first ``take`` of ``other``: its
+        sums are shifted behind these, nothing is summed again."""
+        out = object.__new__(Prefixes)
+        out.n = keep + take
+        _POWERS.upto(out.n)
+        out.codes = np.concatenate([self.codes[:keep], other.codes[:take]])
+        out.sums = []
+        for which, prime in enumerate(PRIMES):
+            tail = other.sums[which][1 : take + 1].astype(U64)
+            tail *= U64(_POWERS.up[which][keep])
+            tail += U64(self.sums[which][keep])
+            tail %= U64(prime)
+            out.sums.append(np.concatenate([self.sums[which][: keep + 1], tail.astype(np.uint32)]))
+        # Spans that lie in the kept part have the same hashes.
+        same = max(0, keep - WIDTH + 1) if out.n >= WIDTH else 0
+        out._values = np.concatenate([self.values()[:same], out._mixed(same)])
+        return out
 
     def span(self, start, end, which: int | None = None):
         """Hash of the code points [start, end): 62 bits, or 31 of one prime."""
@@ -82,7 +102,7 @@ class Prefixes:
             return self.span(start, end, 0) << U64(31) | self.span(start, end, 1)
         prime = U64(PRIMES[which])
         own = self.sums[which][end].astype(U64) + prime - self.sums[which][start]
-        return own % prime * _POWERS.down[which][start].astype(U64) % prime
+        return own * _POWERS.down[which][start] % prime
 
     def same(self, start, end, other: Prefixes, there):
         """Whether the spans equal the spans of ``other`` that start ``there``."""
@@ -101,19 +121,37 @@ class Prefixes:
             low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
         return low
 
-    def smallest(self) -> np.ndarray:
-        """The smallest distinct mixed hashes of the spans of WIDTH code points, 32 bits."""
-        best = np.zeros(0, U64)
+    def ends(self, other: Prefixes) -> tuple[int, int]:
+        """Code points that two texts share from their starts and up to their ends."""
+        most = min(self.n, other.n)
+        if not most:
+            return 0, 0
+        # Most texts differ at once.
+        prefix = self.codes[0] == other.codes[0] and int(self.extension(0, other, 0)[0])
+        suffix = self.codes[-1] == other.codes[-1] and int(self.extension(self.n, other, other.n, back=True)[0])
+        return int(prefix), int(suffix)
+
+    def _mixed(self, lo: int, hi: int | None = None) -> np.ndarray:
+        """Mixed hashes of the spans of WIDTH code points from ``lo`` on, 32 bits each; a
+        shorter text is one span."""
         spans = max(1, self.n - WIDTH + 1) if self.n else 0
-        for lo in range(0, spans, CHUNK):
-            at = np.arange(lo, min(lo + CHUNK, spans))
-            value = words.mix(self.span(at, np.minimum(at + WIDTH, self.n))) >> U64(32)
-            if len(value) > 16 * SKETCH:
-                few = np.unique(np.partition(value, 4 * SKETCH)[: 4 * SKETCH])
-                # Spans that occur often may leave too few different ones.
-                value = few if len(few) >= SKETCH else value
-            best = np.unique(np.concatenate([best, value]))[:SKETCH]
-        return best
+        at = np.arange(lo, spans if hi is None else min(hi, spans))
+        return (words.mix(self.span(at, np.minimum(at + WIDTH, self.n), 0)) >> U64(32)).astype(np.uint32)
+
+    def values(self) -> np.ndarray:
+        if self._values is None:
+            parts = [self._mixed(lo, lo + CHUNK) for lo in range(0, max(1, self.n), CHUNK)]
+            self._values = np.concatenate(parts)
+        return self._values
+
+    def smallest(self) -> np.ndarray:
+        """The SKETCH smallest distinct mixed hashes of the spans of WIDTH code points."""
+        value = self.values()
+        if len(value) > 16 * SKETCH:
+            few = np.unique(np.partition(value, 4 * SKETCH)[: 4 * SKETCH])
+            # Spans that occur often may leave too few different ones.
+            value = few if len(few) >= SKETCH else value
+        return np.unique(value)[:SKETCH]
 
 
 def step(n: int) -> int:
@@ -121,8 +159,8 @@ def step(n: int) -> int:
     return 1 << max(0, (-(-n // STEPS) - 1).bit_length())
 
 
-def _digits(values) -> str:
-    return "".join(f"{int(v):08x}" for v in values)
+def _digits(values: np.ndarray) -> str:
+    return values.astype(">u4").tobytes().hex()
 
 
 def fingerprint(text: Prefixes) -> str:
@@ -257,10 +295,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         (id_, text, prefixes, mark), (next_id, other, ahead, next_mark) = one, two
         n = len(text)
         edited = text[: n - n // 3] + other[: n // 3]
-        changed = mark if edited == text else fingerprint(Prefixes(edited))
+        changed = mark
+        if edited != text:
+            changed = fingerprint(prefixes.followed_by(n - n // 3, ahead, min(n // 3, ahead.n)))
         return (
             id_, n, hashlib.sha256(edited.encode()).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, next_mark),
-            next_id, int(prefixes.extension(0, ahead, 0)[0]), int(prefixes.extension(n, ahead, ahead.n, back=True)[0]),
+            next_id, *prefixes.ends(ahead),
         )
 
     def walk(batches):

@@ -52,6 +52,14 @@ def test_hash_of_code_points_by_definition():
         assert int(fp.Prefixes(text).span(np.int64(1), np.int64(4), which)) == want
 
 
+@pytest.mark.parametrize("keep, take", [(0, 0), (0, 9), (5, 3), (40, 0), (30, 12), (16, 60), (60, 60)])
+def test_joined_texts_equal_one_text(keep, take):
+    a, b = prose(60), prose(60)
+    joined, whole = fp.Prefixes(a).followed_by(keep, fp.Prefixes(b), take), fp.Prefixes(a[:keep] + b[:take])
+    assert all((x == y).all() for x, y in zip(joined.sums, whole.sums))
+    assert joined.codes.tolist() == whole.codes.tolist() and fp.fingerprint(joined) == fp.fingerprint(whole)
+
+
 def mark(text):
     return fp.fingerprint(fp.Prefixes(text))
 
@@ -82,7 +90,7 @@ def test_repetitive_text_keeps_its_smallest_spans(monkeypatch):
     monkeypatch.setattr(fp, "CHUNK", 64)
     assert fp.Prefixes(text).smallest().tolist() == whole
     at = np.arange(len(text) - fp.WIDTH + 1)
-    every = fp.words.mix(fp.Prefixes(text).span(at, at + fp.WIDTH)) >> fp.U64(32)
+    every = fp.words.mix(fp.Prefixes(text).span(at, at + fp.WIDTH, 0)) >> fp.U64(32)
     assert whole == np.unique(every)[: fp.SKETCH].tolist()
 
 
