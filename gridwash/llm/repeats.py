@@ -28,8 +28,8 @@ from gridwash.functions.cells import column
 from gridwash.llm import words
 from gridwash.llm.tables import drop_stored, stored
 
-#: Bytes under the rolling hash, radius of its minima, bytes kept right of a trigger.
-GRAM, RADIUS, RIGHT = 12, 48, 64
+#: Bytes under the rolling hash, and the shortest strings that can be asked for.
+GRAM, SHORTEST = 12, 64
 #: Different contexts of a trigger that one task compares; more are compared by a join.
 CROWD = 4096
 
@@ -44,17 +44,24 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def triggers(rolling: words.Rolling, n: int) -> np.ndarray:
+def context(length: int) -> tuple[int, int]:
+    """(radius of the minima, bytes kept right of a trigger) for strings of ``length``:
+    an eighth of them each, so that most strings hold a trigger with its context."""
+    radius = (length - 16) // 8
+    return radius, radius + 16
+
+
+def triggers(rolling: words.Rolling, n: int, radius: int) -> np.ndarray:
     """Places whose hash is less than all before and at most all after, within the radius."""
     count = n - GRAM + 1
-    if count <= 2 * RADIUS:
+    if count <= 2 * radius:
         return np.zeros(0, np.int64)
     at = np.arange(count)
     value = (rolling(at, at + GRAM) >> np.uint64(32)).astype(np.uint32)
-    near = _least(value, RADIUS)
-    middle = value[RADIUS : count - RADIUS]
-    chosen = (middle < near[: len(middle)]) & (middle <= near[RADIUS + 1 : RADIUS + 1 + len(middle)])
-    return np.flatnonzero(chosen) + RADIUS
+    near = _least(value, radius)
+    middle = value[radius : count - radius]
+    chosen = (middle < near[: len(middle)]) & (middle <= near[radius + 1 : radius + 1 + len(middle)])
+    return np.flatnonzero(chosen) + radius
 
 
 def blocks(data: np.ndarray, at: np.ndarray, length: int):
@@ -62,21 +69,22 @@ def blocks(data: np.ndarray, at: np.ndarray, length: int):
 
     Starts without a usable trigger are lone blocks of their own.
     """
-    reach = length - RIGHT
+    radius, right = context(length)
+    reach = length - right
     first, second = words.Rolling(data), words.Rolling(data, 1)
-    q = triggers(first, len(data))
+    q = triggers(first, len(data), radius)
     row = np.searchsorted(at, q, "right") - 1
-    inside = (q - RADIUS >= at[row]) & (q + RADIUS + GRAM <= at[row + 1])
+    inside = (q - radius >= at[row]) & (q + radius + GRAM <= at[row + 1])
     q, row = q[inside], row[inside]
     begin, last = at[row], at[row + 1] - length
     before = np.full(len(q), -1)
     if len(q):
         before[1:] = np.where(row[1:] == row[:-1], q[:-1], -1)
-    lo = np.maximum(np.where(before < 0, begin, before - RADIUS + 1), np.maximum(begin, q - reach))
-    hi = np.minimum(q - RADIUS, last)
+    lo = np.maximum(np.where(before < 0, begin, before - radius + 1), np.maximum(begin, q - reach))
+    hi = np.minimum(q - radius, last)
     some = lo <= hi
     q, row, lo, hi = q[some], row[some], lo[some], hi[some]
-    key = first(q - RADIUS, q + RIGHT)
+    key = first(q - radius, q + right)
     stop = np.minimum(hi + length, at[row + 1])
     full = words.mix(second(lo, stop) + (stop - lo).astype(np.uint64))
     # Starts that no block holds.
@@ -245,7 +253,9 @@ def _compare_far(contexts: DataFrame, length: int) -> DataFrame:
     return starts.where("asked").join(common, ["h1", "h2"]).select("uid", "start")
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, whole_characters: bool = False) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, text_col: str = "text", length: int = 400, whole_characters: bool = False, least_words: int = 0
+) -> DataFrame:
     """(row, absent, n_bytes, n_removed, n_spans, kept) for the rows of ``docs``.
 
     ``row`` is a struct of all columns but the text, ``absent`` tells a null text.
@@ -254,14 +264,16 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, who
     anywhere else, in this text or another; overlaps count; strings never cross texts
     and are judged on the input. n_spans counts maximal removed runs, ``kept`` holds the
     remaining bytes; with ``whole_characters`` without the parts of characters that a cut
-    leaves over.
+    leaves over. Runs that hold fewer than ``least_words`` whole words (split at white
+    space) stay: they count neither in n_removed nor in n_spans.
 
     Null texts count as empty; texts below ``length`` bytes keep all; repeated rows and
     copies remove each other whole; an empty table gives no rows; columns may have any
-    names. ``length`` must be at least 256 for the trigger radius to fit.
+    names. ``length`` must be at least ``SHORTEST`` for the trigger's context to fit; the
+    shorter it is, the more blocks a text has.
     """
-    if length < 256:
-        raise ValueError("length must be at least 256 bytes")
+    if length < SHORTEST:
+        raise ValueError(f"length must be at least {SHORTEST} bytes")
     text = F.coalesce(column(text_col).cast("binary"), F.lit(b""))
     # The text travels once; the struct holds all else.
     others = [column(c) for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("none")]
@@ -314,7 +326,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, who
     rest = touched.join(more, "uid", "left").select("row", "text", "sure", "starts")
     schema = rest.select("row").schema
     removed = rest.mapInArrow(
-        _remover(length, whole_characters), f"row {schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+        _remover(length, whole_characters, least_words), f"row {schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     whole = joined.where("sure IS NULL").select(
         "row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
@@ -340,7 +352,18 @@ def _broken(data: bytes) -> np.ndarray:
     return out
 
 
-def _remover(length: int, whole_characters: bool = False):
+def _long_runs(gone: np.ndarray, data: np.ndarray, least_words: int) -> np.ndarray:
+    """``gone`` without the runs that hold fewer than ``least_words`` whole words."""
+    edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = words.spans(data, np.array([0, len(data)]), words.SPACED)
+    few = np.searchsorted(end, hi, "right") - np.searchsorted(start, lo) < least_words
+    change = np.zeros(len(data) + 1, np.int32)
+    change[lo[few]], change[hi[few]] = 1, -1
+    return gone & (np.cumsum(change)[:-1] == 0)
+
+
+def _remover(length: int, whole_characters: bool = False, least_words: int = 0):
     def remove(batches):
         for batch in batches:
             sure, single = batch.column(2), batch.column(3)
@@ -354,6 +377,8 @@ def _remover(length: int, whole_characters: bool = False):
                 np.add.at(edge, np.concatenate([spans >> 32, alone]), 1)
                 np.add.at(edge, np.concatenate([(spans & 0xFFFFFFFF), alone]) + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
+                if least_words and gone.any():
+                    gone = _long_runs(gone, data, least_words)
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = data[~gone]
                 if whole_characters and runs and (broken := _broken(kept.tobytes())).any():
@@ -369,13 +394,13 @@ def _remover(length: int, whole_characters: bool = False):
     return remove
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, least_words: int = 0) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text; all columns and rows kept.
 
     Parts of characters that a cut leaves over go as well, so texts stay valid UTF-8.
     Bytes that were no characters before become U+FFFD. A null text stays null.
     """
-    found = find_repeats(docs, text_col, length, whole_characters=True)
+    found = find_repeats(docs, text_col, length, whole_characters=True, least_words=least_words)
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
     text = F.when(
         ~F.col("absent"), F.coalesce(whole, F.make_valid_utf8(F.col("kept").cast("string")))

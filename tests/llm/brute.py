@@ -64,8 +64,8 @@ def near(docs, size=4, percent=80):
     ]
 
 
-def repeats(texts, length):
-    """[(n_bytes, n_removed, n_spans, kept)] for texts."""
+def repeats(texts, length, least_words=0):
+    """[(n_bytes, n_removed, n_spans, kept)] for texts; runs of fewer words stay."""
     data = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []
@@ -74,6 +74,11 @@ def repeats(texts, length):
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        for run in re.finditer(rb"\x01+", bytes(gone)):
+            lo, hi = run.span()
+            words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+            if sum(lo <= s and e <= hi for s, e in words) < least_words:
+                gone[lo:hi] = bytes(hi - lo)
         runs = len([x for x in bytes(gone).split(b"\0") if x])
         out.append((len(b), sum(gone), runs, bytes(x for x, g in zip(b, gone) if not g)))
     return out

@@ -61,9 +61,11 @@ def test_pipeline(spark, documents):
     near = steps["MinHash near-dedup"](spark, docs, SF)
     assert sorted(r.doc_id for r in near.collect()) == [d for d, _, c in brute.near(documents) if d == c]
     cut = steps["suffix-array dedup"](spark, docs, SF)
-    want = {d: k.decode("utf-8", "ignore") for (d, _), (_, _, _, k) in zip(documents, brute.repeats([t for _, t in documents], 400))}
-    same = {r.doc_id: r.text for r in cut.collect()}
-    assert {d: t.replace("�", "") for d, t in same.items()} == want
+    length, words = corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS
+    kept = brute.repeats([t for _, t in documents], length, words)
+    want = {d: k.decode("utf-8", "ignore") for (d, _), (_, _, _, k) in zip(documents, kept)}
+    assert {r.doc_id: r.text for r in cut.collect()} == want
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = steps["benchmark decontamination"](spark, docs, SF)
     assert sorted(r.doc_id for r in clean.collect()) == [d for d, _, h, _ in brute.phrases(documents, items) if not h]
