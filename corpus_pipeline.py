@@ -23,9 +23,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.drop_near_duplicates(docs)
 
 
+#: Passages of more words than 50 are cut. In bytes, strings of this length make them up:
+#: 51 words of prose have some 250 to 340 bytes, hardly ever below this.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that occur again go from the texts; n_chars follows."""
-    out = repeats.remove_repeats(docs)
+    """Passages of over 50 words that occur again go from the texts; n_chars follows."""
+    out = repeats.remove_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
