@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwash.functions import cells
 from gridwash.operators.sampling import as_list, data_columns
-from gridwash.session import cut_lineage
+from gridwash.session import stored
 
 
 def drop_exact_duplicates(df: DataFrame, order_by) -> DataFrame:
@@ -62,10 +62,11 @@ def near_duplicates(df: DataFrame, id_col: str, column: str) -> DataFrame:
     letter or digit have no fingerprint and are nobody's copies.
     """
     # The small key table is written once, so the texts are read once.
-    keyed = cut_lineage(
+    keyed = stored(
         df.select(cells.column(id_col), fingerprint(column).alias("_words"))
         .where("_words <> ''")
-        .select(cells.column(id_col), F.unhex(F.sha2("_words", 256)).alias("_key"))
+        .select(cells.column(id_col), F.unhex(F.sha2("_words", 256)).alias("_key")),
+        "keys",
     )
     groups = (
         keyed.groupBy("_key")
@@ -140,14 +141,15 @@ def similar_texts(
     text than the one it was found like is left untried. So a list of copies is settled by
     its first leader, with one row per member, and only texts that share rare shingles
     without being alike are compared with more. No pairs within a list are formed beyond
-    that. Intermediate tables are checkpoints.
+    that. Intermediate tables are written to the scratch folder.
     """
-    rows = _shingle_sets(df, id_col, column, words)
-    sets = cut_lineage(
+    rows = stored(_shingle_sets(df, id_col, column, words), "shingles")
+    sets = stored(
         rows.groupBy("key").agg(F.min("id").alias("lead"), F.first("shingles").alias("shingles"))
-        .select(F.struct("lead", "key").alias("node"), F.size("shingles").alias("n"), "shingles")
+        .select(F.struct("lead", "key").alias("node"), F.size("shingles").alias("n"), "shingles"),
+        "sets",
     )
-    members = cut_lineage(_prefix_lists(sets, threshold))
+    members = stored(_prefix_lists(sets, threshold), "members")
     best = None
     waiting, tried = members, 0
     while not waiting.isEmpty():
@@ -155,10 +157,11 @@ def similar_texts(
         # The rank is limited inside each task before a list's rows move.
         place = F.row_number().over(Window.partitionBy("list").orderBy("node"))
         open_lists = waiting.select("list").distinct()
-        leaders = cut_lineage(
+        leaders = stored(
             members.join(open_lists, "list", "left_semi")
             .withColumn("place", place).where(F.col("place") <= leaders_now)
-            .select("list", F.col("node").alias("leader"), F.col("n").alias("m"), "place")
+            .select("list", F.col("node").alias("leader"), F.col("n").alias("m"), "place"),
+            "leaders",
         )
         able = (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - F.lit(1e-6)) & (F.col("leader") < F.col("node"))
         if best is not None:
@@ -168,14 +171,15 @@ def similar_texts(
         found = _verified(pairs, sets, threshold)
         if best is not None:
             found = best.unionByName(found).groupBy("node").agg(F.min("best").alias("best"))
-        best = cut_lineage(found)
+        best = stored(found, "best")
         # Members go on in lists that hold texts beyond the leaders, if one of them could
         # still be smaller than themselves and what they were found like.
         last = leaders.where(F.col("place") == leaders_now).select("list", F.col("leader").alias("last"))
-        waiting = cut_lineage(
+        waiting = stored(
             waiting.select("node", "n", "list").join(last, "list").join(best, "node", "left")
             .where((F.col("last") < F.col("node")) & F.coalesce(F.col("last") < F.col("best.leader"), F.lit(True)))
-            .select("node", "n", "list")
+            .select("node", "n", "list"),
+            "waiting",
         )
         tried = leaders_now
     known = sets.select(F.col("node.key").alias("key"), F.col("node.lead").alias("near_duplicate_of"), F.lit(1.0).alias("similarity"))

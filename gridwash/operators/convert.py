@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridwash.functions import cells, formats, rules
-from gridwash.operators.sampling import first_k, text_columns
+from gridwash.operators.sampling import sampled, text_columns
 
 
 def _decide(df: DataFrame, measures: dict) -> dict:
@@ -131,10 +131,8 @@ def date_columns(df: DataFrame, order_by, columns=None) -> list[str]:
     """Text columns under 80 % null with a date-like early value and mostly parsable."""
     cols = list(columns if columns is not None else text_columns(df, order_by))
     v = F.col("value")
-    seen = first_k(df, cols, order_by, 20).groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.max(cells.any_of(v.rlike(p) for p in rules.DATE_COLUMN_SEARCH)).alias("hit"),
-    )
+    like_date = F.max(cells.any_of(v.rlike(p) for p in rules.DATE_COLUMN_SEARCH)).alias("hit")
+    seen = sampled(df, cols, order_by, 20, [F.count("*").alias("n"), like_date])
     hits = {r["column"] for r in seen.where("n >= 3 AND hit").collect()}
     cols = [c for c in cols if c in hits]
     if not cols:
@@ -201,14 +199,8 @@ def column_kinds(df: DataFrame, order_by, columns=None) -> dict[str, str]:
     for kind, pattern in reversed(KIND_PATTERNS):
         share = F.count_if(hit(kind, pattern)) / F.count("*")
         pick = F.when(share > KIND_SHARE, F.lit(kind)).otherwise(pick)
-    seen = (
-        first_k(df, cols, order_by, 20)
-        .groupBy("column")
-        .agg(F.count("*").alias("n"), pick.alias("kind"))
-        .where("n >= 3 AND kind IS NOT NULL")
-        .collect()
-    )
-    kinds = {r["column"]: r["kind"] for r in seen}
+    seen = sampled(df, cols, order_by, 20, [F.count("*").alias("n"), pick.alias("kind")])
+    kinds = {r["column"]: r["kind"] for r in seen.where("n >= 3 AND kind IS NOT NULL").collect()}
     got = _decide(
         df,
         {("all", "rows"): F.count("*"), **{(c, "n"): F.count(cells.column(c)) for c in kinds}},

@@ -6,20 +6,27 @@ column afterwards. ``order_by`` names the order column(s); they are not data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import functools
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridwash.functions import cells, formats, rules
 from gridwash.operators.quantiles import exact_quantiles, number
 from gridwash.operators.sampling import (
+    as_list,
     data_columns,
     first_distinct,
-    first_k,
     numeric_columns,
+    sampled,
     text_columns,
     unpivot_text,
 )
 
 FACT_SAMPLE = 100
+FACT_SCHEMA = (
+    "column string, sampled long, padded_10 boolean, padded_20 boolean, padded_100 boolean, distinct_raw int, "
+    "distinct_lower int, all_dates boolean, all_numbers boolean, content_format string, n_number long, n_date long, n_text long"
+)
 
 
 def _types(df: DataFrame) -> dict[str, T.DataType]:
@@ -274,9 +281,11 @@ def type_counts(df: DataFrame, order_by=()) -> DataFrame:
 def sample_values(df: DataFrame, order_by, k: int = 5, distinct: bool = False) -> DataFrame:
     """column, samples: the first k non-null (or distinct) values as text."""
     cols = data_columns(df, order_by)
-    sample = (first_distinct if distinct else first_k)(df, cols, order_by, k)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return sample.groupBy("column").agg(F.transform(ordered, lambda s: s["value"]).alias("samples"))
+    values = F.transform(ordered, lambda s: s["value"]).alias("samples")
+    if distinct:
+        return first_distinct(df, cols, order_by, k).groupBy("column").agg(values)
+    return sampled(df, cols, order_by, k, [values])
 
 
 def content_format(in_sample: Column) -> Column:
@@ -288,39 +297,123 @@ def content_format(in_sample: Column) -> Column:
     return pick
 
 
-def sample_facts(df: DataFrame, order_by, columns=None) -> DataFrame:
+def sample_facts(df: DataFrame, order_by, columns=None, values: dict[str, int] | None = None) -> DataFrame:
     """Everything that is decided on the first 10 / 20 / 100 values, one row per column."""
     cols = list(columns if columns is not None else text_columns(df, order_by))
     v, pos = F.col("value"), F.col("pos")
     in20 = pos <= 20
     numeric, date = cells.is_number(v), cells.is_date(v)
     padded = v != cells.trim_text(v)
-    return (
-        first_k(df, cols, order_by, FACT_SAMPLE)
-        .groupBy("column")
-        .agg(
-            F.count_if(in20).alias("sampled"),
-            F.max((pos <= 10) & padded).alias("padded_10"),
-            F.max(in20 & padded).alias("padded_20"),
-            F.max(padded).alias("padded_100"),
-            F.size(F.collect_set(F.when(in20, v))).alias("distinct_raw"),
-            F.size(F.collect_set(F.when(in20, F.lower(v)))).alias("distinct_lower"),
-            F.min(~in20 | cells.is_date_text(v)).alias("all_dates"),
-            F.min(~in20 | cells.is_plain_number(v)).alias("all_numbers"),
-            content_format(in20).alias("content_format"),
-            F.count_if(in20 & numeric).alias("n_number"),
-            F.count_if(in20 & date).alias("n_date"),
-            (F.count_if(in20) - F.count_if(in20 & numeric) - F.count_if(in20 & date)).alias("n_text"),
-        )
-    )
+    decided = [
+        F.count_if(in20).alias("sampled"),
+        F.max((pos <= 10) & padded).alias("padded_10"),
+        F.max(in20 & padded).alias("padded_20"),
+        F.max(padded).alias("padded_100"),
+        F.size(F.collect_set(F.when(in20, v))).alias("distinct_raw"),
+        F.size(F.collect_set(F.when(in20, F.lower(v)))).alias("distinct_lower"),
+        F.min(~in20 | cells.is_date_text(v)).alias("all_dates"),
+        F.min(~in20 | cells.is_plain_number(v)).alias("all_numbers"),
+        content_format(in20).alias("content_format"),
+        F.count_if(in20 & numeric).alias("n_number"),
+        F.count_if(in20 & date).alias("n_date"),
+        (F.count_if(in20) - F.count_if(in20 & numeric) - F.count_if(in20 & date)).alias("n_text"),
+    ]
+    return sampled(df, cols, order_by, FACT_SAMPLE, decided, values)
+
+
+class TableFacts:
+    """What one table's profile, suggestions and score are worked out from, each part
+    measured once and when it is first asked for: one wide aggregate, one sample, one row
+    grouping. All of it is small, one row per column, and stays on the driver; pass the
+    object on instead of measuring again.
+    """
+
+    def __init__(self, df: DataFrame, order_by=(), with_memory: bool = False):
+        self.df, self.order_by, self.with_memory = df, order_by, with_memory
+        self.columns = data_columns(df, order_by)
+        self.types = _types(df)
+
+    @functools.cached_property
+    def _wide(self):
+        miss = _missing(self.df, self.columns)
+        aggs = [
+            F.count("*").alias("rows"),
+            F.count_if(cells.all_of(miss.values())).alias("empty_rows"),
+        ]
+        if self.with_memory:
+            aggs.append(_json_bytes(self.columns).alias("bytes"))
+        for i, c in enumerate(self.columns):
+            aggs += [F.count_if(miss[c]).alias(f"m{i}"), _single_value(c, self.types).alias(f"s{i}")]
+            if isinstance(self.types[c], T.NumericType):
+                known = cells.known(c, self.types[c])
+                stats = {"low": F.min(known), "high": F.max(known), "mean": F.avg(known)}
+                aggs += [v.cast("double").alias(f"{k}{i}") for k, v in stats.items()]
+        return self.df.agg(*aggs).first()
+
+    def _of(self, name: str) -> dict:
+        return {c: self._wide[f"{name}{i}"] for i, c in enumerate(self.columns) if f"{name}{i}" in self._wide}
+
+    @property
+    def rows(self) -> int:
+        return self._wide["rows"]
+
+    @property
+    def empty_rows(self) -> int:
+        return self._wide["empty_rows"]
+
+    @functools.cached_property
+    def logical_bytes(self) -> int:
+        if self.with_memory:
+            return self._wide["bytes"] or 0
+        return memory_usage(self.df, self.order_by).first()[0]
+
+    @functools.cached_property
+    def missing(self) -> dict[str, int]:
+        return self._of("m")
+
+    @functools.cached_property
+    def values(self) -> dict[str, int]:
+        """Non-missing cells of each column."""
+        return {c: self.rows - n for c, n in self.missing.items()}
+
+    @functools.cached_property
+    def single(self) -> dict[str, bool]:
+        return self._of("s")
+
+    @functools.cached_property
+    def ranges(self) -> dict[str, tuple]:
+        """{numeric column: (min, max, mean)}."""
+        low, high, mean = self._of("low"), self._of("high"), self._of("mean")
+        return {c: (low[c], high[c], mean[c]) for c in low}
+
+    @functools.cached_property
+    def sample(self) -> dict:
+        """{column: row of :func:`sample_facts`} of the columns that have values."""
+        return {r["column"]: r for r in sample_facts(self.df, self.order_by, self.columns, self.values).collect()}
+
+    @functools.cached_property
+    def repeats(self) -> int:
+        return duplicate_rows(self.df, self.order_by).first()[0]
+
+    def sample_rows(self) -> DataFrame:
+        """:func:`sample_facts` of the text columns, from what is known."""
+        texts = [self.sample[c] for c in text_columns(self.df, self.order_by) if c in self.sample]
+        return self.df.sparkSession.createDataFrame([tuple(r) for r in texts], FACT_SCHEMA)
+
+    def base_rows(self) -> DataFrame:
+        """column, rows, missing, single: one row per column."""
+        known = [(c, self.rows, self.missing[c], bool(self.single[c])) for c in self.columns]
+        return self.df.sparkSession.createDataFrame(known, "column string, rows long, missing long, single boolean")
+
+    def repeat_row(self) -> DataFrame:
+        """duplicate_rows, as one row."""
+        return self.df.sparkSession.createDataFrame([(self.repeats,)], "duplicate_rows long")
 
 
 def whitespace_columns(df: DataFrame, order_by, k: int = 10) -> DataFrame:
     """column: text columns with a padded value among the first k (any k)."""
-    sample = first_k(df, text_columns(df, order_by), order_by, k)
-    return (
-        sample.where(F.col("value") != cells.trim_text("value")).select("column").distinct()
-    )
+    padded = F.max(F.col("value") != cells.trim_text("value")).alias("padded")
+    return sampled(df, text_columns(df, order_by), order_by, k, [padded]).where("padded").select("column")
 
 
 def inconsistent_case_columns(df: DataFrame, order_by) -> DataFrame:
@@ -372,14 +465,14 @@ def mixed_type_columns(df: DataFrame, order_by, mixed_basis: str = "all") -> Dat
     )
 
 
+def _json_bytes(columns) -> Column:
+    rows = F.octet_length(F.to_json(F.struct(*[cells.column(c) for c in columns])))
+    return F.coalesce(F.sum(rows).cast("long"), F.lit(0).cast("long"))
+
+
 def memory_usage(df: DataFrame, order_by=()) -> DataFrame:
     """logical_bytes: size of the rows as JSON text, an engine-neutral estimate."""
-    cols = [cells.column(c) for c in data_columns(df, order_by)]
-    return df.agg(
-        F.coalesce(
-            F.sum(F.octet_length(F.to_json(F.struct(*cols)))).cast("long"), F.lit(0).cast("long")
-        ).alias("logical_bytes")
-    )
+    return df.agg(_json_bytes(data_columns(df, order_by)).alias("logical_bytes"))
 
 
 def iqr_bounds(df: DataFrame, columns, factor: float) -> dict[str, tuple[float, float]]:
@@ -431,127 +524,84 @@ def flag_outliers(
     return df.withColumns({f"{c}__outlier": flag(c) for c in cols})
 
 
-def column_profile(df: DataFrame, order_by, max_columns: int | None = None) -> DataFrame:
-    """One row per column: counts, gaps, distinct values, samples, flags, number range."""
-    cols = data_columns(df, order_by)[:max_columns]
-    types = _types(df)
-    miss = _missing(df, cols)
-    texts = [c for c in cols if isinstance(types[c], T.StringType)]
+def _distinct_values(df: DataFrame, columns, order_by, k: int) -> DataFrame:
+    """column, unique_count, samples: how many values each column has, and the first k.
 
-    def stat(f):
-        def measure(c):
-            if not isinstance(types[c], T.NumericType):
-                return F.first(F.lit(None).cast("double"))
-            return F.round(f(cells.known(c, types[c])).cast("double"), 2)
-
-        return measure
-
-    base = per_column(
-        df,
-        cols,
-        {
-            "dtype": lambda c: F.first(F.lit(types[c].simpleString())),
-            "missing_count": lambda c: F.count_if(miss[c]),
-            "min": stat(F.min),
-            "max": stat(F.max),
-            "mean": stat(F.avg),
-        },
-        {"total_count": F.count("*")},
-    )
-    samples = first_distinct(df, cols, order_by, 5)
-    listed = samples.groupBy("column").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]
-        ).alias("samples")
-    )
-    facts = sample_facts(df, order_by, texts).select(
-        "column", "padded_100", "n_number", "n_date", "n_text"
-    )
-    kinds = ("n_number", "n_date", "n_text")
-    non_null = F.col("total_count") - F.col("missing_count")
-    severe = (non_null > 1) & cells.all_of(F.col(k) > non_null * 0.2 for k in kinds)
-    severe = severe & cells.all_of(F.col(k) > 0 for k in kinds)
-    return (
-        base.join(unique_count(df, columns=cols), "column", "left")
-        .join(listed, "column", "left")
-        .join(facts, "column", "left")
-        .select(
-            "column",
-            "dtype",
-            "total_count",
-            non_null.alias("non_null_count"),
-            "missing_count",
-            F.round(F.try_divide(F.col("missing_count") * 100.0, F.col("total_count")), 2).alias(
-                "missing_percent"
-            ),
-            "unique_count",
-            F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
-            F.coalesce("padded_100", F.lit(False)).alias("has_whitespace_issues"),
-            F.coalesce(severe, F.lit(False)).alias("has_mixed_types"),
-            "min",
-            "max",
-            "mean",
+    One grouping of all cells by (column, value) serves both: it collapses map-side and
+    spreads over the cluster. Of its groups each task keeps k per column.
+    """
+    keys = [f"_o{i}" for i in range(len(order_by))]
+    ordered = df.select(*[cells.column(o).alias(n) for o, n in zip(order_by, keys)], *[cells.column(c) for c in columns])
+    # One order column stays a plain value: a hash aggregate instead of a sort.
+    place = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    groups = unpivot_text(ordered, columns, keep=keys).groupBy("column", "value").agg(F.min(place).alias("first_seen"))
+    pos = F.row_number().over(Window.partitionBy("column").orderBy("first_seen", "value"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("samples")
+    firsts = groups.withColumn("pos", pos).where(F.col("pos") <= k).groupBy("column").agg(listed)
+    return groups.groupBy("column").agg(F.count("*").alias("unique_count")).join(firsts, "column")
+
+
+def column_profile(
+    df: DataFrame, order_by, max_columns: int | None = None, facts: TableFacts | None = None
+) -> DataFrame:
+    """One row per column: counts, gaps, distinct values, samples, flags, number range."""
+    facts = facts or TableFacts(df, order_by)
+    cols = facts.columns[:max_columns]
+    known = []
+    for c in cols:
+        fact = facts.sample.get(c) if isinstance(facts.types[c], T.StringType) else None
+        kinds = [fact[k] for k in ("n_number", "n_date", "n_text")] if fact else [0]
+        n = facts.values[c]
+        severe = n > 1 and all(k > 0 and k > n * 0.2 for k in kinds)
+        low, high, mean = facts.ranges.get(c, (None, None, None))
+        known.append(
+            (c, facts.types[c].simpleString(), facts.rows, n, facts.missing[c], bool(fact and fact["padded_100"]), severe, low, high, mean)
         )
+    base = df.sparkSession.createDataFrame(
+        known,
+        "column string, dtype string, total_count long, non_null_count long, missing_count long, "
+        "has_whitespace_issues boolean, has_mixed_types boolean, min double, max double, mean double",
     )
-
-
-def generate_metadata(df: DataFrame, order_by) -> DataFrame:
-    """One record: shape, columns, types, gaps, size, repeats and quality indicators."""
-    cols = data_columns(df, order_by)
-    types = _types(df)
-    facts = sample_facts(df, order_by)
-    kinds = facts.agg(
-        F.array_sort(F.collect_list(F.when(F.col("all_dates"), F.col("column")))).alias(
-            "potentially_datetime"
-        ),
-        F.array_sort(
-            F.collect_list(
-                F.when(F.col("all_numbers") & ~F.col("all_dates"), F.col("column"))
-            )
-        ).alias("potentially_numeric_text"),
-    )
-    gaps = missing_by_column(df, order_by).agg(
-        F.map_from_entries(F.collect_list(F.struct("column", "missing_count"))).alias(
-            "missing_values"
-        ),
-        F.array_sort(
-            F.collect_list(F.when(F.col("missing_percent") > 50, F.col("column")))
-        ).alias("high_missing_columns"),
-    )
-    parts = [
-        table_shape(df, order_by),
-        gaps,
-        duplicate_rows(df, order_by),
-        memory_usage(df, order_by),
-        kinds,
-    ]
-    return side_by_side(parts).withColumns(
-        {
-            "column_names": F.array(*[F.lit(c) for c in cols]),
-            "dtypes": F.create_map(
-                *[x for c in cols for x in (F.lit(c), F.lit(types[c].simpleString()))]
-            ),
-        }
+    percent = F.round(F.try_divide(F.col("missing_count") * 100.0, F.col("total_count")), 2)
+    return base.join(_distinct_values(df, cols, as_list(order_by), 5), "column", "left").select(
+        "column",
+        "dtype",
+        "total_count",
+        "non_null_count",
+        "missing_count",
+        percent.alias("missing_percent"),
+        F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"),
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
+        "has_whitespace_issues",
+        "has_mixed_types",
+        *[F.round(c, 2).alias(c) for c in ("min", "max", "mean")],
     )
 
 
-def quality_issues(df: DataFrame, order_by) -> DataFrame:
+def generate_metadata(df: DataFrame, order_by, facts: TableFacts | None = None) -> DataFrame:
+    """One record: shape, columns, types, gaps, size, repeats and quality indicators."""
+    facts = facts or TableFacts(df, order_by, with_memory=True)
+    cols, types, n = facts.columns, facts.types, facts.rows
+    texts = [facts.sample[c] for c in text_columns(df, order_by) if c in facts.sample]
+    dates = sorted(r["column"] for r in texts if r["all_dates"])
+    numbers = sorted(r["column"] for r in texts if r["all_numbers"] and not r["all_dates"])
+    sparse = sorted(c for c in cols if n and facts.missing[c] * 100.0 / n > 50)
+    row = (n, len(cols), n * len(cols), facts.missing, sparse, facts.repeats, facts.logical_bytes, dates, numbers, cols)
+    record = df.sparkSession.createDataFrame(
+        [(*row, {c: types[c].simpleString() for c in cols})],
+        "rows long, columns int, total_cells long, missing_values map<string,long>, high_missing_columns array<string>, "
+        "duplicate_rows long, logical_bytes long, potentially_datetime array<string>, potentially_numeric_text array<string>, "
+        "column_names array<string>, dtypes map<string,string>",
+    )
+    return record
+
+
+def quality_issues(df: DataFrame, order_by, facts: TableFacts | None = None) -> DataFrame:
     """issue_ord, column, issue: text lines in the order an analyst would read them."""
-    cols = data_columns(df, order_by)
-    types = _types(df)
-    miss = _missing(df, cols)
-    position = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    base = per_column(
-        df,
-        cols,
-        {
-            "missing": lambda c: F.count_if(miss[c]),
-            "single": lambda c: _single_value(c, types),
-        },
-        {"rows": F.count("*")},
-    )
-    facts = sample_facts(df, order_by).select("column", "padded_10", "all_dates", "all_numbers")
-    joined = base.join(facts, "column", "left")
+    facts = facts or TableFacts(df, order_by)
+    position = F.create_map(*[x for i, c in enumerate(facts.columns) for x in (F.lit(c), F.lit(i))])
+    seen = facts.sample_rows().select("column", "padded_10", "all_dates", "all_numbers")
+    joined = facts.base_rows().join(seen, "column", "left")
     percent = F.try_divide(F.col("missing") * 100.0, F.col("rows"))
     name = F.col("column")
 
@@ -583,7 +633,7 @@ def quality_issues(df: DataFrame, order_by) -> DataFrame:
         "column",
         "issue",
     )
-    repeats = duplicate_rows(df, order_by).where("duplicate_rows > 0").select(
+    repeats = facts.repeat_row().where("duplicate_rows > 0").select(
         F.lit(3_000_000).alias("issue_ord"),
         F.lit(None).cast("string").alias("column"),
         F.format_string("Found %d duplicate rows", F.col("duplicate_rows")).alias("issue"),

@@ -1,9 +1,11 @@
 """The first k non-null values of every column, by an explicit order column.
 
-Unpivoting keeps the scan single, and ``row_number() <= k`` lets Spark prune each
-task to k rows per column before the shuffle (window group limit). The head of the
-table, a bounded number of rows, comes first; columns that have k values there never
-touch the rest.
+The head of the table, a bounded number of rows that each task keeps while it is
+scanned, is one partition; what is asked of its values is worked out there, in the same
+job, and one row per column comes to the driver. Only columns that are too sparse for the
+head see the rest of the table: unpivoting keeps that scan single, and
+``row_number() <= k`` lets Spark prune each task to k rows per column before the shuffle
+(window group limit).
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gridwash.functions import cells
-from gridwash.session import cut_lineage
 
 #: Rows of the head, at least.
 _HEAD = 1_000
 _DISTINCT_HEAD = 1_000
+#: Name of the column that every row of a head has a value in.
+_ANY = "_any row"
 
 
 def as_list(x) -> list:
@@ -71,32 +74,63 @@ def _top(df: DataFrame, columns, order_by, k) -> DataFrame:
     )
 
 
-def first_k(df: DataFrame, columns, order_by, k: int) -> DataFrame:
-    """(column, pos, value) for the first ``k`` non-null values of each column.
+def _head(df: DataFrame, columns, order_by, size: int) -> DataFrame:
+    """The first rows of the table, one partition, with ``_full``: there may be more rows.
 
-    The first rows of the table (a bounded number, kept per task while it is scanned) are
-    written once. They settle every column that has k values there; only the columns that
-    are too sparse for that see the rest of the table.
+    Rows that tie with the last one may lie outside; a full head ends before them. If all
+    of them tie it is empty.
     """
-    columns, order_by = list(columns), as_list(order_by)
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, pos int, value string")
     used = dict.fromkeys([*order_by, *columns])
     place = F.struct(*[cells.column(o) for o in order_by])
-    size = max(_HEAD, 2 * k)
+    whole = Window.partitionBy(F.lit(0))
     first = df.select(*[cells.column(c) for c in used]).orderBy(*[cells.column(o) for o in order_by]).limit(size)
-    head = cut_lineage(first)
-    if head.count() < size:
-        return _top(head, columns, order_by, k)
-    # Rows that tie with the last one may lie outside; the head ends before them.
-    last = F.max(place).over(Window.partitionBy())
-    sample = _top(head.withColumn("_last", last).where(place < F.col("_last")), columns, order_by, k)
-    full = {r["column"] for r in sample.groupBy("column").count().where(F.col("count") >= k).collect()}
-    sparse = [c for c in columns if c not in full]
-    if not sparse:
-        return sample
-    rest = _top(df, sparse, order_by, k)
-    return sample.where(F.col("column").isin(*full)).unionByName(rest) if full else rest
+    marked = first.select("*", (F.count("*").over(whole) >= size).alias("_full"), F.max(place).over(whole).alias("_last"))
+    return marked.where(~F.col("_full") | (place < F.col("_last"))).drop("_last")
+
+
+def _sampled_head(df: DataFrame, columns, order_by, k: int, size: int):
+    """(column, pos, value, full) of the head, and of a column without a name, so that a
+    table has a row even if its columns are empty there."""
+    head = _head(df, columns, order_by, size)
+    keys = [f"_o{i}" for i in range(len(order_by))]
+    ordered = head.select(
+        *[cells.column(o).alias(n) for o, n in zip(order_by, keys)], F.col("_full").alias("full"),
+        F.lit("").alias(_ANY), *[cells.column(c) for c in columns if c not in order_by],
+    )
+    named = unpivot_text(ordered, [_ANY, *columns], keep=[*keys, "full"])
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*keys, "value"))
+    return named.withColumn("pos", place).where(F.col("pos") <= k)
+
+
+def sampled(df: DataFrame, columns, order_by, k: int, aggregates, values: dict[str, int] | None = None) -> DataFrame:
+    """column and one field per aggregate over ``pos`` and ``value`` of the first ``k``
+    non-null values of each column; columns without values have no row.
+
+    The head settles every column that has k values there, or as many as ``values`` says
+    the column has at all. One row per column goes through the driver.
+    """
+    columns, order_by, aggregates = list(columns), as_list(order_by), list(aggregates)
+    own = _sampled_head(df, columns, order_by, k, max(_HEAD, 2 * k)).groupBy("column").agg(
+        *aggregates, F.count("*").alias("_n"), F.first("full").alias("_full")
+    )
+    schema = T.StructType([f for f in own.schema if f.name not in ("_n", "_full")])
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    rows = {r["column"]: r for r in own.collect()}
+    # Without any row the head holds nothing but ties, or the table nothing at all.
+    full = rows[_ANY]["_full"] if _ANY in rows else True
+    found = {c: rows[c]["_n"] if c in rows else 0 for c in columns}
+    sparse = [c for c in columns if full and found[c] < min(k, (values or {}).get(c, k))]
+    out = [rows[c] for c in columns if c in rows and c not in sparse]
+    if sparse:
+        out += _top(df, sparse, order_by, k).groupBy("column").agg(*aggregates).collect()
+    return df.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in out], schema)
+
+
+def first_k(df: DataFrame, columns, order_by, k: int) -> DataFrame:
+    """(column, pos, value) for the first ``k`` non-null values of each column."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("found")
+    return sampled(df, columns, order_by, k, [ordered]).select("column", F.inline("found"))
 
 
 def _distinct_of(seen: DataFrame, k: int) -> DataFrame:
@@ -111,29 +145,32 @@ def _distinct_of(seen: DataFrame, k: int) -> DataFrame:
 def first_distinct(df: DataFrame, columns, order_by, k: int) -> DataFrame:
     """(column, pos, value) for the first ``k`` distinct values of each column.
 
-    The first 1,000 values of a column settle it when they hold k distinct ones or
-    are all there is. Only columns of few distinct values are left, and those
-    collapse map-side in the full pass.
+    The head of the table settles a column when it holds k distinct values or is all
+    there is. Only columns of few distinct values are left, and those collapse map-side
+    in the full pass.
     """
     columns, order_by = list(columns), as_list(order_by)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, pos int, value string")
     seen = (
-        first_k(df, columns, order_by, _DISTINCT_HEAD)
+        _sampled_head(df, columns, order_by, _DISTINCT_HEAD, max(_HEAD, _DISTINCT_HEAD))
         .groupBy("column", "value")
-        .agg(F.min("pos").alias("first_seen"), F.count("*").alias("n"))
+        .agg(F.min("pos").alias("first_seen"), F.first("full").alias("full"))
     )
-    # A column's list holds at most the 1,000 sampled values; k of them leave the task.
+    # A column's list holds at most the sampled values; k of them leave the task.
     firsts = seen.groupBy("column").agg(
         F.count("*").alias("d"),
-        F.sum("n").alias("n"),
+        F.first("full").alias("full"),
         F.slice(F.array_sort(F.collect_list(F.struct("first_seen", "value"))), 1, k).alias("first"),
     )
-    rows = firsts.collect()
-    repeating = [r["column"] for r in rows if r["d"] < k and r["n"] >= _DISTINCT_HEAD]
+    rows = {r["column"]: r for r in firsts.collect()}
+    full = rows[_ANY]["full"] if _ANY in rows else True
+    repeating = [c for c in columns if full and (c not in rows or rows[c]["d"] < k)]
     settled = df.sparkSession.createDataFrame(
         [
-            (r["column"], pos, pair["value"])
-            for r in rows
-            if r["column"] not in repeating
+            (c, pos, pair["value"])
+            for c, r in rows.items()
+            if c in columns and c not in repeating
             for pos, pair in enumerate(r["first"], start=1)
         ],
         "column string, pos int, value string",

@@ -10,17 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwash.functions import cells, formats, rules
-from gridwash.operators.profile import (
-    _missing,
-    _single_value,
-    _types,
-    duplicate_rows,
-    iqr_bounds,
-    missing_overall,
-    sample_facts,
-    side_by_side,
-    type_kind,
-)
+from gridwash.operators.profile import TableFacts, iqr_bounds, missing_overall, type_kind
 from gridwash.operators.quantiles import number
 from gridwash.operators.sampling import data_columns
 
@@ -33,32 +23,21 @@ def generic_header(name: str) -> bool:
 
 
 def measure(
-    df: DataFrame, order_by, header_detected: bool = False, with_memory: bool = True
+    df: DataFrame, order_by, header_detected: bool = False, with_memory: bool = True, known: TableFacts | None = None
 ) -> DataFrame:
     """One row with everything the seven dimensions need.
 
     Passes over the table: one wide aggregate (counts, gaps, single values, size), one
-    bounded sample, one value count for quartiles when there are numeric columns, one
+    bounded sample, one pass or a few for quartiles when there are numeric columns, one
     wide aggregate (violations and outliers, now that formats and bounds are known),
-    and one row grouping for repeats. The last two are left to the caller's action.
+    and one row grouping for repeats. What ``known`` holds is not measured again.
     """
-    cols = data_columns(df, order_by)
-    types, miss = _types(df), _missing(df, cols)
+    known = known or TableFacts(df, order_by, with_memory)
+    cols, types, missing, filled = known.columns, known.types, known.missing, known.values
     kinds = {c: type_kind(types[c]) for c in cols}
     numeric = [c for c in cols if kinds[c] == "numeric"]
     zero = F.lit(0).cast("long")
-    size = F.sum(F.octet_length(F.to_json(F.struct(*[cells.column(c) for c in cols]))))
-    seen = df.agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(cells.all_of(miss.values())).alias("empty_rows"),
-        (size if with_memory else F.sum(zero)).cast("long").alias("logical_bytes"),
-        *[F.count_if(miss[c]).alias(f"_m{i}") for i, c in enumerate(cols)],
-        *[_single_value(c, types).alias(f"_s{i}") for i, c in enumerate(cols)],
-    ).first()
-    n_rows = seen["n_rows"]
-    missing = {c: seen[f"_m{i}"] for i, c in enumerate(cols)}
-    filled = {c: n_rows - missing[c] for c in cols}
-    facts = {r["column"]: r for r in sample_facts(df, order_by, cols).collect()}
+    n_rows, facts = known.rows, known.sample
     formats_found = {
         c: formats.detect_format_by_name(c) or (facts[c]["content_format"] if c in facts else None)
         for c in cols
@@ -85,18 +64,19 @@ def measure(
     )
     broken = [F.col(f"_v{i}") for i in range(len(checked))]
     ratios = [F.col(f"_o{i}") for i in range(len(bounds))]
-    known = {
+    given = {
         "n_cols": len(cols),
-        "empty_rows": seen["empty_rows"],
+        "empty_rows": known.empty_rows,
         "empty_cols": sum(n == n_rows for n in missing.values()),
         "missing_cells": sum(missing.values()),
-        "single_value_cols": sum(bool(seen[f"_s{i}"]) for i in range(len(cols))),
+        "single_value_cols": sum(map(bool, known.single.values())),
         "severe_mixed_cols": mixed,
         "generic_cols": sum(generic_header(c) for c in cols),
-        "logical_bytes": seen["logical_bytes"] or 0,
+        "logical_bytes": known.logical_bytes if with_memory else 0,
+        "duplicate_rows": known.repeats,
         **{f"{k}_cols": list(kinds.values()).count(k) for k in ("numeric", "text", "datetime")},
     }
-    scored = second.select(
+    return second.select(
         "n_rows",
         sum(broken, zero).alias("violations"),
         sum(
@@ -106,10 +86,9 @@ def measure(
             (F.when(r > 0.2, F.least(r * 20, F.lit(10.0))).otherwise(0.0) for r in ratios),
             F.lit(0.0),
         ).alias("outlier_penalty"),
-        *[F.lit(v).cast("long").alias(k) for k, v in known.items()],
+        *[F.lit(v).cast("long").alias(k) for k, v in given.items()],
         F.lit(header_detected).alias("header_detected"),
     )
-    return side_by_side([scored, duplicate_rows(df, order_by)])
 
 
 def _severely_mixed(fact, non_null: int) -> bool:

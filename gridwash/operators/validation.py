@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F,
 
 from gridwash.functions import cells, formats, rules
 from gridwash.operators.profile import content_format, per_column
-from gridwash.operators.sampling import data_columns, first_k
+from gridwash.operators.sampling import data_columns, sampled
 
 
 def _text(df: DataFrame, c: str) -> Column:
@@ -29,8 +29,7 @@ def format_by_name(df: DataFrame, order_by=(), word_match: bool = False) -> Data
 def format_by_content(df: DataFrame, order_by, columns=None) -> DataFrame:
     """column, format: from the first 20 non-null values; null when no rule fires."""
     cols = list(columns if columns is not None else data_columns(df, order_by))
-    sample = first_k(df, cols, order_by, rules.CONTENT_SAMPLE)
-    return sample.groupBy("column").agg(content_format(F.lit(True)).alias("format"))
+    return sampled(df, cols, order_by, rules.CONTENT_SAMPLE, [content_format(F.lit(True)).alias("format")])
 
 
 def detected_formats(df: DataFrame, order_by, word_match: bool = False) -> dict[str, str]:
@@ -166,18 +165,16 @@ def pattern_by_content(df: DataFrame, order_by, columns=None) -> DataFrame:
     """column, pattern, match_rate: best of the identifier patterns on the first 100
     values; rate must exceed 0.6, ties keep the earlier pattern. Null when none fits."""
     cols = list(columns if columns is not None else data_columns(df, order_by))
-    sample = first_k(df, cols, order_by, rules.PATTERN_SAMPLE).withColumn(
-        "value", cells.trim_text("value")
-    )
+    value = cells.trim_text("value")
     rated = [
         F.struct(
-            (F.count_if(F.col("value").rlike("(?i)" + p[0])) / F.count("*")).alias("rate"),
+            (F.count_if(value.rlike("(?i)" + p[0])) / F.count("*")).alias("rate"),
             F.lit(-i).alias("place"),
             F.lit(n).alias("name"),
         )
         for i, (n, p) in enumerate(rules.PATTERNS.items())
     ]
-    best = sample.groupBy("column").agg(F.array_max(F.array(*rated)).alias("best"))
+    best = sampled(df, cols, order_by, rules.PATTERN_SAMPLE, [F.array_max(F.array(*rated)).alias("best")])
     fits = F.col("best.rate") > rules.PATTERN_SHARE
     return best.select(
         "column",

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from gridwash.functions import cells, rules
 from gridwash.operators import convert, score, structure, validation
+from gridwash.operators.profile import TableFacts
 from gridwash.operators.sampling import as_list, data_columns, text_columns
 from gridwash.plans.suggest import route, rule_suggestions, top_suggestions
-from gridwash.session import cut_lineage
+from gridwash.session import drop_stored, stored
 
 # Operations that report and leave the table as it is.
 REPORT_ONLY = ("keep", "mark_missing", "mark_outliers")
@@ -96,19 +97,25 @@ def clean_until(
 ) -> tuple[DataFrame, DataFrame]:
     """Suggest, apply, score; stop at the threshold, without suggestions, or at the limit.
 
-    Returns the table and one history row per round. Each round ends in a reliable
-    checkpoint, so the plan does not grow and lost executors do not replay rounds.
+    Returns the table and one history row per round. Each round ends in a written table,
+    so the plan does not grow and lost executors do not replay rounds; a round's table is
+    deleted when the next one is written. A table is measured once: the facts behind its
+    score are those behind the next round's suggestions.
     """
     history = []
+    facts = TableFacts(df, order_by)
     for i in range(1, max_iterations + 1):
-        chosen = top_suggestions(rule_suggestions(df, order_by), per_round).collect()
+        chosen = top_suggestions(rule_suggestions(df, order_by, facts), per_round).collect()
         if not chosen:
             break
         # Suggestions come in rule order and their operations work on all columns at once
         # and change nothing the second time, so each is applied once.
         steps = list(dict.fromkeys(r["op"] for r in chosen))
-        df = cut_lineage(apply_plan(df, order_by, steps))
-        report = score.dimension_scores(score.measure(df, order_by, with_memory=False))
+        before, df = df, stored(apply_plan(df, order_by, steps), "round")
+        if i > 1:
+            drop_stored(before)
+        facts = TableFacts(df, order_by)
+        report = score.dimension_scores(score.measure(df, order_by, with_memory=False, known=facts))
         row = report.select("n_rows", "n_cols", score.total_score().alias("score")).first()
         history.append((i, row["score"], len(chosen), row["n_rows"], row["n_cols"]))
         if row["score"] >= threshold:

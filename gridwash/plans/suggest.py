@@ -8,15 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwash.functions import cells, rules
 from gridwash.operators import structure
-from gridwash.operators.profile import (
-    _missing,
-    _single_value,
-    _types,
-    duplicate_rows,
-    per_column,
-    sample_facts,
-    side_by_side,
-)
+from gridwash.operators.profile import TableFacts, sample_facts, side_by_side
 from gridwash.operators.sampling import data_columns
 from gridwash.operators.validation import format_flags
 
@@ -61,26 +53,18 @@ def route(text: str) -> str:
     return "keep"
 
 
-def rule_suggestions(df: DataFrame, order_by) -> DataFrame:
+def rule_suggestions(df: DataFrame, order_by, known: TableFacts | None = None) -> DataFrame:
     """Suggestion rows in fixed order: repeats, gaps, padding and case, dates as text,
     numbers as text, single values.
 
     rule_ord, category, description, action, priority, requires_code,
-    affected_columns, impact, op. ``op`` is the operation the action routes to.
+    affected_columns, impact, op. ``op`` is the operation the action routes to. ``known``
+    saves measuring a table whose facts are there.
     """
-    cols = data_columns(df, order_by)
-    types, miss = _types(df), _missing(df, cols)
+    known = known or TableFacts(df, order_by)
+    cols = known.columns
     place = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    base = per_column(
-        df,
-        cols,
-        {
-            "missing": lambda c: F.count_if(miss[c]),
-            "single": lambda c: _single_value(c, types),
-        },
-        {"rows": F.count("*")},
-    )
-    facts = base.join(sample_facts(df, order_by), "column", "left")
+    facts = known.base_rows().join(known.sample_rows(), "column", "left")
     percent = F.try_divide(F.col("missing") * 100.0, F.col("rows"))
     name = F.col("column")
 
@@ -128,7 +112,7 @@ def rule_suggestions(df: DataFrame, order_by) -> DataFrame:
     n = F.col("duplicate_rows")
     description, action, impact = texts("repeats", (n,), (), (n,))
     repeats = (
-        duplicate_rows(df, order_by)
+        known.repeat_row()
         .where("duplicate_rows > 0")
         .select(
             F.lit(0).alias("rule_ord"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: Folders of intermediate tables, by application.
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -28,8 +30,48 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for an intermediate table; :func:`drop_scratch` deletes it."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every intermediate table of this application; the number of them.
+
+    Call it when a run is over: results that still read such a table are lost with it.
+    """
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` into the shared checkpoint folder and read it back: cuts the lineage,
+    so a lost executor only costs the tasks it was running.
+
+    A table with types that Parquet has not gets a reliable checkpoint instead.
+    """
+    if not df.columns or any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema):
+        return cut_lineage(df)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`stored` wrote and nothing reads any more."""
+    known = _SCRATCH.get(df.sparkSession.sparkContext.applicationId, [])
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in known if folder.endswith(p.rsplit("/", 1)[-1])]:
+            _delete(df.sparkSession, path)
+            known.remove(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
