@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwash.functions import cells
+from gridwash.sources import records
 
 
 def read_raw_table(
@@ -48,15 +49,19 @@ def _widest(spark, reader, path: str, sep: str) -> int:
         tried *= 2
 
 
-def read_raw_folder(spark: SparkSession, path: str, n_columns: int, **options) -> DataFrame:
-    """Many headerless CSV files: ``file``, ``row_id`` (order within the file), c0..cn."""
-    schema = ", ".join(f"c{i} string" for i in range(n_columns))
-    raw = spark.read.schema(schema).option("header", False).options(**options).csv(path)
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("row_id"),
-        *[f"c{i}" for i in range(n_columns)],
-    )
+def read_raw_folder(spark: SparkSession, path: str, n_columns: int = 1, **options) -> DataFrame:
+    """Headerless CSV files, one or many: ``file``, ``row_id`` (order within the file),
+    c0..cn as text.
+
+    Every cell is kept: there are as many columns as the widest row of all files has cells,
+    and at least ``n_columns``. Quoted cells may hold line breaks; a large file is still
+    read by many tasks (see ``records``). Blank lines are no rows. Options are those of
+    Spark's CSV reader that concern single cells, and ``sep``.
+    """
+    sep = options.pop("sep", options.pop("delimiter", ","))
+    found = records.read_records(spark, path, sep).where(F.trim("text") != "")
+    widest = found.agg(F.max("cells")).first()[0] or 0
+    return found.select("file", "row_id", *records.parse_records(max(n_columns, widest), sep, **options))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None) -> DataFrame:
