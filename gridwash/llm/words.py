@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text is one piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Fixed: seeds of the hash tables. All executors must use the same ones.
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U64(2) + U64(1)
