@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridwash.functions import cells
-from gridwash.operators.profile import _types, per_column
+from gridwash.operators.profile import _types, per_column, side_by_side
 from gridwash.operators.sampling import as_list, data_columns
 
 
@@ -21,29 +21,38 @@ def row_difference(before: DataFrame, after: DataFrame, order_by=()) -> DataFram
     instance of each row per task.
     """
     cols = data_columns(before, order_by)
-    if set(cols) != set(data_columns(after, order_by)):
-        raise ValueError("both tables need the same columns")
-    both = before.select(*[cells.column(c) for c in cols], F.lit(1).alias("_side")).unionByName(
-        after.select(*[cells.column(c) for c in cols], F.lit(-1).alias("_side"))
-    )
-    types = _types(both)
-    digest = F.unhex(F.sha2(cells.row_json(types, cols), 256))
-    row = F.struct(*[cells.known(c, types[c]).alias(c) for c in cols])
-    counted = both.groupBy(digest.alias("_digest")).agg(F.sum("_side").alias("_n"), F.first(row).alias("_row"))
-    return counted.where("_n <> 0").select(
+    row = F.struct(*[F.col(f"_v{i}").alias(f"_v{i}") for i in range(len(cols))])
+    counted = _balance(before, after, order_by, F.first(row).alias("_row"))
+    return counted.select(
         F.when(F.col("_n") > 0, "lost").otherwise("added").alias("change"),
         F.abs("_n").alias("copies"),
-        *[F.col("_row")[c].alias(c) for c in cols],
+        *[F.col("_row")[f"_v{i}"].alias(c) for i, c in enumerate(cols)],
     )
 
 
+def _balance(before: DataFrame, after: DataFrame, order_by, *aggregates) -> DataFrame:
+    """(_digest, _n, aggregates over the values _v0..): rows that are not in balance."""
+    cols = data_columns(before, order_by)
+    if set(cols) != set(data_columns(after, order_by)):
+        raise ValueError("both tables need the same columns")
+
+    def side(df, sign):
+        return df.select(*[cells.column(c).alias(f"_v{i}") for i, c in enumerate(cols)], F.lit(sign).alias("_side"))
+
+    both = side(before, 1).unionByName(side(after, -1))
+    types, names = _types(both), [f"_v{i}" for i in range(len(cols))]
+    digest = F.unhex(F.sha2(cells.row_json(types, names), 256))
+    known = both.select("_side", digest.alias("_digest"), *[cells.known(n, types[n]).alias(n) for n in names])
+    return known.groupBy("_digest").agg(F.sum("_side").alias("_n"), *aggregates).where("_n <> 0")
+
+
 def difference_counts(before: DataFrame, after: DataFrame, order_by=()) -> DataFrame:
     """lost, added, kept: how many rows (with copies) of two versions of a table."""
-    totals = row_difference(before, after, order_by).agg(
-        *[F.coalesce(F.sum(F.when(F.col("change") == c, F.col("copies"))), F.lit(0)).alias(c) for c in ("lost", "added")]
-    )
-    n = before.agg(F.count("*").alias("_n"))
-    return totals.join(n).select("lost", "added", (F.col("_n") - F.col("lost")).alias("kept"))
+    n = F.col("_n")
+    sums = {"lost": F.when(n > 0, n), "added": F.when(n < 0, -n)}
+    totals = _balance(before, after, order_by).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()])
+    rows = before.agg(F.count("*").alias("_rows"))
+    return side_by_side([totals, rows]).select("lost", "added", (F.col("_rows") - F.col("lost")).alias("kept"))
 
 
 def changed_cells(before: DataFrame, after: DataFrame, keys, columns=None) -> DataFrame:

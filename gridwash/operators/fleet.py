@@ -38,7 +38,7 @@ def fleet_report(
         if c in known:
             text = cells.safe_str(c, types[c])
             aggs.append(F.count_if(~cells.is_blank(text)).alias(f"_c{i}"))
-            aggs.append(F.count_if(~formats.is_valid(text, known[c])).alias(f"_v{i}"))
+            aggs.append(F.count_if(~cells.is_blank(text) & ~formats.is_valid(text, known[c])).alias(f"_v{i}"))
     wide = df.groupBy(cells.column(dataset).alias("dataset"), cells.column(sheet).alias("sheet")).agg(
         F.count("*").alias("cells"), *aggs
     )

@@ -10,7 +10,7 @@ stay together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridwash.functions import cells
 from gridwash.operators.sampling import as_list
@@ -62,7 +62,8 @@ def with_chunks(df: DataFrame, order_by, chunks: int) -> DataFrame:
 def chunked(df: DataFrame, keys, order_by, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """The table with ``_tie`` (a hash of the row) and ``_chunk``, so that no key has more
     than about ``group_limit`` rows in a chunk."""
-    tied = df.withColumn(TIE, F.xxhash64(*[cells.column(c) for c in df.columns]))
+    hashed = [cells.column(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    tied = df.withColumn(TIE, F.xxhash64(*hashed))
     biggest = largest_group(df, keys)
     # Twice the needed number, as chunk sizes are approximate.
     chunks = 2 * -(-biggest // group_limit) if biggest > group_limit else 1
@@ -165,7 +166,7 @@ def as_of(
     counts (nulls are smallest).
     """
     keys, columns = as_list(keys), as_list(columns)
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = [f"_key{i}" for i in range(len(keys))]
     kind = F.struct(cells.column(left_order)).alias("x")
     place = left.select(kind).schema["x"].dataType[0].dataType
     value = F.struct(*[cells.column(c).alias(f"c{i}") for i, c in enumerate(columns)])

@@ -18,13 +18,14 @@ from gridwash.operators.sampling import (
     first_distinct,
     numeric_columns,
     sampled,
+    sampled_rows,
     text_columns,
     unpivot_text,
 )
 
 FACT_SAMPLE = 100
 FACT_SCHEMA = (
-    "column string, sampled long, padded_10 boolean, padded_20 boolean, padded_100 boolean, distinct_raw int, "
+    "sampled long, padded_10 boolean, padded_20 boolean, padded_100 boolean, distinct_raw int, "
     "distinct_lower int, all_dates boolean, all_numbers boolean, content_format string, n_number long, n_date long, n_text long"
 )
 
@@ -297,14 +298,13 @@ def content_format(in_sample: Column) -> Column:
     return pick
 
 
-def sample_facts(df: DataFrame, order_by, columns=None, values: dict[str, int] | None = None) -> DataFrame:
-    """Everything that is decided on the first 10 / 20 / 100 values, one row per column."""
-    cols = list(columns if columns is not None else text_columns(df, order_by))
+def _decided() -> list[Column]:
+    """Aggregates over pos and value: what the first 10 / 20 / 100 values of a column tell."""
     v, pos = F.col("value"), F.col("pos")
     in20 = pos <= 20
     numeric, date = cells.is_number(v), cells.is_date(v)
     padded = v != cells.trim_text(v)
-    decided = [
+    return [
         F.count_if(in20).alias("sampled"),
         F.max((pos <= 10) & padded).alias("padded_10"),
         F.max(in20 & padded).alias("padded_20"),
@@ -318,7 +318,12 @@ def sample_facts(df: DataFrame, order_by, columns=None, values: dict[str, int] |
         F.count_if(in20 & date).alias("n_date"),
         (F.count_if(in20) - F.count_if(in20 & numeric) - F.count_if(in20 & date)).alias("n_text"),
     ]
-    return sampled(df, cols, order_by, FACT_SAMPLE, decided, values)
+
+
+def sample_facts(df: DataFrame, order_by, columns=None) -> DataFrame:
+    """Everything that is decided on the first 10 / 20 / 100 values, one row per column."""
+    cols = list(columns if columns is not None else text_columns(df, order_by))
+    return sampled(df, cols, order_by, FACT_SAMPLE, _decided())
 
 
 class TableFacts:
@@ -389,21 +394,24 @@ class TableFacts:
     @functools.cached_property
     def sample(self) -> dict:
         """{column: row of :func:`sample_facts`} of the columns that have values."""
-        return {r["column"]: r for r in sample_facts(self.df, self.order_by, self.columns, self.values).collect()}
+        rows, _ = sampled_rows(self.df, self.columns, self.order_by, FACT_SAMPLE, _decided(), self.values)
+        return {r["column"]: r for r in rows}
 
     @functools.cached_property
     def repeats(self) -> int:
         return duplicate_rows(self.df, self.order_by).first()[0]
 
-    def sample_rows(self) -> DataFrame:
-        """:func:`sample_facts` of the text columns, from what is known."""
-        texts = [self.sample[c] for c in text_columns(self.df, self.order_by) if c in self.sample]
-        return self.df.sparkSession.createDataFrame([tuple(r) for r in texts], FACT_SCHEMA)
-
-    def base_rows(self) -> DataFrame:
-        """column, rows, missing, single: one row per column."""
-        known = [(c, self.rows, self.missing[c], bool(self.single[c])) for c in self.columns]
-        return self.df.sparkSession.createDataFrame(known, "column string, rows long, missing long, single boolean")
+    def column_rows(self) -> DataFrame:
+        """column, rows, missing, single and, of text columns, the fields of
+        :func:`sample_facts`: one row per column, from what is known."""
+        names = [f.split()[0] for f in FACT_SCHEMA.split(", ")]
+        texts = set(text_columns(self.df, self.order_by))
+        known = []
+        for c in self.columns:
+            fact = self.sample.get(c) if c in texts else None
+            decided = [fact[n] for n in names] if fact else [None] * len(names)
+            known.append((c, self.rows, self.missing[c], bool(self.single[c]), *decided))
+        return self.df.sparkSession.createDataFrame(known, f"column string, rows long, missing long, single boolean, {FACT_SCHEMA}")
 
     def repeat_row(self) -> DataFrame:
         """duplicate_rows, as one row."""
@@ -600,8 +608,7 @@ def quality_issues(df: DataFrame, order_by, facts: TableFacts | None = None) ->
     """issue_ord, column, issue: text lines in the order an analyst would read them."""
     facts = facts or TableFacts(df, order_by)
     position = F.create_map(*[x for i, c in enumerate(facts.columns) for x in (F.lit(c), F.lit(i))])
-    seen = facts.sample_rows().select("column", "padded_10", "all_dates", "all_numbers")
-    joined = facts.base_rows().join(seen, "column", "left")
+    joined = facts.column_rows()
     percent = F.try_divide(F.col("missing") * 100.0, F.col("rows"))
     name = F.col("column")
 

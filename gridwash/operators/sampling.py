@@ -102,20 +102,15 @@ def _sampled_head(df: DataFrame, columns, order_by, k: int, size: int):
     return named.withColumn("pos", place).where(F.col("pos") <= k)
 
 
-def sampled(df: DataFrame, columns, order_by, k: int, aggregates, values: dict[str, int] | None = None) -> DataFrame:
-    """column and one field per aggregate over ``pos`` and ``value`` of the first ``k``
-    non-null values of each column; columns without values have no row.
-
-    The head settles every column that has k values there, or as many as ``values`` says
-    the column has at all. One row per column goes through the driver.
-    """
+def sampled_rows(df: DataFrame, columns, order_by, k: int, aggregates, values: dict[str, int] | None = None):
+    """(rows, schema) of :func:`sampled`, on the driver: one row per column with values."""
     columns, order_by, aggregates = list(columns), as_list(order_by), list(aggregates)
     own = _sampled_head(df, columns, order_by, k, max(_HEAD, 2 * k)).groupBy("column").agg(
         *aggregates, F.count("*").alias("_n"), F.first("full").alias("_full")
     )
     schema = T.StructType([f for f in own.schema if f.name not in ("_n", "_full")])
     if not columns:
-        return df.sparkSession.createDataFrame([], schema)
+        return [], schema
     rows = {r["column"]: r for r in own.collect()}
     # Without any row the head holds nothing but ties, or the table nothing at all.
     full = rows[_ANY]["_full"] if _ANY in rows else True
@@ -124,7 +119,18 @@ def sampled(df: DataFrame, columns, order_by, k: int, aggregates, values: dict[s
     out = [rows[c] for c in columns if c in rows and c not in sparse]
     if sparse:
         out += _top(df, sparse, order_by, k).groupBy("column").agg(*aggregates).collect()
-    return df.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in out], schema)
+    return out, schema
+
+
+def sampled(df: DataFrame, columns, order_by, k: int, aggregates, values: dict[str, int] | None = None) -> DataFrame:
+    """column and one field per aggregate over ``pos`` and ``value`` of the first ``k``
+    non-null values of each column; columns without values have no row.
+
+    The head settles every column that has k values there, or as many as ``values`` says
+    the column has at all. One row per column goes through the driver.
+    """
+    rows, schema = sampled_rows(df, columns, order_by, k, aggregates, values)
+    return df.sparkSession.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
 
 
 def first_k(df: DataFrame, columns, order_by, k: int) -> DataFrame:

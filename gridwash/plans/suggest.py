@@ -64,7 +64,7 @@ def rule_suggestions(df: DataFrame, order_by, known: TableFacts | None = None) -
     known = known or TableFacts(df, order_by)
     cols = known.columns
     place = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    facts = known.base_rows().join(known.sample_rows(), "column", "left")
+    facts = known.column_rows()
     percent = F.try_divide(F.col("missing") * 100.0, F.col("rows"))
     name = F.col("column")
 

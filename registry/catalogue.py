@@ -331,6 +331,18 @@ def k27(d):
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query(
+    "k27_missing_date_ranges",
+    "WITH days AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders), "
+    "n AS (SELECT *, lead(day) OVER (PARTITION BY o_custkey ORDER BY day) AS following FROM days) "
+    "SELECT o_custkey, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS missing_from, strftime(following - INTERVAL 1 DAY, '%Y-%m-%d') AS missing_to, "
+    "CAST(date_diff('day', day, following) - 1 AS INTEGER) AS days FROM n WHERE date_diff('day', day, following) > 1",
+)
+def k27_ranges(d):
+    out = dates.missing_date_ranges(d.table("orders").select("o_custkey", "o_orderdate"), "o_custkey", "o_orderdate")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("missing_from", "missing_to")})
+
+
 @query(
     "k28_date_parts",
     "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate__year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate__month, "
@@ -593,6 +605,22 @@ def k51(d):
     return consistency.fix_spelling(d.sql(SPELLING), "kind", 100)
 
 
+# Part types with some letters lost or changed.
+MISSPELT = """SELECT p_partkey, CASE WHEN p_partkey % 23 = 0 THEN concat('x', substr(n, 2, 3), substr(n, 6)) WHEN p_partkey % 23 = 1 THEN concat(n, 'yy')
+    WHEN p_partkey % 23 = 2 THEN concat(substr(n, 1, 2), substr(n, 5)) ELSE n END AS name FROM (SELECT p_partkey, p_type AS n FROM {part}) t"""
+
+
+@query(
+    "k51_fix_spelling_two_edits",
+    f"WITH t AS ({MISSPELT}), c AS (SELECT name, count(*) AS n FROM t GROUP BY 1), "
+    "p AS (SELECT r.name, g.name AS good, row_number() OVER (PARTITION BY r.name ORDER BY levenshtein(r.name, g.name), g.n DESC, g.name) AS o "
+    "FROM c r, c g WHERE r.n < 3 AND g.n >= 3 AND levenshtein(r.name, g.name) <= 2) "
+    "SELECT p_partkey, coalesce(good, t.name) AS name FROM t LEFT JOIN p ON p.name = t.name AND p.o = 1",
+)
+def k51_two(d):
+    return consistency.fix_spelling(d.sql(MISSPELT), "name", 3, 2)
+
+
 @query(
     "k52_validate_totals",
     "SELECT o_orderkey AS key, round(o_totalprice, 2) AS total, round(coalesce(s, 0), 2) AS child_total FROM orders LEFT JOIN "

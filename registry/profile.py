@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwash.functions import rules
-from gridwash.operators import profile, usage
+from gridwash.operators import compare, profile, usage
+from gridwash.streaming import live
 from registry import sqltext as s
 from registry.base import DATA_COLUMNS, query
 
@@ -421,6 +422,80 @@ def a27_running(d):
     )
 
 
+# Three price periods per provider; provider c has none, every 50th call has no time.
+DATED_CALLS = """SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'b' WHEN user_id % 17 = 3 THEN 'c' ELSE 'a' END AS provider,
+    CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS ts, event_id % 300 AS input_tokens, event_id % 170 AS output_tokens FROM {events}"""
+DATED_PRICES = " UNION ALL ".join(
+    f"SELECT '{p}' AS provider, CAST('2024-01-{day} 00:00:00' AS TIMESTAMP) AS valid_from, CAST({a} AS DOUBLE) AS input_price, CAST({b} AS DOUBLE) AS output_price"
+    for p, day, a, b in (
+        ("a", "03", 3, 15), ("a", "12", 2.5, 12), ("a", "20", 4, 16), ("b", "01", 30, 60), ("b", "10", 25, 50), ("b", "25", 10, 30),
+    )
+)
+
+
+@query(
+    "a27_usage_cost_by_date",
+    f"WITH calls AS ({DATED_CALLS}), prices AS ({DATED_PRICES}) "
+    "SELECT provider, input_price, output_price, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, "
+    "CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, "
+    "round(sum(input_tokens) * input_price / 1000000.0 + sum(output_tokens) * output_price / 1000000.0, 6) AS cost "
+    "FROM (SELECT c.provider, c.input_tokens, c.output_tokens, p.input_price, p.output_price FROM calls c "
+    "ASOF LEFT JOIN prices p ON c.provider = p.provider AND c.ts >= p.valid_from) GROUP BY provider, input_price, output_price",
+)
+def a27_by_date(d):
+    out = usage.usage_cost_by_date(d.sql(DATED_CALLS), d.sql(DATED_PRICES))
+    return out.withColumn("cost", F.round("cost", 6))
+
+
+@query(
+    "a28_sessions",
+    "WITH marked AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 30 MINUTE AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "numbered AS (SELECT *, count(*) FILTER (WHERE cut) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked) "
+    "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, "
+    "count(*) AS events, round(sum(value), 4) AS value FROM numbered GROUP BY user_id, session",
+)
+def a28_sessions(d):
+    found = live.sessions(d.table("events"), "user_id", "30 minutes", values=["value"])
+    text = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("session_start", "session_end")]
+    return found.select("user_id", *text, "events", F.round("value", 4).alias("value"))
+
+
+# Some rows of one version are gone in the other, and some are changed.
+AFTER = "SELECT event_id, user_id, CASE WHEN event_id % 13 = 0 THEN 'changed' ELSE event_type END AS event_type, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value FROM f WHERE event_id % 29 <> 0"
+ALL_EVENTS = "event_id, user_id, event_type, value"
+
+
+def _except_all(change, one, other):
+    return f"SELECT '{change}' AS change, count(*) AS copies, {ALL_EVENTS} FROM (SELECT {ALL_EVENTS} FROM {one} EXCEPT ALL SELECT {ALL_EVENTS} FROM {other}) GROUP BY ALL"
+
+
+@query(
+    "a26_row_difference",
+    f"WITH g AS ({AFTER}) {_except_all('lost', 'f', 'g')} UNION ALL {_except_all('added', 'g', 'f')}",
+    "dup_events",
+)
+def a26_rows(d):
+    before = d.fixture("dup_events")
+    return compare.row_difference(before, d.spark.sql(AFTER.replace("FROM f", "FROM {f}"), f=before))
+
+
+@query(
+    "a26_changed_cells",
+    "WITH g AS (SELECT row_id, cust_id, trim(priority) AS priority, NULL AS total_amount, value_text FROM f WHERE row_id % 3 <> 0), "
+    "j AS (SELECT f.*, g.cust_id AS a0, g.priority AS a1, CAST(g.total_amount AS VARCHAR) AS a2, g.value_text AS a3 FROM f JOIN g USING (row_id)) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS common, count(*) FILTER (WHERE {c} IS DISTINCT FROM a{i}) AS changed, "
+        f"count(*) FILTER (WHERE {c} IS NULL AND a{i} IS NOT NULL) AS filled, count(*) FILTER (WHERE {c} IS NOT NULL AND a{i} IS NULL) AS emptied FROM j"
+        for i, c in enumerate(("cust_id", "priority", "total_amount", "value_text"))
+    ),
+    "dirty_orders",
+)
+def a26_cells(d):
+    before = d.fixture("dirty_orders").select("row_id", "cust_id", "priority", "total_amount", "value_text")
+    after = before.where("row_id % 3 <> 0").withColumns({"priority": F.trim("priority"), "total_amount": F.lit(None).cast("string")})
+    return compare.changed_cells(before, after, "row_id")
+
+
 @query(
     "a28_rate_limit_breaches",
     "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS window_start, 'uploads' AS kind, count(*) AS n, "

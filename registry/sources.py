@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridwash.session import scratch_path
-from gridwash.sources import store, tables, workbooks
+from gridwash.operators import profile
+from gridwash.sources import sketches, store, tables, workbooks
 from registry.base import query
 
 SUPPLIER = "SELECT s_name, CAST(s_suppkey AS STRING) AS k, CAST(s_nationkey AS STRING) AS n FROM {supplier}"
@@ -42,6 +43,22 @@ def s01_folder(d):
     return tables.read_raw_folder(d.spark, path, 3).drop("file", "row_id")
 
 
+@query(
+    "s01_read_raw_folder_quoted",
+    "SELECT s_name AS c0, CASE WHEN s_suppkey % 10 = 0 THEN concat(CAST(s_suppkey AS VARCHAR), ', \"a\"', chr(10), 'b') ELSE CAST(s_suppkey AS VARCHAR) END AS c1, "
+    "CAST(s_nationkey AS VARCHAR) AS c2, CASE WHEN s_suppkey % 7 = 0 THEN 'extra' END AS c3 FROM supplier",
+)
+def s01_folder_quoted(d):
+    """Many files of ragged rows, some with a line break in a cell; the widest row decides."""
+    path = scratch_path(d.spark, "rawdir")
+    lines = d.sql(
+        """SELECT concat(s_name, ',', CASE WHEN s_suppkey % 10 = 0 THEN concat('"', s_suppkey, ', ""a""\\n', 'b"') ELSE CAST(s_suppkey AS STRING) END,
+        ',', s_nationkey, CASE WHEN s_suppkey % 7 = 0 THEN ',extra' ELSE '' END) AS line, s_suppkey FROM {supplier}"""
+    )
+    lines.repartition(4, "s_suppkey").select("line").write.text(path)
+    return tables.read_raw_folder(d.spark, path).drop("file", "row_id")
+
+
 @query("s02_read_table", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s02(d):
     path = scratch_path(d.spark, "typed")
@@ -259,6 +276,41 @@ def s11_other(d):
     return store.read_stage(d.spark, root, "Book_1", "S_1", "uploads", "1")
 
 
+@query(
+    "s11_read_stage_mixed",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS key, o_totalprice AS price, NULL AS name FROM orders UNION ALL SELECT concat('p', CAST(p_partkey AS VARCHAR)), NULL, p_name FROM part",
+)
+def s11_mixed(d):
+    """A whole stage: a column that is a number in one table and text in another."""
+    root = scratch_path(d.spark, "store")
+    orders = d.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    parts = d.table("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").alias("name"))
+    store.write_stage(orders, root, "Book", "S", "uploads", "1")
+    store.write_stage(parts, root, "Book", "S", "uploads", "2")
+    return store.read_stage(d.spark, root, "Book", "S", "uploads")
+
+
+@query(
+    "s12_merged_sketches",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, true AS distinct_close, {q} AS median_close FROM orders"
+        for c, q in (("o_orderkey", "true"), ("o_custkey", "true"), ("o_totalprice", "true"), ("o_orderpriority", "NULL"))
+    ),
+)
+def s12_sketches(d):
+    """Statistics of a folder from the sketches of its parts, against whole-table ones: 4 %
+    of the distinct values, 1 % of the ranks."""
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    orders, root = d.table("orders").select(*columns), scratch_path(d.spark, "store")
+    for part in range(4):
+        sketches.write_sketches(orders.where(F.col("o_orderkey") % 4 == part), root, "Book", "S", "1", str(part))
+    found = sketches.merged(sketches.read_sketches(d.spark, root), probs=[0.49, 0.51])
+    whole = profile.unique_count(orders).join(profile.describe(orders).select("column", "q50"), "column", "left")
+    close = F.abs(F.col("distinct") - F.col("unique_count")) <= 0.04 * F.col("unique_count")
+    median = F.col("q50").between(F.col("quantiles")[0], F.col("quantiles")[1])
+    return found.join(whole, "column").select("column", "rows", "non_null", close.alias("distinct_close"), median.alias("median_close"))
+
+
 @query("s12_metadata", "SELECT 'Book' AS dataset, 'S' AS sheet, 'a1' AS id, count(*) AS rows, true AS stamped FROM orders")
 def s12(d):
     root = scratch_path(d.spark, "store")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwash.functions import formats, rules
-from gridwash.operators import validation
+from gridwash.operators import fleet, validation
 from registry import sqltext as s
 from registry.base import DATA_COLUMNS, query
 
@@ -277,3 +277,31 @@ def v14(d):
     labelled = validation.label_headers(df, flags)
     pairs = [(a, b) for a, b in zip(df.columns, labelled.columns) if a != b]
     return d.spark.createDataFrame(pairs, "column string, label string")
+
+
+# A fleet of tables in one: three datasets of two sheets; one sheet has no name.
+FLEET = "SELECT *, concat('set', CAST(row_id % 3 AS STRING)) AS dataset, CASE WHEN row_id % 2 = 0 THEN 'even' END AS sheet FROM "
+
+
+def _fleet_column(c):
+    k = CONTACT_FORMATS.get(c)
+    checked = f"({c} IS NOT NULL AND {s.trim(c)} <> '')" if k else "false"
+    bad = f"{checked} AND NOT {s.valid(c, k)}" if k else "false"
+    return (
+        f"SELECT dataset, sheet, '{c}' AS \"column\", {s.q(k) if k else 'CAST(NULL AS VARCHAR)'} AS format, "
+        f"{c} IS NULL AS gap, {checked} AS checked, {bad} AS bad FROM fleet"
+    )
+
+
+@query(
+    "v06_fleet_report",
+    f"WITH fleet AS ({FLEET} f), cells AS (" + " UNION ALL ".join(map(_fleet_column, CONTACTS)) + ") "
+    "SELECT dataset, sheet, \"column\", format, CASE GROUPING_ID(dataset, sheet, \"column\", format) WHEN 0 THEN 'format' WHEN 1 THEN 'column' "
+    "WHEN 3 THEN 'sheet' WHEN 7 THEN 'dataset' ELSE 'all' END AS level, count(*) AS cells, count(*) FILTER (WHERE gap) AS missing, "
+    "count(*) FILTER (WHERE gap) * 100.0::DOUBLE / count(*) AS missing_percent, count(*) FILTER (WHERE checked) AS checked, "
+    "count(*) FILTER (WHERE bad) AS violations FROM cells GROUP BY ROLLUP (dataset, sheet, \"column\", format)",
+    "contacts",
+)
+def v06_fleet(d):
+    tables = d.spark.sql(FLEET + "{f}", f=d.fixture("contacts"))
+    return fleet.fleet_report(tables, order_by=ROW, found=CONTACT_FORMATS)
