@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The corpus is cut into segments of a few megabytes of text. Each segment is one stored
-row with its own index: the sorted terms, and for each term its sorted positions. A
+row with its own index: all its terms, sorted, and for each term its sorted positions. A
 query (a window of consecutive test words) goes to every segment, as in any search
 engine that is sharded by document: it starts from the window's rarest term there,
 shifts that list by the term's offset, and intersects it with the lists of the other
@@ -25,8 +25,8 @@ SEGMENT = 1 << 22
 BLOCK = 200_000
 #: Unused positions between two documents: no phrase and no proximity match spans them.
 GAP = 64
-#: Up to this many distinct test terms the index only holds their postings.
-VOCABULARY = 1_000_000
+#: Words that each word of a window may stand off in a proximity match of the query.
+NEAR = 2
 
 _INDEX = (
     "segment string, ids array<long>, keys array<long>, n_words array<int>, "
@@ -61,30 +61,20 @@ def windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return chosen.mapInArrow(cut, "item long, terms array<long>").distinct()
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray | None) -> DataFrame:
-    """One row per segment: its documents and the postings of its terms.
-
-    With ``vocabulary`` (sorted hashes) only these terms are posted, as no other term
-    is ever asked for.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per segment: its documents and the postings of all its terms."""
 
     def build(batches):
-        wanted, part, n = shared.value, TaskContext.get().partitionId(), 0
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, data, at in words.pieces(batch.column(1), SEGMENT):
                 h, row, _, _ = words.hashed(data, at, words.ALNUM)
                 position = (np.arange(len(h)) + row * GAP).astype(np.int32)
-                if wanted is not None:
-                    i = np.searchsorted(wanted, h)
-                    hit = np.flatnonzero(wanted[np.minimum(i, len(wanted) - 1)] == h) if len(wanted) else []
-                    terms, term = wanted, i[hit].astype(np.uint16 if len(wanted) < 65536 else np.uint32)
-                    position = position[hit]
-                else:
-                    terms, term = np.unique(h, return_inverse=True)
-                counts = np.bincount(term, minlength=len(terms)).astype(np.int32)
-                position = position[np.argsort(term, kind="stable")]
-                some = counts > 0
+                order = np.argsort(h, kind="stable")
+                new = np.ones(len(h), bool)
+                new[1:] = h[order[1:]] != h[order[:-1]]
+                first = np.flatnonzero(new)
+                terms, counts = h[order[first]], np.diff(np.append(first, len(h))).astype(np.int32)
                 n += 1
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -92,9 +82,9 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndar
                         "ids": [batch.column(0)[lo:hi]],
                         "keys": [batch.column(2)[lo:hi]],
                         "n_words": pa.array([np.bincount(row, minlength=hi - lo).astype(np.int32)]),
-                        "terms": [terms[some].tobytes()],
-                        "counts": [counts[some].tobytes()],
-                        "positions": [position.tobytes()],
+                        "terms": [terms.tobytes()],
+                        "counts": [counts.tobytes()],
+                        "positions": [position[order].tobytes()],
                     },
                     pa.schema(
                         [("segment", pa.string()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())),
@@ -110,9 +100,10 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, vocabulary: np.ndar
 
 
 def _matches(keys, first, counts, local, offsets, slop: int):
-    """(window, start) of every place where all terms of a window stand at their
-    offsets, give or take ``slop`` words. local: term number of each window and offset
-    (-1: none in this segment, -2: shorter window)."""
+    """(window, start, there) of every place where all terms of a window stand at their
+    offsets, give or take ``slop`` words; ``there`` is the position of one of its words.
+    local: term number of each window and offset (-1: none in this segment, -2: shorter
+    window). A start within ``slop`` of where the rarest term puts it may do."""
     able = np.flatnonzero((local != -1).all(axis=1))
     local = local[able]
     often = np.where(local >= 0, counts[local], np.iinfo(np.int64).max)
@@ -123,7 +114,10 @@ def _matches(keys, first, counts, local, offsets, slop: int):
     n = counts[term]
     window = np.repeat(pick, n)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = (keys[np.repeat(first[term], n) + inner] & 0xFFFFFFFF) - offsets[rare[window]]
+    there = keys[np.repeat(first[term], n) + inner] & 0xFFFFFFFF
+    shifts = np.arange(-slop, slop + 1)
+    start = ((there - offsets[rare[window]])[:, None] + shifts).ravel()
+    window, there = np.repeat(window, len(shifts)), np.repeat(there, len(shifts))
     for step in range(1, local.shape[1]):
         at = order[window, step]
         term = local[window, at]
@@ -131,10 +125,10 @@ def _matches(keys, first, counts, local, offsets, slop: int):
         low = np.maximum(start + offsets[at] - slop, 0)
         high = start + offsets[at] + slop
         i = np.searchsorted(keys, (term << 32) + low)
-        there = keys[np.minimum(i, len(keys) - 1)]
-        keep = ~used | ((i < len(keys)) & (there <= (term << 32) + high) & (high >= 0))
-        window, start = window[keep], start[keep]
-    return able[window], start
+        met = keys[np.minimum(i, len(keys) - 1)]
+        keep = ~used | ((i < len(keys)) & (met <= (term << 32) + high) & (high >= 0))
+        window, start, there = window[keep], start[keep], there[keep]
+    return able[window], start, there
 
 
 def search(index: DataFrame, asked: list, size: int, slop: int = 0) -> DataFrame:
@@ -171,8 +165,8 @@ def search(index: DataFrame, asked: list, size: int, slop: int = 0) -> DataFrame
                     i = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
                     local = np.where(terms[i] == vocabulary, i, -1)[numbers]
                     local[void] = -2
-                    window, start = _matches(keys, first, counts, local, offsets, 0)
-                    place = np.searchsorted(begin, start, "right") - 1
+                    window, start, there = _matches(keys, first, counts, local, offsets, 0)
+                    place = np.searchsorted(begin, there, "right") - 1
                     lo = start - begin[place]
                     for p, w, s in sorted(zip(place.tolist(), window.tolist(), lo.tolist()), key=lambda x: (x[0], x[2])):
                         found.setdefault(p, set()).add(items[w])
@@ -182,8 +176,8 @@ def search(index: DataFrame, asked: list, size: int, slop: int = 0) -> DataFrame
                         else:
                             own.append({"s": s, "e": e})
                     if slop:
-                        window, start = _matches(keys, first, counts, local, offsets, slop)
-                        place = np.searchsorted(begin, np.maximum(start, 0) + slop, "right") - 1
+                        window, _, there = _matches(keys, first, counts, local, offsets, slop)
+                        place = np.searchsorted(begin, there, "right") - 1
                         for p, w in zip(place.tolist(), window.tolist()):
                             if items[w] not in found.get(p, ()):
                                 near.setdefault(p, set()).add(items[w])
@@ -221,20 +215,16 @@ def find_phrases(
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A window is
     ``size`` consecutive words of an item; an item of fewer words is one window. n_hit
     counts the document's words inside any exact occurrence; ``items`` has the items
-    with occurrences; ``near`` those whose window only matches with every word at most
-    ``slop`` places off.
+    with occurrences; ``near`` those of which a window matches in proximity only: with
+    every word at most ``slop`` places off where one alignment of the window puts it.
 
     Null and empty texts have no words; null ids are kept; an item with a null id marks
     words and counts as one item; repeated rows are each answered; other columns are
     ignored, whatever their names. Terms are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     asked = stored(windows(items, item_col, item_text_col, size), "windows")
     blocks = max(1, -(-asked.count() // BLOCK))
-    terms = asked.select(F.explode("terms").alias("t")).distinct()
-    few = terms.limit(VOCABULARY + 1).count() <= VOCABULARY
-    vocabulary = np.sort(np.array([r.t for r in terms.collect()], np.int64).view(np.uint64)) if few else None
-    index = build_index(docs, id_col, text_col, vocabulary)
+    index = build_index(docs, id_col, text_col)
     found = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.hash("terms"), F.lit(blocks)) == b) if blocks > 1 else asked

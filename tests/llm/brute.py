@@ -36,6 +36,24 @@ def phrases(docs, items, size=10):
     return out
 
 
+def near_phrases(docs, items, size, slop):
+    """{id: (items with an exact window, items with one in proximity only)}."""
+    out = {}
+    for doc, text in docs:
+        w, exact, close = alnum(text), set(), set()
+        for item, own in items:
+            own = alnum(own)
+            for k in range(max(1, len(own) - size + 1)):
+                t = own[k : k + size]
+                for s in range(-slop, len(w) + slop):
+                    if w[max(s, 0) : s + len(t)] == t and s >= 0:
+                        exact.add(item)
+                    if all(x in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, x in enumerate(t)):
+                        close.add(item)
+        out[doc] = (exact, close - exact)
+    return out
+
+
 def near(docs, size=4, percent=80):
     """[(id, n_shingles, component)] for docs [(id, text)]; ids may repeat or be None."""
     sets = []

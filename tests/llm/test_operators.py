@@ -303,7 +303,7 @@ def test_phrases(spark, docs, empty, rows):
             got = phrases.find_phrases(docs, table).collect()
         assert sorted(str((r.doc_id, r.n_words, r.n_hit, sorted(map(str, r["items"])))) for r in got) == want
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(phrases, "VOCABULARY", 3)
+        patch.setattr(phrases, "SEGMENT", 3000)
         got = phrases.find_phrases(docs, table).collect()
     assert sorted(str((r.doc_id, r.n_words, r.n_hit, sorted(map(str, r["items"])))) for r in got) == want
     assert phrases.find_phrases(empty, table).count() == 0
@@ -321,6 +321,27 @@ def test_phrases_in_proximity(spark):
     assert got == {1: ([9], []), 2: ([], [9]), 3: ([], []), 4: ([], [])}
 
 
+@pytest.mark.parametrize("segment", [phrases.SEGMENT, 400])
+def test_proximity_equals_all_alignments(spark, monkeypatch, segment):
+    monkeypatch.setattr(phrases, "SEGMENT", segment)
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 4, 5, 7])))) for i in range(25)]
+    texts = []
+    for _ in range(120):
+        w = [rng.choice("abcdefgh") for _ in range(rng.randrange(12))]
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):  # moved, lost and added words
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = [rng.choice("abxyz")] * rng.randrange(3)
+            own = own or ["a"]
+        texts.append(" ".join(w + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.near_phrases(list(enumerate(texts)), items, 5, 2)
+    got = {r.doc_id: (set(r["items"]), set(r.near)) for r in phrases.find_phrases(docs, table, size=5, slop=2).collect()}
+    assert got == want and sum(len(n) for _, n in want.values()) > 50
+
+
 def test_repeats(spark, docs, empty, rows):
     want = brute.repeats([t for _, t in rows], 256)
     got = repeats.find_repeats(docs, length=256).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()

@@ -5,6 +5,7 @@ import math
 import pytest
 
 import corpus_pipeline
+from gridwash.llm import phrases
 from gridwash.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -22,7 +23,9 @@ def test_benchmark_phrases(spark, documents):
     want = [
         (d, n, h, len(f), brute.sha(",".join(sorted(map(str, f)))), h > 0) for d, n, h, f in brute.phrases(documents, items)
     ]
-    assert [tuple(r) for r in got] == want
+    assert [tuple(r)[:6] for r in got] == want
+    near = brute.near_phrases(documents[:60], items, 10, phrases.NEAR)
+    assert {r.doc_id: r.n_near for r in got[:60]} == {d: len(n) for d, (_, n) in near.items()}
 
 
 def test_repeated_strings(spark, documents):
