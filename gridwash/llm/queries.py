@@ -60,9 +60,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_repeated_strings")
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.find_repeats(table(spark, sf_dir, "documents"))
+    found = repeats.repeats_and_passages(table(spark, sf_dir, "documents"))
     return found.select(
-        F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages"
     )
 
 

@@ -272,6 +272,54 @@ def find_repeats(
     names. ``length`` must be at least ``SHORTEST`` for the trigger's context to fit; the
     shorter it is, the more blocks a text has.
     """
+    untouched, touched = _compared(docs, text_col, length)
+    kind = touched.schema["row"].dataType.simpleString()
+    removed = touched.mapInArrow(
+        _remover(length, whole_characters, least_words),
+        f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary",
+    )
+    found = _unchanged(untouched).union(removed)
+    return found.select(F.col("row.row").alias("row"), F.col("row.absent").alias("absent"), *found.columns[1:])
+
+
+def _unchanged(texts: DataFrame, *more) -> DataFrame:
+    none = F.lit(0).cast("long")
+    return texts.select(
+        "row", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.col("text").alias("kept"), *more,
+    )
+
+
+def repeats_and_passages(
+    docs: DataFrame, text_col: str = "text", length: int = 400, passage_bytes: int = 200, passage_words: int = 51
+) -> DataFrame:
+    """As ``find_repeats`` at ``length``, with n_passages: the runs of at least
+    ``passage_words`` whole words that strings of ``passage_bytes`` bytes, which also start
+    elsewhere, make up together. They are told, not removed.
+
+    Strings of the smaller size are looked for in all texts. One of ``length`` bytes that
+    occurs twice lies in a run of at least so many bytes both times, so the texts without
+    such a run have none, and only the others are compared again.
+    """
+    if passage_bytes > length:
+        raise ValueError("passage_bytes must not be above length")
+    untouched, touched = _compared(docs, text_col, passage_bytes)
+    kind = touched.schema["row"].dataType.simpleString()
+    seen = stored(
+        touched.mapInArrow(_measurer(passage_bytes, passage_words), f"row {kind}, text binary, n_passages long, longest long"),
+        "seen", "zstd",
+    )
+    again = find_repeats(seen.where(F.col("longest") >= length).select("row", "n_passages", "text"), "text", length)
+    again = again.select(F.col("row.row").alias("row"), "n_bytes", "n_removed", "n_spans", "kept", F.col("row.n_passages").alias("n_passages"))
+    none = F.lit(0).cast("long").alias("n_passages")
+    found = _unchanged(untouched, none).union(_unchanged(seen.where(F.col("longest") < length), "n_passages")).union(again)
+    return found.select(F.col("row.row").alias("row"), F.col("row.absent").alias("absent"), *found.columns[1:])
+
+
+def _compared(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """(row, text) of the texts that no block of repeated strings touches, and (row, text,
+    sure, starts) of the others: blocks all of whose strings occur again, and single
+    starts of such strings. ``row`` holds ``absent`` and the other columns as ``row``."""
     if length < SHORTEST:
         raise ValueError(f"length must be at least {SHORTEST} bytes")
     text = F.coalesce(column(text_col).cast("binary"), F.lit(b""))
@@ -290,7 +338,7 @@ def find_repeats(
     drop_stored(every)
     keyed = alive.where("key IS NOT NULL")
     wholes = keyed.groupBy("key", "full").agg(F.sum("n").alias("c"), F.min("uid").alias("lender"))
-    wholes = stored(wholes, "wholes")
+    wholes = kept = stored(wholes, "wholes")
     varied = wholes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wholes = wholes.join(varied, "key", "left")
     lent = (F.col("c") > 1) & F.col("kinds").isNotNull() & ~F.col("lone") & (F.col("uid") == F.col("lender"))
@@ -322,18 +370,10 @@ def find_repeats(
     found = _compare_near(some(False), length)
     if not wholes.where(F.col("kinds") > CROWD).isEmpty():
         found = found.union(_compare_far(some(True), length))
+    drop_stored(kept)
     more = found.groupBy("uid").agg(F.collect_list("start").alias("starts"))
     rest = touched.join(more, "uid", "left").select("row", "text", "sure", "starts")
-    schema = rest.select("row").schema
-    removed = rest.mapInArrow(
-        _remover(length, whole_characters, least_words), f"row {schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    )
-    whole = joined.where("sure IS NULL").select(
-        "row", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"),
-    )
-    found = whole.union(removed)
-    return found.select(F.col("row.row").alias("row"), F.col("row.absent").alias("absent"), *found.columns[1:])
+    return joined.where("sure IS NULL").select("row", "text"), rest
 
 
 def _broken(data: bytes) -> np.ndarray:
@@ -363,20 +403,46 @@ def _long_runs(gone: np.ndarray, data: np.ndarray, least_words: int) -> np.ndarr
     return gone & (np.cumsum(change)[:-1] == 0)
 
 
+def _covers(batch: pa.RecordBatch, length: int):
+    """(text, which of its bytes a repeated string covers) of each row."""
+    sure, single = batch.column(2), batch.column(3)
+    texts = words.binary(batch.column(1))
+    for r in range(batch.num_rows):
+        data = np.frombuffer(texts[r].as_buffer(), np.uint8)
+        edge = np.zeros(len(data) + 1, np.int32)
+        spans = np.array(sure[r].as_py() or [], np.int64)
+        alone = np.array(single[r].as_py() or [], np.int64)
+        np.add.at(edge, np.concatenate([spans >> 32, alone]), 1)
+        np.add.at(edge, np.concatenate([(spans & 0xFFFFFFFF), alone]) + length, -1)
+        yield data, np.cumsum(edge)[:-1] > 0
+
+
+def _run_lengths(gone: np.ndarray) -> np.ndarray:
+    edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+    return np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+
+
+def _measurer(length: int, least_words: int):
+    def measure(batches):
+        for batch in batches:
+            passages, longest = [], []
+            for data, gone in _covers(batch, length):
+                runs = _run_lengths(gone)
+                longest.append(int(runs.max(initial=0)))
+                passages.append(len(_run_lengths(_long_runs(gone, data, least_words))) if len(runs) else 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(passages, pa.int64()), pa.array(longest, pa.int64())],
+                ["row", "text", "n_passages", "longest"],
+            )
+
+    return measure
+
+
 def _remover(length: int, whole_characters: bool = False, least_words: int = 0):
     def remove(batches):
         for batch in batches:
-            sure, single = batch.column(2), batch.column(3)
             out = []
-            texts = words.binary(batch.column(1))
-            for r in range(batch.num_rows):
-                data = np.frombuffer(texts[r].as_buffer(), np.uint8)
-                edge = np.zeros(len(data) + 1, np.int32)
-                spans = np.array(sure[r].as_py() or [], np.int64)
-                alone = np.array(single[r].as_py() or [], np.int64)
-                np.add.at(edge, np.concatenate([spans >> 32, alone]), 1)
-                np.add.at(edge, np.concatenate([(spans & 0xFFFFFFFF), alone]) + length, -1)
-                gone = np.cumsum(edge)[:-1] > 0
+            for data, gone in _covers(batch, length):
                 if least_words and gone.any():
                     gone = _long_runs(gone, data, least_words)
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())

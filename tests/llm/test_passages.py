@@ -39,6 +39,23 @@ def test_other_lengths_equal_brute_force(spark, length, least):
     assert sum(n > 0 for _, n, _, _ in want) > 3
 
 
+@pytest.mark.parametrize("length, smaller, least", [(400, 200, 51), (150, 64, 20), (200, 200, 0)])
+def test_strings_and_passages_equal_brute_force(spark, length, smaller, least):
+    texts = passage_texts() + [None, "x" * 399, "y" * 450]
+    data = [(i, t, 1, "s", 2, b"t", 3) for i, t in enumerate(texts)] + [(3, texts[3], 1, "s", 2, b"t", 3)]
+    names = "doc_id long, text string, longest int, seen string, n_passages int, kept binary, row int"
+    table = spark.createDataFrame(data, names).repartition(3)
+    got = repeats.repeats_and_passages(table, length=length, passage_bytes=smaller, passage_words=least).selectExpr(
+        "row.doc_id", "row.row", "absent", "n_bytes", "n_removed", "n_spans", "kept", "n_passages").collect()
+    all_texts = [t for _, t, *_ in data]
+    want = [
+        (i, 3, t is None, n, g, k, bytes(kept), p)
+        for (i, t, *_), (n, g, k, kept), (_, _, p, _) in zip(data, brute.repeats(all_texts, length), brute.repeats(all_texts, smaller, least))
+    ]
+    assert sorted(map(str, [(*r[:6], bytes(r[6]), r[7]) for r in got])) == sorted(map(str, want))
+    assert repeats.repeats_and_passages(table.where("false")).count() == 0
+
+
 def test_strings_below_the_shortest_are_refused(spark):
     with pytest.raises(ValueError, match="at least 64"):
         repeats.find_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=63)
