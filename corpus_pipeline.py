@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwash.llm import minhash, mixing, phrases, quality, repeats
-from gridwash.session import scratch_path
+from gridwash.session import drop_scratch, scratch_path, scratch_tables
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; of the tables written on the way the last one stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    keep = scratch_tables(spark)
     for _, stage in STAGES:
         path = scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_scratch(spark, [*keep, path])
     return docs

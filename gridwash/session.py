@@ -41,15 +41,23 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete every intermediate table of this application; the number of them.
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Folders of the intermediate tables that this application has written so far."""
+    return list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, keep=()) -> int:
+    """Delete the intermediate tables of this application, but for the folders in
+    ``keep``; the number of them.
 
     Call it when a run is over: results that still read such a table are lost with it.
     """
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+    known = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone = [path for path in known if path not in keep]
+    for path in gone:
         _delete(spark, path)
-    return len(paths)
+        known.remove(path)
+    return len(gone)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
