@@ -18,8 +18,8 @@ from gridwash.llm.tables import stored
 
 #: Distinct vectors the centroids are fitted on, and the most centroids.
 SAMPLE, CENTROIDS = 20_000, 4096
-#: Aimed vectors per list, and vectors of a list that one task compares at once.
-LIST, BLOCK = 128, 20_000
+#: Aimed vectors per list; vectors of a list that one task compares at once, and queries.
+LIST, BLOCK, ASKED = 128, 20_000, 20_000
 #: Pairs scored at once in double precision.
 PAIRS = 1 << 16
 #: Neighbours of a centroid in the graph, width of the walk, nodes expanded at a step.
@@ -182,6 +182,14 @@ def _posted(vectors: DataFrame, shared, want, ratio, least, spread) -> DataFrame
     return vectors.mapInArrow(post, "list long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema))
 
 
+def _parts(rows: DataFrame, most: int) -> Column:
+    """Blocks of at most about ``most`` rows that the rows of a list are cut into."""
+    # At most one row per centroid.
+    counts = {r["list"]: -(-r["count"] // most) for r in rows.groupBy("list").count().collect()}
+    several = [F.lit(v) for pair in counts.items() if pair[1] > 1 for v in pair]
+    return F.coalesce(F.create_map(*several)[F.col("list")], F.lit(1)) if several else F.lit(1)
+
+
 def nearest(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -226,16 +234,15 @@ def nearest(
     centroids = balanced_centroids(x, count)
     shared = vectors.sparkSession.sparkContext.broadcast((centroids, neighbour_graph(centroids)))
     postings = stored(_posted(single.select("key", "vec", "ids"), shared, COPIES, COPY_RATIO, 1, True), "postings")
-    # At most one row per centroid.
-    blocks = {r["list"]: -(-r["count"] // BLOCK) for r in postings.groupBy("list").count().collect()}
-    number = F.create_map(*[F.lit(v) for pair in blocks.items() if pair[1] > 1 for v in pair]) if any(
-        b > 1 for b in blocks.values()
-    ) else None
-    parts = F.coalesce(number[F.col("list")], F.lit(1)) if number is not None else F.lit(1)
-    placed = postings.withColumn("block", F.pmod(F.col("key"), parts).cast("int"))
     asked = single.join(queries.select("key").distinct(), "key").select("key", "vec")
-    asked = _posted(asked, shared, PROBES, PROBE_RATIO, LEAST, False)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    asked = stored(_posted(asked, shared, PROBES, PROBE_RATIO, LEAST, False), "asked")
+    # A crowded list is cut into blocks on both sides; every block of queries meets every
+    # block of vectors.
+    blocks, turns = _parts(postings, BLOCK), _parts(asked, ASKED)
+    every = lambda parts: F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+    own = lambda parts: F.pmod(F.col("key"), parts).cast("int")
+    placed = postings.withColumn("block", own(blocks)).withColumn("turn", every(turns))
+    asked = asked.withColumn("block", every(blocks)).withColumn("turn", own(turns))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         names = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64())])
@@ -260,7 +267,7 @@ def nearest(
         return pa.concat_tables(out)
 
     found = (
-        asked.groupBy("list", "block").cogroup(placed.groupBy("list", "block"))
+        asked.groupBy("list", "block", "turn").cogroup(placed.groupBy("list", "block", "turn"))
         .applyInArrow(compare, "key long, score double, vec_id long")
     )
     order = (F.desc("score"), F.asc("vec_id"))

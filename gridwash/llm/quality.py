@@ -136,7 +136,8 @@ def training_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
     texts = docs.select(column(id_col).alias("_id"), column(text_col).cast("binary").alias("_text"))
-    texts = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_label", "_text", "_id")
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("_label").alias("_label"), F.max("_text").alias("_text"))
+    texts = texts.select("_label", "_text", "_id")
 
     def collect(batches):
         for batch in batches:
@@ -176,7 +177,7 @@ def classify(
 
     Null and empty texts are one empty passage and get its score; labels that are null,
     not 0 or 1, or without an id are not learned from; of several labels of an id the
-    larger counts; without any training row all scores are 0.5; repeated rows are each
+    larger counts, of several texts the one that is last in byte order; without any training row all scores are 0.5; repeated rows are each
     scored; an empty table gives no rows; columns may have any names.
     """
     x, bags, label = training_bags(docs, labels, id_col, text_col, label_col, folds, held, sample)

@@ -172,11 +172,34 @@ def test_neighbours_among_scaled_and_shifted_copies(spark):
         assert got[q] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
 
 
-def test_lists_beyond_a_block_are_split(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 30)
+@pytest.mark.parametrize("block, asked", [(30, 20_000), (20_000, 3), (30, 2)])
+def test_lists_beyond_a_block_are_split(spark, monkeypatch, block, asked):
     v = np.random.default_rng(2).normal(size=(300, 6)).astype(np.float32)
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, neighbours.nearest(table, every=5).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "ASKED", asked)
     assert neighbours.nearest(table).count() == 30
+    assert sorted(map(tuple, neighbours.nearest(table, every=5).collect())) == want
+
+
+def test_recall_on_many_lists(spark):
+    """Far more lists than are read for a query: clustered and even vectors."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(300, 24))
+    v = np.concatenate([centres[rng.integers(300, size=12000)] + 0.3 * rng.normal(size=(12000, 24)), rng.normal(size=(8000, 24))])
+    v = v[rng.permutation(len(v))].astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(8)
+    got = {}
+    for r in neighbours.nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = neighbours.unit(v)
+    hits = 0
+    for q in range(0, len(v), 50):
+        sims = u @ u[q]
+        sims[q] = -2
+        hits += len(got[q] & set(np.argpartition(-sims, 5)[:5].tolist()))
+    assert hits >= 0.95 * 5 * len(got) and len(got) == 400
 
 
 def test_mixing(spark, docs, empty, rows):

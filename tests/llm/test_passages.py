@@ -87,3 +87,26 @@ def test_stage_on_messy_and_empty_documents(spark):
         (1, None, None, None, None, "a"), (2, "", "en", "s", 0, None), (3, "", "en", None, 0, "b"), (None, "", None, "s", 0, "c"),
         (3, "", "en", None, 0, "b"), (4, " \n ", "en", "s", 3, "d")])
     assert corpus_pipeline.cut_repeats(spark, table.where("false"), "").count() == 0
+
+
+def test_pipeline_on_messy_and_empty_tables(spark, tmp_path):
+    good = [prose(80) for _ in range(30)]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], len(t), "x") for i, t in enumerate(good)]
+    rows += [(40, None, None, None, None, None), (41, "", "en", "a", 0, "x"), (None, prose(60), "en", "b", 1, "x"), (3, good[3], "en", "a", 5, "y"),
+             (42, prose(20000), "en", "a", 1, "x"), (43, good[5] + " more", "en", "a", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality string")
+    labels = [(i, 1, 0) for i in range(0, 20)] + [(50, 0, 1), (None, 1, None), (2, None, 0)]
+    items = [(1, " ".join(good[7].split()[10:30])), (None, None), (2, "")]
+    for name, frame in (
+        ("documents", docs), ("empty", docs.where("false")),
+        ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")),
+        ("benchmark", spark.createDataFrame(items, "item_id long, text string")),
+    ):
+        frame.write.parquet(str(tmp_path / "full" / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    ids = [r.doc_id for r in out.collect()]
+    assert 7 not in ids and 43 not in ids and {0, 1, 42} <= set(ids) and ids.count(3) == 1
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / "full" / f"{name}.parquet")).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
