@@ -10,6 +10,7 @@ are shared, and the passage has at most a (2 - t) / t.
 from __future__ import annotations
 
 import bisect
+import pathlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridwash.functions.cells import column
 from gridwash.llm import words
 
-#: Names and notices of public licences.
+#: Names and notices of public licences. Whole texts are in licence_texts/.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -52,6 +53,27 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
+def all_templates() -> dict[str, list[str]]:
+    """The notices, and the whole texts of licences by the names of their files."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for file in sorted(pathlib.Path(__file__).with_name("licence_texts").glob("*.txt")):
+        out.setdefault(file.stem, []).append(file.read_text(encoding="utf-8"))
+    return out
+
+
+def templates_of(table: DataFrame, name_col: str = "name", text_col: str = "text", most: int = 10_000) -> dict[str, list[str]]:
+    """Templates from a table of names and texts, at most ``most`` rows, in the order of
+    names and texts. Rows without a name or text are left out."""
+    known = table.select(column(name_col).alias("name"), column(text_col).alias("text")).dropna().distinct()
+    rows = known.orderBy("name", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["name"], []).append(r["text"])
+    return out
+
+
 def _pairs(h: np.ndarray) -> np.ndarray:
     """Hashes of all pairs of neighbouring words."""
     return words.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
@@ -132,11 +154,11 @@ def _places(pair: np.ndarray):
     return before, after
 
 
-def _apart(passages: list[tuple[float, int, int, int]]):
+def _apart(passages: list[tuple[float, int, int, int]], size: np.ndarray):
     """Passages (-Dice, first, last, template), best first, without those that meet a better one."""
     firsts: list[int] = []
     lasts: list[int] = []
-    for p in sorted(passages):
+    for p in sorted(passages, key=lambda p: (p[0], -size[p[3]], *p[1:])):
         i = bisect.bisect_right(firsts, p[2])
         if i == 0 or lasts[i - 1] < p[1]:
             firsts.insert(i, p[1])
@@ -148,20 +170,23 @@ def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    templates: dict[str, list[str]] = TEMPLATES,
+    templates: dict[str, list[str]] | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Per document: id, licenses (array of name, score, line, lines), sorted.
 
     Every run of words of every text is a passage, also in the middle of a line or over
     any number of lines. A passage that meets a better one (of any licence) does not
-    count; of equal ones the earliest and shortest is better. For each licence the best
-    passage is told, with the line of its first word and the lines it spreads over.
+    count; of equal ones that of the larger template is better, then the earliest and the
+    shortest. For each licence the best passage is told, with the line of its first word
+    and the lines it spreads over. Without ``templates`` all known ones are compared
+    (``all_templates``); see ``templates_of`` for a table of them.
 
     Null and empty texts have no licence; repeated rows are each scanned; texts without
     words match nothing; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold))
+    chosen = all_templates() if templates is None else templates
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(chosen, threshold))
     kind = pa.list_(pa.struct([("name", pa.string()), ("score", pa.float64()), ("line", pa.int32()), ("lines", pa.int32())]))
 
     def scan(batches):
@@ -190,7 +215,7 @@ def scan_licenses(
                 out = []
                 for d in range(hi - lo):
                     best: dict[str, dict] = {}
-                    for score, i, j, t in _apart(met.get(d, ())):
+                    for score, i, j, t in _apart(met.get(d, ()), known.size):
                         name = known.names[t]
                         if name not in best:
                             # The last word of a passage of bigrams comes after its last place.

@@ -442,6 +442,34 @@ def test_licenses_inside_prose_and_over_many_lines(spark):
     assert [tuple(x) for x in one.licenses] == [("A", 1.0, 0, 1)]
 
 
+def test_whole_licence_texts_are_found(spark):
+    whole = {name: texts[-1] for name, texts in licenses.all_templates().items()}
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"]
+    rows, want = [], {}
+    for i, name in enumerate(names):
+        text = whole[name]
+        rows.append((i, f"{prose(80)}\n{text}\n{prose(50)}"))
+        rows.append((100 + i, "Copyright (c) 2020 someone\n" + " ".join(text.replace("University", "project").upper().split())))
+        # One word in forty is another one.
+        rows.append((200 + i, " ".join(RNG.choice(WORDS) if k % 40 == 7 else w for k, w in enumerate(text.split()))))
+        want |= {i: [name], 100 + i: [name], 200 + i: [name]}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(table).collect()}
+    assert {i: [x.name for x in found] for i, found in got.items()} == want
+    # A passage starts with a bigram that it holds once, so it may start some lines later.
+    assert [got[i][0].score for i in range(len(names))] == [1] * len(names)
+    assert [got[i][0].line for i in range(3)] == [1, 1, 1] and all(1 <= got[i][0].line < 20 for i in range(len(names)))
+    half = spark.createDataFrame([(1, whole["MIT"][: len(whole["MIT"]) // 3])], "doc_id long, text string")
+    assert [x.score for x in licenses.scan_licenses(half, templates={"MIT": [whole["MIT"]]}).first().licenses] == []
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("B", "two words here"), ("A", "one more text"), ("A", "a b c"), (None, "x"), ("C", None), ("A", "a b c")], "name string, text string")
+    assert licenses.templates_of(table) == {"A": ["a b c", "one more text"], "B": ["two words here"]}
+    with pytest.raises(ValueError):
+        licenses.templates_of(table, most=2)
+
+
 def test_license_passages_equal_all_windows(spark):
     rng = random.Random(8)
     notice = "a b c d e f g"
