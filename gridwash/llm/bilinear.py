@@ -1,17 +1,25 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Every token is a symbol: one of the most frequent training words, the end of a text, or
-one of ``CLASSES`` classes of all other words by their last two bytes. The model
-predicts a symbol from the one before it; a word of a class then has its share of the
-class by smoothed training counts, so the probabilities of all words sum to one.
-
-Word counts, class totals and the symbol pairs the model learns from cover all training
-texts. Only tables of fixed size reach the driver: the head of the word list (at most
-``HEAD`` words) and the symbol pair counts.
+Every token is a symbol: one of the frequent training words (their number is the square
+root of all distinct ones), the end of a text, or one of ``CLASSES`` classes of all other
+words by their last two bytes. The vectors of the ``CONTEXT`` symbols before a token,
+weighed by place, add up to its prediction; the vectors of groups, and of the symbols
+within a group, are compared with it. So a symbol's probability is that of its group times
+its own within the group, both sum to one, and the cost grows with the root of the
+symbols. A word of a class then has its share of the class by smoothed training counts,
+so the probabilities of all words sum to one.
+
+Training runs in the tasks, over all training texts: in every round each task takes noise
+contrastive steps over its share of a slice of them, and the vectors of all tasks are
+averaged, first across the cluster and then on the driver. Word counts and class totals
+cover all training texts as well. Only tables of a bounded size reach the driver: the head
+of the word list (at most ``HEAD`` words) and the vectors.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,15 +28,18 @@ from gridwash.functions.cells import column
 from gridwash.llm import words
 from gridwash.llm.tables import stored
 
-#: Symbols: frequent words, the end of a text (also what stands before the first word), classes.
-WORDS, CLASSES = 255, 256
-END, SYMBOLS = WORDS, WORDS + 1 + CLASSES
+#: Word symbols at most, classes, and symbols of context.
+MOST, CLASSES, CONTEXT = 4095 - 256, 256, 12
 #: Most words whose counts are sent to all tasks; the counts of all others are joined.
 HEAD = 1 << 18
 #: Distinct words a task holds while counting before it passes them on.
 HELD = 1 << 20
-#: The model: dimensions, noise words per word, steps and step size of the training.
-DIMENSIONS, NOISE, STEPS, RATE = 32, 25, 300, 0.05
+#: The model: dimensions, noise words per word, tokens of a step, size of the first steps.
+DIMENSIONS, NOISE, STEP, RATE = 16, 25, 4096, 0.02
+#: Tokens that are scored at once.
+TOGETHER = 1 << 14
+#: Slices of the texts by round, in 64ths; tokens that training passes over, at least.
+SLICES, LEAST = (2, 2, 4, 8, 16, 32), 8_000_000
 
 
 def _classes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -89,7 +100,7 @@ def head_of(counts: DataFrame, most: int):
     return table[:, 0].copy().view(np.uint64), table[:, 1].astype(np.int32), table[:, 2].copy(), floor
 
 
-def read_texts(docs: DataFrame, head_words, symbols, logs) -> DataFrame:
+def read_texts(docs: DataFrame, head_words, symbols, logs, end: int) -> DataFrame:
     """(id, held_out, n_tokens, head_log, symbols, rare, times) per text.
 
     symbols: the symbol of each token, two bytes each; rare: the distinct words outside
@@ -108,18 +119,18 @@ def read_texts(docs: DataFrame, head_words, symbols, logs) -> DataFrame:
                 if len(head):
                     i = np.minimum(np.searchsorted(head, h), len(head) - 1)
                     known = head[i] == h
-                    own = np.where(known, symbol[i], WORDS + 1 + cls)
+                    own = np.where(known, symbol[i], end + 1 + cls)
                     value = np.where(known, log[i], 0.0)
                 else:
-                    known, own, value = np.zeros(len(h), bool), WORDS + 1 + cls, np.zeros(len(h))
+                    known, own, value = np.zeros(len(h), bool), end + 1 + cls, np.zeros(len(h))
                 bounds = words.word_bounds(row, rows)
                 n = np.diff(bounds)
                 # The end of each text goes behind its words.
-                stream = np.full(len(h) + rows, END, np.uint16)
+                stream = np.full(len(h) + rows, end, np.uint16)
                 stream[np.arange(len(h)) + row] = own
                 ends_at = (bounds + np.arange(rows + 1)) * 2
                 all_log = np.bincount(row, weights=value, minlength=rows)
-                class_log = np.bincount(row, weights=np.where(own > END, value, 0.0), minlength=rows)
+                class_log = np.bincount(row, weights=np.where(own > end, value, 0.0), minlength=rows)
                 head_n = np.bincount(row, weights=known, minlength=rows).astype(np.int64)
                 rare, rare_row = h[~known], row[~known]
                 order = np.lexsort((rare, rare_row))
@@ -147,60 +158,231 @@ def read_texts(docs: DataFrame, head_words, symbols, logs) -> DataFrame:
     )
 
 
-def pair_counts(streams: DataFrame) -> np.ndarray:
-    """Counts of (symbol before, symbol) over all streams."""
+class Shape:
+    """How many symbols there are, and how they are put into groups."""
 
-    def count(batches):
-        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                s = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
-                before = np.empty_like(s)
-                before[0], before[1:] = END, s[:-1]
-                cells, n = np.unique(before * SYMBOLS + s, return_counts=True)
-                total[cells] += n
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
-
-    rows = streams.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(SYMBOLS * SYMBOLS)
-    for r in rows:
-        table[r.cell] = r.n
-    return table.reshape(SYMBOLS, SYMBOLS)
-
-
-def train(pairs: np.ndarray, dimensions=DIMENSIONS, noise=NOISE, steps=STEPS, rate=RATE, seed=1) -> np.ndarray:
-    """log10 P(symbol | symbol before) as a table, by noise-contrastive estimation.
-
-    Score of w after c: (context vector of c) . (word vector of w) + bias of w. A pair
-    of the data is told from ``noise`` pairs whose word comes from the unigram
-    distribution; the expectation over the noise is taken in full. Adam, fixed seed.
-    """
-    total = pairs.sum()
-    if total == 0:
-        return np.full(pairs.shape, -np.log10(len(pairs)))
+    def __init__(self, word_symbols: int):
+        self.end = word_symbols
+        self.symbols = word_symbols + 1 + CLASSES
+        self.groups = math.isqrt(self.symbols - 1) + 1
+        self.most = -(-self.symbols // self.groups)
+
+    def place(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, member) of symbols: neighbours, which are about as frequent, part."""
+        return symbol % self.groups, symbol // self.groups
+
+    def members(self, group: int) -> int:
+        return len(range(group, self.symbols, self.groups))
+
+
+def first_model(shape: Shape, counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+    """Small random vectors; biases are the logs of the smoothed shares of the counts."""
     rng = np.random.default_rng(seed)
-    size = len(pairs)
-    q = (pairs.sum(0) + 0.5) / (total + 0.5 * size)
-    p = pairs / total
-    push = noise * p.sum(1)[:, None] * q[None, :]
-    floor = np.log(noise * q)
-    theta = [rng.normal(0, 0.1, (size, dimensions)), rng.normal(0, 0.1, (size, dimensions)), np.log(q)]
-    first = [np.zeros_like(t) for t in theta]
-    second = [np.zeros_like(t) for t in theta]
-    for step in range(1, steps + 1):
-        context, word, bias = theta
-        chance = 1 / (1 + np.exp(-np.clip(context @ word.T + bias - floor, -30, 30)))
-        slope = push * chance - p * (1 - chance)
-        for i, g in enumerate((slope @ word, slope.T @ context, slope.sum(0))):
-            first[i] += 0.1 * (g - first[i])
-            second[i] += 0.01 * (g * g - second[i])
-            fast = first[i] / (1 - 0.9**step)
-            theta[i] = theta[i] - rate * fast / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-9)
-    context, word, bias = theta
-    scores = context @ word.T + bias
-    scores -= scores.max(1, keepdims=True)
-    return (scores - np.log(np.exp(scores).sum(1, keepdims=True))) / np.log(10)
+    q = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
+    of_group = np.bincount(np.arange(shape.symbols) % shape.groups, weights=q)
+    own = q / of_group[np.arange(shape.symbols) % shape.groups]
+    vectors = lambda n: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
+    return {
+        "context": vectors(shape.symbols), "weight": np.full((CONTEXT, DIMENSIONS), 1 / CONTEXT, np.float32),
+        "group": vectors(shape.groups), "group_bias": np.log(of_group).astype(np.float32),
+        "member": vectors(shape.symbols), "member_bias": np.log(own).astype(np.float32),
+        "group_noise": np.log(NOISE * of_group).astype(np.float32), "member_noise": np.log(NOISE * own).astype(np.float32),
+    }
+
+
+LEARNED = ("context", "weight", "group", "group_bias", "member", "member_bias")
+
+
+def predictions(model: dict, symbol: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:
+    """The weighed sum of the vectors before each token; before a text stand ends.
+
+    ``place`` counts the tokens of a text from 0; texts stand one behind the other.
+    """
+    out = np.zeros((len(symbol), DIMENSIONS), np.float32)
+    for j in range(1, CONTEXT + 1):
+        before = np.full(len(symbol), end)
+        if len(symbol) > j:
+            before[j:] = np.where(place[j:] >= j, symbol[:-j], end)
+        out += (model["context"] * model["weight"][j - 1])[before]
+    return out
+
+
+def _by_group(group: np.ndarray, groups: int):
+    """(group, places of its tokens) of the groups that occur."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(bounds)):
+        yield int(g), order[bounds[g] : bounds[g + 1]]
+
+
+def _slope(score, noise, target):
+    """Slopes of the contrastive loss by the scores, in place: each of the ``NOISE`` noise
+    symbols is expected in full; a score is set against the log of its noise."""
+    np.subtract(noise, score, out=score)
+    np.clip(score, -30, 30, out=score)
+    np.exp(score, out=score)
+    score += 1
+    row = np.arange(len(target))
+    slope = np.exp(noise) / score
+    slope[row, target] -= 1 - 1 / score[row, target]
+    return slope
+
+
+def slopes(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """Mean slopes of the loss over some tokens, by the parameters."""
+    n, end = len(symbol), shape.end
+    q = predictions(model, symbol, place, end)
+    group, member = shape.place(symbol)
+    out = {k: np.zeros_like(model[k]) for k in LEARNED}
+    first = _slope(q @ model["group"].T + model["group_bias"], model["group_noise"], group)
+    out["group"], out["group_bias"] = first.T @ q, first.sum(0)
+    dq = first @ model["group"]
+    for g, some in _by_group(group, shape.groups):
+        own = slice(g, None, shape.groups)
+        second = _slope(q[some] @ model["member"][own].T + model["member_bias"][own], model["member_noise"][own], member[some])
+        out["member"][own], out["member_bias"][own] = second.T @ q[some], second.sum(0)
+        dq[some] += second @ model["member"][own]
+    spread, seen = np.zeros_like(dq), model["context"][symbol]
+    for j in range(1, CONTEXT + 1):
+        outside = np.flatnonzero(place < j)
+        weight = model["weight"][j - 1]
+        ends = dq[outside].sum(0)
+        out["context"][end] += weight * ends
+        out["weight"][j - 1] = model["context"][end] * ends
+        if n > j:
+            known = dq.copy()
+            known[outside] = 0
+            spread[:-j] += weight * known[j:]
+            out["weight"][j - 1] += np.einsum("ij,ij->j", known[j:], seen[:-j])
+    order = np.argsort(symbol.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+    out["context"][symbol[order[first]]] += np.add.reduceat(spread[order], first)
+    return {k: v / n for k, v in out.items()}
+
+
+def learn(model: dict, shape: Shape, batches, rate: float) -> tuple[dict, int]:
+    """(model after a step for each of ``batches`` of (symbols, places), tokens seen)."""
+    model = {k: v.copy() for k, v in model.items()}
+    one, two = ({k: np.zeros_like(model[k]) for k in LEARNED} for _ in range(2))
+    tokens = 0
+    for step, (symbol, place) in enumerate(batches, 1):
+        tokens += len(symbol)
+        for k, g in slopes(model, shape, symbol, place).items():
+            one[k] += 0.1 * (g - one[k])
+            two[k] += 0.01 * (g * g - two[k])
+            fast = one[k] / (1 - 0.9**step)
+            model[k] -= (rate * fast / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    return model, tokens
+
+
+def _steps(batches):
+    """(symbols, places) of about ``STEP`` tokens: whole texts, long ones in parts."""
+    symbols, places, size = [], [], 0
+    for batch in batches:
+        for raw in batch.column(0):
+            s = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
+            for lo in range(0, len(s), STEP):
+                part = s[lo : lo + STEP]
+                symbols.append(part)
+                # A later part starts anew: its first tokens see ends before them.
+                places.append(np.arange(len(part)))
+                size += len(part)
+                if size >= STEP:
+                    yield np.concatenate(symbols), np.concatenate(places)
+                    symbols, places, size = [], [], 0
+    if size:
+        yield np.concatenate(symbols), np.concatenate(places)
+
+
+def train(streams: DataFrame, shape: Shape, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The model after all rounds over ``streams`` (symbols, slice)."""
+    model = first_model(shape, counts)
+    if not counts.sum():
+        return model
+    # A small corpus is passed over several times, by each task over its share.
+    passes = max(1, -(-LEAST // int(counts.sum())))
+    context, tasks = streams.sparkSession.sparkContext, streams.rdd.getNumPartitions()
+    rounds = list(zip(np.cumsum((0, *SLICES)).tolist(), np.cumsum(SLICES).tolist()))
+    sizes = [model[k].size for k in LEARNED]
+
+    def flat(m):
+        return np.concatenate([m[k].ravel() for k in LEARNED])
+
+    def added(rows):
+        total, tokens = np.zeros(sum(sizes)), 0
+        for raw, n in rows:
+            total += np.frombuffer(raw, np.float64) if len(raw) == 8 * len(total) else n * np.frombuffer(raw, np.float32)
+            tokens += n
+        return total, tokens
+
+    def batch_of(raw, n):
+        return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary()), pa.array([n], pa.int64())], ["model", "n"])
+
+    def gather(batches):
+        total, tokens = added((r, n) for b in batches for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if tokens:
+            yield batch_of(total.tobytes(), tokens)
+
+    for i, (lo, hi) in enumerate(rounds):
+        rate = RATE * (1 - i / len(rounds))
+        shared = context.broadcast(model)
+
+        def run(batches, rate=rate, shared=shared):
+            steps = _steps(batches)
+            if passes > 1:  # fewer than LEAST tokens in all
+                steps = list(steps) * passes
+            after, tokens = learn(shared.value, shape, steps, rate)
+            if tokens:
+                yield batch_of(flat(after).astype(np.float32).tobytes(), tokens)
+
+        slice_ = streams.where((F.col("slice") >= lo) & (F.col("slice") < hi)).select("symbols")
+        parts = slice_.mapInArrow(run, "model binary, n long")
+        # Sums of some tasks each meet on the driver: the root of the number of tasks.
+        rows = parts.repartition(max(1, math.isqrt(tasks))).mapInArrow(gather, "model binary, n long").collect()
+        total, tokens = added((bytes(r.model), r.n) for r in rows)
+        if tokens:
+            cut = np.split((total / tokens).astype(np.float32), np.cumsum(sizes)[:-1])
+            model = model | {k: v.reshape(model[k].shape) for k, v in zip(LEARNED, cut)}
+    return model
+
+
+def _log_of(score: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logs of the softmax of each row at its target."""
+    score -= score.max(1, keepdims=True)
+    own = score[np.arange(len(target)), target].astype(np.float64)
+    np.exp(score, out=score)
+    return own - np.log(score.sum(1, dtype=np.float64))
+
+
+def log_chances(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 P(symbol | symbols before) of each token of some texts."""
+    q = predictions(model, symbol, place, shape.end)
+    group, member = shape.place(symbol)
+    out = _log_of(q @ model["group"].T + model["group_bias"], group)
+    for g, some in _by_group(group, shape.groups):
+        own = slice(g, None, shape.groups)
+        out[some] += _log_of(q[some] @ model["member"][own].T + model["member_bias"][own], member[some])
+    return out / np.log(10)
+
+
+def _texts_log(model: dict, shape: Shape, share: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Of each text the sum of its symbols' log10 chances, without the totals of classes.
+
+    A text beyond ``TOGETHER`` tokens is worked on in parts that see the tokens before.
+    """
+    if len(texts) == 1 and len(texts[0]) > TOGETHER:
+        s, total = texts[0], 0.0
+        for lo in range(0, len(s), TOGETHER):
+            start = max(0, lo - CONTEXT)
+            part = s[start : lo + TOGETHER]
+            logs = log_chances(model, shape, part, np.arange(start, start + len(part)))
+            total += (logs - share[part])[lo - start :].sum()
+        return np.array([total])
+    size = np.array([len(s) for s in texts])
+    s = np.concatenate(texts)
+    row = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+    return np.bincount(row, weights=log_chances(model, shape, s, place) - share[s], minlength=len(texts))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
@@ -224,32 +406,40 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = chosen.where("NOT held_out").count()
     known_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     head, head_class, head_c, floor = head_of(counts, HEAD)
-    top = np.argsort(-head_c, kind="stable")[:WORDS]
-    symbols = WORDS + 1 + head_class
+    shape = Shape(min(MOST, len(head_c), math.isqrt(known_words[0])))
+    end = shape.end
+    top = np.argsort(-head_c, kind="stable")[:end]
+    symbols = end + 1 + head_class
     symbols[top] = np.arange(len(top))
     read = stored(
-        read_texts(chosen, head, symbols, np.log10(head_c + 0.5)).withColumn("row", F.monotonically_increasing_id()),
+        read_texts(chosen, head, symbols, np.log10(head_c + 0.5), end)
+        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("slice", F.pmod(F.xxhash64("symbols", "id"), F.lit(sum(SLICES))).cast("int")),
         "streams",
     )
-    table = train(pair_counts(read.where("NOT held_out").select("symbols")))
     # Words and counts of each class: all of them without those that are symbols.
     of_class = np.zeros((CLASSES, 2))
     for r in counts.groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect():
         of_class[r["class"]] = r["v"], r["c"]
     np.subtract.at(of_class, head_class[top], np.stack([np.ones(len(top)), head_c[top]], 1))
-    share = np.zeros(SYMBOLS)
-    share[END + 1 :] = np.log10(of_class[:, 1] + 0.5 * (of_class[:, 0] + 1))
-    model = read.sparkSession.sparkContext.broadcast((table.ravel(), share))
+    seen = np.concatenate([head_c[top], [ends], of_class[:, 1]]).astype(np.float64)
+    learned = train(read.where("NOT held_out").select("symbols", "slice"), shape, seen)
+    share = np.zeros(shape.symbols)
+    share[end + 1 :] = np.log10(of_class[:, 1] + 0.5 * (of_class[:, 0] + 1))
+    model = read.sparkSession.sparkContext.broadcast((learned, share))
 
     def predict(batches):
         for batch in batches:
-            flat, share = model.value
-            out = []
-            for raw in batch.column(1):
-                s = np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64)
-                before = np.empty_like(s)
-                before[0], before[1:] = END, s[:-1]
-                out.append(float(flat[before * SYMBOLS + s].sum() - share[s].sum()))
+            learned, share = model.value
+            out = np.zeros(batch.num_rows)
+            texts = [np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64) for raw in batch.column(1)]
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TOGETHER):
+                    size, hi = size + len(texts[hi]), hi + 1
+                out[lo:hi] = _texts_log(learned, shape, share, texts[lo:hi])
+                lo = hi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "symbol_log"])
 
     predicted = read.select("row", "symbols").mapInArrow(predict, "row long, symbol_log double")

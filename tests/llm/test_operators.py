@@ -513,11 +513,130 @@ def test_bilinear_head_and_rare_words_agree(spark, docs):
         assert scores() == whole
 
 
-def test_bilinear_probabilities_sum_to_one():
-    pairs = np.random.default_rng(0).poisson(0.2, (bilinear.SYMBOLS, bilinear.SYMBOLS)).astype(float)
-    table = bilinear.train(pairs, steps=40)
-    assert np.allclose((10**table).sum(1), 1)
-    assert np.allclose(10 ** bilinear.train(pairs * 0), 1 / bilinear.SYMBOLS)
+def random_model(word_symbols, seed=0):
+    shape = bilinear.Shape(word_symbols)
+    rng = np.random.default_rng(seed)
+    model = bilinear.first_model(shape, rng.poisson(3, shape.symbols).astype(float))
+    return shape, {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) if k in bilinear.LEARNED else v for k, v in model.items()}
+
+
+def plain_log(model, shape, before, symbol):
+    """log10 P(symbol | the list of symbols before it), one sum after the other."""
+    q = [0.0] * bilinear.DIMENSIONS
+    for j in range(1, bilinear.CONTEXT + 1):
+        c = before[-j] if j <= len(before) else shape.end
+        q = [a + float(model["context"][c][d]) * float(model["weight"][j - 1][d]) for d, a in enumerate(q)]
+    dot = lambda row: sum(a * float(b) for a, b in zip(q, row))
+    g, m = symbol % shape.groups, symbol // shape.groups
+    groups = [dot(model["group"][i]) + float(model["group_bias"][i]) for i in range(shape.groups)]
+    members = [dot(model["member"][s]) + float(model["member_bias"][s]) for s in range(g, shape.symbols, shape.groups)]
+    log_sum = lambda x: math.log(sum(map(math.exp, x)))
+    return (groups[g] - log_sum(groups) + members[m] - log_sum(members)) / math.log(10)
+
+
+@pytest.mark.parametrize("word_symbols", [0, 1, 40, 700])
+def test_bilinear_chances_sum_to_one_and_equal_plain_sums(word_symbols):
+    shape, model = random_model(word_symbols)
+    every = np.arange(shape.symbols)
+    assert sum(shape.members(g) for g in range(shape.groups)) == shape.symbols
+    past = np.random.default_rng(1).integers(0, shape.symbols, 20)
+    logs = [bilinear.log_chances(model, shape, np.append(past, s), np.arange(21))[-1] for s in every]
+    assert abs(sum(10.0**x for x in logs) - 1) < 1e-4
+    for s in every[:: max(1, len(every) // 9)]:
+        assert abs(logs[s] - plain_log(model, shape, past.tolist(), int(s))) < 1e-4
+    # Several texts at once, and a long one in parts, give the same sums.
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, shape.symbols, n) for n in (1, 3, 30, 200)]
+    share = rng.normal(size=shape.symbols)
+    want = [sum(plain_log(model, shape, t[:i].tolist(), int(t[i])) - share[t[i]] for i in range(len(t))) for t in texts]
+    assert np.allclose(bilinear._texts_log(model, shape, share, texts), want, atol=0.01)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bilinear, "TOGETHER", 16)
+        assert np.allclose([bilinear._texts_log(model, shape, share, [t])[0] for t in texts], want, atol=0.01)
+
+
+def test_bilinear_slopes_equal_numeric_ones():
+    shape, model = random_model(20)
+    model = {k: v.astype(np.float64) for k, v in model.items()}
+    rng = np.random.default_rng(3)
+    symbol = rng.integers(0, shape.symbols, 60)
+    place = np.concatenate([np.arange(25), np.arange(35)])
+
+    def loss(m):
+        q = np.zeros((len(symbol), bilinear.DIMENSIONS))
+        for i, p in enumerate(place):
+            for j in range(1, bilinear.CONTEXT + 1):
+                q[i] += m["context"][symbol[i - j] if j <= p else shape.end] * m["weight"][j - 1]
+        total = 0.0
+        group, member = shape.place(symbol)
+        for i in range(len(symbol)):
+            own = slice(group[i], None, shape.groups)
+            for vectors, bias, noise, target in (
+                (m["group"], m["group_bias"], m["group_noise"], group[i]),
+                (m["member"][own], m["member_bias"][own], m["member_noise"][own], member[i]),
+            ):
+                x = vectors @ q[i] + bias - noise
+                total += np.log1p(np.exp(-x[target])) + (np.exp(noise) * np.log1p(np.exp(x))).sum()
+        return total / len(symbol)
+
+    got = bilinear.slopes({k: v.astype(np.float32) for k, v in model.items()}, shape, symbol, place)
+    for k in bilinear.LEARNED:
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in model[k].shape)
+            if k == "context":
+                at = (int(rng.choice(np.append(symbol, shape.end))), at[1])
+            near = {x: v.copy() for x, v in model.items()}
+            near[k][at] += 1e-4
+            up = loss(near)
+            near[k][at] -= 2e-4
+            assert abs((up - loss(near)) / 2e-4 - got[k][at]) < 2e-3, (k, at)
+
+
+def test_bilinear_scores_equal_plain_sums(spark, monkeypatch):
+    """The whole score against loops over the tokens, with a model that is given."""
+    rng = random.Random(3)
+    texts = [(i, prose(rng.randint(0, 60), rng)) for i in range(40)] + [(100, None), (101, "unseen words only"), (102, "unseen W1 \n end")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    given = {}
+
+    def fixed(streams, shape, counts):
+        given["shape"], given["model"] = shape, random_model(shape.end, 9)[1]
+        return given["model"]
+
+    monkeypatch.setattr(bilinear, "train", fixed)
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in bilinear.score_texts(table).collect()}
+    shape, model = given["shape"], given["model"]
+    count = {}
+    for i, t in texts:
+        for w in brute.spaced(t) if not held(i) else ():
+            count[w] = count.get(w, 0) + 1
+    import pyarrow as pa
+
+    def facts(word):
+        for _, _, data, at in words.pieces(pa.array([word])):
+            h, _, starts, ends = words.hashed(data, at, words.SPACED)
+            return int(h[0]), int(bilinear._classes(words.LOWER[data], starts, ends)[0])
+
+    by_hash = sorted(count, key=lambda w: facts(w)[0])
+    top = sorted(by_hash, key=lambda w: -count[w])[: shape.end]
+    assert shape.end == math.isqrt(len(count))
+    rest = [w for w in count if w not in top]
+    for i, t in texts:
+        total, seen = 0.0, []
+        for w in brute.spaced(t) + [None]:
+            if w is None:
+                s = shape.end
+            elif w in top:
+                s = top.index(w)
+            else:
+                c = facts(w)[1]
+                s = shape.end + 1 + c
+                own = [x for x in rest if facts(x)[1] == c]
+                total += math.log10((count.get(w, 0) + 0.5) / (sum(count[x] for x in own) + 0.5 * (len(own) + 1)))
+            total += plain_log(model, shape, seen, s)
+            seen.append(s)
+        assert abs(total - got[i]) < 0.01, i
 
 
 def test_near_duplicates(spark, docs, empty, rows):
