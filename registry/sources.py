@@ -8,6 +8,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from gridwash.session import scratch_path
@@ -117,28 +118,32 @@ def _workbook(rows, note: str) -> bytes:
     return out.getvalue()
 
 
-def supplier_workbooks(d):
-    """Files of 200 suppliers each, written to a shared folder and read by the operator."""
+def write_workbooks(d) -> str:
+    """Files of 200 suppliers each, written by the tasks into a shared folder."""
+    root = scratch_path(d.spark, "books")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s_suppkey")
         book = int(pdf["book"].iloc[0])
         rows = [["Name", "Key", "Rich", "Since"]]
         rows += [[n, int(k), bool(b > 0), 45292.0 + k] for n, k, b in zip(pdf["s_name"], pdf["s_suppkey"], pdf["s_acctbal"])]
-        return pd.DataFrame([(f"book_{book}.xlsx", _workbook(rows, f"book {book} & more"))], columns=["path", "content"])
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder)
+        # A task that runs again writes the same file again.
+        with store.open_output_stream(f"{folder}/book_{book}.xlsx") as out:
+            out.write(_workbook(rows, f"book {book} & more"))
+        return pd.DataFrame({"book": [book]})
 
     keyed = d.table("supplier").select(
         "s_suppkey", "s_name", "s_acctbal", F.floor(F.col("s_suppkey") / 200).alias("book")
     )
-    root = scratch_path(d.spark, "books")
-    hadoop = d.spark._jvm.org.apache.hadoop.fs
-    conf = d.spark._jsc.hadoopConfiguration()
-    for r in keyed.groupBy("book").applyInPandas(pack, "path string, content binary").toLocalIterator():
-        path = hadoop.Path(f"{root}/{r.path}")
-        out = path.getFileSystem(conf).create(path)
-        out.write(bytearray(r.content))
-        out.close()
-    grid = workbooks.ingest_workbooks(d.spark, root)
+    keyed.groupBy("book").applyInPandas(pack, "book long").count()
+    return root
+
+
+def supplier_workbooks(d):
+    """The written workbooks, read by the operator."""
+    grid = workbooks.ingest_workbooks(d.spark, write_workbooks(d))
     return grid.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
@@ -162,6 +167,14 @@ def s03(d):
     return supplier_workbooks(d)
 
 
+@query("s03_workbook_source", CELLS + "SELECT * FROM cells WHERE sheet = 'Data'")
+def s03_source(d):
+    """One sheet of every workbook, by the data source; a task per sheet."""
+    d.spark.dataSource.register(workbooks.WorkbookSource)
+    grid = d.spark.read.format("workbook").options(sheets="Data", split=1).load(write_workbooks(d))
+    return grid.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
 @query(
     "s03_sheet_list",
     CELLS + "SELECT file, sheet, sheet_no, max(row) + 1 AS rows, max(col) + 1 AS columns FROM cells GROUP BY ALL",

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from gridwash.sources import store, tables, workbooks
 
 
@@ -83,3 +85,54 @@ def test_store_keeps_tables_apart(spark, tmp_path):
     assert one.columns == ["a", "b"] and one.collect() == [(1, "x")]
     assert store.read_stage(spark, root, "Book_1", "S", "uploads", "1").collect() == [(2.5, None)]
     assert store.read_stage(spark, root, "Book 1.xls", "S", "uploads").count() == 2
+
+
+@pytest.mark.parametrize("split", [1, 1 << 20])
+def test_workbook_source_equals_ingest(spark, tmp_path, split):
+    from registry.sources import _workbook
+
+    (tmp_path / "deep").mkdir()
+    for k in range(4):
+        rows = [["A", "B & C", "é"], [f"text {k}", 12, None], [True, 45292.5, "text 1"]]
+        (tmp_path / "deep" / f"b{k}.xlsx").write_bytes(_workbook(rows, f"note {k}"))
+    (tmp_path / "other.txt").write_text("no workbook")
+    spark.dataSource.register(workbooks.WorkbookSource)
+    read = lambda **o: spark.read.format("workbook").options(split=split, **o).load(str(tmp_path))
+    plain = lambda df: sorted((r.file.rsplit("/", 1)[1], *tuple(r)[1:]) for r in df.collect())
+    whole = plain(workbooks.ingest_workbooks(spark, str(tmp_path)))
+    assert plain(read()) == whole and len(whole) > 20
+    # A sheet is a task; together they are one.
+    assert read().rdd.getNumPartitions() == (8 if split == 1 else 1)
+    notes = [r for r in whole if r[1] == "Notes"]
+    assert plain(read(sheets="Notes")) == notes
+    assert read(sheets="no such").count() == 0
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("workbook").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_large_sheets_are_streamed(spark, tmp_path):
+    """The task's memory follows the batch and the string table, not the sheet."""
+    import tracemalloc
+    import zipfile
+
+    from registry.sources import _workbook
+
+    row = '<row r="{0}"><c r="A{0}"><v>{0}</v></c><c r="B{0}"><v>1.5</v></c><c r="C{0}" t="b"><v>1</v></c></row>'
+    path = tmp_path / "big.xlsx"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, zipfile.ZipFile(__import__("io").BytesIO(_workbook([["x"]], "n"))) as small:
+        for name in small.namelist():
+            if name != "xl/worksheets/sheet1.xml":
+                z.writestr(name, small.read(name))
+        with z.open("xl/worksheets/sheet1.xml", "w") as out:
+            out.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            for lo in range(0, 120_000, 1000):
+                out.write("".join(row.format(i + 1) for i in range(lo, lo + 1000)).encode())
+            out.write(b"</sheetData></worksheet>")
+    reader = workbooks.WorkbookReader({"path": str(path), "split": "1"})
+    tracemalloc.start()
+    cells = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cells == 360_001 and peak < 60 << 20
+    spark.dataSource.register(workbooks.WorkbookSource)
+    assert spark.read.format("workbook").load(str(path)).where("col = 0").agg({"row": "max"}).first()[0] == 119_999
