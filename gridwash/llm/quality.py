@@ -2,8 +2,9 @@
 
 A document is a bag of passages. Every passage is encoded from its own bytes and words;
 gated attention, learned from document labels only, weighs the encodings, and the
-weighted sum is scored. The model is a few small matrices, trained with numpy on a
-bounded sample of labelled rows and sent to all tasks.
+weighted sum is scored. The model is a few small matrices. It is trained on a bounded
+sample of labelled rows, each with all its passages: in every round the tasks take steps
+over their share of the bags, and the matrices are averaged.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridwash.functions.cells import column
 from gridwash.llm import words
+from gridwash.llm.tables import stored
 
 #: Bytes per passage; passages are cut in every text to its end.
 PASSAGE = 1024
-#: Bound of the training sample: labelled rows, and evenly spaced passages of each.
-SAMPLE, BAG = 4000, 64
+#: Bound of the training sample: labelled rows. All passages of their texts are learned from.
+SAMPLE = 4000
 #: Width of encodings and attention, passes over the sample, step size, weight decay.
 WIDTH, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 30, 0.01, 1e-4
+#: Rounds after which the tasks' models are averaged, tasks, and bags of a step.
+ROUNDS, TASKS, STEP = 15, 8, 16
 
 #: Fixed: kind of each byte. Lower, upper, digit, space, line end, marks of their own, other.
 _KIND = np.full(256, 14, np.int64)
@@ -86,48 +90,69 @@ def attend(model: dict, x: np.ndarray, bags: np.ndarray):
     return score, (x, h, t, s, a, z, size)
 
 
-def fit(x: np.ndarray, bags: np.ndarray, label: np.ndarray, seed: int = 5) -> dict:
-    """Train on passages ``x`` in bags with document labels (0, 1); Adam on log loss."""
+LEARNED = ("W", "b", "V", "U", "w", "c", "d")
+
+
+def first_model(mean: np.ndarray, scale: np.ndarray, ones: float, count: float, seed: int = 5) -> dict:
+    """Small random matrices; the bias is the log odds of the labels."""
     rng = np.random.default_rng(seed)
-    model = {
-        "mean": x.mean(0), "scale": x.std(0) + 1e-3,
-        "W": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], WIDTH)), "b": np.zeros(WIDTH),
+    return {
+        "mean": mean, "scale": scale,
+        "W": rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), WIDTH)), "b": np.zeros(WIDTH),
         "V": rng.normal(0, 0.3, (WIDTH, ATTENTION)), "U": rng.normal(0, 0.3, (WIDTH, ATTENTION)),
         "w": rng.normal(0, 0.3, ATTENTION), "c": rng.normal(0, 0.3, WIDTH),
-        "d": np.log((label.sum() + 0.5) / (len(label) - label.sum() + 0.5)),
+        "d": np.array(np.log((ones + 0.5) / (count - ones + 0.5))),
     }
-    learned = ("W", "b", "V", "U", "w", "c", "d")
-    one, two = ({k: np.zeros_like(model[k]) for k in learned} for _ in range(2))
-    step = 0
+
+
+def slopes(model: dict, x: np.ndarray, at: np.ndarray, label: np.ndarray) -> dict:
+    """Slopes of the mean log loss of some bags (offsets) by the matrices."""
+    score, (u, h, t, s, a, z, size) = attend(model, x, at)
+    g = (score - label) / len(label)
+    dz = np.repeat(g, size)[:, None] * model["c"]
+    da = (dz * h).sum(1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, at[:-1]), size))
+    dt, ds = de[:, None] * model["w"] * s * (1 - t * t), de[:, None] * model["w"] * t * s * (1 - s)
+    dh = (a[:, None] * dz + dt @ model["V"].T + ds @ model["U"].T) * (1 - h * h)
+    return {"W": u.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": g.sum()}
+
+
+class _Adam:
+    def __init__(self, model: dict):
+        self.one, self.two = ({k: np.zeros_like(model[k]) for k in LEARNED} for _ in range(2))
+        self.step = 0
+
+    def take(self, model: dict, slope: dict, rate: float) -> None:
+        self.step += 1
+        for k in LEARNED:
+            grad = slope[k] + DECAY * model[k]
+            self.one[k] = self.one[k] + 0.1 * (grad - self.one[k])
+            self.two[k] = self.two[k] + 0.001 * (grad * grad - self.two[k])
+            fast = self.one[k] / (1 - 0.9**self.step)
+            model[k] = model[k] - rate * fast / (np.sqrt(self.two[k] / (1 - 0.999**self.step)) + 1e-8)
+
+
+def fit(x: np.ndarray, bags: np.ndarray, label: np.ndarray, seed: int = 5) -> dict:
+    """Train on passages ``x`` in bags with document labels (0, 1), in one place."""
+    rng = np.random.default_rng(seed)
+    model = first_model(x.mean(0), x.std(0) + 1e-3, label.sum(), len(label), seed)
+    adam = _Adam(model)
     for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(label))
         for some in np.array_split(order, max(1, len(label) // 64)):
-            step += 1
             size = np.diff(bags)[some]
             at = np.concatenate([[0], np.cumsum(size)])
             pick = np.repeat(bags[some] - at[:-1], size) + np.arange(at[-1])
-            score, (u, h, t, s, a, z, size) = attend(model, x[pick], at)
-            g = (score - label[some]) / len(some)
-            dz = np.repeat(g, size)[:, None] * model["c"]
-            da = (dz * h).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, at[:-1]), size))
-            dt, ds = de[:, None] * model["w"] * s * (1 - t * t), de[:, None] * model["w"] * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ model["V"].T + ds @ model["U"].T) * (1 - h * h)
-            slope = {"W": u.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": g.sum()}
-            for k in learned:
-                grad = slope[k] + DECAY * model[k]
-                one[k] += 0.1 * (grad - one[k])
-                two[k] += 0.001 * (grad * grad - two[k])
-                model[k] = model[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+            adam.take(model, slopes(model, x[pick], at, label[some]), RATE * (1 - epoch / EPOCHS))
     return {k: np.asarray(v, np.float32) for k, v in model.items()}
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, sample: int):
-    """(passages, bags, labels) of at most ``sample`` labelled rows outside the held fold.
+def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, sample: int) -> DataFrame:
+    """(_label, _text) of at most ``sample`` labelled rows outside the held fold, stored.
 
     The rows with the smallest hashes of their ids are taken: at most ``sample`` ids, so
-    the side that is broadcast and the passages that are collected have a fixed bound.
+    the side that is broadcast has a fixed bound. They are put into ``TASKS`` parts in an
+    order of their own, the same in every run.
     """
     fold = F.crc32(column(id_col).cast("string").cast("binary")) % folds
     chosen = (
@@ -137,26 +162,82 @@ def training_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     )
     texts = docs.select(column(id_col).alias("_id"), column(text_col).cast("binary").alias("_text"))
     texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("_label").alias("_label"), F.max("_text").alias("_text"))
-    texts = texts.select("_label", "_text", "_id")
+    part = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(TASKS)).cast("int").alias("_part")
+    return stored(texts.select("_label", "_text", part, F.xxhash64("_id", F.lit(2)).alias("_order"), "_id"), "labelled")
 
-    def collect(batches):
-        for batch in batches:
-            for lo, hi, data, at in words.pieces(batch.column(1)):
-                x, first = encode(data, at)
-                out = []
-                for r in range(hi - lo):
-                    own = x[first[r] : first[r + 1]]
-                    out.append(own[np.linspace(0, len(own) - 1, min(BAG, len(own))).astype(int)].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2)[lo:hi].cast(pa.int64()), batch.column(0)[lo:hi], pa.array(out, pa.binary())],
-                    ["id", "label", "bag"],
-                )
-
-    rows = sorted(texts.mapInArrow(collect, "id long, label int, bag binary").collect(), key=lambda r: r.id)
-    bags = [np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in rows]
-    at = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
-    x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
-    return x, at, np.array([r.label for r in rows], np.float64)
+
+def _bags(batches):
+    """(passages, offsets of the bags, labels) of some whole texts, piece by piece."""
+    for batch in batches:
+        for lo, hi, data, at in words.pieces(batch.column(1)):
+            x, first = encode(data, at)
+            yield x, first, batch.column(0)[lo:hi].to_numpy().astype(np.float64)
+
+
+def train(texts: DataFrame) -> dict | None:
+    """The model after all rounds over labelled texts (None without any)."""
+
+    def facts(batches):
+        n, ones, count, total, square = 0, 0.0, 0, np.zeros(FEATURES), np.zeros(FEATURES)
+        for x, _, label in _bags(batches):
+            n, ones, count = n + len(x), ones + label.sum(), count + len(label)
+            total += x.sum(0, dtype=np.float64)
+            square += (x.astype(np.float64) ** 2).sum(0)
+        yield _row(np.concatenate([[n, ones, count], total, square]), 0, 0)
+
+    def learn(shared, rate):
+        def run(batches):
+            # A part is a share of its own, whatever tasks the parts fall into.
+            model, adam, seen, part = None, None, 0, None
+            for batch in batches:
+                parts = batch.column(2).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+                for start, stop in zip(cuts[:-1], cuts[1:]):
+                    if start < stop and parts[start] != part:
+                        if seen:
+                            yield _row(_flat(model), seen, part)
+                        model, seen, part = dict(shared.value), 0, int(parts[start])
+                        adam = _Adam(model)
+                    for x, first, label in _bags([batch.slice(start, stop - start)]):
+                        for lo in range(0, len(label), STEP):
+                            hi = min(lo + STEP, len(label))
+                            some = x[first[lo] : first[hi]]
+                            adam.take(model, slopes(model, some, first[lo : hi + 1] - first[lo], label[lo:hi]), rate)
+                            seen += hi - lo
+            if seen:
+                yield _row(_flat(model), seen, part)
+
+        return run
+
+    schema = "values binary, n long, part int"
+    rows = texts.select("_label", "_text").mapInArrow(facts, schema).collect()
+    sums = sum((np.frombuffer(r["values"], np.float64) for r in rows), np.zeros(3 + 2 * FEATURES))
+    n, ones, count = sums[:3]
+    if not count:
+        return None
+    mean = sums[3 : 3 + FEATURES] / n
+    scale = np.sqrt(np.maximum(sums[3 + FEATURES :] / n - mean**2, 0)) + 1e-3
+    model = first_model(mean, scale, ones, count)
+    parts = texts.repartition(TASKS, "_part").sortWithinPartitions("_part", "_order", "_id").select("_label", "_text", "_part")
+    sizes = np.cumsum([np.size(model[k]) for k in LEARNED])[:-1]
+    for i in range(ROUNDS):
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+        # One small row per part.
+        rows = sorted(parts.mapInArrow(learn(shared, RATE * (1 - i / ROUNDS)), schema).collect(), key=lambda r: r["part"])
+        total = sum(r["n"] * np.frombuffer(r["values"], np.float64) for r in rows) / sum(r["n"] for r in rows)
+        model = model | {k: v.reshape(np.shape(model[k])) for k, v in zip(LEARNED, np.split(total, sizes))}
+    return {k: np.asarray(v, np.float32) for k, v in model.items()}
+
+
+def _flat(model: dict) -> np.ndarray:
+    return np.concatenate([np.ravel(model[k]) for k in LEARNED])
+
+
+def _row(values: np.ndarray, n: int, part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([np.asarray(values, np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([part], pa.int32())],
+        ["values", "n", "part"],
+    )
 
 
 def classify(
@@ -172,7 +253,7 @@ def classify(
     """The rows of ``docs`` in a struct ``row``, with held_out, score, predicted.
 
     score (0 to 1): the model's probability of label 1; predicted: 1 from 0.5 on. Learns
-    from at most ``sample`` labelled rows whose crc32(id as text) mod ``folds`` is not
+    from all passages of at most ``sample`` labelled rows whose crc32(id as text) mod ``folds`` is not
     ``held``; every text is scored whole.
 
     Null and empty texts are one empty passage and get its score; labels that are null,
@@ -180,8 +261,7 @@ def classify(
     larger counts, of several texts the one that is last in byte order; without any training row all scores are 0.5; repeated rows are each
     scored; an empty table gives no rows; columns may have any names.
     """
-    x, bags, label = training_bags(docs, labels, id_col, text_col, label_col, folds, held, sample)
-    model = fit(x, bags, label) if len(label) else None
+    model = train(training_texts(docs, labels, id_col, text_col, label_col, folds, held, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

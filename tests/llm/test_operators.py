@@ -117,6 +117,55 @@ def test_quality_gradient():
     assert ((score > 0.5) == label).mean() > 0.95
 
 
+def test_quality_slopes_equal_numeric_ones():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 9))
+    at = np.array([0, 1, 8, 8 + 15, 30])
+    label = np.array([1.0, 0.0, 1.0, 0.0])
+    model = quality.first_model(x.mean(0), x.std(0), 2, 4)
+    model = {k: v + rng.normal(0, 0.2, np.shape(v)) if k in quality.LEARNED else v for k, v in model.items()}
+
+    def loss(m):
+        total = 0.0
+        for i in range(4):  # bag by bag, passage by passage
+            e, hs = [], []
+            for u in (x[at[i] : at[i + 1]] - m["mean"]) / m["scale"]:
+                h = np.tanh(u @ m["W"] + m["b"])
+                e.append(math.exp((np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"])))) @ m["w"]))
+                hs.append(h)
+            z = sum(a * h for a, h in zip(e, hs)) / sum(e)
+            p = 1 / (1 + math.exp(-(z @ m["c"] + m["d"])))
+            total -= math.log(p if label[i] else 1 - p)
+        return total / 4
+
+    got = quality.slopes(model, x, at, label)
+    for k in quality.LEARNED:
+        for _ in range(5):
+            place = tuple(rng.integers(0, n) for n in np.shape(model[k]))
+            near = {n: np.array(v, float) for n, v in model.items()}
+            near[k][place] += 1e-5
+            up = loss(near)
+            near[k][place] -= 2e-5
+            assert abs((up - loss(near)) / 2e-5 - np.asarray(got[k])[place]) < 1e-6, k
+
+
+def test_quality_learns_from_every_passage(spark):
+    """Long texts that differ by one bad passage, far from any even spacing of a few."""
+    rng = random.Random(9)
+    good = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)) + ". "
+    rows = []
+    for i in range(160):
+        parts = [good(160) for _ in range(rng.randint(70, 100))]
+        if i % 2:
+            parts[rng.randrange(len(parts))] = "$$ BUY ## NOW !! 0000 " * 60
+        rows.append((i, "".join(parts), 1 - i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    found = quality.classify(docs, labels).select("row.doc_id", "held_out", "predicted").collect()
+    held = [r for r in found if r.held_out]
+    assert len(held) > 30 and sum(r.predicted == 1 - r.doc_id % 2 for r in held) >= 0.95 * len(held)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(700, 8)).astype(np.float32)
