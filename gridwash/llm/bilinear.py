@@ -2,8 +2,9 @@
 
 Every token is a symbol: one of the frequent training words (their number is the square
 root of all distinct ones), the end of a text, or one of ``CLASSES`` classes of all other
-words by their last two bytes. The vectors of the ``CONTEXT`` symbols before a token,
-weighed by place, add up to its prediction; the vectors of groups, and of the symbols
+words by their last two bytes. The vectors of the two symbols before a token, and the sum
+of those of the ``FAR`` before these, each with weights of its own, add up to its
+prediction; the vectors of groups, and of the symbols
 within a group, are compared with it. So a symbol's probability is that of its group times
 its own within the group, both sum to one, and the cost grows with the root of the
 symbols. A word of a class then has its share of the class by smoothed training counts,
@@ -28,14 +29,14 @@ from gridwash.functions.cells import column
 from gridwash.llm import words
 from gridwash.llm.tables import stored
 
-#: Word symbols at most, classes, and symbols of context.
-MOST, CLASSES, CONTEXT = 4095 - 256, 256, 12
+#: Word symbols at most, classes, and symbols of context behind the two next to a token.
+MOST, CLASSES, FAR = 4095 - 256, 256, 30
 #: Most words whose counts are sent to all tasks; the counts of all others are joined.
 HEAD = 1 << 18
 #: Distinct words a task holds while counting before it passes them on.
 HELD = 1 << 20
 #: The model: dimensions, noise words per word, tokens of a step, size of the first steps.
-DIMENSIONS, NOISE, STEP, RATE = 16, 25, 4096, 0.02
+DIMENSIONS, NOISE, STEP, RATE = 16, 25, 8192, 0.02
 #: Tokens that are scored at once.
 TOGETHER = 1 << 14
 #: Slices of the texts by round, in 64ths; tokens that training passes over, at least.
@@ -183,7 +184,7 @@ def first_model(shape: Shape, counts: np.ndarray, seed: int = 1) -> dict[str, np
     own = q / of_group[np.arange(shape.symbols) % shape.groups]
     vectors = lambda n: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
     return {
-        "context": vectors(shape.symbols), "weight": np.full((CONTEXT, DIMENSIONS), 1 / CONTEXT, np.float32),
+        "context": vectors(shape.symbols), "weight": np.full((3, DIMENSIONS), 1 / 3, np.float32),
         "group": vectors(shape.groups), "group_bias": np.log(of_group).astype(np.float32),
         "member": vectors(shape.symbols), "member_bias": np.log(own).astype(np.float32),
         "group_noise": np.log(NOISE * of_group).astype(np.float32), "member_noise": np.log(NOISE * own).astype(np.float32),
@@ -193,18 +194,58 @@ def first_model(shape: Shape, counts: np.ndarray, seed: int = 1) -> dict[str, np
 LEARNED = ("context", "weight", "group", "group_bias", "member", "member_bias")
 
 
-def predictions(model: dict, symbol: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:
-    """The weighed sum of the vectors before each token; before a text stand ends.
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each row and before the end."""
+    out = np.zeros((len(x) + 1, x.shape[1]))
+    np.cumsum(x, axis=0, out=out[1:])
+    return out
+
 
-    ``place`` counts the tokens of a text from 0; texts stand one behind the other.
+def contexts(model: dict, symbol: np.ndarray, place: np.ndarray, end: int) -> list[np.ndarray]:
+    """Before each token: the vectors of the last symbol, the one before it, and the sum
+    of those of the ``FAR`` before these, divided by their number.
+
+    ``place`` counts the tokens of a text from 0; texts stand one behind the other. Where
+    no symbol is left stands the end, and nothing in the sum.
     """
-    out = np.zeros((len(symbol), DIMENSIONS), np.float32)
-    for j in range(1, CONTEXT + 1):
-        before = np.full(len(symbol), end)
-        if len(symbol) > j:
-            before[j:] = np.where(place[j:] >= j, symbol[:-j], end)
-        out += (model["context"] * model["weight"][j - 1])[before]
-    return out
+    own = model["context"][symbol]
+    at = np.arange(len(symbol))
+    near = []
+    for j in (1, 2):
+        moved = np.empty_like(own)
+        moved[j:] = own[: len(own) - j]
+        moved[(place < j) | (at < j)] = model["context"][end]
+        near.append(moved)
+    start, total = np.maximum(at - place, 0), _sums(own)
+    far = total[np.maximum(at - 2, start)] - total[np.maximum(at - 2 - FAR, start)]
+    return [*near, (far / FAR).astype(own.dtype)]
+
+
+def predictions(model: dict, context: list[np.ndarray]) -> np.ndarray:
+    return sum(w * x for w, x in zip(model["weight"], context))
+
+
+def _spread(model: dict, context, dq: np.ndarray, symbol: np.ndarray, place: np.ndarray, end: int):
+    """Slopes by the weights and by the vectors of the symbols, from those by the predictions."""
+    n, at = len(symbol), np.arange(len(symbol))
+    weight = np.stack([np.einsum("ij,ij->j", dq, x) for x in context])
+    out = np.zeros_like(model["context"])
+    back = np.zeros_like(dq)
+    for j, w in zip((1, 2), model["weight"]):
+        given = w * dq
+        none = (place < j) | (at < j)
+        out[end] += given[none].sum(0)
+        given[none] = 0
+        back[: max(0, n - j)] += given[j:]
+    # A token is in the sum of those from three places on to the end of the window or text.
+    heads = np.append(np.flatnonzero((place == 0) & (at > 0)), n)
+    stop = heads[np.searchsorted(heads, at, "right")]
+    total = _sums(model["weight"][2] * dq / FAR)
+    back += (total[np.minimum(at + 3 + FAR, stop)] - total[np.minimum(at + 3, stop)]).astype(back.dtype)
+    order = np.argsort(symbol.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+    out[symbol[order[first]]] += np.add.reduceat(back[order], first)
+    return weight, out
 
 
 def _by_group(group: np.ndarray, groups: int):
@@ -230,8 +271,8 @@ def _slope(score, noise, target):
 
 def slopes(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
     """Mean slopes of the loss over some tokens, by the parameters."""
-    n, end = len(symbol), shape.end
-    q = predictions(model, symbol, place, end)
+    context = contexts(model, symbol, place, shape.end)
+    q = predictions(model, context)
     group, member = shape.place(symbol)
     out = {k: np.zeros_like(model[k]) for k in LEARNED}
     first = _slope(q @ model["group"].T + model["group_bias"], model["group_noise"], group)
@@ -242,22 +283,8 @@ def slopes(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) ->
         second = _slope(q[some] @ model["member"][own].T + model["member_bias"][own], model["member_noise"][own], member[some])
         out["member"][own], out["member_bias"][own] = second.T @ q[some], second.sum(0)
         dq[some] += second @ model["member"][own]
-    spread, seen = np.zeros_like(dq), model["context"][symbol]
-    for j in range(1, CONTEXT + 1):
-        outside = np.flatnonzero(place < j)
-        weight = model["weight"][j - 1]
-        ends = dq[outside].sum(0)
-        out["context"][end] += weight * ends
-        out["weight"][j - 1] = model["context"][end] * ends
-        if n > j:
-            known = dq.copy()
-            known[outside] = 0
-            spread[:-j] += weight * known[j:]
-            out["weight"][j - 1] += np.einsum("ij,ij->j", known[j:], seen[:-j])
-    order = np.argsort(symbol.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
-    out["context"][symbol[order[first]]] += np.add.reduceat(spread[order], first)
-    return {k: v / n for k, v in out.items()}
+    out["weight"], out["context"] = _spread(model, context, dq, symbol, place, shape.end)
+    return {k: v / len(symbol) for k, v in out.items()}
 
 
 def learn(model: dict, shape: Shape, batches, rate: float) -> tuple[dict, int]:
@@ -356,7 +383,7 @@ def _log_of(score: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def log_chances(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log10 P(symbol | symbols before) of each token of some texts."""
-    q = predictions(model, symbol, place, shape.end)
+    q = predictions(model, contexts(model, symbol, place, shape.end))
     group, member = shape.place(symbol)
     out = _log_of(q @ model["group"].T + model["group_bias"], group)
     for g, some in _by_group(group, shape.groups):
@@ -373,7 +400,7 @@ def _texts_log(model: dict, shape: Shape, share: np.ndarray, texts: list[np.ndar
     if len(texts) == 1 and len(texts[0]) > TOGETHER:
         s, total = texts[0], 0.0
         for lo in range(0, len(s), TOGETHER):
-            start = max(0, lo - CONTEXT)
+            start = max(0, lo - FAR - 2)
             part = s[start : lo + TOGETHER]
             logs = log_chances(model, shape, part, np.arange(start, start + len(part)))
             total += (logs - share[part])[lo - start :].sum()

@@ -571,10 +571,11 @@ def random_model(word_symbols, seed=0):
 
 def plain_log(model, shape, before, symbol):
     """log10 P(symbol | the list of symbols before it), one sum after the other."""
-    q = [0.0] * bilinear.DIMENSIONS
-    for j in range(1, bilinear.CONTEXT + 1):
-        c = before[-j] if j <= len(before) else shape.end
-        q = [a + float(model["context"][c][d]) * float(model["weight"][j - 1][d]) for d, a in enumerate(q)]
+    q = []
+    for d in range(bilinear.DIMENSIONS):
+        near = [float(model["context"][before[-j] if j <= len(before) else shape.end][d]) for j in (1, 2)]
+        far = sum(float(model["context"][c][d]) for c in before[:-2][-bilinear.FAR :]) / bilinear.FAR
+        q.append(sum(x * float(w[d]) for x, w in zip([*near, far], model["weight"])))
     dot = lambda row: sum(a * float(b) for a, b in zip(q, row))
     g, m = symbol % shape.groups, symbol // shape.groups
     groups = [dot(model["group"][i]) + float(model["group_bias"][i]) for i in range(shape.groups)]
@@ -608,14 +609,17 @@ def test_bilinear_slopes_equal_numeric_ones():
     shape, model = random_model(20)
     model = {k: v.astype(np.float64) for k, v in model.items()}
     rng = np.random.default_rng(3)
-    symbol = rng.integers(0, shape.symbols, 60)
-    place = np.concatenate([np.arange(25), np.arange(35)])
+    symbol = rng.integers(0, shape.symbols, 80)
+    place = np.concatenate([np.arange(25), np.arange(1), np.arange(2), np.arange(52)])
 
     def loss(m):
         q = np.zeros((len(symbol), bilinear.DIMENSIONS))
         for i, p in enumerate(place):
-            for j in range(1, bilinear.CONTEXT + 1):
+            for j in (1, 2):
                 q[i] += m["context"][symbol[i - j] if j <= p else shape.end] * m["weight"][j - 1]
+            for j in range(3, 3 + bilinear.FAR):
+                if j <= p:
+                    q[i] += m["context"][symbol[i - j]] * m["weight"][2] / bilinear.FAR
         total = 0.0
         group, member = shape.place(symbol)
         for i in range(len(symbol)):
