@@ -112,16 +112,14 @@ def first_centroids(vectors: DataFrame, id_col: str, vector_col: str, k: int, di
 
     def keep(batches):
         for batch in batches:
-            kept, x = whole(batch.column(1), dims, scale)
-            texts = [",".join(map(str, row)) for row in x.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(kept)), pa.array(texts, pa.string())], ["hash", "vector"]
-            )
+            kept, _ = whole(batch.column(1), dims, scale)
+            yield batch.filter(pa.array(kept))
 
     named = F.sha2(F.concat(F.lit(f"{seed}:"), column(id_col).cast("string")), 256)
-    kept = vectors.select(named.alias("hash"), column(vector_col).alias("vector")).mapInArrow(keep, "hash string, vector string")
-    first = kept.orderBy(F.asc_nulls_last("hash"), "vector").limit(k).collect()
-    return [[int(v) for v in r["vector"].split(",")] for r in first]
+    rows = vectors.select(named.alias("hash"), column(vector_col).cast("array<double>").alias("vector"))
+    # Every task keeps the first k rows.
+    first = rows.mapInArrow(keep, rows.schema).orderBy(F.asc_nulls_last("hash"), "vector").limit(k).collect()
+    return [[math.floor(scale * x) for x in r["vector"]] for r in first]
 
 
 def cluster(
@@ -138,8 +136,8 @@ def cluster(
 
     Kept are vectors of exactly ``dims`` components, none of them null, NaN or infinite;
     a component x counts as floor(scale * x). The first centroids are the ``k`` vectors
-    whose sha256 of ``seed:id`` is smallest (ids that are null come last, equal ids by the
-    text of their components); each round assigns all vectors and moves every centroid
+    whose sha256 of ``seed:id`` is smallest (ids that are null come last, equal ids by
+    their components); each round assigns all vectors and moves every centroid
     that has some to the floor of their mean. Distances are squared.
 
     Repeated rows and ids count each; with fewer than ``k`` vectors there are as many

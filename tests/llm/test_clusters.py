@@ -10,13 +10,12 @@ from gridwash.llm import clusters
 
 
 def plain(data, k, rounds, dims, scale=64, seed=1):
-    kept = [
-        (i, [math.floor(scale * float(x)) for x in v]) for i, v in data
-        if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)
-    ]
+    whole = lambda v: [math.floor(scale * float(x)) for x in v]
+    given = [(i, v) for i, v in data if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, whole(v)) for i, v in given]
     name = lambda i: (i is None, hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() if i is not None else "")
-    first = sorted(kept, key=lambda r: (name(r[0]), ",".join(map(str, r[1]))))[:k]
-    centroids = [list(v) for _, v in first]
+    first = sorted(given, key=lambda r: (name(r[0]), r[1]))[:k]
+    centroids = [whole(v) for _, v in first]
     away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
 
     def nearest(v):
