@@ -53,10 +53,8 @@ def _standard_date(text: Column) -> Column:
             year,
         )
 
-    short = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2})$"
-    first = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-    long = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
-    same_mark = text.rlike(r"^\d+-\d+-\d+$") | text.rlike(r"^\d+/\d+/\d+$")
+    short, first, long = rules.DATE_SHORT_YEAR, rules.DATE_YEAR_FIRST, rules.DATE_DAY_FIRST
+    same_mark = cells.any_of(text.rlike(p) for p in rules.DATE_ONE_MARK)
     return (
         F.when(
             text.rlike(short) & same_mark,

@@ -304,3 +304,25 @@ CLEAN_LOG = {
     "nulls": "Standardized NULL representations to NaN",
     "changed": "Warning: Column count changed from {before} to {after}",
 }
+
+# --- fixed values: lines of the issue list, in its order --------------------------------
+ISSUE_TEXTS = {
+    "missing": "Column '%s' has %.1f%% missing values",
+    "single": "Column '%s' has only one unique value",
+    "padding": "Column '%s' has leading/trailing whitespace",
+    "repeats": "Found %d duplicate rows",
+    "dates": "Column '%s' appears to contain dates stored as text",
+    "numbers": "Column '%s' appears to contain numbers stored as text",
+}
+
+# --- fixed values: advice for a column whose values do not all match --------------------
+MISMATCH_TEXT = (
+    "Column '%s' appears to contain %s but %d values don't match the expected format. "
+    "Review these values for data entry errors."
+)
+
+# --- fixed values: shapes of dates that become day/month/year ---------------------------
+DATE_SHORT_YEAR = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{2})$"
+DATE_YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+DATE_DAY_FIRST = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
+DATE_ONE_MARK = (r"^\d+-\d+-\d+$", r"^\d+/\d+/\d+$")

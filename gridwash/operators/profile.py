@@ -610,7 +610,7 @@ def quality_issues(df: DataFrame, order_by, facts: TableFacts | None = None) ->
     position = F.create_map(*[x for i, c in enumerate(facts.columns) for x in (F.lit(c), F.lit(i))])
     joined = facts.column_rows()
     percent = F.try_divide(F.col("missing") * 100.0, F.col("rows"))
-    name = F.col("column")
+    name, said = F.col("column"), rules.ISSUE_TEXTS
 
     def line(ord_, cond, template, *args):
         return F.when(
@@ -622,14 +622,14 @@ def quality_issues(df: DataFrame, order_by, facts: TableFacts | None = None) ->
 
     lines = F.array_compact(
         F.array(
-            line(0, percent > 50, "Column '%s' has %.1f%% missing values", percent),
-            line(1, F.col("single"), "Column '%s' has only one unique value"),
-            line(2, F.col("padded_10"), "Column '%s' has leading/trailing whitespace"),
-            line(4, F.col("all_dates"), "Column '%s' appears to contain dates stored as text"),
+            line(0, percent > 50, said["missing"], percent),
+            line(1, F.col("single"), said["single"]),
+            line(2, F.col("padded_10"), said["padding"]),
+            line(4, F.col("all_dates"), said["dates"]),
             line(
                 5,
                 F.col("all_numbers") & ~F.col("all_dates"),
-                "Column '%s' appears to contain numbers stored as text",
+                said["numbers"],
             ),
         )
     )
@@ -643,7 +643,7 @@ def quality_issues(df: DataFrame, order_by, facts: TableFacts | None = None) ->
     repeats = facts.repeat_row().where("duplicate_rows > 0").select(
         F.lit(3_000_000).alias("issue_ord"),
         F.lit(None).cast("string").alias("column"),
-        F.format_string("Found %d duplicate rows", F.col("duplicate_rows")).alias("issue"),
+        F.format_string(said["repeats"], F.col("duplicate_rows")).alias("issue"),
     )
     return per_col.unionByName(repeats)
 

@@ -318,8 +318,7 @@ def format_flags(df: DataFrame, order_by, found: dict | None = None) -> DataFram
         F.round("match_percentage", 2).alias("match_percentage"),
         F.slice("samples", 1, 5).alias("sample_mismatches"),
         F.format_string(
-            "Column '%s' appears to contain %s but %d values don't match the expected format. "
-            "Review these values for data entry errors.",
+            rules.MISMATCH_TEXT,
             "column",
             "description",
             "mismatched_values",
