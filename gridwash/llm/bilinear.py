@@ -195,57 +195,65 @@ LEARNED = ("context", "weight", "group", "group_bias", "member", "member_bias")
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
-    """Sums of the rows before each row and before the end."""
-    out = np.zeros((len(x) + 1, x.shape[1]))
-    np.cumsum(x, axis=0, out=out[1:])
+    """Sums of the columns before each column and before the end."""
+    out = np.zeros((len(x), x.shape[1] + 1))
+    np.cumsum(x, axis=1, out=out[:, 1:])
     return out
 
 
 def contexts(model: dict, symbol: np.ndarray, place: np.ndarray, end: int) -> list[np.ndarray]:
     """Before each token: the vectors of the last symbol, the one before it, and the sum
-    of those of the ``FAR`` before these, divided by their number.
+    of those of the ``FAR`` before these, divided by their number. A column is a token.
 
     ``place`` counts the tokens of a text from 0; texts stand one behind the other. Where
     no symbol is left stands the end, and nothing in the sum.
     """
-    own = model["context"][symbol]
+    table = np.ascontiguousarray(model["context"].T)
+    own = np.take(table, symbol, axis=1)
     at = np.arange(len(symbol))
     near = []
     for j in (1, 2):
         moved = np.empty_like(own)
-        moved[j:] = own[: len(own) - j]
-        moved[(place < j) | (at < j)] = model["context"][end]
+        moved[:, j:] = own[:, : len(symbol) - j]
+        moved[:, np.flatnonzero((place < j) | (at < j))] = table[:, end, None]
         near.append(moved)
     start, total = np.maximum(at - place, 0), _sums(own)
-    far = total[np.maximum(at - 2, start)] - total[np.maximum(at - 2 - FAR, start)]
-    return [*near, (far / FAR).astype(own.dtype)]
+    far = np.take(total, np.maximum(at - 2, start), axis=1)
+    far -= np.take(total, np.maximum(at - 2 - FAR, start), axis=1)
+    far /= FAR
+    return [*near, far.astype(own.dtype)]
 
 
 def predictions(model: dict, context: list[np.ndarray]) -> np.ndarray:
-    return sum(w * x for w, x in zip(model["weight"], context))
+    """The weighed sum of a token's contexts; a row is a token."""
+    out = model["weight"][0][:, None] * context[0]
+    for w, x in zip(model["weight"][1:], context[1:]):
+        out += w[:, None] * x
+    return np.ascontiguousarray(out.T)
 
 
 def _spread(model: dict, context, dq: np.ndarray, symbol: np.ndarray, place: np.ndarray, end: int):
     """Slopes by the weights and by the vectors of the symbols, from those by the predictions."""
     n, at = len(symbol), np.arange(len(symbol))
-    weight = np.stack([np.einsum("ij,ij->j", dq, x) for x in context])
-    out = np.zeros_like(model["context"])
-    back = np.zeros_like(dq)
-    for j, w in zip((1, 2), model["weight"]):
-        given = w * dq
-        none = (place < j) | (at < j)
-        out[end] += given[none].sum(0)
-        given[none] = 0
-        back[: max(0, n - j)] += given[j:]
+    dq = np.ascontiguousarray(dq.T)
+    weight = np.stack([np.einsum("ij,ij->i", dq, x) for x in context])
     # A token is in the sum of those from three places on to the end of the window or text.
     heads = np.append(np.flatnonzero((place == 0) & (at > 0)), n)
     stop = heads[np.searchsorted(heads, at, "right")]
-    total = _sums(model["weight"][2] * dq / FAR)
-    back += (total[np.minimum(at + 3 + FAR, stop)] - total[np.minimum(at + 3, stop)]).astype(back.dtype)
-    order = np.argsort(symbol.astype(np.uint16), kind="stable")
-    first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
-    out[symbol[order[first]]] += np.add.reduceat(back[order], first)
-    return weight, out
+    total = _sums(dq)
+    back = np.take(total, np.minimum(at + 3 + FAR, stop), axis=1)
+    back -= np.take(total, np.minimum(at + 3, stop), axis=1)
+    back *= (model["weight"][2] / FAR)[:, None]
+    ends = np.zeros(len(dq))
+    for j, w in zip((1, 2), model["weight"]):
+        none = np.flatnonzero((place < j) | (at < j))
+        given = w[:, None] * dq
+        ends += given[:, none].sum(1)
+        given[:, none] = 0
+        back[:, : max(0, n - j)] += given[:, j:]
+    out = np.stack([np.bincount(symbol, weights=row, minlength=len(model["context"])) for row in back], 1)
+    out[end] += ends
+    return weight, out.astype(model["context"].dtype)
 
 
 def _by_group(group: np.ndarray, groups: int):
@@ -374,21 +382,21 @@ def train(streams: DataFrame, shape: Shape, counts: np.ndarray) -> dict[str, np.
 
 
 def _log_of(score: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Logs of the softmax of each row at its target."""
-    score -= score.max(1, keepdims=True)
-    own = score[np.arange(len(target)), target].astype(np.float64)
+    """Logs of the softmax of each column at its target."""
+    score -= score.max(0)
+    own = score[target, np.arange(len(target))].astype(np.float64)
     np.exp(score, out=score)
-    return own - np.log(score.sum(1, dtype=np.float64))
+    return own - np.log((np.ones(len(score), score.dtype) @ score).astype(np.float64))
 
 
 def log_chances(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log10 P(symbol | symbols before) of each token of some texts."""
     q = predictions(model, contexts(model, symbol, place, shape.end))
     group, member = shape.place(symbol)
-    out = _log_of(q @ model["group"].T + model["group_bias"], group)
+    out = _log_of(model["group"] @ q.T + model["group_bias"][:, None], group)
     for g, some in _by_group(group, shape.groups):
         own = slice(g, None, shape.groups)
-        out[some] += _log_of(q[some] @ model["member"][own].T + model["member_bias"][own], member[some])
+        out[some] += _log_of(model["member"][own] @ q[some].T + model["member_bias"][own, None], member[some])
     return out / np.log(10)
 
 
