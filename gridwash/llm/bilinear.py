@@ -235,7 +235,6 @@ def predictions(model: dict, context: list[np.ndarray]) -> np.ndarray:
 def _spread(model: dict, context, dq: np.ndarray, symbol: np.ndarray, place: np.ndarray, end: int):
     """Slopes by the weights and by the vectors of the symbols, from those by the predictions."""
     n, at = len(symbol), np.arange(len(symbol))
-    dq = np.ascontiguousarray(dq.T)
     weight = np.stack([np.einsum("ij,ij->i", dq, x) for x in context])
     # A token is in the sum of those from three places on to the end of the window or text.
     heads = np.append(np.flatnonzero((place == 0) & (at > 0)), n)
@@ -265,15 +264,15 @@ def _by_group(group: np.ndarray, groups: int):
 
 
 def _slope(score, noise, target):
-    """Slopes of the contrastive loss by the scores, in place: each of the ``NOISE`` noise
-    symbols is expected in full; a score is set against the log of its noise."""
-    np.subtract(noise, score, out=score)
+    """Slopes of the contrastive loss by the scores (a column is a token): each of the
+    ``NOISE`` noise symbols is expected in full; a score is set against the log of its noise."""
+    np.subtract(noise[:, None], score, out=score)
     np.clip(score, -30, 30, out=score)
     np.exp(score, out=score)
     score += 1
-    row = np.arange(len(target))
-    slope = np.exp(noise) / score
-    slope[row, target] -= 1 - 1 / score[row, target]
+    at = np.arange(len(target))
+    slope = np.exp(noise)[:, None] / score
+    slope[target, at] -= 1 - 1 / score[target, at]
     return slope
 
 
@@ -283,14 +282,15 @@ def slopes(model: dict, shape: Shape, symbol: np.ndarray, place: np.ndarray) ->
     q = predictions(model, context)
     group, member = shape.place(symbol)
     out = {k: np.zeros_like(model[k]) for k in LEARNED}
-    first = _slope(q @ model["group"].T + model["group_bias"], model["group_noise"], group)
-    out["group"], out["group_bias"] = first.T @ q, first.sum(0)
-    dq = first @ model["group"]
+    first = _slope(model["group"] @ q.T + model["group_bias"][:, None], model["group_noise"], group)
+    out["group"], out["group_bias"] = first @ q, first.sum(1)
+    dq = model["group"].T @ first
     for g, some in _by_group(group, shape.groups):
         own = slice(g, None, shape.groups)
-        second = _slope(q[some] @ model["member"][own].T + model["member_bias"][own], model["member_noise"][own], member[some])
-        out["member"][own], out["member_bias"][own] = second.T @ q[some], second.sum(0)
-        dq[some] += second @ model["member"][own]
+        near = q[some]
+        second = _slope(model["member"][own] @ near.T + model["member_bias"][own, None], model["member_noise"][own], member[some])
+        out["member"][own], out["member_bias"][own] = second @ near, second.sum(1)
+        dq[:, some] += model["member"][own].T @ second
     out["weight"], out["context"] = _spread(model, context, dq, symbol, place, shape.end)
     return {k: v / len(symbol) for k, v in out.items()}
 
