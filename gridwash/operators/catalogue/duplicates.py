@@ -61,12 +61,10 @@ def near_duplicates(df: DataFrame, id_col: str, column: str) -> DataFrame:
     The leader is the smallest id of the group; it is listed with itself. Texts without a
     letter or digit have no fingerprint and are nobody's copies.
     """
-    # The small key table is written once, so the texts are read once.
-    keyed = stored(
+    keyed = (
         df.select(cells.column(id_col), fingerprint(column).alias("_words"))
         .where("_words <> ''")
-        .select(cells.column(id_col), F.unhex(F.sha2("_words", 256)).alias("_key")),
-        "keys",
+        .select(cells.column(id_col), F.unhex(F.sha2("_words", 256)).alias("_key"))
     )
     groups = (
         keyed.groupBy("_key")
