@@ -3,6 +3,8 @@
 A window per key puts a whole key into one task. So the order range is cut into chunks,
 the window runs per (key, chunk), and one small row per (key, chunk) carries state to
 the later chunks. A table whose largest key fits a task is one chunk of the same plan.
+The bounds of the chunks pass through the driver, so there are few of them; a limit that
+asks for more chunks cuts each of these, by the rank within the key, in the tasks.
 Rows that tie in all order columns are ordered by a hash of the row, so ties give the
 same answer in every run and are cut as well; only rows that are equal in every column
 stay together.
@@ -16,7 +18,9 @@ from gridwash.functions import cells
 from gridwash.operators.sampling import as_list
 
 GROUP_LIMIT = 5_000_000
-CHUNK, TIE = "_chunk", "_tie"
+#: Chunks by bounds, unless keys of more than ``GROUP_LIMIT`` rows a chunk need more.
+RANGES = 256
+CHUNK, PART, TIE = "_chunk", "_part", "_tie"
 
 
 def largest_group(df: DataFrame, keys) -> int:
@@ -60,35 +64,43 @@ def with_chunks(df: DataFrame, order_by, chunks: int) -> DataFrame:
 
 
 def chunked(df: DataFrame, keys, order_by, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """The table with ``_tie`` (a hash of the row) and ``_chunk``, so that no key has more
-    than about ``group_limit`` rows in a chunk."""
+    """The table with ``_tie`` (a hash of the row), ``_chunk`` and ``_part`` (a piece of a
+    key's rows in a chunk), so that no key has more than about ``group_limit`` rows in a
+    part."""
     hashed = [cells.column(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
     tied = df.withColumn(TIE, F.xxhash64(*hashed))
     biggest = largest_group(df, keys)
     # Twice the needed number, as chunk sizes are approximate.
     chunks = 2 * -(-biggest // group_limit) if biggest > group_limit else 1
-    return with_chunks(tied, [*as_list(order_by), TIE], chunks)
+    most = max(RANGES, 2 * -(-biggest // GROUP_LIMIT))
+    cut = with_chunks(tied, [*as_list(order_by), TIE], min(chunks, most))
+    if chunks <= most:
+        return cut.withColumn(PART, F.lit(0))
+    within = Window.partitionBy(*[cells.column(k) for k in as_list(keys)], CHUNK)
+    place = F.rank().over(within.orderBy(*[cells.column(o) for o in [*as_list(order_by), TIE]])) - 1
+    return cut.withColumn(PART, F.floor(place / group_limit).cast("int"))
 
 
 def _window(keys, order_by, backward=False):
     order = [cells.column(o).desc() if backward else cells.column(o).asc() for o in [*order_by, TIE]]
-    return Window.partitionBy(*[cells.column(k) for k in keys], CHUNK).orderBy(*order)
+    return Window.partitionBy(*[cells.column(k) for k in keys], CHUNK, PART).orderBy(*order)
 
 
 def _carry(cut: DataFrame, keys, local: DataFrame, states: dict, folds: dict, backward=False):
-    """Join to ``local`` the state that earlier (later) chunks of the same key hand over."""
-    chunk = F.col(CHUNK).desc() if backward else F.col(CHUNK).asc()
-    over = Window.partitionBy(*[cells.column(k) for k in keys]).orderBy(chunk)
+    """Join to ``local`` the state that earlier (later) parts of the same key hand over."""
+    places = [F.col(c).desc() if backward else F.col(c).asc() for c in (CHUNK, PART)]
+    over = Window.partitionBy(*[cells.column(k) for k in keys]).orderBy(*places)
     state = (
-        cut.groupBy(*[cells.column(k) for k in keys], CHUNK)
+        cut.groupBy(*[cells.column(k) for k in keys], CHUNK, PART)
         .agg(*[agg.alias(n) for n, agg in states.items()])
         .select(
             *[cells.column(k).alias(f"_k{i}") for i, k in enumerate(keys)],
             F.col(CHUNK).alias("_c"),
+            F.col(PART).alias("_p"),
             *[folds[n](cells.column(n), over).alias(n) for n in states],
         )
     )
-    match = F.col(CHUNK) == F.col("_c")
+    match = (F.col(CHUNK) == F.col("_c")) & (F.col(PART) == F.col("_p"))
     for i, k in enumerate(keys):
         match = match & cells.column(k).eqNullSafe(F.col(f"_k{i}"))
     return local.join(state, match, "left")
@@ -145,7 +157,7 @@ def running_total(
     }
     joined = _carry(cut, keys, local, states, folds)
     so_far = F.coalesce(cells.column(total) + F.col("_sum"), cells.column(total), F.col("_sum"))
-    # Only the first row of a chunk has its previous row in an earlier one.
+    # Only the first row of a part has its previous row in an earlier one.
     previous = F.when(F.col("_first"), F.col("_last")).otherwise(F.col("_previous"))
     return joined.select(
         *[cells.column(c) for c in df.columns], so_far.alias(total), F.coalesce(v - previous, F.lit(0)).alias(delta)

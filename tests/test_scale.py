@@ -83,6 +83,25 @@ def test_chunked_running_total_equals_pandas(spark):
         assert got["delta"].tolist() == pdf["delta"].tolist()
 
 
+def test_small_limits_need_few_bounds(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGES", 4)
+    df, rows = skewed_events(spark, 1200)
+    cut = ordered.chunked(df, "key", "ord", 3)
+    assert cut.select("_chunk").distinct().count() <= 4
+    assert cut.groupBy("key", "_chunk", "_part").count().agg(F.max("count")).first()[0] == 3
+    pdf = pd.DataFrame(rows, columns=["ord", "key", "value"]).sort_values("ord")
+    grouped = pdf.groupby("key", dropna=False)["value"]
+    for fill, want in ((gaps.forward_fill, grouped.ffill()), (gaps.backward_fill, grouped.bfill())):
+        got = fill(df, "key", "ord", "value", group_limit=3).orderBy("ord").toPandas()
+        assert got["value"].fillna(-1).tolist() == want.fillna(-1).tolist()
+    known = df.withColumn("value", F.coalesce("value", F.lit(1)))
+    got, whole = (
+        ordered.running_total(known, "key", "ord", "value", "total", "delta", limit).orderBy("ord").collect()
+        for limit in (3, 10**9)
+    )
+    assert got == whole
+
+
 def test_first_k_of_a_large_table(spark, monkeypatch):
     df = spark.range(20_000).select(
         "id",
