@@ -74,45 +74,71 @@ def near_duplicates(df: DataFrame, id_col: str, column: str) -> DataFrame:
     return keyed.join(groups, "_key").select(id_col, "near_duplicate_of", "group_size")
 
 
-def _shingle_sets(df: DataFrame, id_col: str, column: str, words: int) -> DataFrame:
-    """id, key (digest of the normalised text), shingles (distinct hashes of word runs)."""
-    plain = F.trim(F.regexp_replace(F.lower(cells.column(column)), r"[^\p{L}\p{N}]+", " "))
-    texts = df.select(cells.column(id_col).alias("id"), plain.alias("plain")).where("id IS NOT NULL AND plain <> ''")
-    split = texts.select("id", F.unhex(F.md5("plain")).alias("key"), F.split("plain", " ").alias("t"))
-    # A text shorter than one shingle is its own shingle.
+#: Shingles, as a share of a text's, that a text posts beyond its prefix.
+SLACK = 0.2
+
+
+def _shingles(words: int) -> Column:
+    """Distinct hashes of the runs of the words ``t``; a text shorter than one is its own run."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("t") - F.lit(words - 1), F.lit(1)))
-    shingles = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("t", i, words))))
-    return split.select("id", "key", shingles.alias("shingles"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("t", i, words))))
+
+
+def _missing(n: Column, threshold: float) -> Column:
+    """The most of ``n`` shingles that a text like this one can lack; never too small."""
+    return n - F.ceil(n * F.lit(threshold) - F.lit(1e-6))
 
 
-def _prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, list): every text under the rarest of its shingles.
+def _accompanied(texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """doc (hash of the key): texts that can be like another row, and few others.
+
+    In any fixed order of all shingles, here that of their hashes, the first k shingles
+    that two texts have in common stand among the first missing + k of either. So a text
+    posts that many, k being a share of its size, and has a like one only if others post
+    k of these as well (k of the smallest size that a text like it can have).
+    """
+    split = texts.select(F.xxhash64("key").alias("doc"), F.split("plain", " ").alias("t"))
+    sorted_sets = split.select("doc", F.sort_array(_shingles(words)).alias("shingles")).withColumn("n", F.size("shingles"))
+    post = _missing(F.col("n"), threshold) + 1 + F.floor(F.col("n") * F.lit(SLACK))
+    need = 1 + F.floor(F.greatest(F.col("n") * F.lit(SLACK * threshold) - F.lit(1e-6), F.lit(0)))
+    posted = sorted_sets.select("doc", need.cast("int").alias("need"), F.slice("shingles", F.lit(1), post.cast("int")).alias("posted"))
+    # Counted and joined from a table, so texts are split once.
+    each = stored(posted, "posted").select("doc", "need", F.explode("posted").alias("list"))
+    often = each.groupBy("list").agg(F.count("*").alias("often")).where("often > 1").select("list")
+    # Rows of one text count their postings together, which only lets more through.
+    met = each.join(often, "list").groupBy("doc").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    return met.where("met >= need").select("doc")
+
+
+def _shared_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, n, places, shared: the shingles that other texts have too, rarest first, of
+    all texts that can be like another one.
 
     Two sets that reach the threshold share more than n - ceil(threshold * n) of the n
     shingles of either, so in any fixed order of all shingles they share one of the first
     n - ceil(threshold * n) + 1. Here the rarest come first. A shingle that only one text
-    has takes up a place but needs no list.
+    has takes up a place but needs no list, so the first ``places`` of ``shared`` do.
     """
     each = sets.select("node.key", "n", F.explode("shingles").alias("list"))
     often = each.groupBy("list").agg(F.count("*").alias("often")).where("often > 1")
-    shared = each.join(often, "list").groupBy("key", "n").agg(
-        F.array_sort(F.collect_list(F.struct("often", "list"))).alias("shared")
+    shared = each.join(often, "list").groupBy("key").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "list"))).alias("shared")
+    )
+    places = _missing(F.col("n"), threshold) + 1 - (F.col("n") - F.size("shared"))
+    nodes = sets.select("node", F.col("node.key").alias("key"))
+    return shared.withColumn("places", places.cast("int")).where("places > 0").join(nodes, "key").select(
+        "node", "n", "places", F.transform("shared", lambda x: x["list"]).alias("shared")
     )
-    # The bound is lowered a little: a longer prefix is never wrong.
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-6)) + 1
-    places = F.greatest(prefix - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
-    posted = F.transform(F.slice("shared", F.lit(1), places), lambda x: x["list"])
-    lists = shared.select("key", "n", F.explode(posted).alias("list"))
-    return lists.join(sets.select("node", F.col("node.key").alias("key")), "key").select("node", "n", "list")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, shared: DataFrame, threshold: float) -> DataFrame:
     """(node, best): the smallest leader of each node that its full set is like."""
-    mine = sets.select("node", F.col("shingles").alias("mine"))
-    theirs = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"))
+    mine = shared.select("node", "n", F.col("shared").alias("mine"))
+    theirs = shared.select(F.col("node").alias("leader"), F.col("n").alias("m"), F.col("shared").alias("theirs"))
     both = pairs.join(mine, "node").join(theirs, "leader")
-    shared = F.size(F.array_intersect("mine", "theirs"))
-    similarity = shared / (F.size("mine") + F.size("theirs") - shared)
+    # What two texts have in common is among the shared shingles of both.
+    common = F.size(F.array_intersect("mine", "theirs"))
+    similarity = common / (F.col("n") + F.col("m") - common)
     return (
         both.select("node", F.struct("leader", similarity.alias("similarity")).alias("best"))
         .where(F.col("best.similarity") >= threshold)
@@ -132,32 +158,47 @@ def similar_texts(
     and texts without a letter or digit, are nobody's copies; rows that share an id count
     as texts of their own.
 
-    Equal texts are one before any comparison. The others meet in the lists of their
-    rarest shingles (see ``_prefix_lists``), where every text that is like another one
-    stands with it. A list's smallest texts lead it: members are tried with one leader,
-    then with four, sixteen and so on, until for every member of every list no smaller
-    text than the one it was found like is left untried. So a list of copies is settled by
-    its first leader, with one row per member, and only texts that share rare shingles
-    without being alike are compared with more. No pairs within a list are formed beyond
-    that. Intermediate tables are written to the scratch folder.
+    Texts that can be like no other are set aside first (see ``_accompanied``): only the
+    rest is shuffled by shingles in full. Equal texts are one before any comparison. The
+    others meet in the lists of their rarest shingles (see ``_shared_sets``), where every
+    text that is like another one stands with it. A list's smallest texts lead it:
+    members are tried with one leader, then with four, sixteen and so on, until for every
+    member of every list no smaller text than the one it was found like is left untried.
+    So a list of copies is settled by its first leader, with one row per member, and only
+    texts that share rare shingles without being alike are compared with more. No pairs
+    within a list are formed beyond that, and each round reads only the texts of lists
+    that are still open. Intermediate tables are written to the scratch folder.
     """
-    rows = stored(_shingle_sets(df, id_col, column, words), "shingles")
+    plain = F.trim(F.regexp_replace(F.lower(cells.column(column)), r"[^\p{L}\p{N}]+", " "))
+    texts = (
+        df.select(cells.column(id_col).alias("id"), plain.alias("plain")).where("id IS NOT NULL AND plain <> ''")
+        .select("id", F.unhex(F.md5("plain")).alias("key"), "plain")
+    )
+    rows = stored(texts.select("id", "key"), "rows")
+    accompanied = stored(_accompanied(texts, threshold, words), "accompanied")
     sets = stored(
-        rows.groupBy("key").agg(F.min("id").alias("lead"), F.first("shingles").alias("shingles"))
-        .select(F.struct("lead", "key").alias("node"), F.size("shingles").alias("n"), "shingles"),
+        texts.join(accompanied, F.xxhash64("key") == F.col("doc"), "left_semi")
+        .groupBy("key").agg(F.min("id").alias("lead"), F.first("plain").alias("plain"))
+        .select(F.struct("lead", "key").alias("node"), F.split("plain", " ").alias("t"))
+        .select("node", _shingles(words).alias("shingles"))
+        .select("node", F.size("shingles").alias("n"), "shingles"),
         "sets",
     )
-    members = stored(_prefix_lists(sets, threshold), "members")
+    shared = stored(_shared_sets(sets, threshold), "shared")
+    members = stored(shared.select("node", "n", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("list")), "members")
     best = None
     waiting, tried = members, 0
     while not waiting.isEmpty():
         leaders_now = max(1, 4 * tried)
+        if tried:
+            # Only texts before the last one that waits in a list can lead it.
+            ends = waiting.groupBy("list").agg(F.max("node").alias("end"))
+            members = stored(members.join(ends, "list").where("node <= end").select("node", "n", "list"), "members")
+            shared = stored(shared.join(members.select("node").distinct(), "node", "left_semi"), "shared")
         # The rank is limited inside each task before a list's rows move.
         place = F.row_number().over(Window.partitionBy("list").orderBy("node"))
-        open_lists = waiting.select("list").distinct()
         leaders = stored(
-            members.join(open_lists, "list", "left_semi")
-            .withColumn("place", place).where(F.col("place") <= leaders_now)
+            members.withColumn("place", place).where(F.col("place") <= leaders_now)
             .select("list", F.col("node").alias("leader"), F.col("n").alias("m"), "place"),
             "leaders",
         )
@@ -166,7 +207,7 @@ def similar_texts(
             waiting = waiting.join(best, "node", "left")
             able = able & F.coalesce(F.col("leader") < F.col("best.leader"), F.lit(True))
         pairs = waiting.join(leaders.where(F.col("place") > tried), "list").where(able).select("node", "leader").distinct()
-        found = _verified(pairs, sets, threshold)
+        found = _verified(stored(pairs, "pairs"), shared, threshold)
         if best is not None:
             found = best.unionByName(found).groupBy("node").agg(F.min("best").alias("best"))
         best = stored(found, "best")
@@ -180,13 +221,13 @@ def similar_texts(
             "waiting",
         )
         tried = leaders_now
-    known = sets.select(F.col("node.key").alias("key"), F.col("node.lead").alias("near_duplicate_of"), F.lit(1.0).alias("similarity"))
+    # A copy of a text is like the text's first row, and like all that is like it.
+    known = rows.groupBy("key").agg(F.min("id").alias("near_duplicate_of")).withColumn("similarity", F.lit(1.0))
     if best is not None:
-        # A copy of a text is like the text's first row, and like all that is like it.
-        earlier = F.coalesce(F.col("best.leader.lead") < F.col("node.lead"), F.lit(False))
-        known = sets.join(best, "node", "left").select(
-            F.col("node.key").alias("key"),
-            F.when(earlier, F.col("best.leader.lead")).otherwise(F.col("node.lead")).alias("near_duplicate_of"),
+        earlier = F.coalesce(F.col("best.leader.lead") < F.col("near_duplicate_of"), F.lit(False))
+        known = known.join(best.select(F.col("node.key").alias("key"), "best"), "key", "left").select(
+            "key",
+            F.when(earlier, F.col("best.leader.lead")).otherwise(F.col("near_duplicate_of")).alias("near_duplicate_of"),
             F.when(earlier, F.col("best.similarity")).otherwise(F.lit(1.0)).alias("similarity"),
         )
     found = rows.select("id", "key").join(known, "key")

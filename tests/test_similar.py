@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from gridwash import session
 from gridwash.operators.catalogue import consistency, duplicates
 from tests.test_scale import levenshtein
 
@@ -78,6 +79,21 @@ def test_messy_texts_equal_brute_force(spark, kind):
     assert found(spark, rows, kind, 0.5) == brute(rows, 0.5)
 
 
+def test_texts_of_their_own_are_set_aside(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10_000)}" for _ in range(rnd.randint(1, 60))) for _ in range(400)]
+    for k in rnd.sample(range(400), 40):  # about the threshold, at all sizes
+        own = texts[k].split()
+        cut = rnd.randint(0, max(1, len(own) // 8))
+        texts.append(" ".join(own[cut:] + [f"new{k}"] * rnd.randint(0, 3)))
+    rows = list(enumerate(texts))
+    old = set(session.scratch_tables(spark))
+    want = brute(rows)
+    assert found(spark, rows) == want and 5 < len(want) < 40
+    full = [p for p in session.scratch_tables(spark) if p not in old and "/sets-" in p]
+    assert [spark.read.parquet(p).count() < 150 for p in full] == [True]
+
+
 def test_no_texts_and_repeated_ids(spark):
     assert found(spark, []) == {} and found(spark, [(1, None), (2, "")]) == {}
     assert found(spark, [(1, "a b c d"), (1, "a b c d"), (2, "A b-c d"), (3, "other")]) == {2: (1, 1.0)}
