@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridwash.operators import ordered, profile, sampling
 from gridwash.operators.catalogue import consistency, duplicates, gaps, structural
 from gridwash.operators.quantiles import exact_quantiles
+from registry import QUERIES
 
 
 def test_quantiles_by_rank_equal_numpy(spark):
@@ -102,6 +103,21 @@ def test_small_limits_need_few_bounds(spark, monkeypatch):
     assert got == whole
 
 
+def test_bounds_of_the_chunked_fill_do_not_grow(spark, monkeypatch, tmp_path):
+    counts, plain = [], ordered._chunk_number
+    monkeypatch.setattr(ordered, "_chunk_number", lambda place, bounds: counts.append(len(bounds)) or plain(place, bounds))
+    for n in (20_000, 40_000):
+        kind = F.when(F.col("id") % 10 > 0, "hot").alias("event_type")
+        events = spark.range(n).select(F.col("id").alias("event_id"), kind, (F.col("id") % 101).cast("double").alias("value"))
+        events.write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = QUERIES["k40_forward_fill_chunked"](spark, f"{tmp_path}/{n}").orderBy("event_id").toPandas()
+        pdf = events.orderBy("event_id").toPandas()
+        pdf.loc[pdf["event_id"] % 7 < 3, "value"] = None
+        want = pdf.groupby("event_type", dropna=False)["value"].ffill()
+        assert got["value"].fillna(-1).tolist() == want.fillna(-1).tolist()
+    assert len(counts) == 2 and max(counts) < 256
+
+
 def test_first_k_of_a_large_table(spark, monkeypatch):
     df = spark.range(20_000).select(
         "id",
